@@ -13,13 +13,7 @@ from facsimile.operators import profile as pf
 KEY_NAMES = ("id", "pk", "key")
 
 
-def _tall(df: DataFrame, cols: Sequence[str], fams: Mapping[str, str]) -> DataFrame:
-    parts = [df.select(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v"),
-                       F.lit(fams[c] == "numeric").alias("numeric")) for c in cols]
-    return reduce(DataFrame.unionAll, parts).filter("v is not null")
-
-
-def key_scores(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def key_scores(df: DataFrame, cols: Sequence[str] | None = None, unique: DataFrame | None = None) -> DataFrame:
     """Score of every column that is at least 95 % unique.
 
     "Follows its predecessor" is tested without sorting: each distinct number is grouped with the
@@ -28,7 +22,7 @@ def key_scores(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols or pf.scalar_columns(df))
     fams = {f.name: pf.family(f.dataType) for f in df.schema.fields}
     facts = pf.one_row_per_column(df, {c: [F.count(f"`{c}`").alias("n")] for c in cols})
-    facts = facts.join(F.broadcast(pf.distinct_profile(df, cols)), "column")  # one row per column
+    facts = facts.join(F.broadcast(unique if unique is not None else pf.distinct_profile(df, cols)), "column")  # one row per column
     rows = [r for r in facts.collect() if r["n"] > 0 and r["n_unique"] / r["n"] >= 0.95]
     spark = df.sparkSession
     schema = "column string, position int, uniqueness double, sequential_rate double, score double"
@@ -57,9 +51,10 @@ def key_scores(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return spark.createDataFrame(out, schema)
 
 
-def detect_primary_key(df: DataFrame, cols: Sequence[str] | None = None) -> str | None:
+def detect_primary_key(df: DataFrame, cols: Sequence[str] | None = None,
+                       unique: DataFrame | None = None) -> str | None:
     """The best-scoring column; the earliest one on ties."""
-    best = key_scores(df, cols).collect()
+    best = key_scores(df, cols, unique).collect()
     return min(best, key=lambda r: (-round(r["score"], 9), r["position"]))["column"] if best else None
 
 

@@ -30,8 +30,13 @@ FINANCIAL_NAME = re.compile(r"(salary|income)", re.I)
 QUASI_NAME = re.compile(r"(age|gender|sex|zip|postal|city|state|country|occupation|ethnicity|race|religion)", re.I)
 BOOL_WORDS = ["true", "false", "yes", "no", "1", "0", "t", "f", "y", "n"]
 TRUE_WORDS = ["true", "1", "yes", "t", "y"]
-DATE_FORMATS = ["yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy-MM-dd'T'HH:mm:ss", "dd-MM-yyyy",
-                "yyyy/MM/dd", "dd MMM yyyy", "MMM dd, yyyy"]
+DATE_SHAPES = (
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", ("d/M/yyyy", "M/d/yyyy")),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", ("d-M-yyyy",)),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", ("yyyy/M/d",)),
+    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", ("d MMM yyyy",)),
+    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", ("MMM d, yyyy",)),
+)
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 PATTERNS = {"email": EMAIL, "phone": PHONE, "url": URL, "money": MONEY, "iso_date": ISO_DATE}
 
@@ -69,16 +74,20 @@ def parse_number(c: Column, fam: str) -> Column:
 
 
 def parse_time(c: Column, fam: str) -> Column:
-    """Zone-less timestamp of a date-like value, null when it is not one."""
+    """Zone-less timestamp of a date-like value, null when it is not one.
+
+    A format is tried only on values of its shape: a failed parse costs far more than a regex.
+    """
     if fam in ("date", "timestamp"):
         return c.cast("timestamp_ntz")
     if fam != "string":
         return F.lit(None).cast("timestamp_ntz")
     s = text_of(c)
-    general = F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), s.try_cast("timestamp_ntz"))
-    tries = [F.when(F.length(s) <= 24, F.try_to_timestamp(s, F.lit(f))).cast("timestamp_ntz")
-             for f in DATE_FORMATS[1:]]
-    return F.coalesce(general, *tries)
+    out = F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), s.try_cast("timestamp_ntz"))
+    for shape, formats in DATE_SHAPES:
+        parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+        out = out.when(s.rlike(shape), parsed.cast("timestamp_ntz"))
+    return out
 
 
 def match_rate(c: Column, pattern: str) -> Column:
@@ -96,47 +105,61 @@ def _share(hits: Column, n: Column) -> Column:
     return F.when(n > 0, hits / n).otherwise(F.lit(0.0))
 
 
-def _facts_of(name: str, fam: str, exact: bool) -> list[Column]:
-    c = F.col(f"`{name}`")
-    s, low = text_of(c), F.lower(text_of(c))
-    x, when = parse_number(c, fam), parse_time(c, fam)
+def _parsed(df: DataFrame, cols: Sequence[str], fams: dict[str, str]) -> DataFrame:
+    """Parse each value once: text, lower-case word code, number and time per column."""
+    out = []
+    for i, name in enumerate(cols):
+        c, fam = F.col(f"`{name}`"), fams[name]
+        low = F.lower(text_of(c))
+        code = F.array_position(F.array(*[F.lit(w) for w in BOOL_WORDS]), low)
+        out.append(F.struct(
+            c.alias("v"), text_of(c).alias("s"), F.when(F.length(low) <= 5, code).alias("w"),
+            (parse_number(c, fam) if fam != "bool" else F.lit(None).cast("double")).alias("x"),
+            parse_time(c, fam).alias("t")).alias(f"p{i}"))
+    return df.select(*out)
+
+
+def _facts_of(at: str, fam: str) -> list[Column]:
+    v, s, w, x, when = (F.col(f"{at}.{k}") for k in ("v", "s", "w", "x", "t"))
     is_text, is_num = fam == "string", fam in ("numeric", "string")
     is_time = fam in ("date", "timestamp", "string")
-    none_d, none_l = F.lit(None).cast("double"), F.lit(None).cast("bigint")
+    none_d, none_l, zero = F.lit(None).cast("double"), F.lit(None).cast("bigint"), F.lit(0).cast("bigint")
+    true_codes = [BOOL_WORDS.index(t) + 1 for t in TRUE_WORDS]
 
     def only(flag: bool, col: Column, empty: Column) -> Column:
         return col if flag else F.max(empty)
 
-    q = F.array(*[F.lit(p) for p in QUANTILES])
-    quant = F.percentile(x, q) if exact else F.percentile_approx(x, q, F.lit(10_000))
-    hits = [only(is_text, F.count_if(s.rlike(p)), F.lit(0).cast("bigint")).alias(f"{k}_hits")
-            for k, p in PATTERNS.items()]
+    hits = [only(is_text, F.count_if(s.rlike(p)), zero).alias(f"{k}_hits") for k, p in PATTERNS.items()]
+    size = F.length(v.cast("string"))
     return [
-        F.count("*").alias("n_total"), F.count(c).alias("n"),
-        F.count_if(low.isin(BOOL_WORDS)).alias("bool_hits"),
-        F.size(F.collect_set(F.when(low.isin(BOOL_WORDS), low))).alias("bool_words"),
-        F.count_if(low.isin(TRUE_WORDS)).alias("true_hits"),
-        only(is_num, F.count(x), F.lit(0).cast("bigint")).alias("num_hits"),
-        only(is_num, F.count_if(x % 1 == 0), F.lit(0).cast("bigint")).alias("whole_hits"),
+        F.count("*").alias("n_total"), F.count(v).alias("n"), F.count_if(w > 0).alias("bool_hits"),
+        F.bit_count(F.coalesce(F.bit_or(F.when(w > 0, F.call_function("shiftleft", F.lit(1), w.cast("int")))), F.lit(0)))
+        .alias("bool_words"),
+        F.count_if(w.isin(true_codes)).alias("true_hits"),
+        only(is_num, F.count(x), zero).alias("num_hits"),
+        only(is_num, F.count_if(x % 1 == 0), zero).alias("whole_hits"),
         *hits,
-        only(is_time, F.count(when), F.lit(0).cast("bigint")).alias("time_hits"),
-        only(is_time, F.count_if(when == F.date_trunc("day", when).cast("timestamp_ntz")),
-             F.lit(0).cast("bigint")).alias("midnight_hits"),
+        only(is_time, F.count(when), zero).alias("time_hits"),
+        only(is_time, F.count_if(when == F.date_trunc("day", when).cast("timestamp_ntz")), zero).alias("midnight_hits"),
         only(is_num, F.min(x), none_d).alias("min"), only(is_num, F.max(x), none_d).alias("max"),
         only(is_num, F.avg(x), none_d).alias("mean"), only(is_num, F.stddev_samp(x), none_d).alias("std"),
         only(is_num, mathx.sample_skewness(x), none_d).alias("skewness"),
         only(is_num, mathx.sample_kurtosis(x), none_d).alias("kurtosis"),
-        only(is_num, quant, F.lit(None).cast("array<double>")).alias("quantiles"),
-        only(is_time, F.min(when).cast("date"), F.lit(None).cast("date")).alias("min_date"),
-        only(is_time, F.max(when).cast("date"), F.lit(None).cast("date")).alias("max_date"),
-        only(is_time, F.max(when), F.lit(None).cast("timestamp_ntz")).alias("__last"),
-        only(is_time, F.min(when), F.lit(None).cast("timestamp_ntz")).alias("__first"),
-        only(is_text, F.avg(F.length(c.cast("string"))), none_d).alias("avg_length"),
-        only(is_text, F.max(F.length(c.cast("string"))).cast("bigint"), none_l).alias("max_length"),
-        only(is_text, F.min(F.length(c.cast("string"))).cast("bigint"), none_l).alias("min_length"),
+        only(is_time, F.min(when), F.lit(None).cast("timestamp_ntz")).alias("first_time"),
+        only(is_time, F.max(when), F.lit(None).cast("timestamp_ntz")).alias("last_time"),
+        only(is_text, F.avg(size), none_d).alias("avg_length"),
+        only(is_text, F.max(size).cast("bigint"), none_l).alias("max_length"),
+        only(is_text, F.min(size).cast("bigint"), none_l).alias("min_length"),
     ]
 
 
+def _quantiles_of(c: Column, fam: str, exact: bool) -> list[Column]:
+    if fam not in ("numeric", "string"):
+        return [F.max(F.lit(None).cast("array<double>")).alias("quantiles")]
+    q, x = F.array(*[F.lit(p) for p in QUANTILES]), parse_number(c, fam)
+    return [(F.percentile(x, q) if exact else F.percentile_approx(x, q, F.lit(10_000))).alias("quantiles")]
+
+
 def one_row_per_column(df: DataFrame, per_column: dict[str, list[Column]]) -> DataFrame:
     """Evaluate every column's aggregates in one pass, then unpivot the single row."""
     wide = df.agg(*[F.struct(*aggs).alias(f"__{i}") for i, aggs in enumerate(per_column.values())])
@@ -158,20 +181,25 @@ def distinct_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: b
 
 
 def column_facts(df: DataFrame, cols: Sequence[str] | None = None, exact: bool | None = None,
-                 approx_distinct: bool = False) -> DataFrame:
+                 approx_distinct: bool = False, unique: DataFrame | None = None,
+                 quantiles: bool = False) -> DataFrame:
+    """One row of counts and moments per column.  ``unique`` may carry ready distinct counts."""
     cols = list(cols or scalar_columns(df))
-    if exact is None:
-        limit = scale.setting(df.sparkSession, "exactPercentileRows", EXACT_ROWS)
-        exact = df.count() <= limit
     fams = {f.name: family(f.dataType) for f in df.schema.fields}
-    facts = one_row_per_column(df, {c: _facts_of(c, fams[c], exact) for c in cols})
+    facts = one_row_per_column(_parsed(df, cols, fams), {c: _facts_of(f"p{i}", fams[c]) for i, c in enumerate(cols)})
     named = F.create_map(*[x for c in cols for x in (F.lit(c), F.struct(
         F.lit(fams[c]).alias("family"), F.lit(bool(MONEY_NAME.search(c))).alias("money_name"),
         F.lit(bool(ID_NAME.search(c))).alias("id_name"), F.lit(pii_class_by_name(c)).alias("pii_name")))])
     facts = facts.withColumn("__n", F.element_at(named, F.col("column"))).select("*", "__n.*").drop("__n")
-    uniq = distinct_profile(df, cols, approx_distinct)
+    uniq = unique if unique is not None else distinct_profile(df, cols, approx_distinct)
     facts = facts.join(F.broadcast(uniq), "column")  # one row per column
-    return facts.withColumn("method", F.lit("exact" if exact else "approx"))
+    if quantiles:
+        if exact is None:
+            exact = df.count() <= scale.setting(df.sparkSession, "exactPercentileRows", EXACT_ROWS)
+        quant = one_row_per_column(df, {c: _quantiles_of(F.col(f"`{c}`"), fams[c], exact) for c in cols})
+        facts = facts.join(F.broadcast(quant.drop("position")), "column")  # one row per column
+        facts = facts.withColumn("method", F.lit("exact" if exact else "approx"))
+    return facts
 
 
 def kind_of_facts() -> Column:
@@ -216,9 +244,12 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, primary_key: str |
     """One row per column.  ``primary_key`` may be given, detected (True) or skipped (None)."""
     from facsimile.operators import keys
 
+    cols = list(cols or scalar_columns(df))
+    unique = df.sparkSession.createDataFrame(distinct_profile(df, cols, approx_distinct).collect(),
+                                             "column string, n_unique bigint")
     if primary_key is True:
-        primary_key = keys.detect_primary_key(df, cols)
-    f = column_facts(df, cols, exact, approx_distinct).withColumn("kind", kind_of_facts())
+        primary_key = keys.detect_primary_key(df, cols, unique)
+    f = column_facts(df, cols, exact, unique=unique, quantiles=True).withColumn("kind", kind_of_facts())
     num = F.col("kind").isin("int", "num", "money") & (F.col("num_hits") > 0)
     day = F.col("kind").isin("date", "datetime") & (F.col("time_hits") > 0)
     text = (F.col("kind") == "text") & (F.col("n") > 0)
@@ -237,8 +268,9 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, primary_key: str |
         r4("mean"), F.when(num, F.round(F.element_at("quantiles", 4), 4)).alias("median"), r4("std"),
         F.when(num, F.transform("quantiles", lambda v: F.round(v, 4))).alias("quantiles"),
         r4("skewness"), r4("kurtosis"),
-        F.when(day, F.col("min_date")).alias("min_date"), F.when(day, F.col("max_date")).alias("max_date"),
-        F.when(day, F.timestamp_diff("DAY", F.col("__first"), F.col("__last"))).alias("date_range_days"),
+        F.when(day, F.col("first_time").cast("date")).alias("min_date"),
+        F.when(day, F.col("last_time").cast("date")).alias("max_date"),
+        F.when(day, F.timestamp_diff("DAY", F.col("first_time"), F.col("last_time"))).alias("date_range_days"),
         F.when((F.col("kind") == "bool") & (F.col("n") > 0),
                F.round(_share(F.col("true_hits"), F.col("n")), 4)).alias("true_rate"),
         F.when(text, F.round("avg_length", 1)).alias("avg_length"),

@@ -21,7 +21,7 @@ def key_scores(df: DataFrame, cols: Sequence[str] | None = None, unique: DataFra
     """
     cols = list(cols or pf.scalar_columns(df))
     fams = {f.name: pf.family(f.dataType) for f in df.schema.fields}
-    facts = pf.one_row_per_column(df, {c: [F.count(f"`{c}`").alias("n")] for c in cols})
+    facts = pf.one_row_per_column(df, {c: f"struct(count(`{c}`) as n)" for c in cols})
     facts = facts.join(F.broadcast(unique if unique is not None else pf.distinct_profile(df, cols)), "column")  # one row per column
     rows = [r for r in facts.collect() if r["n"] > 0 and r["n_unique"] / r["n"] >= 0.95]
     spark = df.sparkSession

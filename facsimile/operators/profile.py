@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facsimile.functions import mathx
 from facsimile.operators import scale
 
 # Value patterns, name hints, boolean spellings, date formats, quantile points.
@@ -101,71 +100,82 @@ def pii_class_by_name(name: str) -> str:
     return "quasi" if QUASI_NAME.search(name) else "none"
 
 
-def _share(hits: Column, n: Column) -> Column:
-    return F.when(n > 0, hits / n).otherwise(F.lit(0.0))
+def _tick(name: str) -> str:
+    return f"`{name}`"
+
+
+def _number_sql(c: str, fam: str) -> str:
+    if fam == "numeric":
+        return f"cast({c} as double)"
+    s = f"trim(both ' \\t\\r\\n' from cast({c} as string))"
+    return f"case when rlike({s}, r'{NUMBER}') then try_cast({s} as double) end" if fam == "string" \
+        else "cast(null as double)"
 
 
 def _parsed(df: DataFrame, cols: Sequence[str], fams: dict[str, str]) -> DataFrame:
-    """Parse each value once: text, lower-case word code, number and time per column."""
+    """Parse each value once: value, text, boolean-word code, number and time per column.
+
+    Wide expressions are written as SQL text: one call per column instead of hundreds.
+    """
+    words = "array(" + ", ".join(f"'{w}'" for w in BOOL_WORDS) + ")"
     out = []
     for i, name in enumerate(cols):
-        c, fam = F.col(f"`{name}`"), fams[name]
-        low = F.lower(text_of(c))
-        code = F.array_position(F.array(*[F.lit(w) for w in BOOL_WORDS]), low)
-        out.append(F.struct(
-            c.alias("v"), text_of(c).alias("s"), F.when(F.length(low) <= 5, code).alias("w"),
-            (parse_number(c, fam) if fam != "bool" else F.lit(None).cast("double")).alias("x"),
-            parse_time(c, fam).alias("t")).alias(f"p{i}"))
+        c, fam = _tick(name), fams[name]
+        s = f"trim(both ' \\t\\r\\n' from cast({c} as string))"
+        when = parse_time(F.col(c), fam)
+        code = f"case when length({s}) <= 5 then array_position({words}, lower({s})) end"
+        out += [F.expr(f"{c} as v{i}"), F.expr(f"{s} as s{i}"), F.expr(f"{code} as w{i}"),
+                F.expr(f"{_number_sql(c, fam)} as x{i}"), when.alias(f"t{i}")]
     return df.select(*out)
 
 
-def _facts_of(at: str, fam: str) -> list[Column]:
-    v, s, w, x, when = (F.col(f"{at}.{k}") for k in ("v", "s", "w", "x", "t"))
+def _facts_sql(i: int, fam: str) -> str:
     is_text, is_num = fam == "string", fam in ("numeric", "string")
     is_time = fam in ("date", "timestamp", "string")
-    none_d, none_l, zero = F.lit(None).cast("double"), F.lit(None).cast("bigint"), F.lit(0).cast("bigint")
-    true_codes = [BOOL_WORDS.index(t) + 1 for t in TRUE_WORDS]
-
-    def only(flag: bool, col: Column, empty: Column) -> Column:
-        return col if flag else F.max(empty)
-
-    hits = [only(is_text, F.count_if(s.rlike(p)), zero).alias(f"{k}_hits") for k, p in PATTERNS.items()]
-    size = F.length(v.cast("string"))
-    return [
-        F.count("*").alias("n_total"), F.count(v).alias("n"), F.count_if(w > 0).alias("bool_hits"),
-        F.bit_count(F.coalesce(F.bit_or(F.when(w > 0, F.call_function("shiftleft", F.lit(1), w.cast("int")))), F.lit(0)))
-        .alias("bool_words"),
-        F.count_if(w.isin(true_codes)).alias("true_hits"),
-        only(is_num, F.count(x), zero).alias("num_hits"),
-        only(is_num, F.count_if(x % 1 == 0), zero).alias("whole_hits"),
-        *hits,
-        only(is_time, F.count(when), zero).alias("time_hits"),
-        only(is_time, F.count_if(when == F.date_trunc("day", when).cast("timestamp_ntz")), zero).alias("midnight_hits"),
-        only(is_num, F.min(x), none_d).alias("min"), only(is_num, F.max(x), none_d).alias("max"),
-        only(is_num, F.avg(x), none_d).alias("mean"), only(is_num, F.stddev_samp(x), none_d).alias("std"),
-        only(is_num, mathx.sample_skewness(x), none_d).alias("skewness"),
-        only(is_num, mathx.sample_kurtosis(x), none_d).alias("kurtosis"),
-        only(is_time, F.min(when), F.lit(None).cast("timestamp_ntz")).alias("first_time"),
-        only(is_time, F.max(when), F.lit(None).cast("timestamp_ntz")).alias("last_time"),
-        only(is_text, F.avg(size), none_d).alias("avg_length"),
-        only(is_text, F.max(size).cast("bigint"), none_l).alias("max_length"),
-        only(is_text, F.min(size).cast("bigint"), none_l).alias("min_length"),
-    ]
-
-
-def _quantiles_of(c: Column, fam: str, exact: bool) -> list[Column]:
+    true_codes = ", ".join(str(BOOL_WORDS.index(t) + 1) for t in TRUE_WORDS)
+
+    def only(flag: bool, sql: str, dtype: str, empty: str = "null") -> str:
+        return sql if flag else f"max(cast({empty} as {dtype}))"
+
+    n = f"cast(count(x{i}) as double)"
+    skew = f"case when {n} > 2 then skewness(x{i}) * sqrt({n} * ({n} - 1)) / ({n} - 2) else 0.0D end"
+    kurt = (f"case when {n} > 3 then ({n} - 1) / (({n} - 2) * ({n} - 3)) * (({n} + 1) * kurtosis(x{i}) + 6) "
+            "else 0.0D end")
+    size = f"length(cast(v{i} as string))"
+    parts = {
+        "n_total": "count(*)", "n": f"count(v{i})", "bool_hits": f"count_if(w{i} > 0)",
+        "bool_words": f"bit_count(coalesce(bit_or(case when w{i} > 0 then shiftleft(1, cast(w{i} as int)) end), 0))",
+        "true_hits": f"count_if(w{i} in ({true_codes}))",
+        "num_hits": only(is_num, f"count(x{i})", "bigint", "0"),
+        "whole_hits": only(is_num, f"count_if(x{i} % 1 = 0)", "bigint", "0"),
+        **{f"{k}_hits": only(is_text, f"count_if(rlike(s{i}, r'{p}'))", "bigint", "0") for k, p in PATTERNS.items()},
+        "time_hits": only(is_time, f"count(t{i})", "bigint", "0"),
+        "midnight_hits": only(is_time, f"count_if(t{i} = cast(date_trunc('day', t{i}) as timestamp_ntz))", "bigint", "0"),
+        "min": only(is_num, f"min(x{i})", "double"), "max": only(is_num, f"max(x{i})", "double"),
+        "mean": only(is_num, f"avg(x{i})", "double"), "std": only(is_num, f"stddev_samp(x{i})", "double"),
+        "skewness": only(is_num, skew, "double"), "kurtosis": only(is_num, kurt, "double"),
+        "first_time": only(is_time, f"min(t{i})", "timestamp_ntz"),
+        "last_time": only(is_time, f"max(t{i})", "timestamp_ntz"),
+        "avg_length": only(is_text, f"avg({size})", "double"),
+        "max_length": only(is_text, f"cast(max({size}) as bigint)", "bigint"),
+        "min_length": only(is_text, f"cast(min({size}) as bigint)", "bigint"),
+    }
+    return "struct(" + ", ".join(f"{sql} as {k}" for k, sql in parts.items()) + ")"
+
+
+def _quantiles_sql(name: str, fam: str, exact: bool) -> str:
     if fam not in ("numeric", "string"):
-        return [F.max(F.lit(None).cast("array<double>")).alias("quantiles")]
-    q, x = F.array(*[F.lit(p) for p in QUANTILES]), parse_number(c, fam)
-    return [(F.percentile(x, q) if exact else F.percentile_approx(x, q, F.lit(10_000))).alias("quantiles")]
+        return "struct(max(cast(null as array<double>)) as quantiles)"
+    q, x = "array(" + ", ".join(f"{p}D" for p in QUANTILES) + ")", _number_sql(_tick(name), fam)
+    call = f"percentile({x}, {q})" if exact else f"percentile_approx({x}, {q}, 10000)"
+    return f"struct({call} as quantiles)"
 
 
-def one_row_per_column(df: DataFrame, per_column: dict[str, list[Column]]) -> DataFrame:
-    """Evaluate every column's aggregates in one pass, then unpivot the single row."""
-    wide = df.agg(*[F.struct(*aggs).alias(f"__{i}") for i, aggs in enumerate(per_column.values())])
-    items = [F.struct(F.lit(name).alias("column"), F.lit(i).alias("position"), F.col(f"__{i}").alias("f"))
-             for i, name in enumerate(per_column)]
-    return wide.select(F.explode(F.array(*items)).alias("e")).select("e.column", "e.position", "e.f.*")
+def one_row_per_column(df: DataFrame, structs: dict[str, str]) -> DataFrame:
+    """Evaluate one struct of aggregates per column in a single pass, then unpivot the only row."""
+    wide = df.selectExpr(*[f"{sql} as __{i}" for i, sql in enumerate(structs.values())])
+    items = ", ".join(f"struct('{name}' as column, {i} as position, __{i} as f)" for i, name in enumerate(structs))
+    return wide.selectExpr(f"explode(array({items})) as e").selectExpr("e.column", "e.position", "e.f.*")
 
 
 def distinct_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
@@ -173,7 +183,7 @@ def distinct_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: b
     k-fold; ``approx`` keeps one HyperLogLog sketch per column in a single pass."""
     cols = list(cols or scalar_columns(df))
     if approx:
-        return one_row_per_column(df, {c: [F.approx_count_distinct(f"`{c}`").alias("n_unique")] for c in cols}) \
+        return one_row_per_column(df, {c: f"struct(approx_count_distinct(`{c}`) as n_unique)" for c in cols}) \
             .drop("position")
     parts = [df.select(F.col(f"`{c}`").alias("v")).filter("v is not null").distinct()
              .agg(F.count("*").alias("n_unique")).select(F.lit(c).alias("column"), "n_unique") for c in cols]
@@ -186,57 +196,56 @@ def column_facts(df: DataFrame, cols: Sequence[str] | None = None, exact: bool |
     """One row of counts and moments per column.  ``unique`` may carry ready distinct counts."""
     cols = list(cols or scalar_columns(df))
     fams = {f.name: family(f.dataType) for f in df.schema.fields}
-    facts = one_row_per_column(_parsed(df, cols, fams), {c: _facts_of(f"p{i}", fams[c]) for i, c in enumerate(cols)})
-    named = F.create_map(*[x for c in cols for x in (F.lit(c), F.struct(
-        F.lit(fams[c]).alias("family"), F.lit(bool(MONEY_NAME.search(c))).alias("money_name"),
-        F.lit(bool(ID_NAME.search(c))).alias("id_name"), F.lit(pii_class_by_name(c)).alias("pii_name")))])
-    facts = facts.withColumn("__n", F.element_at(named, F.col("column"))).select("*", "__n.*").drop("__n")
+    facts = one_row_per_column(_parsed(df, cols, fams), {c: _facts_sql(i, fams[c]) for i, c in enumerate(cols)})
+    named = df.sparkSession.createDataFrame(
+        [(c, fams[c], bool(MONEY_NAME.search(c)), bool(ID_NAME.search(c)), pii_class_by_name(c)) for c in cols],
+        "column string, family string, money_name boolean, id_name boolean, pii_name string")
+    facts = facts.join(F.broadcast(named), "column")  # one row per column
     uniq = unique if unique is not None else distinct_profile(df, cols, approx_distinct)
     facts = facts.join(F.broadcast(uniq), "column")  # one row per column
     if quantiles:
         if exact is None:
             exact = df.count() <= scale.setting(df.sparkSession, "exactPercentileRows", EXACT_ROWS)
-        quant = one_row_per_column(df, {c: _quantiles_of(F.col(f"`{c}`"), fams[c], exact) for c in cols})
+        quant = one_row_per_column(df, {c: _quantiles_sql(c, fams[c], exact) for c in cols})
         facts = facts.join(F.broadcast(quant.drop("position")), "column")  # one row per column
         facts = facts.withColumn("method", F.lit("exact" if exact else "approx"))
     return facts
 
 
+CLOCK = "case when midnight_hits = time_hits then 'date' else 'datetime' end"
+# the ordered cascade over one column's facts; the first match wins
+KIND = f"""case when n = 0 then 'text'
+  when family = 'bool' then 'bool'
+  when bool_hits = n and bool_words <= 3 then 'bool'
+  when family = 'numeric' and money_name then 'money'
+  when family = 'numeric' and whole_hits = n then 'int'
+  when family = 'numeric' then 'num'
+  when family in ('date', 'timestamp') then {CLOCK}
+  when num_hits / n >= 0.9 and money_name then 'money'
+  when num_hits / n >= 0.9 then 'num'
+  when email_hits / n > 0.7 then 'email'
+  when iso_date_hits / n > 0.9 and time_hits / n >= 0.9 then {CLOCK}
+  when phone_hits / n > 0.7 then 'phone'
+  when url_hits / n > 0.7 then 'url'
+  when time_hits / n >= 0.9 then {CLOCK}
+  when money_hits / n > 0.7 then 'money'
+  when n_unique <= greatest(20, floor(0.05D * n)) then 'cat'
+  else 'text' end"""
+
+
 def kind_of_facts() -> Column:
-    """The ordered cascade over one column's facts; the first match wins."""
-    n = F.col("n")
-
-    def share(name: str) -> Column:
-        return _share(F.col(name), n)
-
-    fam = F.col("family")
-    clock = F.when(F.col("midnight_hits") == F.col("time_hits"), F.lit("date")).otherwise(F.lit("datetime"))
-    few = F.greatest(F.lit(20).cast("bigint"), F.floor(F.lit(0.05) * n))
-    return (F.when(n == 0, "text")
-            .when(fam == "bool", "bool")
-            .when((F.col("bool_hits") == n) & (F.col("bool_words") <= 3), "bool")
-            .when((fam == "numeric") & F.col("money_name"), "money")
-            .when((fam == "numeric") & (F.col("whole_hits") == n), "int")
-            .when(fam == "numeric", "num")
-            .when(fam.isin("date", "timestamp"), clock)
-            .when((share("num_hits") >= 0.9) & F.col("money_name"), "money")
-            .when(share("num_hits") >= 0.9, "num")
-            .when(share("email_hits") > 0.7, "email")
-            .when((share("iso_date_hits") > 0.9) & (share("time_hits") >= 0.9), clock)
-            .when(share("phone_hits") > 0.7, "phone")
-            .when(share("url_hits") > 0.7, "url")
-            .when(share("time_hits") >= 0.9, clock)
-            .when(share("money_hits") > 0.7, "money")
-            .when(F.col("n_unique") <= few, "cat")
-            .otherwise("text"))
+    return F.expr(KIND)
 
 
 def infer_kinds(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return column_facts(df, cols).select("column", kind_of_facts().alias("kind"))
 
 
+PII = "case when n > 0 and email_hits / n > 0.7 then 'direct' else pii_name end"
+
+
 def pii_of_facts() -> Column:
-    return F.when(_share(F.col("email_hits"), F.col("n")) > 0.7, "direct").otherwise(F.col("pii_name"))
+    return F.expr(PII)
 
 
 def profile(df: DataFrame, cols: Sequence[str] | None = None, primary_key: str | None | bool = True,
@@ -250,32 +259,26 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, primary_key: str |
     if primary_key is True:
         primary_key = keys.detect_primary_key(df, cols, unique)
     f = column_facts(df, cols, exact, unique=unique, quantiles=True).withColumn("kind", kind_of_facts())
-    num = F.col("kind").isin("int", "num", "money") & (F.col("num_hits") > 0)
-    day = F.col("kind").isin("date", "datetime") & (F.col("time_hits") > 0)
-    text = (F.col("kind") == "text") & (F.col("n") > 0)
-    is_pk = F.col("column") == F.lit(primary_key) if primary_key else F.lit(False)
-    near_unique = F.col("id_name") & (F.col("n_unique") / F.greatest(F.col("n_total"), F.lit(1)) >= 0.95)
-
-    def r4(name: str) -> Column:
-        return F.when(num, F.round(F.col(name), 4)).alias(name)
-
-    return f.select(
-        "column", "position", F.when(is_pk | near_unique, "id").otherwise(F.col("kind")).alias("kind"),
-        "n_total", (F.col("n_total") - F.col("n")).alias("null_count"),
-        F.round(_share((F.col("n_total") - F.col("n")).cast("double"), F.col("n_total")), 4).alias("null_rate"),
-        "n_unique", pii_of_facts().alias("pii"), is_pk.alias("is_primary_key"),
-        F.when(num, F.col("min")).alias("min"), F.when(num, F.col("max")).alias("max"),
-        r4("mean"), F.when(num, F.round(F.element_at("quantiles", 4), 4)).alias("median"), r4("std"),
-        F.when(num, F.transform("quantiles", lambda v: F.round(v, 4))).alias("quantiles"),
-        r4("skewness"), r4("kurtosis"),
-        F.when(day, F.col("first_time").cast("date")).alias("min_date"),
-        F.when(day, F.col("last_time").cast("date")).alias("max_date"),
-        F.when(day, F.timestamp_diff("DAY", F.col("first_time"), F.col("last_time"))).alias("date_range_days"),
-        F.when((F.col("kind") == "bool") & (F.col("n") > 0),
-               F.round(_share(F.col("true_hits"), F.col("n")), 4)).alias("true_rate"),
-        F.when(text, F.round("avg_length", 1)).alias("avg_length"),
-        F.when(text, F.col("max_length")).alias("max_length"), F.when(text, F.col("min_length")).alias("min_length"),
-        "method")
+    pk = "column = '" + primary_key + "'" if primary_key else "false"
+    num = "kind in ('int', 'num', 'money') and num_hits > 0"
+    day = "kind in ('date', 'datetime') and time_hits > 0"
+    text = "kind = 'text' and n > 0"
+    keep = {"min": num, "max": num, "max_length": text, "min_length": text}
+    return f.selectExpr(
+        "column", "position",
+        f"case when {pk} or (id_name and n_unique / greatest(n_total, 1) >= 0.95) then 'id' else kind end as kind",
+        "n_total", "n_total - n as null_count",
+        "round(case when n_total > 0 then (n_total - n) / n_total else 0 end, 4) as null_rate", "n_unique",
+        f"{PII} as pii", f"{pk} as is_primary_key",
+        *[f"case when {cond} then {c} end as {c}" for c, cond in keep.items()],
+        *[f"case when {num} then round({c}, 4) end as {c}" for c in ("mean", "std", "skewness", "kurtosis")],
+        f"case when {num} then round(quantiles[3], 4) end as median",
+        f"case when {num} then transform(quantiles, v -> round(v, 4)) end as quantiles",
+        f"case when {day} then cast(first_time as date) end as min_date",
+        f"case when {day} then cast(last_time as date) end as max_date",
+        f"case when {day} then timestampdiff(DAY, first_time, last_time) end as date_range_days",
+        "case when kind = 'bool' and n > 0 then round(true_hits / n, 4) end as true_rate",
+        f"case when {text} then round(avg_length, 1) end as avg_length", "method")
 
 
 def category_profile(df: DataFrame, cols: Sequence[str], top: int = 50) -> DataFrame:
@@ -300,10 +303,9 @@ def category_profile(df: DataFrame, cols: Sequence[str], top: int = 50) -> DataF
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols or scalar_columns(df))
-    out = one_row_per_column(df, {c: [F.count_if(F.col(f"`{c}`").isNull()).alias("null_count"),
-                                      F.round(F.avg(F.col(f"`{c}`").isNull().cast("double")), 4).alias("null_rate")]
-                                  for c in cols})
-    return out.drop("position")
+    return one_row_per_column(df, {c: f"struct(count_if(`{c}` is null) as null_count, "
+                                      f"round(avg(cast(`{c}` is null as double)), 4) as null_rate)"
+                                   for c in cols}).drop("position")
 
 
 # --- what may leave the building ---------------------------------------------------------------

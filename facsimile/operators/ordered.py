@@ -278,25 +278,27 @@ def with_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
     return scale.lookup(df, dim, col, "left", hot)
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], exact_rows: int = 5_000_000) -> list[float | None]:
-    """Linear-interpolated quantiles.
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], exact_rows: int = 5_000_000,
+                    weight: str | None = None) -> list[float | None]:
+    """Linear-interpolated quantiles; ``weight`` counts a row that many times.
 
     Small inputs use the built-in exact ``percentile``; beyond ``exact_rows`` distinct values are
     counted and ranked (``running``) and only the needed order statistics reach the driver, so no
     aggregation buffer has to hold the whole column.
     """
     limit = scale.setting(df.sparkSession, "exactPercentileRows", exact_rows)
-    vals = df.select(F.col(col).cast("double").alias("v")).filter("v is not null")
-    n = vals.count()
-    if n == 0:
+    w = F.col(weight) if weight else F.lit(1)
+    vals = df.select(F.col(col).cast("double").alias("v"), w.cast("bigint").alias("w")).filter("v is not null")
+    rows, n = vals.agg(F.count("*"), F.sum("w")).first()
+    if not n:
         return [None] * len(qs)
-    if n <= limit:
-        return list(vals.agg(F.percentile("v", F.array(*[F.lit(float(q)) for q in qs]))).first()[0])
+    if rows <= limit:
+        return list(vals.agg(F.percentile("v", F.array(*[F.lit(float(q)) for q in qs]), F.col("w"))).first()[0])
     need: set[int] = set()
     for q in qs:
         h = q * (n - 1)
         need |= {math.floor(h), math.ceil(h)}
-    ranks = value_ranks(vals, "v")
+    ranks = running(vals.groupBy("v").agg(F.sum("w").alias("cnt")), ["v"], sums={"cum": "cnt"})
     arr = F.array(*[F.lit(p).cast("bigint") for p in sorted(need)])
     hit = F.filter(arr, lambda p: (p >= F.col("cum") - F.col("cnt")) & (p < F.col("cum")))
     stat = {r["p"]: r["v"] for r in ranks.select("v", F.explode(hit).alias("p")).collect()}

@@ -73,7 +73,8 @@ def day(df, *cols):
 
 query("retail_customers", f"""with {CUSTOMERS} select customer_id, first || ' ' || last as full_name,
  lower(first) || '.' || lower(replace(last,' ','')) || customer_id::varchar || '@example.com' as email, city,
- strftime(signup_date,'%Y-%m-%d') as signup_date, segment from cust""")(lambda t: day(retail(t)["customers"], "signup_date"))
+ strftime(signup_date,'%Y-%m-%d') as signup_date, segment from cust""")(
+    lambda t: day(rt.customers(t.spark, t.customer.count(), SEED), "signup_date"))
 
 
 @query("retail_products", f"with {PRODUCTS} select p_partkey, sku, name, category, unit_price from part join prod on product_no = p_partkey % 60 + 1")
@@ -161,8 +162,9 @@ def bank(t):
 
 
 query("fintech_accounts", f"with {ACCOUNTS} select * exclude (account_no) replace (strftime(open_date,'%Y-%m-%d') as open_date) from acct")(
-    lambda t: day(bank(t)["accounts"], "open_date"))
-query("fintech_cards", f"with {CARDS} select * exclude (card_no, account_no) from card")(lambda t: bank(t)["cards"])
+    lambda t: day(ft.accounts(t.spark, t.supplier.count(), SEED).drop("account_no"), "open_date"))
+query("fintech_cards", f"with {CARDS} select * exclude (card_no, account_no) from card")(
+    lambda t: ft.cards(t.spark, t.supplier.count() * 4 // 5, t.supplier.count(), SEED).drop("card_no", "account_no"))
 
 
 @query("fintech_merchants", f"with {MERCHANTS} select s_suppkey, merchant_id, name, category, mcc_code from supplier join merch on merchant_no = s_suppkey % 50 + 1")

@@ -224,20 +224,22 @@ def rank_cutoffs(df: DataFrame, u: str, key: str, ranks: Sequence[int]) -> list[
     return [found.get(r) if r > 0 else None for r in ranks]
 
 
-def within(u: str, key: str, cutoff: tuple | None, default: bool) -> Column:
+def within(u: Column | str, key: Column | str, cutoff: tuple | None, default: bool) -> Column:
     """(u, key) <= cutoff."""
     if cutoff is None:
         return F.lit(default)
+    u, key = (F.col(c) if isinstance(c, str) else c for c in (u, key))
     cu, ck = cutoff
-    return (F.col(u) < F.lit(cu)) | ((F.col(u) == F.lit(cu)) & (F.col(key) <= F.lit(ck)))
+    return (u < F.lit(cu)) | ((u == F.lit(cu)) & (key <= F.lit(ck)))
 
 
-def rank_band(df: DataFrame, u: str, key: str, edges: Sequence[int]) -> Column:
-    """Index (1-based) of the rank band a row falls in, 0 beyond the last edge.
+def rank_band(df: DataFrame, u: Column, key: str, edges: Sequence[int]) -> Column:
+    """Index (1-based) of the rank band a row of ``df`` falls in, 0 beyond the last edge.
 
-    ``edges`` are cumulative sizes: [3, 5] puts ranks 1-3 in band 1 and 4-5 in band 2.
+    ``edges`` are cumulative sizes: [3, 5] puts ranks 1-3 in band 1 and 4-5 in band 2.  Ranks follow
+    (u, key); the result is an expression, so nothing is joined or sorted.
     """
-    cuts = rank_cutoffs(df, u, key, edges)
+    cuts = rank_cutoffs(df.select(u.alias("__u"), F.col(key).alias("__k")), "__u", "__k", edges)
     out = None
     for i, (edge, c) in enumerate(zip(edges, cuts, strict=True), start=1):
         hit = within(u, key, c, default=edge > 0)

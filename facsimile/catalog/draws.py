@@ -69,9 +69,8 @@ with d as (select p_partkey, row_number() over (order by p_partkey) as rank from
 select o_orderkey, p_partkey from o asof join (select hi-weight as lo, p_partkey from s) x on o.spot >= x.lo""")
 def _(t):
     ranked = ordered.dense_ids(t.part.select("p_partkey"), ["p_partkey"], name="rank")
-    table, total = domains.spans(domains.zipf_domain(ranked, "rank", 0.8), "weight", ["rank"])
-    return domains.draw_from_spans(t.orders.select("o_orderkey"), U("zd", key="o_orderkey"), table, total,
-                                   ["p_partkey"])
+    line = domains.spans(domains.zipf_domain(ranked, "rank", 0.8), "weight", ["rank"])
+    return domains.draw_from_spans(t.orders.select("o_orderkey"), U("zd", key="o_orderkey"), line, ["p_partkey"])
 
 
 @query("keyed_normal", f"""select o_orderkey, round({q.normal(us('n', key='o_orderkey'), us('n', key='o_orderkey', lane=1), 3500.0, 2000.0)}, 4) as x,

@@ -95,7 +95,23 @@ def bucket_of(x: Column, cuts: Sequence[float]) -> Column:
     return tree(0, len(cuts))
 
 
+def _literal(v: object) -> str | None:
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, int):
+        return str(v) if abs(v) < 2**31 else f"{v}L"
+    if isinstance(v, float) and math.isfinite(v):
+        return f"{v!r}D"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return None
+
+
 def literal_array(values: Sequence[object]) -> Column:
+    """An array constant, sent to the JVM as one expression rather than one call per value."""
+    parts = [_literal(v) for v in values]
+    if parts and all(p is not None for p in parts):
+        return F.expr(f"array({', '.join(parts)})")
     return F.array(*[F.lit(v) for v in values])
 
 

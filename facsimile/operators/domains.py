@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,20 +19,33 @@ LAST_QUARTER_BOOST = 1.15
 WEIGHT_UNIT = 100_000
 
 
-def spans(domain: DataFrame, weight: str, order: Sequence[str]) -> tuple[DataFrame, int]:
-    """Give each domain row the integer interval [lo, hi) of a line of length ``total``."""
-    run = ordered.running(domain, order, sums={"hi": weight})
-    total = run.agg(F.max("hi")).first()[0] or 0
-    return run.withColumn("lo", F.col("hi") - F.col(weight)), int(total)
+@dataclass(frozen=True)
+class Spans:
+    """A weighted domain laid out on a line: each row owns [lo, hi) of [0, total)."""
 
+    table: DataFrame
+    total: int
+    size: int
 
-def draw_from_spans(rows: DataFrame, u: Column, table: DataFrame, total: int, keep: Sequence[str]) -> DataFrame:
+    def hot(self, value: str) -> list:
+        """Values that own at least a thousandth of the line."""
+        big = self.table.filter((F.col("hi") - F.col("lo")) * 1000 >= self.total)
+        return [r[0] for r in big.select(value).limit(1000).collect()]
+
+
+def spans(domain: DataFrame, weight: str, order: Sequence[str]) -> Spans:
+    size, total = domain.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    run = ordered.running(domain, order, sums={"hi": weight}, rows=size)
+    return Spans(run.withColumn("lo", F.col("hi") - F.col(weight)), int(total), size)
+
+
+def draw_from_spans(rows: DataFrame, u: Column, line: Spans, keep: Sequence[str]) -> DataFrame:
     """Inverse-CDF draw as an equi-join on a coarse cell of the line.
 
     A heavy value covers many cells, so its rows spread over many join keys; a cell overlaps only
     a few values.  The table is broadcast only when it is proven small.
     """
-    size = max(1, table.count())
+    size, total, table = max(1, line.size), line.total, line.table
     shift = max(0, total.bit_length() - max(1, (size * 2).bit_length()))
     cells = F.sequence(F.shiftright(F.col("lo"), shift), F.shiftright(F.col("hi") - 1, shift))
     dim = table.filter(F.col("hi") > F.col("lo")).select(
@@ -70,8 +84,7 @@ def weighted_dates(rows: DataFrame, u: Column, start: str, end: str, out: str =
                    weekday: Sequence[float] = WEEKDAY_WEIGHTS, seasonality: str | None = "retail") -> DataFrame:
     cal = calendar(rows.sparkSession, start, max(start, end)).withColumnRenamed("day", out)
     cal = cal.withColumn("weight", day_weight(F.col(out), weekday, seasonality))
-    table, total = spans(cal, "weight", [out])
-    return draw_from_spans(rows, u, table, total, [out])
+    return draw_from_spans(rows, u, spans(cal, "weight", [out]), [out])
 
 
 def fan_out(parent: DataFrame, count: Column, seq: str = "seq") -> DataFrame:
@@ -82,12 +95,12 @@ def fan_out(parent: DataFrame, count: Column, seq: str = "seq") -> DataFrame:
 
 def fk_sample(child: DataFrame, u: Column, parent: DataFrame, pk: str, out: str) -> DataFrame:
     """Uniform draw of a parent key per child row."""
-    ids = ordered.dense_ids(parent.select(F.col(pk).alias(out)), [out], name="__pid")
     n = parent.count()
     if n == 0:
         return child.withColumn(out, F.lit(None))
+    ids = ordered.dense_ids(parent.select(F.col(pk).alias(out)), [out], name="__pid", rows=n)
     left = child.withColumn("__pid", keyed.uniform_int(u, 1, n + 1))
-    return scale.lookup(left, ids, "__pid", "inner").drop("__pid")
+    return scale.lookup(left, ids, "__pid", "inner", size=n).drop("__pid")
 
 
 def split_holdout(df: DataFrame, u: Column, key: str | None = None, frac: float = 0.2,

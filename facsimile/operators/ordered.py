@@ -9,11 +9,12 @@ gets the same rows, and a group that holds a third of the table is simply cut in
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facsimile.functions import keyed
 from facsimile.operators import scale
 
 MAX_BUCKETS = 16_384
@@ -21,10 +22,6 @@ SAMPLE_PER_BUCKET = 32
 SAMPLE_CAP = 400_000
 
 
-def _lit_of(value, dtype) -> Column:
-    return F.lit(value).cast(dtype)
-
-
 def _bounds(df: DataFrame, cols: list[str], n: int, buckets: int) -> list[tuple]:
     """Sorted split points from a keyed (repeatable) sample of the distinct order keys."""
     want = min(buckets * SAMPLE_PER_BUCKET, SAMPLE_CAP)
@@ -49,25 +46,31 @@ def sorted_unique(picks: list[tuple]) -> list[tuple]:
     return out
 
 
+def _key_text(bound: tuple, cols: list[str], types: dict[str, str]) -> str:
+    """A bound as SQL text: a struct constant of the key's own types."""
+    parts = []
+    for v, c in zip(bound, cols, strict=True):
+        text = v.isoformat(sep=" ") if hasattr(v, "hour") else str(v)
+        text = text.replace("\\", "\\\\").replace("'", "\\'")
+        parts.append(f"cast('{text}' as {types[c]}) as `{c}`")
+    return f"struct({', '.join(parts)})"
+
+
 def _bucket(df: DataFrame, cols: list[str], bounds: list[tuple]) -> Column:
     """Number of bounds <= the row's key: a coarse search, then a search inside one stretch."""
-    types = {f.name: f.dataType for f in df.schema.fields}
+    types = dict(df.dtypes)
     key = F.struct(*[F.col(c) for c in cols])
-
-    def as_key(b: tuple) -> Column:
-        return F.struct(*[_lit_of(v, types[c]).alias(c) for v, c in zip(b, cols, strict=True)])
+    text = [_key_text(b, cols, types) for b in bounds]
 
     def below(arr: Column) -> Column:
         return F.size(F.filter(arr, lambda b: b <= key))
 
     if len(bounds) <= 48:
-        return below(F.array(*[as_key(b) for b in bounds]))
+        return below(F.expr(f"array({', '.join(text)})"))
     step = math.ceil(math.sqrt(len(bounds)))
-    heads = bounds[::step]
-    stretches = [bounds[i:i + step] for i in range(0, len(bounds), step)]
-    coarse = below(F.array(*[as_key(b) for b in heads]))
-    fine = F.element_at(F.array(*[F.array(*[as_key(b) for b in s]) for s in stretches]),
-                        F.greatest(coarse, F.lit(1)))
+    stretches = [f"array({', '.join(text[i:i + step])})" for i in range(0, len(text), step)]
+    coarse = below(F.expr(f"array({', '.join(text[::step])})"))
+    fine = F.element_at(F.expr(f"array({', '.join(stretches)})"), F.greatest(coarse, F.lit(1)))
     return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * F.lit(step) + below(fine))
 
 
@@ -160,9 +163,10 @@ def _carry(tagged: DataFrame, by: list[str], bounds: list[tuple], sums: dict, ma
     return spark.createDataFrame(rows, ", ".join(fields))
 
 
-def dense_ids(df: DataFrame, order: Sequence[str], start: int = 1, name: str = "row_id") -> DataFrame:
+def dense_ids(df: DataFrame, order: Sequence[str], start: int = 1, name: str = "row_id",
+              rows: int | None = None) -> DataFrame:
     """Gap-free ids in the order of a unique key."""
-    out = running(df, order, row_number=name)
+    out = running(df, order, row_number=name, rows=rows)
     return out.withColumn(name, (F.col(name) + F.lit(start - 1)).cast("bigint"))
 
 
@@ -259,25 +263,29 @@ def sample_exact(df: DataFrame, n: int, u: Column, key: str) -> DataFrame:
 # --- value-level ranks --------------------------------------------------------------------
 
 
-def value_ranks(df: DataFrame, col: str, n_col: str = "cnt") -> DataFrame:
-    """One row per distinct non-null value: count, cumulative count, average rank."""
-    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias(n_col))
-    run = running(counts, [col], sums={"cum": n_col})
-    return run.withColumn("avg_rank", F.col("cum") - (F.col(n_col) - F.lit(1)) / F.lit(2.0))
-
-
 def hot_values(counts: DataFrame, col: str, n_col: str, rows: int) -> list:
     """Values that hold at least a thousandth of all rows (so at most a thousand values)."""
     floor = max(rows / 1000.0, 1.0)
     return [r[0] for r in counts.filter(F.col(n_col) >= F.lit(floor)).select(col).limit(1000).collect()]
 
 
-def with_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Attach the average rank of ``col`` to every row; null stays null."""
-    ranks = value_ranks(df, col)
-    hot = hot_values(ranks, col, "cnt", df.count())
-    dim = ranks.select(col, F.col("avg_rank").alias(out))
-    return scale.lookup(df, dim, col, "left", hot)
+def with_ranks(df: DataFrame, col: str, out: str, base: DataFrame | None = None) -> DataFrame:
+    """Attach the average rank of ``col`` to every row; null stays null.
+
+    ``base`` is where the values come from when ``df`` already carries other joins, so that
+    ranking one column does not repeat the joins of the columns before it.
+    """
+    dim, distinct, _, hot = rank_table(df if base is None else base, col, out)
+    return scale.lookup(df, dim, col, "left", hot, distinct)
+
+
+def rank_table(df: DataFrame, col: str, out: str) -> tuple[DataFrame, int, int, Callable[[], list]]:
+    """(value -> average rank, distinct values, non-null rows, function listing the hot values)."""
+    counts = df.select(col).filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("cnt"))
+    distinct, rows = counts.agg(F.count("*"), F.coalesce(F.sum("cnt"), F.lit(0))).first()
+    run = running(counts, [col], sums={"cum": "cnt"}, rows=distinct)
+    dim = run.select(col, (F.col("cum") - (F.col("cnt") - F.lit(1)) / F.lit(2.0)).alias(out))
+    return dim, distinct, rows, lambda: hot_values(counts, col, "cnt", rows)
 
 
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], exact_rows: int = 5_000_000,
@@ -295,13 +303,13 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], exact_rows: in
     if not n:
         return [None] * len(qs)
     if rows <= limit:
-        return list(vals.agg(F.percentile("v", F.array(*[F.lit(float(q)) for q in qs]), F.col("w"))).first()[0])
+        return list(vals.agg(F.percentile("v", keyed.literal_array([float(q) for q in qs]), F.col("w"))).first()[0])
     need: set[int] = set()
     for q in qs:
         h = q * (n - 1)
         need |= {math.floor(h), math.ceil(h)}
     ranks = running(vals.groupBy("v").agg(F.sum("w").alias("cnt")), ["v"], sums={"cum": "cnt"})
-    arr = F.array(*[F.lit(p).cast("bigint") for p in sorted(need)])
+    arr = keyed.literal_array(sorted(need)).cast("array<bigint>")
     hit = F.filter(arr, lambda p: (p >= F.col("cum") - F.col("cnt")) & (p < F.col("cum")))
     stat = {r["p"]: r["v"] for r in ranks.select("v", F.explode(hit).alias("p")).collect()}
     out = []

@@ -233,7 +233,7 @@ def dcr_ratio(train: DataFrame, holdout: DataFrame | None, synth: DataFrame, num
     probe = ordered.sample_exact(synth, PROBE_ROWS, synth_u, synth_key)
     sides = [d.select(F.lit(side).alias("side"), *_standardised(d, nums, stats))
              for side, d in (("s", probe), ("h", holdout))]
-    weighted = reduce(DataFrame.unionByName, sides).groupBy("side", *nums).agg(F.count("*").alias("w"))
+    weighted = scale.cut(reduce(DataFrame.unionByName, sides).groupBy("side", *nums).agg(F.count("*").alias("w")))
     dist = scale.cut(weighted.join(nearest_distance(weighted, points, nums), nums))
     ds, dh = (ordered.exact_quantiles(dist.filter(F.col("side") == s), "distance", [0.5], weight="w")[0]
               for s in ("s", "h"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,16 +31,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: str, how: str = "left",
-           hot_keys: list | None = None, salts: int = 16) -> DataFrame:
+           hot: Callable[[], list] | None = None, size: int | None = None, salts: int = 16) -> DataFrame:
     """Join rows to a table that is unique on ``on``.
 
-    A table proven to hold at most ``BOUNDED_ROWS`` rows is broadcast.  Beyond that it is a
-    shuffle join in which the ``hot_keys`` (a bounded list) are spread over ``salts`` tasks by
-    replicating only those few rows of ``dim``; AQE handles what is left.
+    A table known (``size``) or proven to hold at most ``BOUNDED_ROWS`` rows is broadcast.  Beyond
+    that it is a shuffle join in which the ``hot`` keys (a function giving a bounded list) are spread
+    over ``salts`` tasks by replicating only those few rows of ``dim``; AQE handles what is left.
     """
     limit = setting(df.sparkSession, "boundedRows", BOUNDED_ROWS)
-    if len(dim.limit(limit + 1).select(F.lit(1)).collect()) <= limit:
+    if size is None:
+        size = dim.limit(limit + 1).count()
+    if size <= limit:
         return df.join(F.broadcast(dim), on, how)
+    hot_keys = hot() if hot else []
     if not hot_keys:
         return df.join(dim, on, how)
     others = [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]

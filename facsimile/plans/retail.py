@@ -97,10 +97,10 @@ def order_items(heads: DataFrame, prods: DataFrame, n_products: int, seed: int =
     price = prods.select("product_no", "sku", "unit_price")
     if n_products <= 200:
         rows = rows.withColumn("product_no", keyed.zipf_index(u(0), n_products, POPULARITY).cast("bigint"))
-        rows = scale.lookup(rows, price, "product_no", "inner")
+        rows = scale.lookup(rows, price, "product_no", "inner", size=n_products)
     else:
-        table, total = domains.spans(domains.zipf_domain(price, "product_no", POPULARITY), "weight", ["product_no"])
-        rows = domains.draw_from_spans(rows, u(0), table, total, ["product_no", "sku", "unit_price"])
+        line = domains.spans(domains.zipf_domain(price, "product_no", POPULARITY), "weight", ["product_no"])
+        rows = domains.draw_from_spans(rows, u(0), line, ["product_no", "sku", "unit_price"])
     qty = keyed.uniform_int(u(1), 1, 5)
     return rows.select("item_id", "order_id", "sku", qty.cast("int").alias("quantity"), "unit_price",
                        money.mul("unit_price", qty).alias("line_total"))

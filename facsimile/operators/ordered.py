@@ -76,14 +76,16 @@ def _bucket(df: DataFrame, cols: list[str], bounds: list[tuple]) -> Column:
 
 def running(df: DataFrame, order: Sequence[str], sums: dict[str, str] | None = None,
             maxes: dict[str, str] | None = None, by: Sequence[str] = (),
-            row_number: str | None = None, rows: int | None = None) -> DataFrame:
+            row_number: str | None = None, rows: int | None = None,
+            prior_maxes: dict[str, str] | None = None) -> DataFrame:
     """Add running sums, running maxima and/or a row number over ``order`` within ``by``.
 
     ``(by, order)`` must identify a row and its columns must not be null.  ``sums`` and
-    ``maxes`` map a new column to the source column.
+    ``maxes`` map a new column to the source column; ``prior_maxes`` leave out the row itself
+    (null on the first row of a group).
     """
     by, order = list(by), list(order)
-    sums, maxes = dict(sums or {}), dict(maxes or {})
+    sums, maxes, prior = dict(sums or {}), dict(maxes or {}), dict(prior_maxes or {})
     if row_number:
         df = df.withColumn("__one", F.lit(1).cast("bigint"))
         sums[row_number] = "__one"
@@ -92,9 +94,8 @@ def running(df: DataFrame, order: Sequence[str], sums: dict[str, str] | None = N
     buckets = min(max(1, math.ceil(n / per_bucket)), MAX_BUCKETS)
     bounds = _bounds(df, by + order, n, buckets) if buckets > 1 else []
 
-    def window(parts: list) -> Window:
-        return (Window.partitionBy(*parts).orderBy(*order)
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    def window(parts: list, last: int = Window.currentRow) -> Window:
+        return Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
 
     if not bounds:
         # at most one bucket's worth of rows
@@ -104,10 +105,12 @@ def running(df: DataFrame, order: Sequence[str], sums: dict[str, str] | None = N
             out = out.withColumn(name, F.sum(src).over(w))
         for name, src in maxes.items():
             out = out.withColumn(name, F.max(src).over(w))
+        for name, src in prior.items():
+            out = out.withColumn(name, F.max(src).over(window(by if by else [F.lit(0)], -1)))
         return out.drop("__one")
 
     tagged = df.withColumn("__bucket", _bucket(df, by + order, bounds))
-    carry = _carry(tagged, by, bounds, sums, maxes)
+    carry = _carry(tagged, by, bounds, sums, {**maxes, **prior})
     w = window(["__bucket", *by])
     joined = tagged.join(F.broadcast(carry), "__bucket", "left")
     same = F.lit(True)
@@ -119,8 +122,11 @@ def running(df: DataFrame, order: Sequence[str], sums: dict[str, str] | None = N
         out = out.withColumn(name, local + F.coalesce(F.when(same, F.col(f"__c_{name}")), F.lit(0)))
     for name, src in maxes.items():
         out = out.withColumn(name, F.greatest(F.max(src).over(w), F.when(same, F.col(f"__c_{name}"))))
+    for name, src in prior.items():
+        local = F.max(src).over(window(["__bucket", *by], -1))
+        out = out.withColumn(name, F.greatest(local, F.when(same, F.col(f"__c_{name}"))))
     drop = ["__bucket", "__one", *[f"__by_{c}" for c in by],
-            *[f"__c_{n}" for n in (*sums, *maxes)]]
+            *[f"__c_{n}" for n in (*sums, *maxes, *prior)]]
     return out.drop(*drop)
 
 

@@ -18,15 +18,19 @@ def setting(spark: SparkSession, name: str, default: int) -> int:
     return int(spark.conf.get(f"facsimile.{name}", str(default)))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder so later passes see the same rows
-    even after executors are lost.  The folder is the cluster's ``spark.checkpoint.dir``;
-    a local folder is set only where that is unset (tests)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: the cluster's ``spark.checkpoint.dir``, or a local
+    temporary folder where that is unset (local runs and tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="facsimile-ckpt-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="facsimile-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder, so that later passes read the same rows even after
+    executors are lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -74,10 +74,6 @@ def out_of_order(child: DataFrame, fk: str, child_date: str, parent: DataFrame,
     return late.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
 
 
-def null_cells(df: DataFrame, col: str) -> DataFrame:
-    return df.agg(F.count_if(F.col(col).isNull()).alias("violations"))
-
-
 # --- named checks --------------------------------------------------------------------------------
 
 
@@ -90,6 +86,13 @@ class Check:
     count: Callable[[Dataset], DataFrame]
     severity: str = "error"
     rows: Callable[[Dataset], DataFrame] | None = field(default=None, compare=False)
+    bad: Callable[[], Column] | None = field(default=None, compare=False)
+
+
+def row_check(label: str, table: str, bad: Callable[[], Column], severity: str = "error") -> Check:
+    """A check on single rows; ``prove`` counts all of a table's row checks in one pass."""
+    return Check(label, (table,), lambda t: count_where(t[table], bad()), severity,
+                 lambda t: t[table].filter(bad()), bad)
 
 
 def fk_check(child: str, fk: str, parent: str, pk: str, strict: bool = False, label: str | None = None) -> Check:
@@ -108,10 +111,10 @@ def retail_checks() -> list[Check]:
         Check("Orders where subtotal differs from sum of line totals", ("orders", "order_items"),
               lambda t: rollup_mismatch(t["orders"], "order_id", c("subtotal"), t["order_items"],
                                         "order_id", c("line_total"))),
-        Check("Orders where total differs from subtotal - discount + tax", ("orders",),
-              lambda t: count_where(t["orders"], c("total") != c("subtotal") - c("discount") + c("tax"))),
-        Check("Items where line_total differs from quantity x unit_price", ("order_items",),
-              lambda t: count_where(t["order_items"], c("line_total") != c("quantity") * c("unit_price"))),
+        row_check("Orders where total differs from subtotal - discount + tax", "orders",
+                  lambda: c("total") != c("subtotal") - c("discount") + c("tax")),
+        row_check("Items where line_total differs from quantity x unit_price", "order_items",
+                  lambda: c("line_total") != c("quantity") * c("unit_price")),
         Check("Orders dated before customer signup", ("orders", "customers"),
               lambda t: out_of_order(t["orders"], "customer_id", "order_date", t["customers"],
                                      "customer_id", "signup_date")),
@@ -120,7 +123,7 @@ def retail_checks() -> list[Check]:
         Check("Duplicate customer IDs", ("customers",), lambda t: duplicate_keys(t["customers"], "customer_id")),
         Check("Duplicate order IDs", ("orders",), lambda t: duplicate_keys(t["orders"], "order_id")),
         Check("Duplicate item IDs", ("order_items",), lambda t: duplicate_keys(t["order_items"], "item_id")),
-        Check("Negative order totals", ("orders",), lambda t: count_where(t["orders"], c("total") < 0)),
+        row_check("Negative order totals", "orders", lambda: c("total") < 0),
     ]
 
 
@@ -148,7 +151,8 @@ def contract_checks(constraints: Sequence[tuple[str, str, str]]) -> list[Check]:
             fn = (lambda t, table=table, col=col: duplicate_keys(t[table], col)) if rule == "primary_key" else (
                 lambda t, table=table, col=col: duplicate_keys(t[table].filter(F.col(col).isNotNull()), col))
         elif rule == "not_null":
-            fn = lambda t, table=table, col=col: null_cells(t[table], col)
+            out.append(row_check(f"{table}.{col} {rule}", table, lambda col=col: F.col(col).isNull()))
+            continue
         else:
             raise ValueError(f"unknown constraint {rule!r}")
         out.append(Check(f"{table}.{col} {rule}", (table,), fn))
@@ -162,16 +166,31 @@ def prove(tables: Dataset, checks: Sequence[Check], spark: SparkSession | None =
     """
     spark = spark or next(iter(tables.values())).sparkSession
     schema = "check string, violations bigint, passed boolean, error string"
-    parts = []
-    for chk in checks:
-        if any(t not in tables for t in chk.tables):
-            continue
+    todo = [c for c in checks if all(t in tables for t in c.tables)]
+    parts, failed = [], []
+    for table in dict.fromkeys(c.tables[0] for c in todo if c.bad):
+        fitting = []
+        for chk in (c for c in todo if c.bad and c.tables[0] == table):
+            try:
+                tables[table].filter(chk.bad())  # plans the condition, runs nothing
+                fitting.append(chk)
+            except Exception as e:  # noqa: BLE001 - the failure is the result
+                failed.append((chk.label, -1, False, str(e).split("\n")[0]))
+        if fitting:
+            wide = tables[table].agg(*[F.count_if(c.bad()).alias(f"v{i}") for i, c in enumerate(fitting)])
+            parts.append(wide.select(F.explode(F.array(*[
+                F.struct(F.lit(c.label).alias("check"), F.col(f"v{i}").alias("violations")) for i, c in enumerate(fitting)]))
+                .alias("e")).select("e.*"))
+    for chk in (c for c in todo if not c.bad):
         try:
-            parts.append(chk.count(tables).select(
-                F.lit(chk.label).alias("check"), F.col("violations").cast("bigint").alias("violations"),
-                (F.col("violations") == 0).alias("passed"), F.lit(None).cast("string").alias("error")))
-        except Exception as e:  # noqa: BLE001 - the failure is the result
-            parts.append(spark.createDataFrame([(chk.label, -1, False, str(e).split("\n")[0])], schema))
+            parts.append(chk.count(tables).select(F.lit(chk.label).alias("check"),
+                                                  F.col("violations").cast("bigint").alias("violations")))
+        except Exception as e:  # noqa: BLE001
+            failed.append((chk.label, -1, False, str(e).split("\n")[0]))
+    parts = [p.select("check", "violations", (F.col("violations") == 0).alias("passed"),
+                      F.lit(None).cast("string").alias("error")) for p in parts]
+    if failed:
+        parts.append(spark.createDataFrame(failed, schema))
     if not parts:
         return spark.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, parts)
@@ -188,9 +207,7 @@ def table_stats(tables: Dataset) -> DataFrame:
 
 def row_rule(rule_id: str, table: str, expr: str, severity: str = "error") -> Check:
     """``expr`` must hold for every row; a null outcome counts as a violation."""
-    bad = lambda: ~F.coalesce(F.expr(expr), F.lit(False))
-    return Check(rule_id, (table,), lambda t: count_where(t[table], bad()), severity,
-                 rows=lambda t: t[table].filter(bad()))
+    return row_check(rule_id, table, lambda: ~F.coalesce(F.expr(expr), F.lit(False)), severity)
 
 
 ROLLUPS = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "avg": F.avg}

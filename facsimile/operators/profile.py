@@ -39,7 +39,7 @@ DATE_SHAPES = (
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 PATTERNS = {"email": EMAIL, "phone": PHONE, "url": URL, "money": MONEY, "iso_date": ISO_DATE}
 
-EXACT_ROWS = 20_000_000  # above this many rows quantiles are approximate, and say so
+EXACT_ROWS = 2_000_000  # above this many rows quantiles are approximate, and say so
 
 
 def family(dtype: T.DataType) -> str:

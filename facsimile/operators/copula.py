@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -213,9 +214,15 @@ def uniform_scores(df: DataFrame, kinds: Mapping[str, str], key: str, seed: int
 
 def _grid_position(x: Column, grid: Sequence[float]) -> Column:
     """Where x lies on a quantile grid, as a share; ties sit in the middle of their run."""
-    top = float(len(grid) - 1)
-    below, upto = keyed.bucket_of(x, [np.nextafter(g, np.inf) for g in grid]), keyed.bucket_of(x, list(grid))
-    return F.least(F.greatest((below + upto) / F.lit(2.0 * top), F.lit(0.0)), F.lit(1.0))
+    points = np.asarray(grid, dtype=float)
+
+    @F.pandas_udf("double")
+    def place(v: pd.Series) -> pd.Series:
+        a = v.to_numpy(dtype=float)
+        mid = (np.searchsorted(points, a, "left") + np.searchsorted(points, a, "right") - 1) / 2
+        return pd.Series(np.clip(mid / (len(points) - 1), 0.0, 1.0))
+
+    return place(x)
 
 
 def score_correlation(scores: DataFrame, cols: Sequence[str]) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""Normal quantile/CDF and bias-corrected moments as plain column expressions."""
+"""Normal quantile/CDF and correlation as plain column expressions."""
 
 from __future__ import annotations
 
@@ -53,14 +53,7 @@ def norm_cdf(x: Column) -> Column:
     return F.when(x >= F.lit(0.0), F.lit(1.0) - tail).otherwise(tail)
 
 
-def sample_skewness(x: Column) -> Column:
-    """Adjusted Fisher-Pearson G1 from Spark's population skewness; 0 below three values."""
-    n = F.count(x).cast("double")
-    return F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2)).otherwise(F.lit(0.0))
-
-
-def sample_kurtosis(x: Column) -> Column:
-    """Bias-corrected excess kurtosis G2; 0 below four values."""
-    n = F.count(x).cast("double")
-    g2 = F.kurtosis(x)
-    return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)).otherwise(F.lit(0.0))
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson aggregate over rows where both are present; null when either does not vary (the
+    built-in ``corr`` divides by zero there in ANSI mode)."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

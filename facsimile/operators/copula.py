@@ -233,7 +233,7 @@ def score_correlation(scores: DataFrame, cols: Sequence[str]) -> np.ndarray:
     m = np.eye(k)
     pairs = [(i, j) for i in range(k) for j in range(i)]
     if pairs:
-        row = scores.select(*z).agg(*[F.corr(f"z{i}", f"z{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
+        row = scores.select(*z).agg(*[mathx.correlation(f"z{i}", f"z{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
         for i, j in pairs:
             v = row[f"c{i}_{j}"]
             m[i, j] = m[j, i] = 0.0 if v is None or math.isnan(v) else v

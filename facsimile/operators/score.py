@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facsimile.functions import mathx
 from facsimile.operators import copula, ordered, risk, scale
 from facsimile.operators import profile as pf
 
@@ -93,7 +94,7 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str], kinds: Mapping[str, str]
         ranked = base
         for i in full:
             ranked = ordered.with_ranks(ranked, f"x{i}", f"r{i}", base)
-        row = ranked.agg(*[F.corr(f"r{i}", f"r{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
+        row = ranked.agg(*[mathx.correlation(f"r{i}", f"r{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
         for i, j in pairs:
             put(i, j, row[f"c{i}_{j}"])
     for i in range(k):
@@ -102,7 +103,7 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str], kinds: Mapping[str, str]
                 continue
             both = base.select(f"x{i}", f"x{j}").filter(f"x{i} is not null and x{j} is not null")
             ranked = ordered.with_ranks(ordered.with_ranks(both, f"x{i}", "ri"), f"x{j}", "rj", both)
-            put(i, j, ranked.agg(F.corr("ri", "rj")).first()[0])
+            put(i, j, ranked.agg(mathx.correlation("ri", "rj")).first()[0])
     return m
 
 

@@ -8,8 +8,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from facsimile.llm import licenses
 from facsimile.llm.mixing import mix
 from facsimile.llm.packing import pack
+from facsimile.llm.quality import judge
 from facsimile.llm.store import read
 from facsimile.llm.token_counts import token_counts
 
@@ -30,6 +32,20 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_license_scan"] = licenses.oracle()
+
+
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents")).drop("ids")

@@ -14,6 +14,7 @@ from facsimile.llm.packing import pack
 from facsimile.llm.quality import judge
 from facsimile.llm.store import read
 from facsimile.llm.token_counts import token_counts
+from facsimile.llm.topk import top_k
 
 ROOT = str(Path(__file__).resolve().parents[2])
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +47,24 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op4_license_scan"] = licenses.oracle()
 
 
+@query
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
+# the whole table of scaled components against the queries; whole-number sums of products
+ORACLES["op5_top_k"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda e: floor(256 * e::double)) as x from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.x, c.x)::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+select query_id, rank::int as rank, vec_id, score from ranked where rank <= 5"""
+
+
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents")).drop("ids")

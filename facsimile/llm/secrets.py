@@ -1,0 +1,244 @@
+"""Secret scans: fixed rules, and a randomness test battery for tokens that no rule names.
+
+A token of 20 or more credential characters is read in the smallest encoding that holds it, and three
+tests ask whether it is a random string of that encoding: chi-squared uniformity over the alphabet
+(in as many bins as the length allows), a runs test and a lag-one serial correlation.  Alphabets are
+ordered by how common their letters are in prose, so that words fail where random strings pass.
+Fisher's method combines the three.
+
+How often prose passes depends on the length, so each length class has its own null distribution:
+the same score of words of the corpus strung together to that length.  A token's p-value is its rank
+among these, and Benjamini-Hochberg over all tokens of all documents controls the share of false
+finds.  Only counts per (length class, score bin) reach the driver.
+
+Null and empty texts hold nothing.  Repeated rows are scanned one by one; texts are scanned whole.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from facsimile.llm.spans import joined, of_kind
+from facsimile.llm.store import keep, typed
+
+#: The base rules (fixed values).
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ASSIGN_HINTS = ("password", "passwd", "secret", "token", "api")
+ACCESS = re.compile("AKIA[A-Z0-9]+")
+HEX = re.compile("[0-9a-f]+")
+KINDS = ["assign", "access", "hex", "random"]
+LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
+
+TOKEN = re.compile("[A-Za-z0-9+/_-]{20,}={0,2}")
+LEAST_TOKEN = 20
+LOWER = "etaoinsrhldcumfpgwybvkxjqz"  # letters from common to rare
+UPPER = LOWER.upper()
+DIGITS = "0123456789"
+ALPHABETS = [  # from small to large; the first that holds all characters is taken
+    DIGITS + "abcdef", DIGITS + "ABCDEF", LOWER, UPPER, UPPER + "234567", DIGITS + LOWER, DIGITS + UPPER, LOWER + UPPER,
+    LOWER + UPPER + DIGITS, LOWER + UPPER + DIGITS + "-_", LOWER + UPPER + DIGITS + "+/", LOWER + UPPER + DIGITS + "+/-_"]
+PLACES = [{c: k for k, c in enumerate(a)} for a in ALPHABETS]
+LENGTH_CLASSES = (20, 28, 40, 64)  # lower ends
+BINS = 1000
+
+_CREDENTIAL = np.zeros(256, dtype=bool)
+_CREDENTIAL[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
+_LETTER_RUN = re.compile("[A-Za-z]+")
+
+
+def chi_squared_tail(x: float, df: int) -> float:
+    """P(chi-squared with ``df`` degrees > x), by the cube-root normal approximation."""
+    if x <= 0:
+        return 1.0
+    z = ((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    return max(0.5 * math.erfc(z / math.sqrt(2)), 1e-300)
+
+
+def two_sided(z: float) -> float:
+    return max(math.erfc(abs(z) / math.sqrt(2)), 1e-300)
+
+
+def battery(token: str) -> float | None:
+    """How well ``token`` passes as random in its encoding, 0 to 1; None if it holds digits alone or
+    no encoding fits."""
+    body = token.rstrip("=")
+    if body.isdigit():
+        return None
+    places = next((p for p in PLACES if all(c in p for c in body)), None)
+    if places is None:
+        return None
+    at, size, n = [places[c] for c in body], len(places), len(body)
+    bins = max(2, min(size, n // 5))
+    counts, room = [0] * bins, [0] * bins
+    for a in at:
+        counts[a * bins // size] += 1
+    for a in range(size):
+        room[a * bins // size] += 1
+    uniform = chi_squared_tail(sum((c - n * r / size) ** 2 / (n * r / size) for c, r in zip(counts, room)), bins - 1)
+    high = [a * 2 >= size for a in at]
+    ones = sum(high)
+    runs = 1e-6
+    if 0 < ones < n:
+        mean = 2 * ones * (n - ones) / n
+        spread = mean * (mean - 1) / (n - 1)
+        seen = sum(a != b for a, b in zip(high, high[1:]))
+        runs = two_sided((seen - mean) / math.sqrt(spread)) if spread > 0 else 1e-6
+    middle = sum(at) / n
+    around = sum((a - middle) ** 2 for a in at)
+    serial = 1e-6
+    if around > 0:
+        lagged = sum((a - middle) * (b - middle) for a, b in zip(at, at[1:])) / around
+        serial = two_sided(lagged * math.sqrt(n))
+    return chi_squared_tail(-2 * (math.log(uniform) + math.log(runs) + math.log(serial)), 6)
+
+
+def length_class(n: int) -> int:
+    return sum(n >= low for low in LENGTH_CLASSES) - 1
+
+
+def base_spans(text: str, tokens: list[tuple[int, str]]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the base rules.  Access keys and hex runs lie inside tokens."""
+    out = []
+    low = text.lower()
+    if any(h in low for h in ASSIGN_HINTS):
+        out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
+    for start, token in tokens:
+        if "AKIA" in token:
+            out += [(start + m.start(), 1, start + m.end()) for m in ACCESS.finditer(token) if len(m[0]) >= LEAST_ACCESS]
+        if len(token) >= LEAST_HEX:
+            out += [(start + m.start(), 2, start + m.end()) for m in HEX.finditer(token) if len(m[0]) >= LEAST_HEX]
+    return sorted(out)
+
+
+def long_tokens(text: str) -> list[tuple[int, str]]:
+    """Maximal runs of at least 20 credential characters, with their starts in code points."""
+    raw = text.encode("utf-8", "surrogatepass")
+    inside = np.zeros(len(raw) + 2, dtype=bool)
+    inside[1:-1] = _CREDENTIAL[np.frombuffer(raw, dtype=np.uint8)]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    big = np.flatnonzero(ends - starts >= LEAST_TOKEN)
+    out, at, points = [], 0, 0
+    ascii_text = len(raw) == len(text)
+    for k in big:
+        s, e = int(starts[k]), int(ends[k])
+        points = s if ascii_text else points + len(raw[at:s].decode("utf-8", "surrogatepass"))
+        at = s
+        out.append((points, raw[s:e].decode("ascii")))
+    return out
+
+
+def strung_words(text: str, seed: int) -> list[tuple[int, int]]:
+    """(length class, score bin) of words strung together to the lower end of each class and half the
+    way to the next: what prose scores at these lengths."""
+    words = _LETTER_RUN.findall(text)
+    if len(words) < 2:
+        return []
+    out = []
+    for c, low in enumerate(LENGTH_CLASSES):
+        k = (seed * 2654435761 + c * 40503) % len(words)
+        length, parts = 0, []
+        while length < low and len(parts) < 64:
+            parts.append(words[k % len(words)])
+            length += len(parts[-1])
+            k += 1
+        token = "".join(parts)[:low + low // 5]
+        if len(token) >= low and (score := battery(token)) is not None:
+            out.append((c, min(BINS - 1, int(score * BINS))))
+    return out
+
+
+def scan_text(text: str, seed: int) -> tuple[list, list, list]:
+    tokens = long_tokens(text)
+    base = base_spans(text, tokens)
+    found = []
+    for start, run in tokens:
+        for m in TOKEN.finditer(run):
+            s, e = start + m.start(), start + m.end()
+            if any(s < b[2] and b[0] < e for b in base):
+                continue
+            score = battery(m[0])
+            if score is not None:
+                found.append((s, e, length_class(e - s), min(BINS - 1, int(score * BINS))))
+    return base, found, strung_words(text, seed)
+
+
+def tested(docs: DataFrame) -> DataFrame:
+    """Pass one, kept: doc_id, base (spans), found (tokens with length class and score bin) and null
+    (class and bin of strung words)."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            base, found, null = [], [], []
+            for text, seed in zip(rows.text, rows.seed):
+                b, f, n = scan_text(text, seed)
+                base.append([dict(zip(("start", "kind", "end"), x)) for x in b])
+                found.append([dict(zip(("start", "end", "class", "bin"), x)) for x in f])
+                null.append([dict(zip(("class", "bin"), x)) for x in n])
+            yield pd.DataFrame({"doc_id": rows.doc_id.astype("Int64"), "base": base, "found": found, "null": null})
+
+    rows = typed(docs, doc_id="long", text="string").select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("seed", F.pmod(F.xxhash64("text"), F.lit(1 << 31)))
+    return keep(rows.mapInPandas(scan, "doc_id long, base array<struct<start:int,kind:int,end:int>>, found "
+                                       "array<struct<start:int,end:int,class:int,bin:int>>, null array<struct<class:int,bin:int>>"),
+                "secret-tests")
+
+
+def discovery_bins(scans: DataFrame, rate: float) -> list[int]:
+    """For each length class the lowest score bin that is reported (BINS: none), by Benjamini-Hochberg
+    at ``rate`` over all tokens, with p-values from the strung words of the class."""
+    counted = [scans.select(F.explode(c).alias("x")).groupBy("x.class", "x.bin").agg(F.count("*").alias("n"))
+               .select(F.lit(c).alias("what"), "class", "bin", "n") for c in ("found", "null")]
+    found, null = np.zeros((len(LENGTH_CLASSES), BINS)), np.zeros((len(LENGTH_CLASSES), BINS))
+    for r in counted[0].union(counted[1]).collect():  # at most 2 * classes * bins rows
+        (found if r["what"] == "found" else null)[r["class"], r["bin"]] = r["n"]
+    p = (1 + null[:, ::-1].cumsum(axis=1)[:, ::-1]) / (1 + null.sum(axis=1, keepdims=True))
+    order = np.argsort(p, axis=None, kind="stable")
+    ranked = found.ravel()[order].cumsum()
+    total = found.sum()
+    level = p.ravel()[order]
+    # the rank of a p-value counts all tokens up to it, ties included
+    last = np.searchsorted(level, level, side="right") - 1
+    passes = (level <= rate * ranked[last] / total) & (ranked[last] > 0) if total else np.zeros(len(level), bool)
+    if not passes.any():
+        return [BINS] * len(LENGTH_CLASSES)
+    limit = level[passes].max()
+    return [int(np.flatnonzero(row <= limit).min()) if (row <= limit).any() else BINS for row in p]
+
+
+def scan_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id, base and spans (arrays of start, kind, end;
+    kinds are numbers into KINDS; ``spans`` holds the base spans and the discoveries)."""
+    scans = tested(docs)
+    lowest = F.array(*[F.lit(b) for b in discovery_bins(scans, rate)])
+    added = F.transform(F.filter("found", lambda t: t["bin"] >= F.get(lowest, t["class"])),
+                        lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    return scans.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
+
+
+def digest(scanned: DataFrame) -> DataFrame:
+    names = ("assign", "access", "hex")
+    counts: list[Column] = [of_kind("base", k).alias(f"n_{n}") for k, n in enumerate(names)]
+    return scanned.select("doc_id", *counts, F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"),
+                          joined(F.col("spans"), KINDS).alias("spans"))
+
+
+def redact(text: Column, spans: Column) -> Column:
+    """``text`` with each span replaced by ``[secret]``; overlapping spans become one."""
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(a: Column, s: Column) -> Column:
+        fresh = s["start"] >= a["at"]
+        out = F.when(fresh, F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("[secret]"))).otherwise(a["out"])
+        return F.struct(out.alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
+
+    return F.when(F.size(spans) == 0, text).otherwise(
+        F.aggregate(F.array_sort(spans), begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))))

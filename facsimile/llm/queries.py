@@ -8,8 +8,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facsimile.llm import licenses, secrets
+from facsimile.llm import licenses, pii, secrets
 from facsimile.llm.mixing import mix
+from facsimile.llm.neardup import near_duplicates
 from facsimile.llm.packing import pack
 from facsimile.llm.quality import judge
 from facsimile.llm.store import read
@@ -70,11 +71,21 @@ ranked as (select *, row_number() over (partition by query_id order by score des
 select query_id, rank::int as rank, vec_id, score from ranked where rank <= 5"""
 
 
+@query
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents")).drop("ids")
 
 
+@query
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scan_personal(read(spark, sf_dir, "documents")))
+
+
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

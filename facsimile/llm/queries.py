@@ -8,12 +8,13 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facsimile.llm import licenses, pii, secrets
+from facsimile.llm import licenses, pii, secret_scan
 from facsimile.llm.mixing import mix
 from facsimile.llm.neardup import near_duplicates
 from facsimile.llm.packing import pack
 from facsimile.llm.quality import judge
 from facsimile.llm.store import read
+from facsimile.llm.suffix import remove_repeats
 from facsimile.llm.token_counts import token_counts
 from facsimile.llm.topk import top_k
 
@@ -34,9 +35,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.scan_secrets(read(spark, sf_dir, "documents")))
+    return secret_scan.digest(secret_scan.scan_secrets(read(spark, sf_dir, "documents")))
 
 
 @query

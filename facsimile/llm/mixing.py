@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facsimile.llm.store import keep, typed
+from facsimile.llm.store import checked, keep, typed
 from facsimile.llm.words import count_words
 
 # A source's documents are summed up in this many buckets of the keyed order, and each bucket in
@@ -109,3 +109,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
         .select("doc_id", "source", "print", "size", "source_size", "target", "taken", "times")
     first = F.when(F.col("taken") > 0, F.get("times", F.lit(0))["time"]).asc_nulls_last()
     return mixed.sort(first, "print", "doc_id")
+
+
+def mixed(docs: DataFrame, **mixing) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as the mix uses them, in training order.
+    A use that is cut counts as whole if at least half of the document is due, else it is left out."""
+    plan = mix(docs, **mixing).where("taken > 0").select(
+        F.col("doc_id").alias("use_id"), "print", F.filter("times", lambda u: 2 * u["words"] >= F.col("size")).alias("times"))
+    # rows that repeat a document have one print: each takes the uses of the first of them
+    order = Window.partitionBy("use_id", "print").orderBy(F.col("times")[0]["time"])
+    uses = keep(plan.where(F.size("times") > 0).withColumn("turn", F.row_number().over(order)), "uses")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(
+        F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string").cast("binary")).alias("row_print"))
+    met = rows.join(checked(uses.where("turn = 1").drop("turn")), F.col("use_id").eqNullSafe(F.col("id")) & (F.col("print") == F.col("row_print")))
+    return met.select("row", F.explode("times").alias("use")).sort("use.time", F.xxhash64("row")).select("row.*")

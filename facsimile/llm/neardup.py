@@ -33,14 +33,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facsimile.llm.graph import components
-from facsimile.llm.store import keep, typed
+from facsimile.llm.store import checked, keep, typed
 
 COORDINATES, MATCHES = 96, 53
 # A posting of up to this many members is joined with itself; a larger one is compared in blocks.
 SMALL_POSTING = 32
 BLOCK_MEMBERS = 1024
-# Up to this many document ids are broadcast to pick texts; beyond it the texts are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 
 _draw = np.random.default_rng(20240611)
 _MULTIPLY = _draw.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -211,8 +209,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield made[mine]
 
     texts = typed(docs, doc_id="long", text="binary").toDF("node", "text").where("text is not null")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    return keep(texts.join(side, "node").mapInPandas(describe, "node long, size long, set binary").dropDuplicates(["node"]), "full-sets")
+    return keep(texts.join(checked(wanted), "node").mapInPandas(describe, "node long, size long, set binary").dropDuplicates(["node"]), "full-sets")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, matches: int = MATCHES) -> DataFrame:
@@ -254,3 +251,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, matches:
     return members.join(found, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id")) \
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def representatives(docs: DataFrame, **near) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay when one document of each group does.
+    Rows without an id stay; of rows that repeat an id that stays, the one with the least hash does."""
+    found = keep(near_duplicates(docs, **near).select("doc_id", "kept"), "kept")
+    gone = checked(found.where("not kept").select("doc_id").distinct())
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return left
+    twice = checked(keep(repeated, "repeated"))
+    turn = F.row_number().over(Window.partitionBy("row.doc_id").orderBy(F.xxhash64("row")))
+    one = left.join(twice, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row")).withColumn("turn", turn) \
+        .where("turn = 1").select("row.*")
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)

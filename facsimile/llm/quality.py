@@ -76,16 +76,16 @@ def covered_words(hashes: Column, width: int = 8) -> Column:
     return F.aggregate(F.array_sort(let(ordered, starts)), begin, step, lambda a: a["total"])
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of each row of ``docs(doc_id, text)``."""
-    rows = typed(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
+def statistics(docs: DataFrame, carried: str = "doc_id") -> DataFrame:
+    """``carried`` and the statistics of each row of ``docs``, of its column ``text``."""
+    rows = docs.select(carried, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     trimmed = F.btrim(F.col("text"), F.lit(SPACE))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_GAP))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     repeated = let(window_hashes(F.col("words")), lambda h: F.when(
         F.size(h) == F.size(F.array_distinct(h)), F.lit(0).cast("long")).otherwise(covered_words(h)))
     return rows.withColumn("words", words).select(
-        "doc_id", F.size("words").cast("long").alias("n_words"),
+        carried, F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         count_of("text", SYMBOLS).alias("n_symbols"), count_of("text", "!?").alias("n_marks"), count_of("text", ".").alias("n_stops"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
@@ -210,13 +210,26 @@ def verdict(rules: list[Rule]) -> Column:
     return out.cast("int")
 
 
+BASE_FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
+
+
+def labelled_statistics(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    marks = typed(labels, doc_id="long", quality="double").dropna().groupBy("doc_id") \
+        .agg((F.avg("quality") < 0.5).alias("bad"))
+    return keep(stats.join(marks, "doc_id"), "quality-labelled")
+
+
 def judge(docs: DataFrame, labels: DataFrame, **learning) -> DataFrame:
     """One row per row of ``docs``: the statistics, base_failed, rule (number of the learned rule
     that rejects, or null) and kept."""
-    stats = keep(statistics(docs), "quality-statistics")
-    marks = typed(labels, doc_id="long", quality="double").dropna().groupBy("doc_id") \
-        .agg((F.avg("quality") < 0.5).alias("bad"))
-    labelled = keep(stats.join(marks, "doc_id"), "quality-labelled")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return stats.withColumns({"base_failed": failed, "rule": verdict(learn(labelled, **learning))}) \
+    stats = keep(statistics(typed(docs, doc_id="long", text="string")), "quality-statistics")
+    return stats.withColumns({"base_failed": F.expr(BASE_FAILED), "rule": verdict(learn(labelled_statistics(stats, labels), **learning))}) \
         .withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def passing(docs: DataFrame, labels: DataFrame, **learning) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``judge`` keeps."""
+    labelled = typed(docs, doc_id="long", text="string").join(typed(labels, doc_id="long").distinct(), "doc_id", "left_semi")
+    rules = learn(labelled_statistics(statistics(labelled), labels), **learning)
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return statistics(rows, "row").where(~F.expr(BASE_FAILED) & verdict(rules).isNull()).select("row.*")

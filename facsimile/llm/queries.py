@@ -23,12 +23,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def ready(spark: SparkSession) -> None:
+    """Python workers on this machine find the package wherever the driver was started; on a cluster
+    it is installed or sent with --py-files."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        # Python workers on this machine find the package wherever the driver was started; on a
-        # cluster it is installed or sent with --py-files
-        spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+        ready(spark)
         return fn(spark, sf_dir)
 
     QUERIES[fn.__name__] = run

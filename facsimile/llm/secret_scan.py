@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.llm.spans import joined, of_kind
-from facsimile.llm.store import keep, typed
+from facsimile.llm.store import checked, keep, typed
 
 #: The base rules (fixed values).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -171,7 +171,7 @@ def scan_text(text: str, seed: int) -> tuple[list, list, list]:
 
 
 def tested(docs: DataFrame) -> DataFrame:
-    """Pass one, kept: doc_id, base (spans), found (tokens with length class and score bin) and null
+    """Pass one, kept: doc_id, print (hash of the text), base (spans), found (tokens with length class and score bin) and null
     (class and bin of strung words)."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,12 +182,12 @@ def tested(docs: DataFrame) -> DataFrame:
                 base.append([dict(zip(("start", "kind", "end"), x)) for x in b])
                 found.append([dict(zip(("start", "end", "class", "bin"), x)) for x in f])
                 null.append([dict(zip(("class", "bin"), x)) for x in n])
-            yield pd.DataFrame({"doc_id": rows.doc_id.astype("Int64"), "base": base, "found": found, "null": null})
+            yield pd.DataFrame({"doc_id": rows.doc_id.astype("Int64"), "print": rows.print, "base": base, "found": found, "null": null})
 
     rows = typed(docs, doc_id="long", text="string").select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("seed", F.pmod(F.xxhash64("text"), F.lit(1 << 31)))
-    return keep(rows.mapInPandas(scan, "doc_id long, base array<struct<start:int,kind:int,end:int>>, found "
+    rows = rows.withColumn("print", F.xxhash64("text")).withColumn("seed", F.pmod("print", F.lit(1 << 31)))
+    return keep(rows.mapInPandas(scan, "doc_id long, print long, base array<struct<start:int,kind:int,end:int>>, found "
                                        "array<struct<start:int,end:int,class:int,bin:int>>, null array<struct<class:int,bin:int>>"),
                 "secret-tests")
 
@@ -215,13 +215,13 @@ def discovery_bins(scans: DataFrame, rate: float) -> list[int]:
 
 
 def scan_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, base and spans (arrays of start, kind, end;
+    """One row per row of ``docs(doc_id, text)``: doc_id, print (hash of the text), base and spans (arrays of start, kind, end;
     kinds are numbers into KINDS; ``spans`` holds the base spans and the discoveries)."""
     scans = tested(docs)
     lowest = F.array(*[F.lit(b) for b in discovery_bins(scans, rate)])
     added = F.transform(F.filter("found", lambda t: t["bin"] >= F.get(lowest, t["class"])),
                         lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
-    return scans.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    return scans.select("doc_id", "print", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -240,5 +240,18 @@ def redact(text: Column, spans: Column) -> Column:
         out = F.when(fresh, F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("[secret]"))).otherwise(a["out"])
         return F.struct(out.alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
 
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.aggregate(F.array_sort(spans), begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))))
+    return F.aggregate(F.array_sort(spans), begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+
+def redacted(docs: DataFrame, rate: float = 0.01) -> DataFrame:
+    """``docs`` with every secret replaced in its text, and n_chars, where present, counted anew."""
+    found = scan_secrets(docs, rate).where(F.size("spans") > 0).groupBy("doc_id", "print").agg(F.min("spans").alias("spans"))
+    side = checked(found.select(F.col("doc_id").alias("found_id"), "print", "spans"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("found_key"),
+                       F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_print"))
+    met = rows.join(side, F.col("found_key").eqNullSafe(F.col("found_id")) & (F.col("text_print") == F.col("print")), "left")
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(redact(F.col("row.text"), F.col("spans")))
+    out = met.withColumn("clean", text)
+    new = {"text": F.col("clean"), "n_chars": F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("clean"))
+           if "n_chars" in docs.columns else None}
+    return out.select(*[new[c].cast(t).alias(c) if c in new else F.col(f"row.`{c}`") for c, t in docs.dtypes])

@@ -19,6 +19,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Rows of at most so many narrow records are broadcast to meet texts; beyond, a shuffle join is used.
+BROADCAST_ROWS = 1_500_000
+
+
+def checked(side: DataFrame) -> DataFrame:
+    """The narrow side of a join, marked for broadcast if its counted size allows."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
 def typed(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast; other columns can therefore never clash with working ones."""
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])

@@ -35,13 +35,11 @@ from pyspark.sql import functions as F
 
 from facsimile.llm.anchors import GRAM, stretch_hashes, window_runs
 from facsimile.llm.gsaca import suffix_array
-from facsimile.llm.store import keep, typed
+from facsimile.llm.store import checked, keep, typed
 
 PARTS = 4
 # Part strings in a bucket (about), and under one core at most, before the core is halved.
 BUCKET_STRINGS = 4096
-# Rows of at most so many small records are broadcast to pick texts; beyond, texts are joined by shuffle.
-BROADCAST_ROWS = 1_500_000
 CORE, SEPARATOR, END = 300, 1, 0  # symbols from CORE on are cores; bytes are 2..257
 
 PART = "key long, low int, high int, core long, left binary, right binary, doc_id long, at long"
@@ -112,12 +110,6 @@ def parts_of(text: bytes, key: int, first: int, shape: int, window: int) -> Iter
                    text[at - high + window:at - a + window], at)
 
 
-def texts_with(docs: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined to ``wanted`` by id; ``wanted`` is broadcast where its measured size allows."""
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    return docs.join(side, "doc_id", how)
-
-
 def part_strings(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The parts of the runs ``wanted(key, doc_id, first, shape)``."""
 
@@ -131,7 +123,7 @@ def part_strings(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                     out += [(*p[:6], doc_id, p[6]) for p in parts_of(text, key, first, shape, window)]
             yield pd.DataFrame(out, columns=names)
 
-    return texts_with(docs, wanted, "inner").select("doc_id", "text", "key", "first", "shape").mapInPandas(cut, PART)
+    return docs.join(checked(wanted), "doc_id").select("doc_id", "text", "key", "first", "shape").mapInPandas(cut, PART)
 
 
 def halved(parts: DataFrame) -> DataFrame:
@@ -283,5 +275,5 @@ def remove_repeats(docs: DataFrame, window: int = 100, bucket_strings: int = BUC
             made.insert(0, "doc_id", rows.doc_id.astype("Int64").to_numpy())
             yield made
 
-    return texts_with(rows, spans, "left").mapInPandas(
+    return rows.join(checked(spans), "doc_id", "left").mapInPandas(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string")

@@ -50,7 +50,7 @@ def _(t):
     path = scratch(t, "json")
     src = t.orders.selectExpr("o_orderkey", "o_orderstatus", "o_totalprice", "case when o_orderkey % 3 <> 0 then o_orderpriority end as o_orderpriority")
     writers.write_json(src, path)
-    return t.spark.read.json(path)
+    return readers.read_json(t.spark, path, lines=True)
 
 
 @query("jsonl_explicit_nulls", "select count(*) as lines, count(*) filter (where o_orderkey % 3 = 0) as nulls from orders")
@@ -194,8 +194,14 @@ def _(t):
     return t.orders.select("o_orderkey", strategies.conditional("o_orderstatus", {"F": "done", "O": "open"}, "other").alias("state"))
 
 
-@query("many_to_many", f"""with d as (select s_suppkey, {q.bucket_of(q.u(SEED, 'degree', 's_suppkey', key='s_suppkey'), keyed.poisson_cdf(4.0, 20))} as n from supplier),
- st as (select s_suppkey, unnest(range(1, n+1)) as seq from d), p as (select p_partkey, row_number() over (order by p_partkey) as pid from part)
- select distinct s_suppkey, p_partkey from (select s_suppkey, 1+floor({q.u(SEED, 'pair', key="(s_suppkey::varchar || ':' || seq::varchar)")}*(select count(*) from part)::double)::bigint as pid from st) join p using (pid)""")
+@query("many_to_many", f"""with c as (select count(*)::bigint as r from part),
+ d as (select s_suppkey, least({q.bucket_of(q.u(SEED, 'degree', 's_suppkey', key='s_suppkey'), keyed.poisson_cdf(4.0, 20))}, r) as n, r,
+   floor({q.u(SEED, 'start', key='s_suppkey')}*r::double)::bigint as s, {q.u(SEED, 'stride', key='s_suppkey')} as v from supplier, c),
+ -- numbers without a common factor with the count, spread over it
+ step as (select greatest(1, r // 64) as w, r from c),
+ cand as (select (select min(x) from unnest(range(k, k + 1000)) t(x) where gcd(x, step.r) = 1) % r as x from step, unnest(range(1, r + 1, w)) u(k)),
+ st0 as (select list(distinct x order by x)[1:64] as xs from cand),
+ st as (select s_suppkey, unnest(range(0, n)) as seq, s, r, v from d), p as (select p_partkey, row_number() over (order by p_partkey) - 1 as pid from part)
+ select s_suppkey, p_partkey from (select s_suppkey, (s + seq * xs[1+floor(v*len(xs)::double)::int]) % r as pid from st, st0) join p using (pid)""")
 def _(t):
     return strategies.many_to_many(t.supplier, "s_suppkey", t.part, "p_partkey", SEED, keyed.poisson_cdf(4.0, 20))

@@ -43,7 +43,7 @@ PRODUCTS = f"""prod as (select product_no, 'SKU-' || lpad(product_no::varchar,4,
    least(greatest({q.rint(PRICE)},199.0),500000.0)::bigint as unit_price
   from (select unnest(range(1, 61)) as product_no))"""
 OID, IID = "order_id", "item_id"
-ORDERS = f"""cnt as (select *, {q.bucket_of(u('orders', 'count', key=CID), keyed.negbin_cdf(3.2, 1.4, 60))}::bigint as n from cust),
+ORDERS = f"""cnt as (select *, {q.bucket_of(u('orders', 'count', key=CID), keyed.negbin_cdf(3.2, 1.4))}::bigint as n from cust),
  pos as (select *, sum(n) over (order by customer_id)::bigint as upto from cnt),
  o1 as (select customer_id, signup_date, segment, upto-n+seq+500000 as order_id from (select *, unnest(range(1, n+1)) as seq from pos)),
  heads as (select order_id, customer_id, segment, signup_date + floor({u('orders', key=OID)}*(greatest(date '2025-12-31' - signup_date,0)+1)::double)::int as order_date,
@@ -140,7 +140,7 @@ MU = "case category " + " ".join(f"when '{c}' then {m}.0" for c, (m, _) in ft.AM
 SD = "case category " + " ".join(f"when '{c}' then {s}.0" for c, (_, s) in ft.AMOUNTS.items()) + " end::double"
 AMT = q.normal(u('transactions', 'amount', key=TNO), u('transactions', 'amount', key=TNO, lane=1), f"({MU})", f"({SD})")
 TX = f"""nc as (select account_no, count(*) as n_cards from card group by 1),
- tc as (select *, {q.bucket_of(u('transactions', 'count', key=ANO), keyed.negbin_cdf(25.0, 1.5, 200))}::bigint as n from acct left join nc using (account_no)),
+ tc as (select *, {q.bucket_of(u('transactions', 'count', key=ANO), keyed.negbin_cdf(25.0, 1.5))}::bigint as n from acct left join nc using (account_no)),
  tp as (select *, sum(n) over (order by account_no)::bigint as upto from tc),
  t1 as (select *, upto-n+seq as tx_no from (select *, unnest(range(1, n+1)) as seq from tp)),
  t2 as (select account_no, account_id, opening_balance, tx_no, case when n_cards > 0 and {u('transactions', 'pick', key=TNO)} < 0.85 then

@@ -48,9 +48,9 @@ query("pii_scan_reference_order", scan_sql(CONTACTS_SQL, FAMS, "reference"))(
 DOC_FAMS = {"doc_id": "numeric", "text": "string", "lang": "string", "source": "string", "n_chars": "numeric"}
 query("pii_scan_documents", scan_sql("documents", DOC_FAMS, "specific_first"))(lambda t: sc.scan(t.documents))
 QUASI = [c for c in CONTACTS if (sc.header_verdict(c) or ("",))[0] == "quasi"]
-GROUPS = ", ".join(f"coalesce(cast({c} as varchar),'<null>')" for c in QUASI[:3])
+GROUPS = ", ".join(QUASI)
 RISK = f"""select case when min_k <= 1 then 'high' when min_k <= 3 or pct > 0.2 then 'moderate' else 'low' end as risk, min_k,
- round(pct,3) as pct_groups_below_5, '{",".join(QUASI[:3])}' as columns_checked
+ round(pct,3) as pct_groups_below_5, '{",".join(QUASI)}' as columns_checked
  from (select min(n) as min_k, avg((n < 5)::int::double) as pct from (select count(*) n from {CONTACTS_SQL} group by {GROUPS}))"""
 query("combination_risk", RISK)(lambda t: sc.combination_risk(contacts(t), QUASI))
 query("pii_scan_table", f"""select s.*, r.* from ({SCAN}) s left join ({RISK}) r on pii_level = 'quasi'""")(
@@ -155,7 +155,7 @@ def _(t):
 # --- risk ------------------------------------------------------------------------------------------
 
 def k_sql(table: str, cols: list[str]) -> str:
-    g = ", ".join(f"coalesce(cast({c} as varchar),'<null>')" for c in cols)
+    g = ", ".join(cols)
     return f"""select k, total_groups, round(p5,4) as pct_groups_below_5, round(p10,4) as pct_groups_below_10,
  case when k <= 1 then 'high' when k <= 4 then 'moderate' else 'low' end as risk from (select min(n) as k, count(*) as total_groups,
  avg((n<5)::int::double) as p5, avg((n<10)::int::double) as p10 from (select count(*) as n from {table} group by {g}))"""
@@ -197,7 +197,7 @@ def _(t):
 HOLD = f"""h as (select *, row_number() over (order by {q.u(SEED, 'hold', key='p_partkey')}, p_partkey) <= (select floor(count(*)*0.2) from part) as held from part)"""
 DCR = f"""{HOLD}, tr as (select p_size::double as a, p_retailprice as b from h where not held),
  st as (select avg(a) ma, stddev_samp(a) sa, avg(b) mb, stddev_samp(b) sb from tr),
- pr as (select 's' as side, p_partkey as id, (p_size + p_partkey % 3)::double as a, p_retailprice + 0.25 as b from part order by {q.u(SEED, 'probe', key='p_partkey')}, p_partkey limit 2000),
+ pr as (select 's' as side, p_partkey as id, (p_size + p_partkey % 3)::double as a, p_retailprice + 0.25 as b from part),
  al as (select * from pr union all select 'h', p_partkey, p_size::double, p_retailprice from h where held),
  d as (select side, id, min(sqrt(pow((al.a-tr.a)/sa,2)+pow((al.b-tr.b)/sb,2))) as dist from al, tr, st group by 1, 2),
  ra as (select quantile_cont(dist, 0.5) filter (where side='s') / greatest(quantile_cont(dist, 0.5) filter (where side='h'), 1e-9) as ratio from d)"""

@@ -188,8 +188,8 @@ def key_sql(table: str, cols: dict[str, str]) -> str:
     for i, (c, fam) in enumerate(cols.items()):
         bonus = (0.5 if pf.ID_NAME.search(c) else 0.0) + (0.4 if c.lower() in keys.KEY_NAMES else 0.0) + (
             0.1 if fam == NUM else 0.0)
-        seq = (f"(select count(*) from (select distinct {c} v from {table}) a where exists (select 1 from {table} b where "
-               f"b.{c} = a.v + 1))::double / nullif(count({c})-1, 0)") if fam == NUM else "0.0::double"
+        seq = (f"(select count(*) from (select lead({c}) over (order by {c}) - {c} as d from {table} where {c} is not null) "
+               f"where d = 1)::double / nullif(count({c})-1, 0)") if fam == NUM else "0.0::double"
         parts.append(f"select '{table}' as \"table\", '{c}' as \"column\", count(distinct {c})::double/count({c}) as uniqueness, "
                      f"coalesce({seq},0) as sequential_rate, {bonus}::double as bonus, '{fam}' as fam from {table}")
     return (f"select \"table\", \"column\", round(uniqueness,6) as uniqueness, round(sequential_rate,6) as sequential_rate, "

@@ -181,20 +181,28 @@ def _truncate(pmf: Sequence[float]) -> list[float]:
     return out
 
 
-def negbin_cdf(mean: float, dispersion: float, top: int) -> list[float]:
+#: A count's table ends where less than this is left above, if no ``top`` is given.
+TAIL = 1e-12
+
+
+def negbin_cdf(mean: float, dispersion: float, top: int | None = None) -> list[float]:
     p = dispersion / (dispersion + mean)
-    pmf, cur = [], p**dispersion
-    for k in range(top):
+    pmf, cur, left, k = [], p**dispersion, 1.0, 0
+    while k < top if top is not None else left > TAIL:
         pmf.append(cur)
+        left -= cur
         cur *= (k + dispersion) / (k + 1) * (1 - p)
+        k += 1
     return _truncate(pmf)
 
 
-def poisson_cdf(mean: float, top: int) -> list[float]:
-    pmf, cur = [], math.exp(-mean)
-    for k in range(top):
+def poisson_cdf(mean: float, top: int | None = None) -> list[float]:
+    pmf, cur, left, k = [], math.exp(-mean), 1.0, 0
+    while k < top if top is not None else left > TAIL:
         pmf.append(cur)
+        left -= cur
         cur *= mean / (k + 1)
+        k += 1
     return _truncate(pmf)
 
 

@@ -26,7 +26,8 @@ from facsimile.operators import profile as pf
 GRID = 1001
 MODELLED = ("int", "num", "date", "datetime", "cat", "money", "bool")
 CLIP = 1e-6
-TRUE_TEXT, FALSE_TEXT = ("true", "1", "yes"), ("false", "0", "no")
+TRUE_TEXT = tuple(pf.TRUE_WORDS)
+FALSE_TEXT = tuple(w for w in pf.BOOL_WORDS if w not in pf.TRUE_WORDS)
 DP_BINS = 64
 DP_UNIT = 1_000_000  # noised counts become whole weights of this resolution
 INLINE_CATEGORIES = 256

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facsimile.operators import profile as pf
 
@@ -16,8 +17,8 @@ KEY_NAMES = ("id", "pk", "key")
 def key_scores(df: DataFrame, cols: Sequence[str] | None = None, unique: DataFrame | None = None) -> DataFrame:
     """Score of every column that is at least 95 % unique.
 
-    "Follows its predecessor" is tested without sorting: each distinct number is grouped with the
-    successor of another, so a run shows up as groups that hold both.
+    ``sequential_rate`` is the share of neighbours in sorted order that differ by exactly 1.  Nothing is
+    sorted: such neighbours are the largest value of one whole-number cell and the smallest of the next.
     """
     cols = list(cols or pf.scalar_columns(df))
     fams = {f.name: pf.family(f.dataType) for f in df.schema.fields}
@@ -31,13 +32,20 @@ def key_scores(df: DataFrame, cols: Sequence[str] | None = None, unique: DataFra
     numeric = [r["column"] for r in rows if fams[r["column"]] == "numeric"]
     step = {}
     if numeric:
-        parts = [df.select(F.lit(c).alias("column"), F.col(f"`{c}`").cast("decimal(38,6)").alias("v")) for c in numeric]
-        tall = reduce(DataFrame.unionAll, parts).filter("v is not null")
-        pairs = tall.select("column", F.explode(F.array(
-            F.struct(F.col("v").alias("v"), F.lit(0).alias("tag")),
-            F.struct((F.col("v") + 1).cast("decimal(38,6)").alias("v"), F.lit(1).alias("tag")))).alias("e"))
-        both = pairs.groupBy("column", "e.v").agg((F.count_distinct("e.tag") == 2).cast("long").alias("hit"))
-        step = {r["column"]: r["s"] for r in both.groupBy("column").agg(F.sum("hit").alias("s")).collect()}
+        parts = []
+        for c in numeric:
+            exact = isinstance(df.schema[c].dataType, T.IntegralType)  # a cell is one value: only its place counts
+            v = F.lit(0.0) if exact else F.col(f"`{c}`").cast("double")
+            cell = F.col(f"`{c}`").cast("decimal(38,0)") if exact else F.floor(v).cast("double").try_cast("decimal(38,0)")
+            parts.append(df.select(F.lit(c).alias("column"), cell.alias("cell"), v.alias("v"),
+                                   F.lit(1.0 if exact else 0.0).alias("up")).filter("cell is not null"))
+        cells = reduce(DataFrame.unionAll, parts).groupBy("column", "cell", "up").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+        ends = cells.select("column", F.explode(F.array(
+            F.struct("cell", F.col("hi").alias("hi"), F.lit(None).cast("double").alias("lo")),
+            F.struct((F.col("cell") - 1).cast("decimal(38,0)").alias("cell"), F.lit(None).cast("double").alias("hi"),
+                     (F.col("lo") + F.col("up")).alias("lo")))).alias("e"))
+        met = ends.groupBy("column", "e.cell").agg((F.max("e.lo") - F.max("e.hi") == 1).cast("long").alias("hit"))
+        step = {r["column"]: r["s"] or 0 for r in met.groupBy("column").agg(F.sum("hit").alias("s")).collect()}
     out = []
     for r in rows:
         c, uniq = r["column"], r["n_unique"] / r["n"]

@@ -151,17 +151,24 @@ def _carry(tagged: DataFrame, by: list[str], bounds: list[tuple], sums: dict, ma
     for r in part.collect():
         d = r.asDict()
         per.setdefault(tuple(d[c] for c in by), []).append((d["__bucket"], d))
+    for found in per.values():
+        found.sort(key=lambda x: x[0])
     rows = []
+    # buckets come in order, so each owner's totals are carried on from one bucket to the next
+    state: dict[tuple, tuple[int, dict]] = {}
     for b in range(1, len(bounds) + 1):
         owner = bounds[b - 1][:k]
-        before = [d for i, d in per.get(owner, []) if i < b]
-        if not before:
-            continue
-        vals = []
-        for nme in names:
-            seen = [d[nme] for d in before if d[nme] is not None]
-            vals.append((sum(seen) if nme in sums else max(seen)) if seen else None)
-        rows.append((b, *owner, *vals))
+        found = per.get(owner, [])
+        at, vals = state.get(owner, (0, dict.fromkeys(names)))
+        while at < len(found) and found[at][0] < b:
+            for nme, v in ((n, found[at][1][n]) for n in names):
+                if v is not None:
+                    old = vals[nme]
+                    vals[nme] = v if old is None else old + v if nme in sums else max(old, v)
+            at += 1
+        state[owner] = (at, vals)
+        if at:
+            rows.append((b, *owner, *[vals[nme] for nme in names]))
     fields = ["__bucket int"]
     types = dict(part.dtypes)
     fields += [f"`__by_{c}` {types[c]}" for c in by]
@@ -188,7 +195,8 @@ def rank_cutoffs(df: DataFrame, u: str, key: str, ranks: Sequence[int]) -> list[
     """For each rank r, the (u, key) of the r-th smallest row (None when r = 0 or r > rows).
 
     Works on a histogram of u in [0, 1) that is refined around each rank until the interval is
-    small enough to sort on the driver: no table-wide sort, no wide rows moved.
+    small enough to sort on the driver: no table-wide sort, no wide rows moved.  Where many rows have
+    one u (a repeated key), the interval can't shrink; those rows are numbered by key instead.
     """
     small = 10_000
     probe = df.select(u, key)
@@ -225,8 +233,12 @@ def rank_cutoffs(df: DataFrame, u: str, key: str, ranks: Sequence[int]) -> list[
                 for r in hits:
                     found[r] = sorted(by_bin[i])[r - start - 1]
         for i, (start, cnt, hits) in todo.items():
-            if cnt > small:
+            if cnt > small and width > 1e-15:
                 refine(lo + i * width, lo + (i + 1) * width, start, hits)
+            elif cnt > small:
+                placed = running(part.filter(b == i), [u, key], row_number="__place")
+                for row in placed.filter(F.col("__place").isin([r - start for r in hits])).select("__place", u, key).collect():
+                    found[row[0] + start] = (row[1], row[2])
 
     wanted = sorted({r for r in ranks if r > 0})
     if wanted:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,7 +39,7 @@ DATE_SHAPES = (
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 PATTERNS = {"email": EMAIL, "phone": PHONE, "url": URL, "money": MONEY, "iso_date": ISO_DATE}
 
-EXACT_ROWS = 2_000_000  # above this many rows quantiles are approximate, and say so
+EXACT_ROWS = 2_000_000  # above this many rows exact quantiles are found by ranking, not in one buffer
 
 
 def family(dtype: T.DataType) -> str:
@@ -171,6 +171,19 @@ def _quantiles_sql(name: str, fam: str, exact: bool) -> str:
     return f"struct({call} as quantiles)"
 
 
+def _ranked_quantiles(df: DataFrame, cols: Sequence[str], fams: Mapping[str, str]) -> DataFrame:
+    from facsimile.operators import ordered
+
+    rows = []
+    for i, c in enumerate(cols):
+        found = None
+        if fams[c] in ("numeric", "string"):
+            numbers = df.selectExpr(f"cast({_number_sql(_tick(c), fams[c])} as double) as v")
+            found = ordered.exact_quantiles(numbers, "v", QUANTILES)
+        rows.append((c, i, None if found is None or found[0] is None else found))
+    return df.sparkSession.createDataFrame(rows, "column string, position int, quantiles array<double>")
+
+
 def one_row_per_column(df: DataFrame, structs: dict[str, str]) -> DataFrame:
     """Evaluate one struct of aggregates per column in a single pass, then unpivot the only row."""
     wide = df.selectExpr(*[f"{sql} as __{i}" for i, sql in enumerate(structs.values())])
@@ -204,9 +217,11 @@ def column_facts(df: DataFrame, cols: Sequence[str] | None = None, exact: bool |
     uniq = unique if unique is not None else distinct_profile(df, cols, approx_distinct)
     facts = facts.join(F.broadcast(uniq), "column")  # one row per column
     if quantiles:
-        if exact is None:
-            exact = df.count() <= scale.setting(df.sparkSession, "exactPercentileRows", EXACT_ROWS)
-        quant = one_row_per_column(df, {c: _quantiles_sql(c, fams[c], exact) for c in cols})
+        exact = exact is not False
+        if exact and df.count() > scale.setting(df.sparkSession, "exactPercentileRows", EXACT_ROWS):
+            quant = _ranked_quantiles(df, cols, fams)
+        else:
+            quant = one_row_per_column(df, {c: _quantiles_sql(c, fams[c], exact) for c in cols})
         facts = facts.join(F.broadcast(quant.drop("position")), "column")  # one row per column
         facts = facts.withColumn("method", F.lit("exact" if exact else "approx"))
     return facts

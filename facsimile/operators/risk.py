@@ -12,10 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.operators import ordered, scale
-from facsimile.operators.scan import as_group, group_sizes
+from facsimile.operators.scan import group_sizes
 
 MAX_CELLS = 16_384
-PROBE_ROWS = 2000  # fixed value: synthetic rows probed by the distance ratio
 
 
 def k_anonymity(df: DataFrame, quasi: Sequence[str]) -> DataFrame:
@@ -33,7 +32,7 @@ def k_anonymity(df: DataFrame, quasi: Sequence[str]) -> DataFrame:
 def l_diversity(df: DataFrame, quasi: Sequence[str], sensitive: str) -> DataFrame:
     """Fewest distinct sensitive values in a group.  Rows collapse to (group, value) first, so a
     group that holds a third of the table reaches its reducer as its distinct values."""
-    keys = [as_group(c).alias(f"q{i}") for i, c in enumerate(quasi)]
+    keys = [F.col(f"`{c}`").alias(f"q{i}") for i, c in enumerate(quasi)]
     names = [f"q{i}" for i in range(len(quasi))]
     pairs = df.select(*keys, F.col(f"`{sensitive}`").alias("s")).distinct()
     groups = pairs.groupBy(*names).agg(F.count("s").alias("l"))
@@ -221,7 +220,7 @@ def dcr_ratio(train: DataFrame, holdout: DataFrame | None, synth: DataFrame, num
               synth_key: str, synth_u: Column) -> float | None:
     """median(distance synth -> train) / median(distance holdout -> train).
 
-    The synthetic side probes at most ``PROBE_ROWS`` rows; the holdout side probes all of its rows.
+    Both sides probe all of their rows.
     """
     nums = [c for c in nums if c in train.columns and c in synth.columns]
     if holdout is None or not nums:
@@ -230,9 +229,8 @@ def dcr_ratio(train: DataFrame, holdout: DataFrame | None, synth: DataFrame, num
                       for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
     stats = {c: (row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i, c in enumerate(nums)}
     points = train.select(*_standardised(train, nums, stats))
-    probe = ordered.sample_exact(synth, PROBE_ROWS, synth_u, synth_key)
     sides = [d.select(F.lit(side).alias("side"), *_standardised(d, nums, stats))
-             for side, d in (("s", probe), ("h", holdout))]
+             for side, d in (("s", synth), ("h", holdout))]
     weighted = scale.cut(reduce(DataFrame.unionByName, sides).groupBy("side", *nums).agg(F.count("*").alias("w")))
     dist = scale.cut(weighted.join(nearest_distance(weighted, points, nums), nums))
     ds, dh = (ordered.exact_quantiles(dist.filter(F.col("side") == s), "distance", [0.5], weight="w")[0]

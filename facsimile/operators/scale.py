@@ -19,11 +19,14 @@ def setting(spark: SparkSession, name: str, default: int) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: the cluster's ``spark.checkpoint.dir``, or a local
-    temporary folder where that is unset (local runs and tests)."""
+    """The folder every executor can reach: the cluster's ``spark.checkpoint.dir``.  Only where the
+    driver does all the work itself (local runs and tests) a temporary folder may stand in."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="facsimile-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="facsimile-ckpt-"))
     return sc.getCheckpointDir()
 
 

@@ -119,8 +119,8 @@ def scan(df: DataFrame, cols: Sequence[str] | None = None, order: str = "specifi
 
 
 def combination_risk(df: DataFrame, quasi: Sequence[str]) -> DataFrame:
-    """Smallest group and share of small groups over the first three quasi-identifiers."""
-    cols = list(quasi)[:3]
+    """Smallest group and share of small groups over all quasi-identifiers given."""
+    cols = list(quasi)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame(
             [("low", 0, 0.0, "")], "risk string, min_k bigint, pct_groups_below_5 double, columns_checked string")
@@ -132,13 +132,9 @@ def combination_risk(df: DataFrame, quasi: Sequence[str]) -> DataFrame:
         "else 'low' end as risk", "min_k", "pct_groups_below_5", f"'{','.join(cols)}' as columns_checked")
 
 
-def as_group(col: str) -> Column:
-    """Nulls form a group of their own."""
-    return F.coalesce(F.col(f"`{col}`").cast("string"), F.lit("<null>"))
-
-
 def group_sizes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.groupBy(*[as_group(c).alias(c) for c in cols]).agg(F.count("*").alias("n"))
+    """Rows per group; nulls form a group of their own, apart from any text."""
+    return df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count("*").alias("n"))
 
 
 def scan_table(df: DataFrame, cols: Sequence[str] | None = None, order: str = "specific_first") -> DataFrame:

@@ -147,9 +147,14 @@ def fidelity(real: DataFrame, synth: DataFrame, kinds: Mapping[str, str]) -> dic
 # --- usefulness ------------------------------------------------------------------------------------
 
 
+def _category(col: str) -> Column:
+    """A category as a text that is never null: no text is taken for null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{col}`").cast("string")), F.lit(""))
+
+
 def _codes(frames: Sequence[DataFrame], col: str) -> DataFrame:
     """Category -> code over the union of the frames, in value order (null is a category)."""
-    vals = [d.select(F.coalesce(F.col(f"`{col}`").cast("string"), F.lit("<null>")).alias("v")) for d in frames]
+    vals = [d.select(_category(col).alias("v")) for d in frames]
     return ordered.dense_ids(reduce(DataFrame.unionAll, vals).distinct(), ["v"], start=0, name="code")
 
 
@@ -173,13 +178,11 @@ def tstr(train: DataFrame, synth: DataFrame, holdout: DataFrame | None, target:
     coded = [c for c in feats if kinds[c] == "cat"] + ([target] if clf else [])
     tables = {c: scale.cut(_codes(list(frames.values()), c)) for c in coded}
     classes = tables[target].count() if clf else 0
-    if clf and classes > 100:
-        return {"skipped": True, "reason": f"target has {classes} classes"}
 
     def encode(df: DataFrame) -> DataFrame:
         out = df.select(*[F.col(f"`{c}`") for c in [*feats, target]])
         for c in coded:
-            text = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("<null>"))
+            text = _category(c)
             seen = df.groupBy(text.alias("v")).agg(F.count("*").alias("n"))
             out = scale.lookup(out.withColumn("v", text), tables[c], "v", "left",
                                lambda seen=seen: ordered.hot_values(seen, "v", "n", df.count()))

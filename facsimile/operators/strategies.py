@@ -175,13 +175,31 @@ def position_in_range(c: Column, low: float, high: float) -> Column:
 
 
 def many_to_many(left: DataFrame, left_key: str, right: DataFrame, right_key: str, seed: int,
-                 cuts_left: Sequence[float], top: int = 60) -> DataFrame:
-    """Join table: each left key meets a drawn number of right keys; repeated pairs fall away."""
+                 cuts_left: Sequence[float], top: int | None = None) -> DataFrame:
+    """Join table: each left key meets as many different right keys as drawn (all, if that is more
+    than there are).  The right keys are numbered, and a left key takes every ``stride``-th from a
+    drawn start on, around the end; strides share no factor with the count, so nothing repeats."""
     from facsimile.operators import domains
 
-    n = keyed.draw_count(keyed.uniform(seed, "degree", left_key, key=left_key), cuts_left, top=top)
-    stubs = domains.fan_out(left.select(left_key), n)
-    key = F.concat_ws(":", F.col(left_key).cast("string"), F.col("seq").cast("string"))
-    pairs = domains.fk_sample(stubs, keyed.uniform(seed, "pair", key=key), right, right_key, right_key)
-    return pairs.select(left_key, right_key).distinct()
+    drawn = keyed.draw_count(keyed.uniform(seed, "degree", left_key, key=left_key), cuts_left, top=top)
+    numbered = ordered.dense_ids(right.select(right_key).distinct(), [right_key], start=0, name="__no")
+    size = numbered.count()
+    if not size:
+        return left.select(left_key).join(numbered.select(right_key).limit(0), F.lit(True))
+    stubs = domains.fan_out(left.select(left_key), F.least(drawn, F.lit(size)).cast("int"))
+    start = F.floor(keyed.uniform(seed, "start", key=left_key) * F.lit(float(size))).cast("bigint")
+    stride = keyed.choice(keyed.uniform(seed, "stride", key=left_key), strides(size))
+    at = F.pmod(start + (F.col("seq") - 1).cast("bigint") * stride.cast("bigint"), F.lit(size)).cast("bigint")
+    return stubs.select(left_key, at.alias("__no")).join(numbered.withColumn("__no", F.col("__no").cast("bigint")), "__no") \
+        .select(left_key, right_key)
+
+
+def strides(size: int, most: int = 64) -> list[int]:
+    """Up to ``most`` numbers without a common factor with ``size``, spread over it."""
+    out, step = [], max(1, size // most)
+    for k in range(1, size + 1, step):
+        while math.gcd(k, size) != 1:
+            k += 1
+        out.append(k % size if size > 1 else 0)
+    return sorted(set(out))[:most]
 

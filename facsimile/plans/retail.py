@@ -19,7 +19,7 @@ CATEGORIES = ["Electronics", "Home", "Fashion", "Grocery", "Beauty", "Sports", "
 DISCOUNTS = {"vip": "0.10", "loyal": "0.05"}
 PRICE_LOG_MEAN, PRICE_LOG_SD, PRICE_LOW, PRICE_HIGH = 8.0, 0.9, 199, 500_000
 FIRST_CUSTOMER, FIRST_ORDER, FIRST_ITEM = 10_001, 500_001, 9_000_001
-MAX_ORDERS, POPULARITY = 60, 0.8
+POPULARITY = 0.8
 
 
 def days_between(start: str, end: str) -> int:
@@ -65,9 +65,9 @@ def products(spark: SparkSession, n: int = 60, seed: int = 42) -> DataFrame:
 
 
 def order_heads(cust: DataFrame, n_customers: int, seed: int = 42, mean_orders: float = 3.2, dispersion: float = 1.4,
-                end: str = "2025-12-31", status_weights: Mapping[str, float] | None = None) -> DataFrame:
-    """One row per order, dated between signup and the end of the period by construction."""
-    cuts = keyed.negbin_cdf(mean_orders, dispersion, MAX_ORDERS)
+                end: str = "2025-12-31", status_weights: Mapping[str, float] | None = None, most: int | None = None) -> DataFrame:
+    """One row per order (``most`` a customer, if given), dated between signup and the end of the period by construction."""
+    cuts = keyed.negbin_cdf(mean_orders, dispersion, most)
     n = keyed.draw_count(keyed.uniform(seed, "orders", "count", key="customer_id"), cuts)
     counted = cust.select("customer_id", "signup_date", "segment", n.cast("bigint").alias("n"))
     placed = ordered.running(counted, ["customer_id"], sums={"upto": "n"}, rows=n_customers)
@@ -95,12 +95,8 @@ def order_items(heads: DataFrame, prods: DataFrame, n_products: int, seed: int =
         return keyed.uniform(seed, "items", key="item_id", lane=lane)
 
     price = prods.select("product_no", "sku", "unit_price")
-    if n_products <= 200:
-        rows = rows.withColumn("product_no", keyed.zipf_index(u(0), n_products, POPULARITY).cast("bigint"))
-        rows = scale.lookup(rows, price, "product_no", "inner", size=n_products)
-    else:
-        line = domains.spans(domains.zipf_domain(price, "product_no", POPULARITY), "weight", ["product_no"])
-        rows = domains.draw_from_spans(rows, u(0), line, ["product_no", "sku", "unit_price"])
+    line = domains.spans(domains.zipf_domain(price, "product_no", POPULARITY), "weight", ["product_no"])
+    rows = domains.draw_from_spans(rows, u(0), line, ["product_no", "sku", "unit_price"])
     qty = keyed.uniform_int(u(1), 1, 5)
     return rows.select("item_id", "order_id", "sku", qty.cast("int").alias("quantity"), "unit_price",
                        money.mul("unit_price", qty).alias("line_total"))

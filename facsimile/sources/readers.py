@@ -67,10 +67,15 @@ def flatten(df: DataFrame) -> DataFrame:
     return flatten(flat) if nested else flat
 
 
-def read_json(spark: SparkSession, path: str, flat: bool | None = None) -> DataFrame:
-    """An array of objects gives one row each; a single object gives one flattened row."""
+def read_json(spark: SparkSession, path: str, flat: bool | None = None, lines: bool = False) -> DataFrame:
+    """An array of objects gives one row each; a single object gives one flattened row.
+
+    ``lines``: one object per line, of which a large file is read by many tasks."""
+    if lines:
+        df = spark.read.json(path)
+        return flatten(df) if flat else df
     df = spark.read.option("multiLine", True).json(path)
     if flat is None:
-        head = spark.read.text(path, wholetext=True).select(F.left(F.ltrim("value"), F.lit(1)).alias("c")).first()
+        head = spark.read.text(path).filter(F.trim("value") != "").select(F.left(F.ltrim("value"), F.lit(1)).alias("c")).first()
         flat = head is not None and head["c"] == "{"
     return flatten(df) if flat else df

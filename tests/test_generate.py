@@ -85,9 +85,9 @@ def test_contract_links_order_and_hash(tmp_path):
 def test_proof_reports_broken_checks(spark):
     t = {"orders": spark.range(3).selectExpr("id as order_id", "-1 as total")}
     out = {r["check"]: r for r in checks.prove(t, checks.retail_checks()).collect()}
-    assert out["Negative order totals"]["violations"] == 3 and out["Duplicate order IDs"]["passed"]
-    assert out["Orders where total differs from subtotal - discount + tax"]["violations"] == -1
-    assert "Items with no matching order" not in out
+    assert out["orders: total below zero"]["violations"] == 3 and out["orders: repeated id"]["passed"]
+    assert out["orders: total is not subtotal less discount plus tax"]["violations"] == -1
+    assert "order_items: order unknown" not in out
 
 
 def test_weighted_dates(spark):

@@ -1,15 +1,12 @@
 """Every registered query agrees with its oracle SQL on the smallest tables."""
 
-import os
-
 import pytest
 
 import compare
 from __spark_entry__ import entry, oracle_sql, queries
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"replay", "run_manifest", "scorecard", "tstr_utility", "profile_lineitem", "infer_kinds"}
-NAMES = [n for n in queries() if n not in SLOW or os.environ.get("ALL_QUERIES")]
+NAMES = list(queries())
 
 
 @pytest.fixture(scope="module")

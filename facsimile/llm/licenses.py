@@ -21,7 +21,9 @@ SENTENCE_END = r"[.;!?][ \t\r\n]+|\n[ \t\r]*\n"
 SENTENCES = {
     "apache_ref": "Licensed under the Apache License, Version 2.0",
     "apache_obey": "you may not use this file except in compliance with the License",
-    "apache_copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache_ref_the": "Licensed under the Apache License, Version 2.0 (the \"License\")",
+    "apache_copy": "You may obtain a copy of the License at",
+    "apache_url": "http://www.apache.org/licenses/LICENSE-2.0",
     "apache_basis": "Unless required by applicable law or agreed to in writing, software distributed under the License is "
                     "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
     "apache_title": "Apache License Version 2.0, January 2004",
@@ -32,9 +34,9 @@ SENTENCES = {
     "mit_grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
                  "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
                  "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
-                 "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
-                 " The above copyright notice and this permission notice shall be included in all copies or substantial portions "
-                 "of the Software",
+                 "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    "mit_notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions "
+                  "of the Software",
     "as_is": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
              "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
     "gpl3_work": "This work is licensed under the GNU General Public License, version 3",
@@ -47,30 +49,34 @@ SENTENCES = {
     "gpl_hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
     "gpl_received": "You should have received a copy of the GNU General Public License along with this program",
     "bsd_grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-                 "following conditions are met: Redistributions of source code must retain the above copyright notice, this list "
-                 "of conditions and the following disclaimer",
+                 "following conditions are met",
+    "bsd_source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+                  "disclaimer",
+    "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+                  "disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd_no_endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
                       "products derived from this software without specific prior written permission",
     "cc_by_nc": "Licensed under CC BY-NC 4.0",
     "cc_by": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "cc_by_sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
-    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
     "reserved": "All rights reserved",
     "unlicense": "This is free and unencumbered software released into the public domain",
 }
 #: Ordered rules (fixed values): licence, rule kind, identifiers in sequence.
 RULES = [
-    ("Apache-2.0", "notice", ("apache_ref", "apache_obey", "apache_copy", "apache_basis")),
+    ("Apache-2.0", "notice", ("apache_ref_the", "apache_obey", "apache_copy", "apache_url", "apache_basis")),
     ("Apache-2.0", "text", ("apache_title",)),
-    ("MIT", "text", ("mit_grant", "as_is")),
+    ("MIT", "text", ("mit_grant", "mit_notice", "as_is")),
     ("GPL-3.0-or-later", "notice", ("gpl_redistribute", "gpl_hope", "gpl_received")),
     ("GPL-2.0-or-later", "notice", ("gpl2_redistribute", "gpl2_version")),
-    ("BSD-3-Clause", "text", ("bsd_grant", "bsd_no_endorse")),
-    ("BSD-2-Clause", "text", ("bsd_grant",)),
+    ("BSD-3-Clause", "text", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_no_endorse")),
+    ("BSD-2-Clause", "text", ("bsd_grant", "bsd_source", "bsd_binary")),
     ("MIT", "title", ("mit_title",)),
     ("MIT", "title", ("mit_title_the",)),
     ("Apache-2.0", "reference", ("apache_ref",)),
+    ("Apache-2.0", "reference", ("apache_ref_the",)),
     ("MIT", "reference", ("mit_ref",)),
     ("MIT", "reference", ("mit_ref_is",)),
     ("GPL-3.0-only", "reference", ("gpl3_work",)),
@@ -90,7 +96,6 @@ def normal(sentence: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in sentence).split()).lower()
 
 
-# A known sentence may hold sentence ends itself (v. 2.0; clauses): its parts then follow one another.
 KNOWN = {name: normal(text) for name, text in SENTENCES.items()}
 
 
@@ -141,7 +146,6 @@ named as (
          coalesce(array_to_string(list_transform(places, lambda p: {quoted(KNOWN)}[p]), ','), '') as sentence_ids
   from placed),
 ruled as (select *, list_filter([{rules}], lambda r: r is not null) as rules from named),
--- equal entries can only stand side by side, as the rules of one licence and kind follow one another
 once as (select *, list_filter(rules, lambda r, i: list_position(rules, r) = i) as firsts from ruled)
 select doc_id, n_sentences, sentence_ids, coalesce(array_to_string(firsts, ','), '') as licences,
        split_part(firsts[1], ':', 1) as licence

@@ -6,10 +6,10 @@ tests ask whether it is a random string of that encoding: chi-squared uniformity
 ordered by how common their letters are in prose, so that words fail where random strings pass.
 Fisher's method combines the three.
 
-How often prose passes depends on the length, so each length class has its own null distribution:
-the same score of words of the corpus strung together to that length.  A token's p-value is its rank
-among these, and Benjamini-Hochberg over all tokens of all documents controls the share of false
-finds.  Only counts per (length class, score bin) reach the driver.
+How often prose passes depends on the length and on the encoding, so each pair of a length class and
+a family of encodings has its own null distribution: the same score of words of the corpus strung
+together to that length and read in that alphabet.  A token's p-value is its rank among these, and Benjamini-Hochberg over all tokens of all documents controls the share of false
+finds.  Only counts per (class, score bin) reach the driver.
 
 Null and empty texts hold nothing.  Repeated rows are scanned one by one; texts are scanned whole.
 """
@@ -45,8 +45,13 @@ ALPHABETS = [  # from small to large; the first that holds all characters is tak
     DIGITS + "abcdef", DIGITS + "ABCDEF", LOWER, UPPER, UPPER + "234567", DIGITS + LOWER, DIGITS + UPPER, LOWER + UPPER,
     LOWER + UPPER + DIGITS, LOWER + UPPER + DIGITS + "-_", LOWER + UPPER + DIGITS + "+/", LOWER + UPPER + DIGITS + "+/-_"]
 PLACES = [{c: k for k, c in enumerate(a)} for a in ALPHABETS]
+# Encodings fall into families, and prose is read in the alphabet that stands for each: letters of one
+# case, letters of both cases, letters with digits or signs.
+FAMILY = [0 if a in (LOWER, UPPER) else 1 if a == LOWER + UPPER else 2 for a in ALPHABETS]
+FAMILY_PLACES = [PLACES[ALPHABETS.index(a)] for a in (LOWER, LOWER + UPPER, LOWER + UPPER + DIGITS)]
 LENGTH_CLASSES = (20, 28, 40, 64)  # lower ends
-BINS = 1000
+CLASSES = len(LENGTH_CLASSES) * len(FAMILY_PLACES)
+BINS = 500
 
 _CREDENTIAL = np.zeros(256, dtype=bool)
 _CREDENTIAL[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
@@ -65,15 +70,15 @@ def two_sided(z: float) -> float:
     return max(math.erfc(abs(z) / math.sqrt(2)), 1e-300)
 
 
-def battery(token: str) -> float | None:
-    """How well ``token`` passes as random in its encoding, 0 to 1; None if it holds digits alone or
-    no encoding fits."""
-    body = token.rstrip("=")
+def encoding(body: str) -> int | None:
+    """The smallest encoding that holds all characters; None if they are digits alone or none does."""
     if body.isdigit():
         return None
-    places = next((p for p in PLACES if all(c in p for c in body)), None)
-    if places is None:
-        return None
+    return next((k for k, p in enumerate(PLACES) if all(c in p for c in body)), None)
+
+
+def battery(body: str, places: dict[str, int]) -> float:
+    """How well ``body`` passes as a random string of an alphabet, 0 to 1."""
     at, size, n = [places[c] for c in body], len(places), len(body)
     bins = max(2, min(size, n // 5))
     counts, room = [0] * bins, [0] * bins
@@ -99,8 +104,10 @@ def battery(token: str) -> float | None:
     return chi_squared_tail(-2 * (math.log(uniform) + math.log(runs) + math.log(serial)), 6)
 
 
-def length_class(n: int) -> int:
-    return sum(n >= low for low in LENGTH_CLASSES) - 1
+def tally(body: str, length: int, family: int, places: dict[str, int]) -> tuple[int, int]:
+    """(class, score bin): the class tells length and family."""
+    size = sum(length >= low for low in LENGTH_CLASSES) - 1
+    return size * len(FAMILY_PLACES) + family, min(BINS - 1, int(battery(body, places) * BINS))
 
 
 def base_spans(text: str, tokens: list[tuple[int, str]]) -> list[tuple[int, int, int]]:
@@ -136,13 +143,13 @@ def long_tokens(text: str) -> list[tuple[int, str]]:
 
 
 def strung_words(text: str, seed: int) -> list[tuple[int, int]]:
-    """(length class, score bin) of words strung together to the lower end of each class and half the
-    way to the next: what prose scores at these lengths."""
+    """(class, score bin) of words strung together to the lower end of each length class, read in the
+    alphabet of each family: what prose scores there."""
     words = _LETTER_RUN.findall(text)
     if len(words) < 2:
         return []
     out = []
-    for c, low in enumerate(LENGTH_CLASSES):
+    for c, low in enumerate(LENGTH_CLASSES):  # four strings a text, wherever the seed points
         k = (seed * 2654435761 + c * 40503) % len(words)
         length, parts = 0, []
         while length < low and len(parts) < 64:
@@ -150,8 +157,8 @@ def strung_words(text: str, seed: int) -> list[tuple[int, int]]:
             length += len(parts[-1])
             k += 1
         token = "".join(parts)[:low + low // 5]
-        if len(token) >= low and (score := battery(token)) is not None:
-            out.append((c, min(BINS - 1, int(score * BINS))))
+        if len(token) >= low:
+            out += [tally(token.lower() if f == 0 else token, low, f, places) for f, places in enumerate(FAMILY_PLACES)]
     return out
 
 
@@ -164,14 +171,15 @@ def scan_text(text: str, seed: int) -> tuple[list, list, list]:
             s, e = start + m.start(), start + m.end()
             if any(s < b[2] and b[0] < e for b in base):
                 continue
-            score = battery(m[0])
-            if score is not None:
-                found.append((s, e, length_class(e - s), min(BINS - 1, int(score * BINS))))
+            body = m[0].rstrip("=")
+            code = encoding(body)
+            if code is not None:
+                found.append((s, e, *tally(body, e - s, FAMILY[code], PLACES[code])))
     return base, found, strung_words(text, seed)
 
 
 def tested(docs: DataFrame) -> DataFrame:
-    """Pass one, kept: doc_id, print (hash of the text), base (spans), found (tokens with length class and score bin) and null
+    """Pass one, kept: doc_id, print (hash of the text), base (spans), found (tokens with class and score bin) and null
     (class and bin of strung words)."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,11 +201,11 @@ def tested(docs: DataFrame) -> DataFrame:
 
 
 def discovery_bins(scans: DataFrame, rate: float) -> list[int]:
-    """For each length class the lowest score bin that is reported (BINS: none), by Benjamini-Hochberg
-    at ``rate`` over all tokens, with p-values from the strung words of the class."""
+    """For each class the lowest score bin that is reported (BINS: none), by Benjamini-Hochberg at
+    ``rate`` over all tokens, with p-values from the strung words of the class."""
     counted = [scans.select(F.explode(c).alias("x")).groupBy("x.class", "x.bin").agg(F.count("*").alias("n"))
                .select(F.lit(c).alias("what"), "class", "bin", "n") for c in ("found", "null")]
-    found, null = np.zeros((len(LENGTH_CLASSES), BINS)), np.zeros((len(LENGTH_CLASSES), BINS))
+    found, null = np.zeros((CLASSES, BINS)), np.zeros((CLASSES, BINS))
     for r in counted[0].union(counted[1]).collect():  # at most 2 * classes * bins rows
         (found if r["what"] == "found" else null)[r["class"], r["bin"]] = r["n"]
     p = (1 + null[:, ::-1].cumsum(axis=1)[:, ::-1]) / (1 + null.sum(axis=1, keepdims=True))
@@ -209,12 +217,12 @@ def discovery_bins(scans: DataFrame, rate: float) -> list[int]:
     last = np.searchsorted(level, level, side="right") - 1
     passes = (level <= rate * ranked[last] / total) & (ranked[last] > 0) if total else np.zeros(len(level), bool)
     if not passes.any():
-        return [BINS] * len(LENGTH_CLASSES)
+        return [BINS] * CLASSES
     limit = level[passes].max()
     return [int(np.flatnonzero(row <= limit).min()) if (row <= limit).any() else BINS for row in p]
 
 
-def scan_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
+def scan_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, print (hash of the text), base and spans (arrays of start, kind, end;
     kinds are numbers into KINDS; ``spans`` holds the base spans and the discoveries)."""
     scans = tested(docs)
@@ -243,7 +251,7 @@ def redact(text: Column, spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
 
-def redacted(docs: DataFrame, rate: float = 0.01) -> DataFrame:
+def redacted(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     """``docs`` with every secret replaced in its text, and n_chars, where present, counted anew."""
     found = scan_secrets(docs, rate).where(F.size("spans") > 0).groupBy("doc_id", "print").agg(F.min("spans").alias("spans"))
     side = checked(found.select(F.col("doc_id").alias("found_id"), "print", "spans"))

@@ -10,7 +10,7 @@ from facsimile.catalog.registry import query
 from facsimile.functions import fictional as fic
 from facsimile.functions import keyed
 from facsimile.operators import checks as ck
-from facsimile.operators import domains
+from facsimile.operators import domains, ordered
 from facsimile.plans import contract as ct
 from facsimile.plans import fintech as ft
 from facsimile.plans import generate as gen
@@ -34,14 +34,15 @@ CUSTOMERS = f"""cust as (select customer_id, case when {u('customers', 'name', k
    {q.weighted(u('customers', 'traits', key=CID), locales.CITIES['pk'])} as city,
    date '2023-01-01' + floor({u('customers', 'traits', key=CID, lane=1)}*1096.0::double)::int as signup_date,
    {q.weighted(u('customers', 'traits', key=CID, lane=2), rt.SEGMENT_WEIGHTS)} as segment
-  from (select unnest(range(10001, 10001 + (select count(*) from customer))) as customer_id))"""
+  from (select c_custkey as customer_id from customer))"""
 PNO = "product_no"
-PRICE = f"exp({q.normal(u('products', 'price', key=PNO), u('products', 'price', key=PNO, lane=1), 8.0, 0.9)})"
-PRODUCTS = f"""prod as (select product_no, 'SKU-' || lpad(product_no::varchar,4,'0') as sku,
+MINOR = "cast(round_even(cast(cast({} as varchar) as decimal(30,8))*100,0) as bigint)"
+PRODUCTS = f"""prod as (select product_no, 'SKU-' || lpad(product_no::varchar,greatest(4,length(product_no::varchar))::int,'0') as sku,
    {q.choice(u('products', 'name', key=PNO), domains.FIRST_WORDS)} || ' ' || {q.choice(u('products', 'name', key=PNO, lane=1), domains.SECOND_WORDS)} as name,
    {q.choice(u('products', 'name', key=PNO, lane=2), rt.CATEGORIES)} as category,
-   least(greatest({q.rint(PRICE)},199.0),500000.0)::bigint as unit_price
-  from (select unnest(range(1, 61)) as product_no))"""
+   unit_price from (select row_number() over (order by p_partkey) as product_no, {MINOR.format('p_retailprice')} as unit_price from part)),
+ pw as (select product_no, greatest(round_even(4294967296.0/pow(product_no,0.8),0),1.0)::bigint as weight from prod),
+ ps as (select product_no as pno, sum(weight) over (order by product_no)::bigint - weight as lo, sum(weight) over ()::bigint as total from pw)"""
 OID, IID = "order_id", "item_id"
 ORDERS = f"""cnt as (select *, {q.bucket_of(u('orders', 'count', key=CID), keyed.negbin_cdf(3.2, 1.4))}::bigint as n from cust),
  pos as (select *, sum(n) over (order by customer_id)::bigint as upto from cnt),
@@ -51,8 +52,7 @@ ORDERS = f"""cnt as (select *, {q.bucket_of(u('orders', 'count', key=CID), keyed
 ITEMS = f"""ic as (select order_id, 1+floor({u('items', 'count', key=OID)}*5.0::double)::bigint as n from heads),
  ip as (select *, sum(n) over (order by order_id)::bigint as upto from ic),
  i1 as (select order_id, upto-n+seq+9000000 as item_id from (select *, unnest(range(1, n+1)) as seq from ip)),
- i2 as (select *, 1+{q.bucket_of(u('items', key=IID), keyed.cumulative(keyed.zipf_weights(60, 0.8))[:-1])} as product_no,
-   (1+floor({u('items', key=IID, lane=1)}*4.0::double)::bigint)::int as quantity from i1),
+ i2 as (select *, pno as product_no, (1+floor({u('items', key=IID, lane=1)}*4.0::double)::bigint)::int as quantity from (select *, floor({u('items', key=IID)}*(select max(total) from ps)::double)::bigint as spot from i1) asof join ps on spot >= lo),
  items as (select item_id, order_id, sku, quantity, unit_price, unit_price*quantity as line_total from i2 join prod using (product_no))"""
 PRICED = f"""sums as (select order_id, sum(line_total)::bigint as subtotal from items group by 1),
  d as (select heads.*, subtotal, case segment when 'vip' then {q.pct('subtotal', "'0.10'")} when 'loyal' then {q.pct('subtotal', "'0.05'")} else 0 end as discount
@@ -61,8 +61,18 @@ PRICED = f"""sums as (select order_id, sum(line_total)::bigint as subtotal from
    from (select *, {q.pct('subtotal-discount', "'0.18'")} as tax from d))"""
 
 
+def people(t):
+    return t.customer.select(F.col("c_custkey").alias("customer_id"))
+
+
+def goods(t):
+    from facsimile.functions import money
+    parts = t.part.select("p_partkey", money.to_minor("p_retailprice").alias("unit_price"))
+    return ordered.dense_ids(parts, ["p_partkey"], name="product_no").drop("p_partkey")
+
+
 def retail(t):
-    return rt.generate_retail(t.spark, SEED, n_customers=t.customer.count())
+    return rt.generate_retail(t.spark, SEED, people=people(t), goods=goods(t))
 
 
 def day(df, *cols):
@@ -74,16 +84,11 @@ def day(df, *cols):
 query("retail_customers", f"""with {CUSTOMERS} select customer_id, first || ' ' || last as full_name,
  lower(first) || '.' || lower(replace(last,' ','')) || customer_id::varchar || '@example.com' as email, city,
  strftime(signup_date,'%Y-%m-%d') as signup_date, segment from cust""")(
-    lambda t: day(rt.customers(t.spark, t.customer.count(), SEED), "signup_date"))
-
-
-@query("retail_products", f"with {PRODUCTS} select p_partkey, sku, name, category, unit_price from part join prod on product_no = p_partkey % 60 + 1")
-def _(t):
-    prods = rt.products(t.spark, 60, SEED)
-    part = t.part.select("p_partkey", (F.col("p_partkey") % 60 + 1).alias("product_no"))
-    return part.join(F.broadcast(prods), "product_no").drop("product_no")  # 60 rows
+    lambda t: day(rt.customers(t.spark, 0, SEED, people=people(t)), "signup_date"))
 
 
+query("retail_products", f"with {PRODUCTS} select product_no, sku, name, category, unit_price from prod")(
+    lambda t: rt.products(t.spark, seed=SEED, goods=goods(t)))
 query("retail_orders", f"with {CUSTOMERS}, {PRODUCTS}, {ORDERS}, {ITEMS}, {PRICED} select * from priced")(
     lambda t: day(retail(t)["orders"], "order_date"))
 query("retail_items", f"with {CUSTOMERS}, {PRODUCTS}, {ORDERS}, {ITEMS} select * from items")(
@@ -115,26 +120,26 @@ def _(t):
 # --- fintech -----------------------------------------------------------------------------------------
 
 ANO = "account_no"
-BAL = f"exp({q.normal(u('accounts', 'balance', key=ANO), u('accounts', 'balance', key=ANO, lane=1), 11.0, 1.2)})"
 ACCOUNTS = f"""acct as (select account_no, 'ACCT-' || lpad(account_no::varchar,6,'0') as account_id,
    {q.weighted(u('accounts', 'traits', key=ANO), ft.ACCOUNT_TYPES)} as account_type, {q.choice(u('accounts', 'traits', key=ANO, lane=1), ft.INSTITUTIONS)} as institution,
    date '2024-01-01' + floor({u('accounts', 'traits', key=ANO, lane=2)}*547.0::double)::int as open_date,
-   least(greatest({q.rint(BAL)},10000.0),5000000.0)::bigint as opening_balance, 'Account Holder ' || account_no as holder_name,
+   opening_balance, holder_name,
    'holder' || account_no || '@example.com' as holder_email, {q.weighted(u('accounts', 'traits', key=ANO, lane=3), ft.ACCOUNT_STATUS)} as status
-  from (select unnest(range(1, 1+(select count(*) from supplier))) as account_no))"""
+  from (select s_suppkey as account_no, s_name as holder_name, {MINOR.format('s_acctbal')} as opening_balance from supplier))"""
 CNO = "card_no"
 CARDS = f"""card as (select card_no, 'CARD-' || lpad(card_no::varchar,6,'0') as card_id, owner as account_no, 'ACCT-' || lpad(owner::varchar,6,'0') as account_id,
    'XXXX-XXXX-XXXX-' || (1000+floor({u('cards', 'owner', key=CNO, lane=1)}*8999.0::double)::bigint) as card_number,
    {q.choice(u('cards', 'traits', key=CNO), ft.CARD_NETWORKS)} as network,
    strftime(date '2025-06-30' + (30+floor({u('cards', 'traits', key=CNO, lane=1)}*700.0::double)::int), '%m/%Y') as expiry,
    {q.weighted(u('cards', 'traits', key=CNO, lane=2), ft.CARD_STATUS)} as status, {q.weighted(u('cards', 'traits', key=CNO, lane=3), ft.CARD_LIMITS)}::bigint as daily_limit
-  from (select card_no, 1+floor({u('cards', 'owner', key=CNO)}*(select count(*) from supplier)::double)::bigint as owner
-   from (select unnest(range(1, 1+(select count(*)*4//5 from supplier))) as card_no)))"""
+  from (select s_suppkey as card_no, s_suppkey as owner from supplier where s_acctbal > 0))"""
 MNO = "merchant_no"
-MERCHANTS = f"""merch as (select merchant_no, 'MERCH-' || lpad(merchant_no::varchar,4,'0') as merchant_id,
-   ({q.array(domains.FIRST_WORDS)})[1+(merchant_no-1)%20] || ' ' || ({q.array(locales.MERCHANT_KINDS)})[1+((merchant_no-1)//20)%8] as name,
+MERCHANTS = f"""merch as (select merchant_no, 'MERCH-' || lpad(merchant_no::varchar,greatest(4,length(merchant_no::varchar))::int,'0') as merchant_id,
+   c_name as name,
    {q.choice(u('merchants', key=MNO), list(ft.TX_CATEGORIES))} as category, (1000+floor({u('merchants', key=MNO, lane=1)}*8999.0::double))::int as mcc_code
-  from (select unnest(range(1, 51)) as merchant_no))"""
+  from (select row_number() over (order by c_custkey) as merchant_no, c_name from customer)),
+ mw as (select merchant_no, greatest(round_even(4294967296.0/pow(merchant_no,0.6),0),1.0)::bigint as weight from merch),
+ ms as (select merchant_no as mno, sum(weight) over (order by merchant_no)::bigint - weight as lo, sum(weight) over ()::bigint as total from mw)"""
 TNO = "tx_no"
 MU = "case category " + " ".join(f"when '{c}' then {m}.0" for c, (m, _) in ft.AMOUNTS.items()) + " end::double"
 SD = "case category " + " ".join(f"when '{c}' then {s}.0" for c, (_, s) in ft.AMOUNTS.items()) + " end::double"
@@ -147,7 +152,7 @@ TX = f"""nc as (select account_no, count(*) as n_cards from card group by 1),
     1+floor({u('transactions', 'pick', key=TNO, lane=1)}*n_cards::double)::bigint end as card_seq,
    open_date + floor({u('transactions', 'pick', key=TNO, lane=2)}*(greatest(date '2025-06-30'-open_date,0)+1)::double)::int as tx_date,
    {q.weighted(u('transactions', 'pick', key=TNO, lane=3), ft.TX_TYPES)} as tx_type,
-   1+{q.bucket_of(u('transactions', 'amount', key=TNO, lane=2), keyed.cumulative(keyed.zipf_weights(50, 0.6))[:-1])} as merchant_no from t1),
+   mno as merchant_no from (select *, floor({u('transactions', 'amount', key=TNO, lane=2)}*(select max(total) from ms)::double)::bigint as spot from t1) asof join ms on spot >= lo),
  cs as (select account_no, card_id, row_number() over (partition by account_no order by card_no) as card_seq from card),
  t3 as (select t2.*, merchant_id, name, category, card_id from t2 join merch using (merchant_no) left join cs using (account_no, card_seq)),
  t4 as (select *, trunc(least(greatest({AMT},100.0),100000.0))::bigint as amount from t3),
@@ -156,24 +161,30 @@ TX = f"""nc as (select account_no, count(*) as n_cards from card group by 1),
    name || ' - ' || upper(tx_type[1]) || tx_type[2:] as description from t4)"""
 
 
-def bank(t):
-    n = t.supplier.count()
-    return ft.generate_fintech(t.spark, SEED, n_accounts=n, n_cards=n * 4 // 5, n_merchants=50)
+def owners(t):
+    from facsimile.functions import money
+    return t.supplier.select(F.col("s_suppkey").alias("account_no"), F.col("s_name").alias("holder_name"),
+                             money.to_minor("s_acctbal").alias("opening_balance"))
 
 
-query("fintech_accounts", f"with {ACCOUNTS} select * exclude (account_no) replace (strftime(open_date,'%Y-%m-%d') as open_date) from acct")(
-    lambda t: day(ft.accounts(t.spark, t.supplier.count(), SEED).drop("account_no"), "open_date"))
-query("fintech_cards", f"with {CARDS} select * exclude (card_no, account_no) from card")(
-    lambda t: ft.cards(t.spark, t.supplier.count() * 4 // 5, t.supplier.count(), SEED).drop("card_no", "account_no"))
+def owned(t):
+    return t.supplier.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("card_no"), F.col("s_suppkey").alias("account_no"))
 
 
-@query("fintech_merchants", f"with {MERCHANTS} select s_suppkey, merchant_id, name, category, mcc_code from supplier join merch on merchant_no = s_suppkey % 50 + 1")
-def _(t):
-    merch = ft.merchants(t.spark, 50, SEED)
-    sup = t.supplier.select("s_suppkey", (F.col("s_suppkey") % 50 + 1).alias("merchant_no"))
-    return sup.join(F.broadcast(merch), "merchant_no").drop("merchant_no")  # 50 rows
+def shops(t):
+    return ordered.dense_ids(t.customer.select("c_custkey", F.col("c_name").alias("name")), ["c_custkey"], name="merchant_no").drop("c_custkey")
 
 
+def bank(t):
+    return ft.generate_fintech(t.spark, SEED, owners=owners(t), owned=owned(t), shops=shops(t))
+
+
+query("fintech_accounts", f"with {ACCOUNTS} select * exclude (account_no) replace (strftime(open_date,'%Y-%m-%d') as open_date) from acct")(
+    lambda t: day(ft.accounts(t.spark, 0, SEED, owners=owners(t)).drop("account_no"), "open_date"))
+query("fintech_cards", f"with {CARDS} select * exclude (card_no, account_no) from card")(
+    lambda t: ft.cards(t.spark, 0, 0, SEED, owned=owned(t)).drop("card_no", "account_no"))
+query("fintech_merchants", f"with {MERCHANTS} select merchant_no, merchant_id, name, category, mcc_code from merch")(
+    lambda t: ft.merchants(t.spark, seed=SEED, shops=shops(t)))
 query("fintech_transactions", f"with {ACCOUNTS}, {CARDS}, {MERCHANTS}, {TX} select * from tx")(
     lambda t: day(bank(t)["transactions"], "tx_date"))
 query("fintech_proof", "select unnest(" + q.array([c.label for c in ck.fintech_checks()]) + ') as "check", 0::bigint as violations, true as passed')(

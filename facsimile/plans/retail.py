@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facsimile.functions import keyed, money
-from facsimile.operators import domains, ordered, scale
+from facsimile.operators import domains, ordered
 from facsimile.plans.contract import Column, Contract, Relationship, Rule, Table
 from facsimile.sources import locales
 
@@ -27,9 +27,11 @@ def days_between(start: str, end: str) -> int:
 
 
 def customers(spark: SparkSession, n: int, seed: int = 42, start: str = "2023-01-01", end: str = "2025-12-31",
-              city_weights: Mapping[str, float] | None = None, locale: str = "pk") -> DataFrame:
+              city_weights: Mapping[str, float] | None = None, locale: str = "pk", people: DataFrame | None = None) -> DataFrame:
+    """``people`` (customer_id) may give the customers; else there are ``n`` new ones."""
     pack = locales.pack(locale)
-    base = spark.range(n).select((F.col("id") + FIRST_CUSTOMER).alias("customer_id"))
+    base = people.select("customer_id") if people is not None else \
+        spark.range(n).select((F.col("id") + FIRST_CUSTOMER).alias("customer_id"))
 
     def u(path: str, lane: int = 0):
         return keyed.uniform(seed, "customers", path, key="customer_id", lane=lane)
@@ -49,8 +51,10 @@ def customers(spark: SparkSession, n: int, seed: int = 42, start: str = "2023-01
                        "city", "signup_date", "segment")
 
 
-def products(spark: SparkSession, n: int = 60, seed: int = 42) -> DataFrame:
-    base = spark.range(1, n + 1).withColumnRenamed("id", "product_no")
+def products(spark: SparkSession, n: int = 60, seed: int = 42, goods: DataFrame | None = None) -> DataFrame:
+    """``goods`` (product_no from the most popular on, unit_price) may give the products; else there
+    are ``n`` new ones with drawn prices."""
+    base = goods if goods is not None else spark.range(1, n + 1).withColumnRenamed("id", "product_no")
 
     def u(path: str, lane: int = 0):
         return keyed.uniform(seed, "products", path, key="product_no", lane=lane)
@@ -60,11 +64,12 @@ def products(spark: SparkSession, n: int = 60, seed: int = 42) -> DataFrame:
         F.concat_ws(" ", keyed.choice(u("name"), domains.FIRST_WORDS), keyed.choice(u("name", 1), domains.SECOND_WORDS))
         .alias("name"),
         keyed.choice(u("name", 2), CATEGORIES).alias("category"),
-        keyed.lognormal(u("price"), u("price", 1), PRICE_LOG_MEAN, PRICE_LOG_SD, PRICE_LOW, PRICE_HIGH)
+        (F.col("unit_price").cast("bigint") if goods is not None else
+         keyed.lognormal(u("price"), u("price", 1), PRICE_LOG_MEAN, PRICE_LOG_SD, PRICE_LOW, PRICE_HIGH))
         .alias("unit_price"), "product_no")
 
 
-def order_heads(cust: DataFrame, n_customers: int, seed: int = 42, mean_orders: float = 3.2, dispersion: float = 1.4,
+def order_heads(cust: DataFrame, n_customers: int | None, seed: int = 42, mean_orders: float = 3.2, dispersion: float = 1.4,
                 end: str = "2025-12-31", status_weights: Mapping[str, float] | None = None, most: int | None = None) -> DataFrame:
     """One row per order (``most`` a customer, if given), dated between signup and the end of the period by construction."""
     cuts = keyed.negbin_cdf(mean_orders, dispersion, most)
@@ -84,7 +89,7 @@ def order_heads(cust: DataFrame, n_customers: int, seed: int = 42, mean_orders:
         keyed.weighted_choice(u(1), dict(status_weights or STATUS_WEIGHTS)).alias("status"))
 
 
-def order_items(heads: DataFrame, prods: DataFrame, n_products: int, seed: int = 42) -> DataFrame:
+def order_items(heads: DataFrame, prods: DataFrame, seed: int = 42) -> DataFrame:
     """One to five lines per order; popular products are picked more often."""
     count = keyed.uniform_int(keyed.uniform(seed, "items", "count", key="order_id"), 1, 6)
     placed = ordered.running(heads.select("order_id", count.alias("n")), ["order_id"], sums={"upto": "n"})
@@ -119,12 +124,14 @@ def generate_retail(spark: SparkSession, seed: int = 42, n_customers: int = 1000
                     mean_orders: float = 3.2, dispersion: float = 1.4, tax_rate: str = "0.18",
                     start: str = "2023-01-01", end: str = "2025-12-31",
                     status_weights: Mapping[str, float] | None = None,
-                    city_weights: Mapping[str, float] | None = None, locale: str = "pk") -> dict[str, DataFrame]:
-    """Four tables with full referential integrity; every total is computed, never drawn."""
-    cust = customers(spark, n_customers, seed, start, end, city_weights, locale)
-    prods = products(spark, n_products, seed)
-    heads = order_heads(cust, n_customers, seed, mean_orders, dispersion, end, status_weights)
-    items = order_items(heads, prods, n_products, seed)
+                    city_weights: Mapping[str, float] | None = None, locale: str = "pk",
+                    people: DataFrame | None = None, goods: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Four tables with full referential integrity; every total is computed, never drawn.  Customers
+    and products may be given (see ``customers`` and ``products``)."""
+    cust = customers(spark, n_customers, seed, start, end, city_weights, locale, people)
+    prods = products(spark, n_products, seed, goods)
+    heads = order_heads(cust, None if people is not None else n_customers, seed, mean_orders, dispersion, end, status_weights)
+    items = order_items(heads, prods, seed)
     return {"customers": cust, "products": prods.drop("product_no"),
             "orders": price_orders(heads, items, tax_rate), "order_items": items}
 

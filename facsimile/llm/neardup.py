@@ -10,10 +10,10 @@ confirmed on their full sets.
 
 Pairs inside a connected group need no further look.  A posting is therefore first joined as a star
 (each member with one member of another component, the number of rows staying that of the posting);
-a document tries its best candidate, components are formed, and this is repeated.  What is left at
-the end, members of different components under one value, is compared in full, large postings in
-blocks of signatures.  The loop ends when no untried pair of different components is left, so no link
-between components is lost.
+a document tries its best candidate, components are formed, and this is repeated.  What is left then,
+members of different components under one value, is compared in full once, large postings in blocks
+of signatures; of the agreeing pairs the documents try their best four, sixteen and so on, until no
+untried pair of different components is left.  So no link between components is lost.
 
 The threshold lies 4.6 standard deviations below the matches expected at the least similarity: a pair
 just at the limit is missed about twice in a million.
@@ -36,6 +36,8 @@ from facsimile.llm.graph import components
 from facsimile.llm.store import checked, keep, typed
 
 COORDINATES, MATCHES = 96, 53
+# Turns in which documents try star partners, before all that is left is compared.
+STAR_TURNS = 2
 # A posting of up to this many members is joined with itself; a larger one is compared in blocks.
 SMALL_POSTING = 32
 BLOCK_MEMBERS = 1024
@@ -156,9 +158,9 @@ def remaining_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame,
         first, second = np.flatnonzero(side == i), np.flatnonzero(side == j)
         out: list[tuple[int, int, int]] = []
         for x in first:
-            agree = (values[second] == values[x]).sum(axis=1)
-            hit = second[(agree >= matches) & (group[second] != group[x]) & ((i != j) | (nodes[second] > nodes[x]))]
-            out += [(min(nodes[x], nodes[y]), max(nodes[x], nodes[y]), int((values[x] == values[y]).sum())) for y in hit]
+            others = second[(group[second] != group[x]) & ((i != j) | (nodes[second] > nodes[x]))]
+            agree = (values[others] == values[x]).sum(axis=1)
+            out += [(min(nodes[x], nodes[y]), max(nodes[x], nodes[y]), int(n)) for y, n in zip(others, agree) if n >= matches]
         return pd.DataFrame(out, columns=["a", "b", "agree"]).astype({"a": "int64", "b": "int64", "agree": "int32"})
 
     blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
@@ -166,10 +168,17 @@ def remaining_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame,
     cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j")))
     dealt = many.withColumn("own", own).select("key", "node", "component", "own", F.explode(cells).alias("cell")) \
         .select("key", "node", "component", "own", "cell.*").join(classes.select("node", "signature"), "node")
-    blocked = dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long, agree int")
+    tasks = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64)  # few rows, but much work each
+    blocked = dealt.repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long, agree int")
     return found.unionByName(blocked).distinct()
 
 
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components."""
+    ends = [labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
+    return pairs.join(ends[0], "a").join(ends[1], "b").where("ca <> cb").select("a", "b", "agree")
+
+
 def best_each(pairs: DataFrame, most: int) -> DataFrame:
     """The pairs that are among the ``most`` best of one of their ends."""
     ends = [pairs.select("a", "b", "agree", F.col(c).alias("node"), F.col(d).alias("other")) for c, d in ("ab", "ba")]
@@ -231,22 +240,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, matches:
         busy = keep(classes.join(nodes, "node"), "posted-signatures")
         sets = full_sets(docs, busy.select("node", "h1", "h2"), width)
         tried = links = spark.createDataFrame([], "a long, b long")
-        for turn in range(1 << 20):
-            stars = turn < 3
-            open_pairs = agreeing(star_pairs(postings, labels), busy, matches) if stars \
-                else remaining_pairs(postings, labels, busy, matches)
-            chosen = keep(best_each(open_pairs.join(tried, ["a", "b"], "left_anti"), 1 if stars else 4), "chosen")
+
+        def connect(open_pairs: DataFrame, most: int) -> bool:
+            """Confirms the best untried pairs and forms components anew; False if there are none."""
+            nonlocal tried, links, labels
+            chosen = keep(best_each(open_pairs.join(tried, ["a", "b"], "left_anti"), most), "chosen")
             if chosen.isEmpty():
-                if stars:
-                    continue
-                break
+                return False
             tried = tried.unionByName(chosen)
             new = keep(confirmed(chosen, sets, percent), "confirmed")
-            if new.isEmpty():
-                continue
-            links = links.unionByName(new)
-            grouped = components(links)
-            labels = keep(nodes.join(grouped, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                labels = keep(nodes.join(components(links), "node", "left")
+                              .select("node", F.coalesce("component", "node").alias("component")), "labels")
+            return True
+
+        for _ in range(STAR_TURNS):
+            if not connect(agreeing(star_pairs(postings, labels), busy, matches), 1):
+                break
+        rest, most = keep(remaining_pairs(postings, labels, busy, matches), "remaining"), 4
+        while connect(apart(rest, labels), most):
+            most *= 4
     found = labels.select("node", "component")
     return members.join(found, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id")) \

@@ -218,18 +218,19 @@ def cu(col, lane=0):
     return u("contract", "tickets", col, key="row_no", lane=lane)
 
 
-@query("synthesize_from_contract", f"""with r as (select unnest(range(0, (select count(*) from customer))) as row_no),
+@query("synthesize_from_contract", f"""with r as (select c_custkey as row_no, lower(c_mktsegment) as channel from customer),
  cal as (select unnest(generate_series(date '2024-01-01', date '2024-12-31', interval 1 day))::date as d),
  w as (select d, {day_weight_sql('d')} as weight from cal), s as (select d, weight, sum(weight) over (order by d)::bigint as hi from w),
  od as (select row_no, d from (select row_no, floor({cu('opened')}*(select max(hi) from s)::double)::bigint as spot from r) o
    asof join (select hi-weight as lo, d from s) x on o.spot >= x.lo)
- select row_no + 10001 as ticket_id, {q.weighted(cu('channel'), {'web': 5, 'phone': 3, 'shop': 2})} as channel, {cu('urgent')} < 0.2::double as urgent,
+ select row_no + 10001 as ticket_id, channel, {cu('urgent')} < 0.2::double as urgent,
   case when {u('contract', 'tickets', 'rating', 'null', key='row_no')} >= 0.1::double then {q.rint(f"1.0::double+{cu('rating')}*4.0::double")}::bigint end as rating,
   round(5.0::double+{cu('fare_amount')}*145.0::double, 6) as fare_amount, {q.rint(f"10.0::double+{cu('cost')}*80.0::double")}::bigint as cost,
   strftime(d,'%Y-%m-%d') as opened, {q.choice(u('fictional', 'gender', key='row_no'), ['Male', 'Female', 'Other'])} as gender,
   'https://example.com/' || lpad(row_no::varchar,5,'0') as website from r join od using (row_no)""")
 def _(t):
-    out = gen.synthesize_from_contract(t.spark, TICKETS, t.customer.count(), SEED)
+    given = t.customer.select(F.col("c_custkey").alias("row_no"), F.lower("c_mktsegment").alias("channel"))
+    out = gen.synthesize_from_contract(t.spark, TICKETS, seed=SEED, given=given)
     return day(out, "opened").withColumn("fare_amount", F.round("fare_amount", 6))
 
 
@@ -242,29 +243,33 @@ SHOP = ct.Contract("shop", (
              primary_key="store_id")))
 
 
-@query("generate_from_contract", f"""with st as (select unnest(range(0, (select count(*) from supplier))) as row_no),
- v as (select unnest(range(0, (select count(*) from orders))) as row_no),
- vv as (select row_no + 1 as visit_id, 100 + 1 + floor({u('fk', 'visits', 'store_id', key='row_no')}*(select count(*) from supplier)::double)::bigint as store_id,
-   {q.rint(f"1.0::double+{u('contract', 'visits', 'spend', key='row_no')}*499.0::double")}::bigint as spend from v)
+def shop_rows(t):
+    from facsimile.functions import money
+    return {"stores": t.supplier.select(F.col("s_suppkey").alias("row_no")),
+            "visits": t.orders.select(F.col("o_orderkey").alias("row_no"), money.to_minor("o_totalprice").alias("spend"))}
+
+
+@query("generate_from_contract", f"""with st as (select s_suppkey as row_no, row_number() over (order by s_suppkey) - 1 as place from supplier),
+ vv as (select floor({u('fk', 'visits', 'store_id', key='o_orderkey')}*(select count(*) from supplier)::double)::bigint as place,
+   {MINOR.format('o_totalprice')} as spend from orders)
  select s.row_no + 101 as store_id, {q.weighted(u('fictional', 'city', key='row_no'), locales.CITIES['us'])} as city,
-  coalesce((select sum(spend) from vv where vv.store_id = s.row_no + 101),0)::bigint as takings from st s""")
+  coalesce((select sum(spend) from vv where vv.place = s.place),0)::bigint as takings from st s""")
 def _(t):
-    rows = {"stores": t.supplier.count(), "visits": t.orders.count()}
-    return gen.generate_from_contract(t.spark, SHOP, rows, SEED)["stores"]
+    return gen.generate_from_contract(t.spark, SHOP, seed=SEED, given=shop_rows(t))["stores"]
 
 
 @query("contract_link_proof", f"""select unnest({q.array(['visits.store_id has no matching stores.store_id', 'visits.visit_id primary_key',
   'visits.visit_id not_null', 'stores.store_id primary_key', 'stores.store_id not_null'])}) as "check", 0::bigint as violations, true as passed""")
 def _(t):
-    tables = gen.generate_from_contract(t.spark, SHOP, {"stores": t.supplier.count(), "visits": t.orders.count()}, SEED)
+    tables = gen.generate_from_contract(t.spark, SHOP, seed=SEED, given=shop_rows(t))
     return ck.prove(tables, ck.link_checks(SHOP.links()) + ck.contract_checks(SHOP.constraints())).drop("error")
 
 
-@query("preview", f"""with r as (select unnest(range(0, least(50, (select count(*) from customer)))) as row_no)
- select row_no + 10001 as ticket_id, {q.weighted(cu('channel'), {'web': 5, 'phone': 3, 'shop': 2})} as channel from r""")
+@query("preview", f"""select c_custkey + 10001 as ticket_id, lower(c_mktsegment) as channel from customer order by c_custkey limit 50""")
 def _(t):
-    table = ct.Table("tickets", TICKETS.columns[:2], rows=t.customer.count(), primary_key="ticket_id")
-    return gen.preview(t.spark, ct.Contract("p", (table,)), 50, SEED)["tickets"]
+    table = ct.Table("tickets", TICKETS.columns[:2], primary_key="ticket_id")
+    given = t.customer.select(F.col("c_custkey").alias("row_no"), F.lower("c_mktsegment").alias("channel"))
+    return gen.preview(t.spark, ct.Contract("p", (table,)), 50, SEED, {"tickets": given})["tickets"]
 
 
 HINTS = {"gender": fic.CLOSED[0][1], "order_status": fic.CLOSED[1][1], "visit_reason": fic.CLOSED[2][1],

@@ -6,6 +6,7 @@ third of the rows travels as one row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -224,3 +225,26 @@ def run_rules(tables: Dataset, rules: Sequence[Check]) -> DataFrame:
     sev = {r.label: r.severity for r in rules}
     mapping = F.create_map(*[x for k, v in sev.items() for x in (F.lit(k), F.lit(v))])
     return out.withColumn("severity", F.element_at(mapping, F.col("check")))
+
+
+ROLLUP_RULE = re.compile(r"(\w+)\.(\w+) == (sum|count|min|max|avg)\((\w+)\.(\w+) by (\w+)\)")
+REF_RULE = re.compile(r"(\w+)\.(\w+) in (\w+)\.(\w+)")
+
+
+def declared_rules(rules: Sequence, keys: Mapping[str, str]) -> list[Check]:
+    """A contract's rules as checks.  ``t.x == sum(c.y by k)`` compares a stored roll-up, ``c.k in p.k``
+    looks a reference up, anything else is a condition over the rows of one table, whose name its
+    columns carry.  ``keys`` names each table's key."""
+    out = []
+    for r in rules:
+        if m := ROLLUP_RULE.fullmatch(r.expr):
+            parent, stored, operation, child, part, fk = m.groups()
+            out.append(rollup_rule(r.id, parent, keys[parent], stored, child, fk, part, operation, r.severity))
+        elif m := REF_RULE.fullmatch(r.expr):
+            out.append(ref_rule(r.id, *m.groups(), r.severity))
+        else:
+            table = next((t for t in keys if re.search(rf"\b{t}\.", r.expr)), None)
+            if table is None:
+                raise ValueError(f"rule {r.id} names no table")
+            out.append(row_rule(r.id, table, re.sub(rf"\b{table}\.(\w+)", r"`\1`", r.expr), r.severity))
+    return out

@@ -73,7 +73,8 @@ def execute_run(spark: SparkSession, contract: Contract, config: RunConfig, fold
     def prove() -> list[dict]:
         todo = packs.pack(config.pack)["checks"]() if config.pack else []
         todo = todo + checks.link_checks(contract.links(tables)) + checks.contract_checks(contract.constraints())
-        return [r.asDict() for r in checks.prove(tables, todo, spark).collect()]  # one row per check
+        rules = checks.declared_rules(contract.rules, {t.name: t.key for t in contract.tables})
+        return [r.asDict() for r in checks.run_rules(tables, [*todo, *rules]).collect()]  # one row per check
 
     results = timed("validate", prove)
     prints = {n: writers.fingerprint(d).first().asDict() for n, d in tables.items()}

@@ -140,8 +140,8 @@ def test_repair_unique(spark):
     df = spark.createDataFrame([(1, 5, "a"), (2, 5, "a"), (3, 6, None), (4, 5, "a_1"), (5, None, None)], "id int, n int, s string")
     out, warn = degrade.enforce_constraints(df, [{"type": "unique", "column": "n"}, {"type": "unique", "column": "s"}], "id")
     rows = [tuple(r) for r in out.orderBy("id").collect()]
-    assert rows == [(1, 5, "a"), (2, 7, "a_1"), (3, 6, None), (4, 8, "a_1"), (5, None, None)]
-    assert warn == ["s: 1 duplicates remain after repair"]
+    assert rows == [(1, 5, "a"), (2, 7, "a_2"), (3, 6, None), (4, 8, "a_1"), (5, None, None)]
+    assert not warn
 
 
 def test_invoices_reconcile(spark):
@@ -308,3 +308,65 @@ def test_locales(spark):
     for code in locales.available():
         assert abs(sum(locales.CITIES[code].values()) - 1) < 0.011
     assert domains.vocab_bank(spark, "city", 700).select("word").distinct().count() == 700
+
+
+def test_contract_does_what_it_declares(spark):
+    """Relationship counts, N:N pairs, missing values, outliers and rules."""
+    c = ct.Contract("club", (
+        ct.Table("members", (ct.Column("member_id", "id", start=1), ct.Column("age", "int", minimum=18, maximum=60)), rows=200,
+                       primary_key="member_id"),
+        ct.Table("courses", (ct.Column("course_id", "id", start=1), ct.Column("title", "text")), rows=7, primary_key="course_id"),
+        ct.Table("bookings", (ct.Column("booking_id", "id", start=1), ct.Column("member_id", "fk", False),
+                                    ct.Column("course_id", "fk", False)), primary_key="booking_id"),
+        ct.Table("visits", (ct.Column("visit_id", "id", start=1), ct.Column("member_id", "fk", False),
+                                  ct.Column("minutes", "int", minimum=10, maximum=90), ct.Column("note", "text")), primary_key="visit_id",
+                       missing=ct.Missingness(per_column={"note": 0.4}, mechanism="MAR", driver="minutes"),
+                       outliers=ct.Outliers(rate=0.05, factor=10.0))),
+        (ct.Relationship("members", "bookings", cardinality="N:N", dist="fixed", mean_children=5, max_children=5),
+         ct.Relationship("members", "visits", mean_children=4, min_children=1, max_children=30)),
+        (ct.Rule("member known", "visits.member_id in members.member_id"), ct.Rule("adult", "members.age >= 18"),
+         ct.Rule("short", "visits.minutes <= 90", "warn")))
+    t = generate.generate_from_contract(spark, c, seed=5)
+    booked = t["bookings"].groupBy("member_id").agg(F.count("*").alias("n"), F.count_distinct("course_id").alias("d")).collect()
+    assert len(booked) == 200 and all(r["n"] == 5 and r["d"] == 5 for r in booked)
+    visits = t["visits"].groupBy("member_id").count().collect()
+    assert len(visits) == 200 and 1 <= min(r["count"] for r in visits) and 3 < sum(r["count"] for r in visits) / 200 < 5
+    half = t["visits"].groupBy((F.col("minutes") > 50).alias("long")).agg(F.avg(F.col("note").isNull().cast("double")).alias("gone")).collect()
+    gone = {r["long"]: r["gone"] for r in half}
+    assert 0.05 < gone[False] < gone[True] < 0.95
+    rules = checks.declared_rules(c.rules, {x.name: x.key for x in c.tables})
+    out = {r["check"]: r for r in checks.run_rules(t, rules).collect()}
+    assert out["member known"]["passed"] and out["adult"]["passed"] and out["short"]["violations"] > 0 and out["short"]["severity"] == "warn"
+    broken = {**t, "members": t["members"].filter("member_id > 3")}
+    assert checks.run_rules(broken, rules).filter("check = 'member known'").first()["violations"] > 0
+
+
+def test_given_rows_are_taken_over(spark):
+    t = ct.Table("t", (ct.Column("t_id", "id", start=1), ct.Column("city", "text"), ct.Column("n", "int")))
+    given = spark.createDataFrame([(3, "Ghent"), (9, None)], "row_no long, city string")
+    got = sorted(tuple(r)[:2] for r in generate.synthesize_from_contract(spark, t, given=given).collect())
+    assert got == [(4, "Ghent"), (10, None)]
+
+
+def test_run_time_errors_stay_with_their_check(spark):
+    t = {"a": spark.createDataFrame([("1",), ("x",)], "v string")}
+    out = {r["check"]: r for r in checks.prove(t, [
+        checks.row_check("fails", "a", lambda: F.col("v").cast("int") < 0), checks.row_check("fine", "a", lambda: F.col("v") == "x")], spark).collect()}
+    assert out["fails"]["violations"] == -1 and out["fails"]["error"] and out["fine"]["violations"] == 1
+
+
+def test_repairs_meet_no_existing_value(spark):
+    text = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a_1"), (4, None), (5, "a_1"), (6, "b_7")], "k int, v string")
+    got = [r["v"] for r in degrade.repair_unique(text, "v", "k").collect() if r["v"]]
+    assert len(got) == len(set(got)) == 5
+    top = spark.createDataFrame([(1, 127), (2, 127), (3, 5)], "k int, v tinyint")
+    got = [r["v"] for r in degrade.repair_unique(top, "v", "k").collect()]
+    assert len(set(got)) == 3
+
+
+def test_invoices_with_more_lines_than_products(spark):
+    heads = invoices.invoice_heads(spark, 4, "2025-06-30")
+    lines = invoices.invoice_lines(heads, 50)
+    assert lines.groupBy("invoice_no").count().filter("count <> 50").count() == 0
+    first = lines.filter(F.col("line_no") <= len(invoices.PRODUCTS)).groupBy("invoice_no").agg(F.count_distinct("description").alias("d"))
+    assert all(r["d"] == len(invoices.PRODUCTS) for r in first.collect())

@@ -116,6 +116,20 @@ def flat(p: DataFrame) -> DataFrame:
                     *[F.element_at("quantiles", i + 1).alias(n) for i, n in enumerate(names) if n])
 
 
+@query("profile_to_contract", """with s as (select min(c_nationkey) a, max(c_nationkey) b, min(c_acctbal) c, max(c_acctbal) d, min(c_custkey) e, max(c_custkey) f,
+  count(distinct c_mktsegment) <= greatest(20, floor(0.05*count(*))) as few from customer)
+ select 'c_custkey' as "column", 'id' as kind, true as is_unique, 'none' as pii, 'keep' as action, e::double as low, f::double as high from s
+ union all select 'c_name', 'text', false, 'direct', 'synthetic', null, null
+ union all select 'c_nationkey', 'int', false, 'none', 'keep', a, b from s
+ union all select 'c_acctbal', 'num', false, 'none', 'keep', c, d from s
+ union all select 'c_mktsegment', case when few then 'cat' else 'text' end, false, 'none', 'keep', null, null from s""")
+def _(t):
+    from facsimile.plans import contract
+    made = contract.from_profile(pf.profile(t.customer).collect(), "customer")  # one row per column
+    return t.spark.createDataFrame([(c.name, c.kind, c.unique, c.pii, c.privacy_action, c.minimum, c.maximum) for c in made.columns],
+                                   "column string, kind string, is_unique boolean, pii string, action string, low double, high double")
+
+
 PKS = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_extendedprice", "part": "p_partkey", "events": "event_id",
        "documents": "doc_id"}
 

@@ -126,9 +126,28 @@ class CopulaModel:
     corr: list[list[float]] = field(default_factory=list)
     domains: dict[str, domains.Spans] = field(default_factory=dict, repr=False)
 
+    def save(self, spark: SparkSession, folder: str) -> None:
+        """Write the model to a folder: one JSON text, and a table for each long category list."""
+        names = list(self.domains)
+        facts = {c: {"place": i, "total": self.domains[c].total, "size": self.domains[c].size} for i, c in enumerate(names)}
+        inline = CopulaModel(self.cols, self.kinds, self.null_rate, self.marginals, self.corr)
+        text = json.dumps({"model": inline.to_json(), "domains": facts})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/model")
+        for i, c in enumerate(names):
+            self.domains[c].table.select("value", "lo", "hi").write.mode("overwrite").parquet(f"{folder}/domain-{i}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> CopulaModel:
+        d = json.loads(spark.read.text(f"{folder}/model", wholetext=True).first()["value"])
+        out = cls.from_json(d["model"])
+        out.domains = {c: domains.Spans(spark.read.parquet(f"{folder}/domain-{f['place']}"), f["total"], f["size"])
+                       for c, f in d["domains"].items()}
+        return out
+
     def to_json(self) -> str:
+        """The model as one text; one with table-sized category lists is saved by ``save``."""
         if self.domains:
-            raise ValueError("a model with table-sized category domains cannot be written as one JSON text")
+            raise ValueError("a model with table-sized category lists is written by save()")
         return json.dumps({k: getattr(self, k) for k in ("cols", "kinds", "null_rate", "marginals", "corr")})
 
     @classmethod

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from facsimile.functions import keyed
-from facsimile.operators import (checks, copula, degrade, domains, edge, invoices, scale, score, statements,
-                                 strategies)
+from facsimile.operators import (checks, copula, degrade, domains, edge, invoices, ordered, scale, score,
+                                 statements, strategies)
 from facsimile.plans import contract as ct
 from facsimile.plans import fintech, generate, packs, retail, run
 from facsimile.plans.synthesize import synthesize
@@ -370,3 +370,47 @@ def test_invoices_with_more_lines_than_products(spark):
     assert lines.groupBy("invoice_no").count().filter("count <> 50").count() == 0
     first = lines.filter(F.col("line_no") <= len(invoices.PRODUCTS)).groupBy("invoice_no").agg(F.count_distinct("description").alias("d"))
     assert all(r["d"] == len(invoices.PRODUCTS) for r in first.collect())
+
+
+def test_models_with_long_category_lists_are_saved(spark, tmp_path):
+    df = spark.range(900).selectExpr("id", "concat('c', id % 300) as c", "id % 7 as n")
+    model = copula.fit(df, {"c": "cat", "n": "int"}, "id")
+    assert "c" in model.domains
+    model.save(spark, str(tmp_path))
+    again = copula.CopulaModel.load(spark, str(tmp_path))
+    a, b = (sorted(map(tuple, copula.sample(spark, m, 200).collect())) for m in (model, again))
+    assert a == b and len({r[1] for r in a}) > 50
+
+
+def test_make_psd_mends_a_matrix_that_is_not_positive():
+    import numpy as np
+    bad = np.array([[1.0, 0.9, -0.9], [0.9, 1.0, 0.9], [-0.9, 0.9, 1.0]])
+    assert np.linalg.eigvalsh(bad).min() < 0
+    good = copula.make_psd(bad)
+    assert np.linalg.eigvalsh(good).min() > -1e-9 and np.allclose(np.diag(good), 1) and np.allclose(good, good.T)
+    same = copula.make_psd(np.array([[1.0, 0.3], [0.3, 1.0]]))
+    assert np.allclose(same, [[1, 0.3], [0.3, 1]]) and np.isfinite(copula.make_psd(np.array([[1.0, np.nan], [np.nan, 1.0]]))).all()
+
+
+def test_booleans_in_all_spellings(spark):
+    df = spark.createDataFrame([("y",), ("n",), ("T",), ("f",), ("yes",), ("0",), (None,)], "v string")
+    got = [r[0] for r in df.select(copula.to_numeric(F.col("v"), "bool", df.schema["v"].dataType)).collect()]
+    assert got == [1.0, 0.0, 1.0, 0.0, 1.0, 0.0, None]
+
+
+def test_null_groups_stay_apart_from_text(spark):
+    from facsimile.operators import risk
+    df = spark.createDataFrame([(None, 1), ("<null>", 2)], "q string, s int")
+    assert risk.k_anonymity(df, ["q"]).first()["total_groups"] == 2
+
+
+def test_repeated_keys_do_not_stop_exact_draws(spark):
+    df = spark.range(30_000).selectExpr("0.25D as u", "id % 3 as k")
+    assert ordered.rank_cutoffs(df, "u", "k", [5, 15_000, 29_999]) == [(0.25, 0), (0.25, 1), (0.25, 2)]
+
+
+def test_key_scores_take_neighbours_in_order(spark):
+    from facsimile.operators import keys
+    df = spark.createDataFrame([(0, 0.5), (1, 1.5), (2, 1.7), (4, 2.5), (5, 3.5)], "a long, b double")
+    got = {r["column"]: round(r["sequential_rate"], 6) for r in keys.key_scores(df).collect()}
+    assert got == {"a": 0.75, "b": 0.5}

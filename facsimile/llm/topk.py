@@ -11,7 +11,8 @@ queries to query groups; a cell holds a bounded number of both and walks its blo
 short, stopping where no query can gain.  A cell returns k rows a query, which are then merged.
 
 Vectors that are null or hold null or non-finite components, and rows without an id, take no part.
-Shorter vectors count as filled up with zeros.  Rows that repeat an id are candidates each; a repeated
+Shorter vectors count as filled up with zeros.  Scores are exact while they fit in 63 bits; beyond
+that they are cut to the range of a long.  Rows that repeat an id are candidates each; a repeated
 query is answered once, for the least of its vectors.  Ties go to the smaller id.
 """
 
@@ -85,8 +86,8 @@ def packed(rows: DataFrame, parts: int, dims: int, scale: float, by_length: bool
 class Best:
     """The k best (score, id) of every query of a cell."""
 
-    def __init__(self, n: int, k: int):
-        self.k, self.score = k, np.full((n, k), -np.inf)
+    def __init__(self, n: int, k: int, exact: type):
+        self.k, self.score = k, np.full((n, k), -np.inf, dtype=exact)
         self.id = np.full((n, k), np.iinfo(np.int64).max, dtype=np.int64)
 
     def worst(self) -> np.ndarray:
@@ -109,13 +110,16 @@ class Best:
         self.id[q[top], place[top]] = i[top]
 
 
-def search_cell(q_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[float, np.ndarray, np.ndarray]], turn: np.ndarray, k: int) -> Best:
-    """``blocks``: (longest, ids, vectors) from long to short."""
+def search_cell(q_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[float, np.ndarray, np.ndarray]], turn: np.ndarray, k: int,
+                exact: type = np.float64) -> Best:
+    """``blocks``: (longest, ids, vectors) from long to short.  ``exact`` is a float type that holds
+    every score."""
     head = max(1, int(queries.shape[1] * HEAD))
     q_turned = queries @ turn
     q_length = np.sqrt((queries ** 2).sum(axis=1))
     q_rest = np.sqrt((q_turned[:, head:] ** 2).sum(axis=1))
-    best = Best(len(queries), k)
+    best = Best(len(queries), k, exact)
+    whole = queries.astype(exact)
     for longest, ids, x in blocks:
         slack = 1e-9 * q_length * longest + 1e-6
         live = np.flatnonzero(q_length * longest + slack >= best.worst())
@@ -126,7 +130,7 @@ def search_cell(q_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[float
         bound = q_turned[live, :head] @ turned[:, :head].T + q_rest[live, None] * rest + slack[live, None]
         open_pairs = bound >= best.worst()[live, None]
         if open_pairs.mean() > 0.1:
-            score = queries[live] @ x.T
+            score = whole[live] @ x.T.astype(exact)
             score[queries_own(q_ids[live], ids)] = -np.inf
             if x.shape[0] > k:  # what lies below the block's own k-th best can't matter either
                 floor = np.maximum(best.worst()[live], np.partition(score, -k, axis=1)[:, -k])
@@ -136,7 +140,7 @@ def search_cell(q_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[float
             got = score[a, b]
         else:
             a, b = np.nonzero(open_pairs & ~queries_own(q_ids[live], ids))
-            got = np.einsum("ij,ij->i", queries[live[a]], x[b])
+            got = (whole[live[a]] * x[b]).sum(axis=1)
         best.add(live[a], got, ids[b])
     return best
 
@@ -159,8 +163,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     if not size["asked"] or not size["dims"]:
         return spark.createDataFrame([], out)
     dims = size["dims"]
-    if dims * (scale * size["peak"] + 1) ** 2 >= 2 ** 53:
-        raise ValueError("components too large for exact scores in doubles; use a smaller scale")
+    exact = np.float64 if dims * (scale * size["peak"] + 1) ** 2 < 2 ** 53 else np.longdouble  # 53 and 64 bits
     turn = rotation(rows, dims, scale)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     block_groups = max(-(-size["n"] // CELL_ROWS), min(tasks, -(-size["n"] // BLOCK_ROWS)))
@@ -181,9 +184,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
         q_ids = np.concatenate([np.frombuffer(b, dtype="int64") for b in asked.ids])
         queries = np.concatenate([np.frombuffer(b).reshape(-1, dims) for b in asked.vectors])
         parts = [(r.longest, np.frombuffer(r.ids, dtype="int64"), np.frombuffer(r.vectors).reshape(-1, dims)) for r in some.itertuples()]
-        best = search_cell(q_ids, queries, parts, turn, k)
+        best = search_cell(q_ids, queries, parts, turn, k, exact)
         a, b = np.nonzero(np.isfinite(best.score))
-        return pd.DataFrame(dict(zip(names, (q_ids[a], best.id[a, b], best.score[a, b].astype("int64")))))
+        scores = best.score[a, b]
+        if exact is not np.float64:
+            scores = np.array([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in scores], dtype="int64")
+        return pd.DataFrame(dict(zip(names, (q_ids[a], best.id[a, b], scores.astype("int64")))))
 
     found = left.groupBy("qg", "bg").cogroup(right.groupBy("qg", "bg")).applyInPandas(cell, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

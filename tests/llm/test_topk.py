@@ -48,6 +48,14 @@ def test_few_rows(spark):
     assert [tuple(r) for r in got] == [(0, 1, 1, -512 * 256)]
 
 
+def test_large_components(spark):
+    rows = [(i, [rnd.uniform(-9e4, 9e4) for _ in range(3)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == plain(rows, 5, 50)
+    huge = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [-1e30, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(huge).collect()] == [(0, 1, 1, 2**63 - 1), (0, 2, 2, -2**63)]
+
+
 def test_oracle(spark):
     ok, note = compare.compare(spark, compare.connect(SMALL), "op5_top_k", SMALL)
     assert ok, note

@@ -9,7 +9,7 @@ gets the same rows, and a group that holds a third of the table is simply cut in
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -192,58 +192,65 @@ def format_id(idx: Column | str, prefix: str, width: int) -> Column:
 
 
 def rank_cutoffs(df: DataFrame, u: str, key: str, ranks: Sequence[int]) -> list[tuple | None]:
-    """For each rank r, the (u, key) of the r-th smallest row (None when r = 0 or r > rows).
+    """For each rank r, the (u, key) of the r-th smallest row (None when r = 0 or r > rows)."""
+    found = rank_cutoffs_of(df, {u: ranks}, key)[u]
+    return [found.get(r) if r > 0 else None for r in ranks]
+
+
+def rank_cutoffs_of(df: DataFrame, ranks: Mapping[str, Sequence[int]], key: str) -> dict[str, dict[int, tuple | None]]:
+    """``rank_cutoffs`` for several columns of draws at once.
 
-    Works on a histogram of u in [0, 1) that is refined around each rank until the interval is
-    small enough to sort on the driver: no table-wide sort, no wide rows moved.  Where many rows have
-    one u (a repeated key), the interval can't shrink; those rows are numbered by key instead.
+    Works on histograms of the columns in [0, 1) that are refined around each rank until the interval
+    is small enough to sort on the driver: no table-wide sort, no wide rows moved.  A level of refining
+    is one pass for all columns together, and so is the last look at the small intervals.  Where many
+    rows have one u (a repeated key), the interval can't shrink; those rows are numbered by key instead.
     """
-    small = 10_000
-    probe = df.select(u, key)
-    total = None
-    found: dict[int, tuple | None] = {}
-
-    def refine(lo: float, hi: float, base: int, wanted: list[int]) -> None:
-        nonlocal total
-        bins = 2048
-        width = (hi - lo) / bins
-        part = probe.filter((F.col(u) >= lo) & (F.col(u) < hi))
-        b = F.least(F.floor((F.col(u) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-        hist = {r["b"]: r["n"] for r in part.groupBy(b.alias("b")).agg(F.count("*").alias("n")).collect()}
-        if total is None:
-            total = sum(hist.values())
-            for r in wanted:
-                if r > total:
-                    found[r] = None
-            wanted = [r for r in wanted if r <= total]
-        run, todo = base, {}
-        for i in range(bins):
-            nxt = run + hist.get(i, 0)
-            hits = [r for r in wanted if run < r <= nxt]
-            if hits:
-                todo[i] = (run, nxt - run, hits)
-            run = nxt
-        near = {i: t for i, t in todo.items() if t[1] <= small}
-        if near:
-            picked = part.filter(b.isin(list(near))).orderBy(u, key)
-            by_bin: dict[int, list] = {}
-            for row in picked.select(b.alias("b"), u, key).collect():
-                by_bin.setdefault(row["b"], []).append((row[1], row[2]))
-            for i, (start, _, hits) in near.items():
-                for r in hits:
-                    found[r] = sorted(by_bin[i])[r - start - 1]
-        for i, (start, cnt, hits) in todo.items():
-            if cnt > small and width > 1e-15:
-                refine(lo + i * width, lo + (i + 1) * width, start, hits)
-            elif cnt > small:
-                placed = running(part.filter(b == i), [u, key], row_number="__place")
-                for row in placed.filter(F.col("__place").isin([r - start for r in hits])).select("__place", u, key).collect():
-                    found[row[0] + start] = (row[1], row[2])
-
-    wanted = sorted({r for r in ranks if r > 0})
-    if wanted:
-        refine(0.0, 1.0, 0, wanted)
-    return [found.get(r) if r > 0 else None for r in ranks]
+    bins, small = 2048, 4096
+    found: dict[str, dict[int, tuple | None]] = {u: {} for u in ranks}
+    active = [(u, 0.0, 1.0, 0, sorted({r for r in rs if r > 0})) for u, rs in ranks.items()]
+    active = [a for a in active if a[4]]
+    near: list[tuple] = []
+
+    def bin_of(u: str, lo: float, width: float) -> Column:
+        return F.least(F.floor((F.col(u) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+
+    def inside(u: str, lo: float, hi: float) -> Column:
+        return (F.col(u) >= lo) & (F.col(u) < hi)
+
+    while active:
+        cells = [F.when(inside(u, lo, hi), F.struct(F.lit(i).alias("i"), bin_of(u, lo, (hi - lo) / bins).alias("b")))
+                 for i, (u, lo, hi, _, _) in enumerate(active)]
+        hist: dict[int, dict[int, int]] = {}
+        counts = df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy("c.i", "c.b").agg(F.count("*").alias("n"))
+        for r in counts.collect():  # at most 2048 rows an interval
+            hist.setdefault(r["i"], {})[r["b"]] = r["n"]
+        deeper = []
+        for i, (u, lo, hi, base, wanted) in enumerate(active):
+            width, run = (hi - lo) / bins, base
+            for b in sorted(hist.get(i, {})):
+                n = hist[i][b]
+                hits = [r for r in wanted if run < r <= run + n]
+                if hits and n <= small:
+                    near.append((u, lo, hi, b, run, hits))
+                elif hits and width > 1e-15:
+                    deeper.append((u, lo + b * width, lo + (b + 1) * width, run, hits))
+                elif hits:
+                    rows = df.select(u, key).filter(inside(u, lo, hi) & (bin_of(u, lo, width) == b))
+                    placed = running(rows, [u, key], row_number="__place").filter(F.col("__place").isin([r - run for r in hits]))
+                    found[u].update({r["__place"] + run: (r[u], r[key]) for r in placed.collect()})
+                run += n
+        active = deeper
+    if near:
+        picks = [F.when(inside(u, lo, hi) & (bin_of(u, lo, (hi - lo) / bins) == b),
+                        F.struct(F.lit(p).alias("p"), F.col(u).alias("u"), F.col(key).alias("k")))
+                 for p, (u, lo, hi, b, _, _) in enumerate(near)]
+        rows: dict[int, list] = {}
+        for r in df.select(F.explode(F.array_compact(F.array(*picks))).alias("c")).select("c.*").collect():
+            rows.setdefault(r["p"], []).append((r["u"], r["k"]))
+        for p, (u, _, _, _, run, hits) in enumerate(near):
+            ordered = sorted(rows[p])
+            found[u].update({r: ordered[r - run - 1] for r in hits})
+    return found
 
 
 def within(u: Column | str, key: Column | str, cutoff: tuple | None, default: bool) -> Column:
@@ -261,12 +268,24 @@ def rank_band(df: DataFrame, u: Column, key: str, edges: Sequence[int]) -> Colum
     ``edges`` are cumulative sizes: [3, 5] puts ranks 1-3 in band 1 and 4-5 in band 2.  Ranks follow
     (u, key); the result is an expression, so nothing is joined or sorted.
     """
-    cuts = rank_cutoffs(df.select(u.alias("__u"), F.col(key).alias("__k")), "__u", "__k", edges)
-    out = None
-    for i, (edge, c) in enumerate(zip(edges, cuts, strict=True), start=1):
-        hit = within(u, key, c, default=edge > 0)
-        out = F.when(hit, F.lit(i)) if out is None else out.when(hit, F.lit(i))
-    return out.otherwise(F.lit(0)) if out is not None else F.lit(0)
+    return rank_bands(df, {"u": (u, edges)}, key)["u"]
+
+
+def rank_bands(df: DataFrame, draws: Mapping[str, tuple[Column, Sequence[int]]], key: str) -> dict[str, Column]:
+    """``rank_band`` for several draws, looked for in the same passes over ``df``."""
+    if not draws:
+        return {}
+    names = {n: f"__u{i}" for i, n in enumerate(draws)}
+    looked = df.select(*[draws[n][0].alias(c) for n, c in names.items()], F.col(key).alias("__k"))
+    found = rank_cutoffs_of(looked, {names[n]: edges for n, (_, edges) in draws.items()}, "__k")
+    out = {}
+    for n, (u, edges) in draws.items():
+        band = None
+        for i, edge in enumerate(edges, start=1):
+            hit = within(u, key, found[names[n]].get(edge) if edge > 0 else None, default=edge > 0)
+            band = F.when(hit, F.lit(i)) if band is None else band.when(hit, F.lit(i))
+        out[n] = band.otherwise(F.lit(0)) if band is not None else F.lit(0)
+    return out
 
 
 def sample_exact(df: DataFrame, n: int, u: Column, key: str) -> DataFrame:

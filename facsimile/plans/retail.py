@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facsimile.functions import keyed, money
-from facsimile.operators import domains, ordered
+from facsimile.operators import domains, ordered, scale
 from facsimile.plans.contract import Column, Contract, Relationship, Rule, Table
 from facsimile.sources import locales
 
@@ -130,8 +130,9 @@ def generate_retail(spark: SparkSession, seed: int = 42, n_customers: int = 1000
     and products may be given (see ``customers`` and ``products``)."""
     cust = customers(spark, n_customers, seed, start, end, city_weights, locale, people)
     prods = products(spark, n_products, seed, goods)
-    heads = order_heads(cust, None if people is not None else n_customers, seed, mean_orders, dispersion, end, status_weights)
-    items = order_items(heads, prods, seed)
+    # heads and items are read several times below: each is drawn once
+    heads = scale.cut(order_heads(cust, None if people is not None else n_customers, seed, mean_orders, dispersion, end, status_weights))
+    items = scale.cut(order_items(heads, prods, seed))
     return {"customers": cust, "products": prods.drop("product_no"),
             "orders": price_orders(heads, items, tax_rate), "order_items": items}
 

@@ -83,9 +83,9 @@ def detect_foreign_keys(tables: Mapping[str, DataFrame], keys: Mapping[str, str
     for name, df in tables.items():
         for c in pf.scalar_columns(df):
             children.append(df.select(F.lit(name).alias("t"), F.lit(c).alias("c"),
-                                      F.col(f"`{c}`").cast("string").alias("v")))
+                                      pf.brief(F.col(f"`{c}`").cast("string")).alias("v")))
         if keys.get(name):
-            parents.append(df.select(F.lit(name).alias("p"), F.col(f"`{keys[name]}`").cast("string").alias("v")))
+            parents.append(df.select(F.lit(name).alias("p"), pf.brief(F.col(f"`{keys[name]}`").cast("string")).alias("v")))
     schema = ("child_table string, child_column string, parent_table string, parent_column string, "
               "containment double, name_similarity boolean, confidence string")
     if not parents:

@@ -191,6 +191,11 @@ def one_row_per_column(df: DataFrame, structs: dict[str, str]) -> DataFrame:
     return wide.selectExpr(f"explode(array({items})) as e").selectExpr("e.column", "e.position", "e.f.*")
 
 
+def brief(text: Column) -> Column:
+    """A text, or its 64-digit hash where it is longer: what equality needs of it moves, not more."""
+    return F.when(F.length(text) > 64, F.sha2(text, 256)).otherwise(text)
+
+
 def distinct_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """(column, n_unique).  Exact counts group one pruned column at a time, so no row is expanded
     k-fold; ``approx`` keeps one HyperLogLog sketch per column in a single pass."""
@@ -198,7 +203,8 @@ def distinct_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: b
     if approx:
         return one_row_per_column(df, {c: f"struct(approx_count_distinct(`{c}`) as n_unique)" for c in cols}) \
             .drop("position")
-    parts = [df.select(F.col(f"`{c}`").alias("v")).filter("v is not null").distinct()
+    texts = {f.name for f in df.schema.fields if family(f.dataType) == "string"}
+    parts = [df.select((brief(F.col(f"`{c}`")) if c in texts else F.col(f"`{c}`")).alias("v")).filter("v is not null").distinct()
              .agg(F.count("*").alias("n_unique")).select(F.lit(c).alias("column"), "n_unique") for c in cols]
     return reduce(DataFrame.unionByName, parts)
 

@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from facsimile.llm.store import checked, keep, typed
 from facsimile.llm.words import count_words
 
-# A source's documents are summed up in this many buckets of the keyed order, and each bucket in
-# slices, so that a source with a third of all rows is spread over many tasks.
-BUCKETS = 4096
+# A source's documents are summed up in this many buckets of the keyed order, so that a source with a
+# third of all rows is spread over many tasks.
+BUCKET_BITS = 12
 #: Schedules dealt to the sources in turn: the density of draws at the start and at the end.
 SCHEDULES = ((1.0, 1.0), (1.5, 0.5), (0.5, 1.5))
 
@@ -67,7 +67,7 @@ def running_words(sizes: DataFrame) -> DataFrame:
     """Adds ``ahead``: the words of the documents that stand before a row in its source's keyed
     order.  Buckets of the order are summed first; a document then adds what precedes its bucket."""
     keyed = sizes.withColumn("key", F.xxhash64(F.lit("mix"), "print", "doc_id")) \
-        .withColumn("bucket", F.shiftrightunsigned("key", 52).cast("int"))
+        .withColumn("bucket", F.shiftrightunsigned("key", 64 - BUCKET_BITS).cast("int"))
     totals = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     bucket_ahead = (F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")).alias("bucket_ahead")
     ahead = totals.select(F.col("source").alias("s"), F.col("bucket").alias("b"), bucket_ahead)

@@ -8,15 +8,18 @@ least ``matches`` coordinates share one of their rarest (coordinates - matches +
 prefixes are joined and the common values are skipped.  Pairs that agree in enough coordinates are
 confirmed on their full sets.
 
+Classes that reach a posting get a second signature of 512 single-byte coordinates, whose agreement
+tells more sharply which pairs are worth comparing in full.
+
 Pairs inside a connected group need no further look.  A posting is therefore first joined as a star
 (each member with one member of another component, the number of rows staying that of the posting);
 a document tries its best candidate, components are formed, and this is repeated.  What is left then,
-members of different components under one value, is compared in full once, large postings in blocks
-of signatures; of the agreeing pairs the documents try their best four, sixteen and so on, until no
-untried pair of different components is left.  So no link between components is lost.
+members of different components under one value, is compared by signatures once, large postings in
+blocks; of the agreeing pairs the documents try their best four, sixteen and so on, until no untried
+pair of different components is left.  So no link between components is lost.
 
-The threshold lies 4.6 standard deviations below the matches expected at the least similarity: a pair
-just at the limit is missed about twice in a million.
+The thresholds lie 4.6 standard deviations below the matches expected at the least similarity: a pair
+just at the limit is missed about four times in a million.
 
 Texts without words, and rows without an id, have no links.  Rows that repeat a document belong to its
 class.  If one id has several texts, the one with the least set hash stands for it in comparisons.
@@ -36,15 +39,16 @@ from facsimile.llm.graph import components
 from facsimile.llm.store import checked, keep, typed
 
 COORDINATES, MATCHES = 96, 53
+FINE_COORDINATES, FINE_MATCHES = 512, 339
 # Turns in which documents try star partners, before all that is left is compared.
 STAR_TURNS = 2
-# A posting of up to this many members is joined with itself; a larger one is compared in blocks.
-SMALL_POSTING = 32
+# A posting is compared in blocks of this many members; a task takes about so many rows of blocks.
 BLOCK_MEMBERS = 1024
+TASK_MEMBERS = 8192
 
 _draw = np.random.default_rng(20240611)
-_MULTIPLY = _draw.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
-_ADD = _draw.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
+_MULTIPLY = _draw.integers(1, 1 << 63, COORDINATES + FINE_COORDINATES, dtype=np.uint64) | np.uint64(1)
+_ADD = _draw.integers(0, 1 << 63, COORDINATES + FINE_COORDINATES, dtype=np.uint64)
 _MIX = _draw.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -68,11 +72,21 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.unique(total)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    low = np.full(COORDINATES, np.iinfo(np.uint64).max, dtype=np.uint64)
+def lowest(hashes: np.ndarray, functions: slice) -> np.ndarray:
+    """The smallest value of each of some hash functions."""
+    multiply, add = _MULTIPLY[functions], _ADD[functions]
+    low = np.full(len(multiply), np.iinfo(np.uint64).max, dtype=np.uint64)
     for k in range(0, len(hashes), 512):
-        np.minimum(low, (hashes[k:k + 512, None] * _MULTIPLY + _ADD).min(axis=0), out=low)
-    return (low >> np.uint64(32)).astype(np.uint32)
+        np.minimum(low, (hashes[k:k + 512, None] * multiply + add).min(axis=0), out=low)
+    return low
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    return (lowest(hashes, slice(COORDINATES)) >> np.uint64(32)).astype(np.uint32)
+
+
+def fine_signature(hashes: np.ndarray) -> np.ndarray:
+    return (mixed(lowest(hashes, slice(COORDINATES, None))) >> np.uint64(56)).astype(np.uint8)
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
@@ -114,16 +128,16 @@ def shared_postings(classes: DataFrame, matches: int) -> DataFrame:
         .where((F.col("s") >= matches) & (F.col("place") <= F.col("s") - matches + 1)).select("key", "node", "n")
 
 
-def agreeing(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
-    """``pairs(a, b)`` whose signatures agree in at least ``matches`` coordinates, with the number."""
+def agreeing(pairs: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
+    """``pairs(a, b)`` whose fine signatures agree in at least ``matches`` coordinates, with the number."""
 
     def agree(left: pd.Series, right: pd.Series) -> pd.Series:
         if not len(left):
             return pd.Series([], dtype="int32")
-        a, b = (np.frombuffer(b"".join(x), dtype=np.uint32).reshape(len(x), -1) for x in (left, right))
+        a, b = (np.frombuffer(b"".join(x), dtype=np.uint8).reshape(len(x), -1) for x in (left, right))
         return pd.Series((a == b).sum(axis=1).astype("int32"))
 
-    sides = [classes.select(F.col("node").alias(c), F.col("signature").alias(f"s{c}")) for c in "ab"]
+    sides = [sets.select(F.col("node").alias(c), F.col("fine").alias(f"s{c}")) for c in "ab"]
     return pairs.join(sides[0], "a").join(sides[1], "b").withColumn("agree", F.pandas_udf(agree, "int")("sa", "sb")) \
         .where(F.col("agree") >= matches).select("a", "b", "agree")
 
@@ -138,39 +152,44 @@ def star_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return met.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct()
 
 
-def remaining_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
-    """All pairs of different components that share a posting and agree in ``matches`` coordinates."""
+def remaining_pairs(postings: DataFrame, labels: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
+    """All pairs of different components that share a posting and agree in ``matches`` coordinates of
+    their fine signatures."""
     at = postings.join(labels, "node")
-    mixed_keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    at = keep(at.join(mixed_keys, "key"), "open-postings")
-    few = at.where(F.col("n") <= SMALL_POSTING)
-    ends = [few.select("key", F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
-    pairs = ends[0].join(ends[1], "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    found = agreeing(pairs, classes, matches)
-    many = at.where(F.col("n") > SMALL_POSTING)
-    if many.isEmpty():
-        return found
+    open_keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    at = keep(at.join(open_keys, "key"), "open-postings")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        values = np.frombuffer(b"".join(rows.signature), dtype=np.uint32).reshape(len(rows), -1)
+        rows = rows.sort_values(["key", "i", "j"])
+        values = np.frombuffer(b"".join(rows.fine), dtype=np.uint8).reshape(len(rows), -1)
         nodes, group, side = rows.node.to_numpy(), rows.component.to_numpy(), rows.own.to_numpy()
-        i, j = rows.i.iloc[0], rows.j.iloc[0]
-        first, second = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        out: list[tuple[int, int, int]] = []
-        for x in first:
-            others = second[(group[second] != group[x]) & ((i != j) | (nodes[second] > nodes[x]))]
-            agree = (values[others] == values[x]).sum(axis=1)
-            out += [(min(nodes[x], nodes[y]), max(nodes[x], nodes[y]), int(n)) for y, n in zip(others, agree) if n >= matches]
-        return pd.DataFrame(out, columns=["a", "b", "agree"]).astype({"a": "int64", "b": "int64", "agree": "int32"})
+        cell = rows[["key", "i", "j"]].to_numpy()
+        ends = [*(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+        found: dict[tuple[int, int], int] = {}
+        start = 0
+        for end in ends:
+            i, j = cell[start, 1:]
+            first = np.flatnonzero(side[start:end] == i) + start
+            second = np.flatnonzero(side[start:end] == j) + start
+            for x in first:
+                others = second[(group[second] != group[x]) & ((i != j) | (nodes[second] > nodes[x]))]
+                if len(others):
+                    agree = (values[others] == values[x]).sum(axis=1)
+                    for y, n in zip(others[agree >= matches], agree[agree >= matches]):
+                        found[min(nodes[x], nodes[y]), max(nodes[x], nodes[y])] = int(n)
+            start = end
+        return pd.DataFrame([(a, b, n) for (a, b), n in found.items()], columns=["a", "b", "agree"]) \
+            .astype({"a": "int64", "b": "int64", "agree": "int32"})
 
     blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j")))
-    dealt = many.withColumn("own", own).select("key", "node", "component", "own", F.explode(cells).alias("cell")) \
-        .select("key", "node", "component", "own", "cell.*").join(classes.select("node", "signature"), "node")
-    tasks = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64)  # few rows, but much work each
-    blocked = dealt.repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long, agree int")
-    return found.unionByName(blocked).distinct()
+    dealt = at.withColumn("own", own).select("key", "node", "component", "own", F.explode(cells).alias("cell")) \
+        .select("key", "node", "component", "own", "cell.*")
+    tasks = max(64, -(-dealt.count() // TASK_MEMBERS))
+    return dealt.join(sets.select("node", "fine"), "node") \
+        .withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)).cast("int")).repartition(tasks, "task") \
+        .groupBy("task").applyInPandas(compare, "a long, b long, agree int").distinct()
 
 
 def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -204,7 +223,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The shingle sets of the documents ``wanted(node, h1, h2)``, kept: node, size, set."""
+    """The shingle sets of the documents ``wanted(node, h1, h2)``, kept: node, size, set, fine (signature)."""
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -214,14 +233,16 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 names = [xxhash.xxh128_intdigest(s.tobytes()) for s in sets]
                 mine = [(n >> 64) - (1 << 63) == h1 and (n & ((1 << 64) - 1)) - (1 << 63) == h2
                         for n, h1, h2 in zip(names, some.h1, some.h2)]
-                made = pd.DataFrame({"node": some.node, "size": [len(s) for s in sets], "set": [s.tobytes() for s in sets]})
+                made = pd.DataFrame({"node": some.node, "size": [len(s) for s in sets], "set": [s.tobytes() for s in sets],
+                                     "fine": [fine_signature(s).tobytes() for s in sets]})
                 yield made[mine]
 
     texts = typed(docs, doc_id="long", text="binary").toDF("node", "text").where("text is not null")
-    return keep(texts.join(checked(wanted), "node").mapInPandas(describe, "node long, size long, set binary").dropDuplicates(["node"]), "full-sets")
+    return keep(texts.join(checked(wanted), "node").mapInPandas(describe, "node long, size long, set binary, fine binary").dropDuplicates(["node"]), "full-sets")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, matches: int = MATCHES) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, matches: int = MATCHES,
+                    fine_matches: int = FINE_MATCHES) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id (the smallest id
     reachable over links, its own included) and kept (true for that document)."""
     rows = described(docs, width)
@@ -237,8 +258,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, matches:
     nodes = keep(postings.select("node").distinct(), "posted")
     labels = nodes.select("node", F.col("node").alias("component"))
     if not nodes.isEmpty():
-        busy = keep(classes.join(nodes, "node"), "posted-signatures")
-        sets = full_sets(docs, busy.select("node", "h1", "h2"), width)
+        sets = full_sets(docs, classes.join(nodes, "node").select("node", "h1", "h2"), width)
         tried = links = spark.createDataFrame([], "a long, b long")
 
         def connect(open_pairs: DataFrame, most: int) -> bool:
@@ -256,9 +276,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, matches:
             return True
 
         for _ in range(STAR_TURNS):
-            if not connect(agreeing(star_pairs(postings, labels), busy, matches), 1):
+            if not connect(agreeing(star_pairs(postings, labels), sets, fine_matches), 1):
                 break
-        rest, most = keep(remaining_pairs(postings, labels, busy, matches), "remaining"), 4
+        rest, most = keep(remaining_pairs(postings, labels, sets, fine_matches), "remaining"), 4
         while connect(apart(rest, labels), most):
             most *= 4
     found = labels.select("node", "component")

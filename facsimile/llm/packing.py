@@ -26,14 +26,15 @@ from pyspark.sql import functions as F
 
 from facsimile.llm.store import keep, typed
 
-# Words remembered by a worker; the table is emptied when it is full, so memory is bounded.
-REMEMBERED = 1 << 20
+# Words remembered by a worker: a full table becomes the old one, from which words in use come back.
+REMEMBERED = 200_000
 # Task totals summed up in one window; more tasks are summed in blocks of this many.
 BLOCK = 4096
-#: Words with these keep their case: capitals whose lower case depends on their neighbours or takes
+#: Texts with these keep their case: capitals whose lower case depends on their neighbours or takes
 #: several characters, and the start of special tokens, which are found before case is dropped.
 AS_IS = ("Σ", "İ", "<|")
 #: Control characters at which ``str.split`` parts, but the tokenizer doesn't.
+PARTED = re.compile(r"(?<=[^\W_])([.,])(?=\s|$)")
 CONTROLS = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile("[^ \t\n\r]+")
 
@@ -47,33 +48,45 @@ class WordIds:
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(c.ids, dtype=self.dtype).tobytes() for c in coded]
-
-    def _learn(self, words: set[str]) -> None:
-        """Remember ``words``.  A full stop or comma after a letter is always a token run of its own,
-        and case is dropped, so most words reduce to a plainer one."""
-        known, plain = self.known, {}
-        for word in words:
-            stem, tail = (word[:-1], word[-1]) if word[-1] in ".," and word[-2:-1].isalpha() else (word, "")
-            plain[word] = (stem if any(c in stem for c in AS_IS) else stem.lower(), tail)
-        missing = list({x for pair in plain.values() for x in pair if x and x not in known})
-        known.update(zip(missing, self._encode(missing)))
-        for word, (stem, tail) in plain.items():
-            if word not in known:
-                known[word] = known[stem] + known[tail] if tail else known[stem]
+        """Words of letters alone are one run each, so they are encoded as one text and parted at the
+        identifiers that end a word."""
+        plain = [w for w in words if w.isalpha()]
+        made: dict[str, bytes] = {}
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(plain):
+                raw, at = ids.tobytes(), 0
+                for word, end in zip(plain, ((last + 1) * ids.itemsize).tolist()):
+                    made[word] = raw[at:end]
+                    at = end
+        rest = [w for w in words if w not in made]
+        for word, coded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            made[word] = np.array(coded.ids, dtype=self.dtype).tobytes()
+        return [made[w] for w in words]
+
+    def _words(self, text: str) -> list[str]:
+        """The words of a text, in the plainer form that has the same identifiers: case is dropped, and
+        a full stop or comma after a letter or digit is always a run of its own."""
+        plain = PARTED.sub(r" \1", text if any(c in text for c in AS_IS) else text.lower())
+        return BLANKS.findall(plain) if CONTROLS.search(plain) else plain.split()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        words = [BLANKS.findall(text) if CONTROLS.search(text) else text.split() for text in texts]
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        words = [self._words(text) for text in texts]
         found = [list(map(known.get, text)) for text in words]
         missing = {w for text, got in zip(words, found) if None in got for w, ids in zip(text, got) if ids is None}
         if missing:
-            self._learn(missing)
+            known.update((w, old[w]) for w in missing if w in old)
+            new = [w for w in missing if w not in known]
+            known.update(zip(new, self._encode(new)))
             find = known.__getitem__
             found = [map(find, text) if None in got else got for text, got in zip(words, found)]
         return list(map(b"".join, found))

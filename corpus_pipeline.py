@@ -43,7 +43,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
-    return pack(docs).drop("ids")
+    # executors hold what earlier stages left in memory, so the workers remember fewer words
+    return pack(docs, remembered=150_000).drop("ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

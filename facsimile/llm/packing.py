@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from facsimile.llm.store import keep, typed
 
-# Words remembered by a worker: a full table becomes the old one, from which words in use come back.
-REMEMBERED = 200_000
+# Words remembered by a worker, twice at most (about 200 bytes each): a full table becomes the old one,
+# from which words in use come back.
+REMEMBERED = 500_000
 # Task totals summed up in one window; more tasks are summed in blocks of this many.
 BLOCK = 4096
 #: Texts with these keep their case: capitals whose lower case depends on their neighbours or takes
@@ -43,7 +44,8 @@ class WordIds:
     """Identifiers of texts, word by word: the tokenizer drops white space and never joins across
     it, so the identifiers of a text are those of its words, which a worker remembers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
@@ -77,7 +79,7 @@ class WordIds:
         return BLANKS.findall(plain) if CONTROLS.search(plain) else plain.split()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.old, self.known = self.known, {}
         known, old = self.known, self.old
         words = [self._words(text) for text in texts]
@@ -92,21 +94,21 @@ class WordIds:
         return list(map(b"".join, found))
 
 
-_CODERS: dict[str, WordIds] = {}
+_CODERS: dict[tuple[str, int], WordIds] = {}
 
 
-def coder(path: str) -> WordIds:
-    if path not in _CODERS:
-        _CODERS[path] = WordIds(path)
-    return _CODERS[path]
+def coder(path: str, remembered: int) -> WordIds:
+    if (path, remembered) not in _CODERS:
+        _CODERS[path, remembered] = WordIds(path, remembered)
+    return _CODERS[path, remembered]
 
 
-def tokenized(docs: DataFrame, vocabulary: str, separator: int) -> DataFrame:
+def tokenized(docs: DataFrame, vocabulary: str, separator: int, remembered: int) -> DataFrame:
     """Pass one, kept: doc_id, ids (little-endian, separator included), tokens, and the place of the
     document: part (the writing task) and before (tokens ahead of it in that task)."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = coder(public_tokenizers.path(vocabulary))
+        words = coder(public_tokenizers.path(vocabulary), remembered)
         end = np.array([separator], dtype=words.dtype).tobytes()
         ahead = 0
         for rows in batches:
@@ -134,14 +136,15 @@ def part_offsets(coded: DataFrame) -> DataFrame:
         .select("part", (F.col("ahead") + F.col("inside")).alias("base"))
 
 
-def pack(docs: DataFrame, length: int = 4096, vocabulary: str = "word_bpe_49k.json", separator: int = 2) -> DataFrame:
+def pack(docs: DataFrame, length: int = 4096, vocabulary: str = "word_bpe_49k.json", separator: int = 2,
+         remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of ``docs(doc_id, text)``: doc_id, start (identifiers of the document ahead of the
-    piece), length, ids (the identifiers), ids_crc32, doc_tokens, sequence_id, offset."""
-    coded = tokenized(docs, vocabulary, separator)
+    piece), length, ids (the identifiers), ids_crc32, doc_tokens, sequence_id, offset.  ``remembered`` trades a worker's memory for time."""
+    coded = tokenized(docs, vocabulary, separator, remembered)
     tasks = part_offsets(coded)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dtype = coder(public_tokenizers.path(vocabulary)).dtype
+        dtype = coder(public_tokenizers.path(vocabulary), remembered).dtype
         names = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for rows in batches:
             out = []

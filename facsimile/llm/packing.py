@@ -31,11 +31,10 @@ from facsimile.llm.store import keep, typed
 REMEMBERED = 500_000
 # Task totals summed up in one window; more tasks are summed in blocks of this many.
 BLOCK = 4096
-#: Texts with these keep their case: capitals whose lower case depends on their neighbours or takes
+#: Words with these keep their case: capitals whose lower case depends on their neighbours or takes
 #: several characters, and the start of special tokens, which are found before case is dropped.
 AS_IS = ("Σ", "İ", "<|")
 #: Control characters at which ``str.split`` parts, but the tokenizer doesn't.
-PARTED = re.compile(r"(?<=[^\W_])([.,])(?=\s|$)")
 CONTROLS = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile("[^ \t\n\r]+")
 
@@ -72,23 +71,33 @@ class WordIds:
             made[word] = np.array(coded.ids, dtype=self.dtype).tobytes()
         return [made[w] for w in words]
 
-    def _words(self, text: str) -> list[str]:
-        """The words of a text, in the plainer form that has the same identifiers: case is dropped, and
-        a full stop or comma after a letter or digit is always a run of its own."""
-        plain = PARTED.sub(r" \1", text if any(c in text for c in AS_IS) else text.lower())
-        return BLANKS.findall(plain) if CONTROLS.search(plain) else plain.split()
+    def _learn(self, words: set[str]) -> None:
+        """Remember ``words``.  A full stop or comma after a letter is always a token run of its own,
+        and case is dropped, so most words reduce to a plainer one."""
+        known, old, plain = self.known, self.old, {}
+        for word in words:
+            if word in old:
+                known[word] = old[word]
+                continue
+            stem, tail = (word[:-1], word[-1]) if word[-1] in ".," and word[-2:-1].isalpha() else (word, "")
+            plain[word] = (stem if any(c in stem for c in AS_IS) else stem.lower(), tail)
+        parts = {x for pair in plain.values() for x in pair if x and x not in known}
+        known.update((x, old[x]) for x in parts if x in old)
+        missing = [x for x in parts if x not in known]
+        known.update(zip(missing, self._encode(missing)))
+        for word, (stem, tail) in plain.items():
+            if word not in known:
+                known[word] = known[stem] + known[tail] if tail else known[stem]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.remembered:
             self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        words = [self._words(text) for text in texts]
+        known = self.known
+        words = [BLANKS.findall(text) if CONTROLS.search(text) else text.split() for text in texts]
         found = [list(map(known.get, text)) for text in words]
         missing = {w for text, got in zip(words, found) if None in got for w, ids in zip(text, got) if ids is None}
         if missing:
-            known.update((w, old[w]) for w in missing if w in old)
-            new = [w for w in missing if w not in known]
-            known.update(zip(new, self._encode(new)))
+            self._learn(missing)
             find = known.__getitem__
             found = [map(find, text) if None in got else got for text, got in zip(words, found)]
         return list(map(b"".join, found))

@@ -1,7 +1,11 @@
 """Licence scans by sentence rules, in column expressions only.
 
-A text is cut into sentences, each is normalised (lower-case ASCII letters and digits, single blanks),
-and the known licence sentences among them give a sequence of identifiers.  Ordered rules are matched
+A text is normalised once (lower-case ASCII letters and digits, single blanks, signs for the ends of
+sentences and clauses).  A known licence sentence is found where it fills whole clauses: it starts and
+stops at the end of a sentence, a line or a clause, and may run over the ends of lines and clauses but
+not of sentences; of several that start at one place the longest counts.  So line breaks and comment
+marks don't matter, nor how long a box or ruler around a sentence is.  The sentences found give a
+sequence of identifiers.  Ordered rules are matched
 against that sequence: a rule holds if its identifiers stand in it one after another, unknown
 sentences between them not counting.  Everything is computed inside the row: no shuffle, no join.
 
@@ -15,7 +19,12 @@ from pyspark.sql import functions as F
 
 from facsimile.llm.store import typed
 
+# What ends a sentence, and what may end one or stand inside it: line ends, colons, and end marks before other marks.
 SENTENCE_END = r"[.;!?][ \t\r\n]+|\n[ \t\r]*\n"
+CLAUSE_END = r"[\r\n:]|[.;!?](?![A-Za-z0-9])"
+HARD, SOFT = "\x01", "\x02"  # stand for the two in a normalised text
+#: Comment marks at the start of a line that would else be sentence ends or words; and the two signs above.
+LINE_MARK = r"(?m)^[ \t]*+(?:[.;!?]+|(?i:dnl|@?rem)(?![A-Za-z0-9]))|[\x01\x02]"
 
 #: Known licence sentences (fixed values: words of public licences), by identifier.
 SENTENCES = {
@@ -101,14 +110,16 @@ KNOWN = {name: normal(text) for name, text in SENTENCES.items()}
 
 def sentence_ids(text: str) -> Column:
     """The identifiers of the known sentences of a text, in order."""
-    longest = max(map(len, KNOWN.values()))
+    longest_first = sorted(KNOWN.values(), key=lambda k: (-len(k), k))
+    pattern = f"(?<=[{HARD}{SOFT}] ?)(?:{'|'.join(k.replace(' ', f'[ {SOFT}]++') for k in longest_first)})(?= ?[{HARD}{SOFT}])"
+    marked = F.regexp_replace(text, LINE_MARK, " ")
+    for ends, mark in ((SENTENCE_END, HARD), (CLAUSE_END, SOFT)):
+        marked = F.regexp_replace(marked, ends, mark)
+    words = F.lower(F.regexp_replace(marked, f"[^A-Za-z0-9{HARD}{SOFT}]+", " "))
+    runs = F.regexp_extract_all(F.concat(F.lit(HARD), words, F.lit(HARD)), F.lit(pattern), F.lit(0))
     known = F.array(*[F.lit(k) for k in KNOWN.values()])
     names = F.array(*[F.lit(k) for k in KNOWN])
-    clean = lambda s: F.lower(F.btrim(F.regexp_replace(s, "[^A-Za-z0-9]+", " ")))
-    # white space and marks only make a sentence longer; beyond four times the longest it is no match
-    near = F.filter(F.split(text, SENTENCE_END), lambda s: F.length(s).between(4, 4 * longest))
-    places = F.filter(F.transform(near, lambda s: F.array_position(known, clean(s))), lambda p: p > 0)
-    return F.transform(places, lambda p: F.get(names, (p - 1).cast("int")))
+    return F.transform(runs, lambda r: F.get(names, (F.array_position(known, F.regexp_replace(r, f"[ {SOFT}]+", " ")) - 1).cast("int")))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

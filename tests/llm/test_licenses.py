@@ -1,5 +1,9 @@
+import textwrap
+
+import pytest
+
 import compare
-from facsimile.llm.licenses import RULES, SENTENCES, scan_licenses
+from facsimile.llm.licenses import KNOWN, RULES, SENTENCES, scan_licenses
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -32,3 +36,59 @@ def test_oracle(spark):
 
 def test_empty(documents):
     assert scan_licenses(documents([])).count() == 0
+
+
+def walked(text):
+    """Known sentences by a walk over the words: (word, what ends before it), 0 nothing, 1 a line or clause, 2 a sentence."""
+    words, gap, at = [], 2, 0
+    lines = [line.lstrip(" \t").lstrip(".;!?") for line in text.split("\n")]
+    for n, line in enumerate(lines):
+        gap = max(gap, 1 if line.strip() or not n else 2)
+        at = 0
+        while at < len(line):
+            if line[at].isascii() and line[at].isalnum():
+                end = at
+                while end < len(line) and line[end].isascii() and line[end].isalnum():
+                    end += 1
+                words.append((line[at:end].lower(), gap))
+                gap, at = 0, end
+                continue
+            after = line[at + 1:at + 2]
+            if line[at] in ".;!?":
+                gap = max(gap, 2 if after in ("", " ", "\t", "\r") else 0 if after.isascii() and after.isalnum() else 1)
+            elif line[at] == ":":
+                gap = max(gap, 1)
+            at += 1
+    words.append(("", 2))
+    out, k = [], 0
+    known = sorted(((KNOWN[n].split(), n) for n in KNOWN), key=lambda x: -len(" ".join(x[0])))
+    while k < len(words) - 1:
+        for parts, name in known:
+            run = words[k:k + len(parts) + 1]
+            if words[k][1] and [w for w, _ in run[:-1]] == parts and run[-1][1] and all(g < 2 for _, g in run[1:-1]):
+                out.append(name)
+                k += len(parts) - 1
+                break
+        k += 1
+    return ",".join(out)
+
+
+def test_licence_line_after_a_line_without_a_full_stop(documents, small):
+    assert len(set(KNOWN.values())) == len(KNOWN)
+    texts = ["from from from\nLicensed under CC BY-NC 4.0.", "| a | b |\nLicensed under the Apache License, Version 2.0.",
+             "Copyright (c) 2020 Foo\nAll rights reserved", "Licence: Released under the MIT\r\nLicense\r\nmore",
+             "We say it is released under the MIT License here", "Released under. The MIT License", "; Released under\n; the MIT License\n",
+             "dnl Released under\ndnl the MIT License\n"]
+    got = found(documents, *texts)
+    assert [got[k][2] for k in range(8)] == ["cc_by_nc", "apache_ref", "reserved", "mit_ref", "", "", "mit_ref", "mit_ref"]
+    more = [r.text + "\nReleased under the MIT License\n" + r.text for r in small.collect() if r.text]
+    got = found(documents, *texts[:7], *more)
+    assert [got[k][2] for k in range(len(got))] == [walked(t) for t in texts[:7] + more]
+
+
+@pytest.mark.parametrize("mark", [" * ", "# ", "// ", "-- ", ";; ", ""])
+def test_commented_mit_header(documents, mark):
+    body = [SENTENCES["mit_grant"] + ":", SENTENCES["mit_notice"] + ".", SENTENCES["as_is"] + "."]
+    lines = [x for part in body for x in [*textwrap.wrap(part, 60), ""]]
+    got = found(documents, "/*\n" + "\n".join((mark + x).rstrip() for x in ["Copyright (c) 2020 Foo", "", *lines]) + "\n */\nint x;")
+    assert got[0] == ("MIT", "MIT:text", "mit_grant,mit_notice,as_is")

@@ -92,3 +92,10 @@ def test_commented_mit_header(documents, mark):
     lines = [x for part in body for x in [*textwrap.wrap(part, 60), ""]]
     got = found(documents, "/*\n" + "\n".join((mark + x).rstrip() for x in ["Copyright (c) 2020 Foo", "", *lines]) + "\n */\nint x;")
     assert got[0] == ("MIT", "MIT:text", "mit_grant,mit_notice,as_is")
+
+
+def test_sentence_in_a_wide_box_is_not_lost_by_its_length(documents):
+    wide = "\n".join(" *" + " " * 900 + part + " " * 900 + "*" for part in textwrap.wrap(SENTENCES["mit_grant"], 40))
+    ruler = "*" * 5000 + " Released under the MIT License " + "-" * 5000
+    got = found(documents, f"/{'*' * 3000}\n{wide}\n{'*' * 3000}/", f"x\n\n{ruler}\n\ny")
+    assert got[0][2] == "mit_grant" and got[1][2] == "mit_ref"

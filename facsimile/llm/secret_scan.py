@@ -7,9 +7,11 @@ ordered by how common their letters are in prose, so that words fail where rando
 Fisher's method combines the three.
 
 How often prose passes depends on the length and on the encoding, so each pair of a length class and
-a family of encodings has its own null distribution: the same score of words of the corpus strung
-together to that length and read in that alphabet.  A token's p-value is its rank among these, and Benjamini-Hochberg over all tokens of all documents controls the share of false
-finds.  Only counts per (class, score bin) reach the driver.
+a family of encodings has its own null distribution: the same score of words strung together to that
+length and read in that alphabet.  All words of all texts take part, in each class once, but for those
+inside tokens that are tested or that a rule names: these are the question, not the prose.  A token's
+p-value is its rank among the strings, and Benjamini-Hochberg over all tokens of all documents controls
+the share of false finds.  Only counts per (class, score bin) leave a task and reach the driver.
 
 Null and empty texts hold nothing.  Repeated rows are scanned one by one; texts are scanned whole.
 """
@@ -55,7 +57,15 @@ BINS = 500
 
 _CREDENTIAL = np.zeros(256, dtype=bool)
 _CREDENTIAL[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
-_LETTER_RUN = re.compile("[A-Za-z]+")
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[list((LOWER + UPPER).encode())] = True
+# A byte's place in the alphabet that stands for a family; the first family reads in lower case.
+PLACE_OF = np.zeros((len(FAMILY_PLACES), 256), dtype=np.uint8)
+for _f, _places in enumerate(FAMILY_PLACES):
+    for _c in LOWER + UPPER:
+        PLACE_OF[_f, ord(_c)] = _places[_c.lower() if _f == 0 else _c]
+# Words are strung once so many letters have come together in a task, and scored so many letters at once.
+LETTERS_AT_ONCE = 1_000_000
 
 
 def chi_squared_tail(x: float, df: int) -> float:
@@ -142,30 +152,106 @@ def long_tokens(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def strung_words(text: str, seed: int) -> list[tuple[int, int]]:
-    """(class, score bin) of words strung together to the lower end of each length class, read in the
-    alphabet of each family: what prose scores there."""
-    words = _LETTER_RUN.findall(text)
-    if len(words) < 2:
-        return []
-    out = []
-    for c, low in enumerate(LENGTH_CLASSES):  # four strings a text, wherever the seed points
-        k = (seed * 2654435761 + c * 40503) % len(words)
-        length, parts = 0, []
-        while length < low and len(parts) < 64:
-            parts.append(words[k % len(words)])
-            length += len(parts[-1])
-            k += 1
-        token = "".join(parts)[:low + low // 5]
-        if len(token) >= low:
-            out += [tally(token.lower() if f == 0 else token, low, f, places) for f, places in enumerate(FAMILY_PLACES)]
+def word_runs(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray] | None:
+    """The letters of the words of a text that lie outside ``spans`` (code points), joined, and the
+    length of each word; None if there are fewer than two words."""
+    raw = text.encode("utf-8", "surrogatepass")
+    codes = np.frombuffer(raw, dtype=np.uint8)
+    inside = np.zeros(len(raw) + 2, dtype=bool)
+    inside[1:-1] = _LETTER[codes]
+    ascii_text, done, at = len(raw) == len(text), 0, 0
+    for s, e in sorted(spans):
+        if not ascii_text:
+            at, done = at + len(text[done:s].encode("utf-8", "surrogatepass")), s
+        first = s if ascii_text else at
+        inside[1 + first:1 + first + e - s] = False  # spans are ASCII
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    if len(edges) < 4:
+        return None
+    return codes[inside[1:-1]], edges[1::2] - edges[::2]
+
+
+def chi_squared_tails(x: np.ndarray, df: int) -> np.ndarray:
+    """``chi_squared_tail`` of each."""
+    z = (np.cbrt(np.maximum(x, 0) / df) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    return np.where(x <= 0, 1.0, np.maximum(0.5 * erfc(z / math.sqrt(2)), 1e-300))
+
+
+def erfc(x: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(math.erfc, x.tolist()), dtype=float, count=len(x))
+
+
+def batteries(at: np.ndarray, size: int) -> np.ndarray:
+    """``battery`` of many strings of one length: each row of ``at`` has the places of one string in
+    an alphabet of ``size`` letters."""
+    m, n = at.shape
+    bins = max(2, min(size, n // 5))
+    binned = (np.arange(size) * bins // size).astype(np.intp)
+    counts = np.bincount((binned[at] + np.arange(m)[:, None] * bins).ravel(), minlength=m * bins).reshape(m, bins)
+    expected = np.bincount(binned, minlength=bins) * n / size
+    uniform = chi_squared_tails(((counts - expected) ** 2 / expected).sum(axis=1), bins - 1)
+    high = at >= (size + 1) // 2
+    ones = high.sum(axis=1)
+    mean = 2 * ones * (n - ones) / n
+    spread = mean * (mean - 1) / (n - 1)
+    seen = (high[:, 1:] != high[:, :-1]).sum(axis=1)
+    fine = (ones > 0) & (ones < n) & (spread > 0)
+    runs = np.full(m, 1e-6)
+    runs[fine] = np.maximum(erfc(np.abs(seen - mean)[fine] / np.sqrt(2 * spread[fine])), 1e-300)
+    off = at - at.mean(axis=1, keepdims=True)
+    around = np.einsum("ij,ij->i", off, off)
+    lagged = np.einsum("ij,ij->i", off[:, 1:], off[:, :-1])
+    fine = around > 0
+    serial = np.full(m, 1e-6)
+    serial[fine] = np.maximum(erfc(np.abs(lagged[fine] / around[fine]) * math.sqrt(n / 2)), 1e-300)
+    return chi_squared_tails(-2 * (np.log(uniform) + np.log(runs) + np.log(serial)), 6)
+
+
+def strung_words(texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """How often words strung together score in each (class, bin): what prose scores there.  All words
+    of each text (``word_runs``) are cut, for each length class, into stretches that reach its lower
+    end, the last one going on at the text's start; each is read in the alphabet of each family."""
+    out = np.zeros((CLASSES, BINS), dtype=np.int64)
+    letters, lengths, limits, n_words = [], [], [], 0
+    for own, words in texts:
+        again = -(-LENGTH_CLASSES[-1] // len(own))  # so many more rounds reach the largest lower end
+        more = np.tile(words, again)
+        more = more[:int(np.searchsorted(more.cumsum(), LENGTH_CLASSES[-1])) + 1]
+        letters += [own, np.tile(own, again)[:more.sum()]]
+        lengths += [words, more]
+        limits.append((n_words, n_words + len(words)))
+        n_words += len(words) + len(more)
+    if not limits:
+        return out
+    joined_letters = np.concatenate(letters)
+    ends = np.concatenate([[0], np.concatenate(lengths).cumsum()])
+    places = [PLACE_OF[f][joined_letters] for f in range(len(FAMILY_PLACES))]
+    for c, low in enumerate(LENGTH_CLASSES):
+        after = np.searchsorted(ends, ends + low)
+        step, starts = after.tolist(), []
+        for k, stop in limits:
+            while k < stop:
+                starts.append(k)
+                k = step[k]
+        starts = np.array(starts)
+        begin = ends[starts]
+        size = np.minimum(ends[after[starts]] - begin, low + low // 5)
+        for n in np.unique(size).tolist():
+            rows = begin[size == n]
+            for f, alphabet in enumerate(FAMILY_PLACES):
+                windows = np.lib.stride_tricks.sliding_window_view(places[f], n)
+                for k in range(0, len(rows), LETTERS_AT_ONCE // n):
+                    score = batteries(windows[rows[k:k + LETTERS_AT_ONCE // n]], len(alphabet))
+                    bins = np.minimum(BINS - 1, (score * BINS).astype(int))
+                    out[c * len(FAMILY_PLACES) + f] += np.bincount(bins, minlength=BINS)
     return out
 
 
-def scan_text(text: str, seed: int) -> tuple[list, list, list]:
+def scan_text(text: str) -> tuple[list, list, tuple | None]:
+    """Base spans, tested tokens, and the words outside both."""
     tokens = long_tokens(text)
     base = base_spans(text, tokens)
-    found = []
+    found, apart = [], [(s, e) for s, _, e in base]
     for start, run in tokens:
         for m in TOKEN.finditer(run):
             s, e = start + m.start(), start + m.end()
@@ -175,36 +261,47 @@ def scan_text(text: str, seed: int) -> tuple[list, list, list]:
             code = encoding(body)
             if code is not None:
                 found.append((s, e, *tally(body, e - s, FAMILY[code], PLACES[code])))
-    return base, found, strung_words(text, seed)
+                apart.append((s, e))
+    return base, found, word_runs(text, apart)
 
 
 def tested(docs: DataFrame) -> DataFrame:
-    """Pass one, kept: doc_id, print (hash of the text), base (spans), found (tokens with class and score bin) and null
-    (class and bin of strung words)."""
+    """Pass one, kept: doc_id, print (hash of the text), base (spans) and found (tokens with class and
+    score bin) of each row; and one row a task without a print, whose null counts the strung words of
+    all its texts by class and bin."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, waiting, letters = np.zeros((CLASSES, BINS), dtype=np.int64), [], 0
         for rows in batches:
-            base, found, null = [], [], []
-            for text, seed in zip(rows.text, rows.seed):
-                b, f, n = scan_text(text, seed)
+            base, found = [], []
+            for text in rows.text:
+                b, f, words = scan_text(text)
                 base.append([dict(zip(("start", "kind", "end"), x)) for x in b])
                 found.append([dict(zip(("start", "end", "class", "bin"), x)) for x in f])
-                null.append([dict(zip(("class", "bin"), x)) for x in n])
-            yield pd.DataFrame({"doc_id": rows.doc_id.astype("Int64"), "print": rows.print, "base": base, "found": found, "null": null})
+                if words is not None:
+                    waiting.append(words)
+                    letters += len(words[0])
+                if letters > LETTERS_AT_ONCE:
+                    total += strung_words(waiting)
+                    waiting, letters = [], 0
+            yield pd.DataFrame({"doc_id": rows.doc_id.astype("Int64"), "print": rows.print.astype("Int64"), "base": base, "found": found,
+                                "null": None})
+        total += strung_words(waiting)
+        null = [{"class": int(c), "bin": int(b), "n": int(total[c, b])} for c, b in zip(*np.nonzero(total))]
+        yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "print": pd.array([None], "Int64"), "base": [[]], "found": [[]], "null": [null]})
 
     rows = typed(docs, doc_id="long", text="string").select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("print", F.xxhash64("text")).withColumn("seed", F.pmod("print", F.lit(1 << 31)))
-    return keep(rows.mapInPandas(scan, "doc_id long, print long, base array<struct<start:int,kind:int,end:int>>, found "
-                                       "array<struct<start:int,end:int,class:int,bin:int>>, null array<struct<class:int,bin:int>>"),
-                "secret-tests")
+    rows = rows.withColumn("print", F.xxhash64("text"))
+    return keep(rows.mapInPandas(scan, "doc_id long, print long, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:"
+                                       "int,end:int,class:int,bin:int>>, null array<struct<class:int,bin:int,n:bigint>>"), "secret-tests")
 
 
 def discovery_bins(scans: DataFrame, rate: float) -> list[int]:
     """For each class the lowest score bin that is reported (BINS: none), by Benjamini-Hochberg at
     ``rate`` over all tokens, with p-values from the strung words of the class."""
-    counted = [scans.select(F.explode(c).alias("x")).groupBy("x.class", "x.bin").agg(F.count("*").alias("n"))
-               .select(F.lit(c).alias("what"), "class", "bin", "n") for c in ("found", "null")]
+    counted = [scans.select(F.explode(c).alias("x")).groupBy("x.class", "x.bin").agg(n.alias("n"))
+               .select(F.lit(c).alias("what"), "class", "bin", "n") for c, n in (("found", F.count("*")), ("null", F.sum("x.n")))]
     found, null = np.zeros((CLASSES, BINS)), np.zeros((CLASSES, BINS))
     for r in counted[0].union(counted[1]).collect():  # at most 2 * classes * bins rows
         (found if r["what"] == "found" else null)[r["class"], r["bin"]] = r["n"]
@@ -229,7 +326,7 @@ def scan_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     lowest = F.array(*[F.lit(b) for b in discovery_bins(scans, rate)])
     added = F.transform(F.filter("found", lambda t: t["bin"] >= F.get(lowest, t["class"])),
                         lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
-    return scans.select("doc_id", "print", "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    return scans.where(F.col("print").isNotNull()).select("doc_id", "print", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:

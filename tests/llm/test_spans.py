@@ -4,6 +4,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pytest
+
 from facsimile.llm import pii, secret_scan
 from facsimile.llm.spans import joined
 
@@ -114,3 +117,43 @@ def test_empty(documents):
 def test_joined_order(spark):
     spans = spark.createDataFrame([([(5, 0, 9), (1, 1, 3), (5, 2, 8)],)], "s array<struct<start:int,kind:int,end:int>>")
     assert spans.select(joined(spans.s, ["a", "b", "c"])).first()[0] == "b:1:3,a:5:9,c:5:8"
+
+
+PROSE = "the Quiet harbour keeps lanterns over stone AND water while iOS evening boats return under x heavy northern weather".split()
+
+
+@pytest.mark.parametrize("at_once", [1_000_000, 500])
+def test_all_words_are_strung(monkeypatch, at_once):
+    monkeypatch.setattr(secret_scan, "LETTERS_AT_ONCE", at_once)
+    texts = [" ".join(rnd.choice(PROSE) for _ in range(n)) for n in (0, 1, 2, 3, 30, 400)] + ["é a b", "x y é " + "z" * 200]
+    want = np.zeros((secret_scan.CLASSES, secret_scan.BINS), dtype=int)
+    for text in texts:
+        words = re.findall("[A-Za-z]+", text)
+        for low in secret_scan.LENGTH_CLASSES if len(words) > 1 else ():
+            k = 0
+            while k < len(words):
+                token = ""
+                while len(token) < low:
+                    token, k = token + words[k % len(words)], k + 1
+                token = token[:low + low // 5]
+                for f, places in enumerate(secret_scan.FAMILY_PLACES):
+                    want[secret_scan.tally(token.lower() if f == 0 else token, low, f, places)] += 1
+    got = secret_scan.strung_words([w for w in (secret_scan.word_runs(t, []) for t in texts) if w is not None])
+    assert (got == want).all()
+    letters, lengths = secret_scan.word_runs("é password=Abcdefgh é my own words", [(2, 19)])
+    assert letters.tobytes() == b"myownwords" and lengths.tolist() == [2, 3, 5]
+
+
+def test_random_tokens_in_few_long_documents(documents):
+    """The null grows with the words, not with the number of rows."""
+    rows, hidden = [], {}
+    for k in range(12):
+        text = [rnd.choice(PROSE) for _ in range(6000)] + ["src/main/resources/configuration/of/everything", "a-very-long-hyphenated-identifier-here"] * 10
+        hidden[k] = "".join(rnd.choice(ALNUM) for _ in range(40))
+        text.insert(3000, hidden[k])
+        rows.append((k, " ".join(text)))
+    found = {r.doc_id: r.spans for r in secret_scan.scan_secrets(documents(rows)).collect()}
+    texts = dict(rows)
+    hits = [k for k, v in hidden.items() if any(texts[k][s.start:s.end] == v for s in found[k])]
+    wrong = [k for k in hidden for s in found[k] if texts[k][s.start:s.end] != hidden[k]]
+    assert len(found) == 12 and len(hits) >= 9 and len(wrong) <= 1

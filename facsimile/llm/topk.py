@@ -31,6 +31,8 @@ from facsimile.llm.store import keep, typed
 BLOCK_ROWS = 1024
 CELL_ROWS = 32768
 CELL_QUERIES = 2048
+# Blocks are numbered anew in each task, at this distance.
+TASK_BLOCKS = 1 << 32
 #: Shares of the components summed up before a pair is first tested against its bound.
 HEAD = 0.25
 
@@ -71,12 +73,14 @@ def packed(rows: DataFrame, parts: int, dims: int, scale: float, by_length: bool
     dealt = rows.repartitionByRange(parts, F.desc("length"), "id") if by_length else rows.repartition(parts, F.xxhash64("id"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done = 0  # blocks of the task, over all its batches
         for rows in batches:
             for k in range(0, len(rows), BLOCK_ROWS):
                 some = rows.iloc[k:k + BLOCK_ROWS]
                 x = scaled(some.v, dims, scale)
-                yield pd.DataFrame({"block": some.block.iloc[:1] * 1000 + k // BLOCK_ROWS, "longest": [some.length.max()],
+                yield pd.DataFrame({"block": some.block.iloc[:1] * TASK_BLOCKS + done, "longest": [some.length.max()],
                                     "ids": [some.id.to_numpy("int64").tobytes()], "vectors": [x.tobytes()]})
+                done += 1
 
     ordered = dealt.sortWithinPartitions(F.desc("length"), "id") if by_length else dealt
     return ordered.select(F.spark_partition_id().cast("long").alias("block"), "id", "v", "length") \

@@ -59,3 +59,16 @@ def test_large_components(spark):
 def test_oracle(spark):
     ok, note = compare.compare(spark, compare.connect(SMALL), "op5_top_k", SMALL)
     assert ok, note
+
+
+def test_blocks_of_many_batches_in_a_task(spark):
+    """One vec_id row stands so often that its task packs many Arrow batches: no vector may count twice."""
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(300)] + [(307, [0.01, 0.0, 0.0, 0.0])] * 500
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = sorted(tuple(r) for r in topk.top_k(df).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == plain(rows, 5, 50)

@@ -2,7 +2,8 @@
 
 Each stage works on all that its predecessor kept; all but the last return the columns of documents.
 Rejected documents and near copies go, secrets are blanked out, documents are repeated or left out as
-the mix asks, and what is left is packed.  Null, empty and repeated rows are treated as the operators
+the mix asks, and what is left is packed.  The pieces are kept in the shared folder with their
+identifiers (``ids``); the rows returned name them and are read from there (``inputFiles``).  Null, empty and repeated rows are treated as the operators
 say; an empty table passes through.
 """
 
@@ -44,7 +45,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
     # executors hold what earlier stages left in memory, so the workers remember fewer words
-    return pack(docs, remembered=150_000).drop("ids")
+    return keep(pack(docs, remembered=150_000), "packed-sequences").drop("ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

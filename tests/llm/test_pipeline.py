@@ -1,4 +1,5 @@
 import re
+import zlib
 
 import corpus_pipeline
 
@@ -32,3 +33,10 @@ def test_run_and_empty_table(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_packed_identifiers_are_in_the_shared_folder(spark):
+    pieces = corpus_pipeline.run(spark, SMALL)
+    kept = spark.read.parquet(*pieces.inputFiles()).collect()
+    assert kept and all(zlib.crc32(p.ids) == p.ids_crc32 and len(p.ids) == 4 * p.length for p in kept)
+    assert sorted((p.sequence_id, p.offset, p.length) for p in kept) == sorted((p.sequence_id, p.offset, p.length) for p in pieces.collect())

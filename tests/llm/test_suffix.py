@@ -85,3 +85,10 @@ def test_repeated_rows_and_null_ids(documents):
 def test_empty(documents):
     assert remove_repeats(documents([])).count() == 0
     assert [tuple(r) for r in remove_repeats(documents([(1, None), (2, "")])).select("doc_id", "n_removed").collect()] in ([(1, 0), (2, 0)], [(2, 0), (1, 0)])
+
+
+def test_windows_of_more_than_287_bytes(documents):
+    passage = noise(1200)
+    rows = [(k, noise(rnd.randrange(300)) + passage[rnd.randrange(400):1200 - rnd.randrange(400)] + noise(rnd.randrange(300))) for k in range(30)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(documents(rows), window=300).collect()}
+    assert got == plain(rows, 300)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from facsimile.llm.store import checked, keep, typed
 from facsimile.llm.words import count_words
+from facsimile.operators.ordered import running
 
 # A source's documents are summed up in this many buckets of the keyed order, so that a source with a
 # third of all rows is spread over many tasks.
@@ -40,27 +41,25 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
 
     Water filling: with the sources in the order of most * size / weight, those before a point are
     full and the rest share what is left by weight; the first point at which the next source stays
-    below its bound is the answer.  This is one window over the table of sources."""
-    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(order) - 1).cast("int")
+    below its bound is the answer.  The sums are running sums in buckets over the table of sources."""
+    per_source = keep(sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+                      .withColumns({"no_name": F.col("source").isNull().cast("int"), "name": F.coalesce("source", F.lit(""))}), "mix-sources")
+    turn = (F.col("turn") - 1).cast("int")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(turn, F.lit(len(weights))) + 1)
     pick = F.pmod(turn, F.lit(len(SCHEDULES))) + 1
     rates = [F.element_at(F.array(*[F.lit(s[k]) for s in SCHEDULES]), pick) for k in (0, 1)]
-    bound = F.col("source_size") * most
-    by_level = Window.orderBy(bound / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    level = (F.sum("source_size").over(whole) * share - F.coalesce(F.sum(bound).over(before), F.lit(0.0))) \
-        / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    full = F.col("level") * F.col("weight") >= bound
-    settled = F.min(F.when(~full, F.struct("place", "level"))).over(whole)["level"]
-    return per_source.select("source", "source_size", weight.alias("weight"), rates[0].alias("rate0"), rates[1].alias("rate1")) \
-        .withColumns({"level": level, "place": F.row_number().over(by_level)}) \
-        .withColumn("settled", settled) \
-        .withColumn("target", F.when(F.col("settled").isNull(), bound)
-                    .otherwise(F.least(bound, F.col("settled") * F.col("weight"))).cast("double")) \
-        .select("source", "source_size", "target", "rate0", "rate1")
+    bound = F.col("source_size") * F.lit(float(most))
+    weighted = keep(running(per_source, ["no_name", "name"], row_number="turn")
+                    .select("*", weight.alias("weight"), rates[0].alias("rate0"), rates[1].alias("rate1"))
+                    .withColumns({"bound": bound, "full_at": bound / F.col("weight")}), "mix-weights")
+    size, weight_sum = weighted.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(size) * F.lit(float(share)) - (F.col("bounds") - F.col("bound"))) \
+        / (F.lit(weight_sum) - (F.col("weights") - F.col("weight")))
+    levels = running(weighted, ["full_at", "no_name", "name"], sums={"bounds": "bound", "weights": "weight"}, row_number="place") \
+        .withColumn("level", level)
+    settled = levels.where(F.col("level") * F.col("weight") < F.col("bound")).agg(F.min(F.struct("place", "level"))["level"]).first()[0]
+    target = F.col("bound") if settled is None else F.least(F.col("bound"), F.lit(settled) * F.col("weight"))
+    return weighted.select("source", "source_size", target.cast("double").alias("target"), "rate0", "rate1")
 
 
 def running_words(sizes: DataFrame) -> DataFrame:
@@ -96,7 +95,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     sizes = keep(documents_with_size(docs), "mix-sizes")
     goals = targets(sizes, weights, share, most).select(
         F.col("source").alias("goal_source"), "source_size", "target", "rate0", "rate1")
-    placed = running_words(sizes).join(F.broadcast(goals), F.col("source").eqNullSafe(F.col("goal_source")))
+    placed = running_words(sizes).join(checked(goals), F.col("source").eqNullSafe(F.col("goal_source")))
     goal = F.floor("target")
     uses = []
     for turn in range(int(-(-most // 1))):

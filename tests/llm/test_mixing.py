@@ -2,7 +2,8 @@ from collections import defaultdict
 
 import pytest
 
-from facsimile.llm.mixing import mix, mixed
+from facsimile.llm import store
+from facsimile.llm.mixing import documents_with_size, mix, mixed, targets
 
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -76,3 +77,22 @@ def test_mixed_rows_keep_their_columns(documents):
 
 def test_empty(documents):
     assert mix(documents([])).count() == 0 and mixed(documents([])).count() == 0
+
+
+def test_many_sources_in_many_buckets(spark, documents, monkeypatch):
+    rows = [(k, "w " * (k % 37 + 1), f"s{k % 130}" if k % 130 else None) for k in range(400)]
+    sizes = defaultdict(int)
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    monkeypatch.setattr(store, "BROADCAST_ROWS", 0)
+    spark.conf.set("facsimile.rowsPerBucket", "10")
+    try:
+        goals = targets(documents_with_size(documents(rows)), WEIGHTS, 1.5, 2.0)
+        assert "Window" not in goals._jdf.queryExecution().toString()  # no window over the whole table of sources
+        got = {r.source: r.target for r in goals.collect()}
+        plan = mix(documents(rows))
+        assert plan.count() == len(rows) and {r.source: r.target for r in plan.collect()} == got
+    finally:
+        spark.conf.unset("facsimile.rowsPerBucket")
+    want = fill(sizes)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)

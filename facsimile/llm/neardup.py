@@ -18,8 +18,9 @@ members of different components under one value, is compared by signatures once,
 blocks; of the agreeing pairs the documents try their best four, sixteen and so on, until no untried
 pair of different components is left.  So no link between components is lost.
 
-The thresholds lie 4.6 standard deviations below the matches expected at the least similarity: a pair
-just at the limit is missed about four times in a million.
+The two thresholds follow from ``percent``: the largest whose exact binomial tails stay within 8 and 3
+in a million.  At 75 percent these are 53 of 96 and 339 of 512 with tails of 7.6e-6 and 2.7e-6, so that
+a pair just at the limit is missed about ten times in a million.
 
 Texts without words, and rows without an id, have no links.  Rows that repeat a document belong to its
 class.  If one id has several texts, the one with the least set hash stands for it in comparisons.
@@ -27,6 +28,7 @@ class.  If one id has several texts, the one with the least set hash stands for
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +40,9 @@ from pyspark.sql import functions as F
 from facsimile.llm.graph import components
 from facsimile.llm.store import checked, keep, typed
 
-COORDINATES, MATCHES = 96, 53
-FINE_COORDINATES, FINE_MATCHES = 512, 339
+COORDINATES, FINE_COORDINATES = 96, 512
+# Tails at most: how often a pair just at the limit stays below the thresholds of the two signatures.
+MISSED, FINE_MISSED = 8e-6, 3e-6
 # Turns in which documents try star partners, before all that is left is compared.
 STAR_TURNS = 2
 # A posting is compared in blocks of this many members; a task takes about so many rows of blocks.
@@ -52,6 +55,23 @@ _ADD = _draw.integers(0, 1 << 63, COORDINATES + FINE_COORDINATES, dtype=np.uint6
 _MIX = _draw.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
+def least_matches(n: int, p: float, missed: float) -> int:
+    """The largest m such that a binomial (n, p) falls below m with a chance of at most ``missed``."""
+    m, tail = 0, 0.0
+    while m <= n and (tail := tail + math.comb(n, m) * p ** m * (1 - p) ** (n - m)) <= missed:
+        m += 1
+    return min(m, n)
+
+
+def thresholds(percent: int) -> tuple[int, int]:
+    """The matches of both signatures that a pair alike to ``percent`` needs; single bytes also agree by chance."""
+    like = percent / 100
+    matches = least_matches(COORDINATES, like, MISSED)
+    if not 0 < percent <= 100 or matches < 1:
+        raise ValueError(f"{COORDINATES} coordinates cannot find pairs alike to {percent} percent")
+    return matches, least_matches(FINE_COORDINATES, like + (1 - like) / 256, FINE_MISSED)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -241,10 +261,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return keep(texts.join(checked(wanted), "node").mapInPandas(describe, "node long, size long, set binary, fine binary").dropDuplicates(["node"]), "full-sets")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, matches: int = MATCHES,
-                    fine_matches: int = FINE_MATCHES) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, matches: int | None = None,
+                    fine_matches: int | None = None) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id (the smallest id
     reachable over links, its own included) and kept (true for that document)."""
+    derived = thresholds(percent)
+    matches, fine_matches = derived[0] if matches is None else matches, derived[1] if fine_matches is None else fine_matches
     rows = described(docs, width)
     spark = rows.sparkSession
     real = rows.where("n_shingles > 0 and doc_id is not null")

@@ -93,3 +93,18 @@ def test_components(spark):
     rnd.shuffle(links)
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 90, 90: 90, 95: 90, **{k: 200 for k in range(200, 260)}}
+
+
+def test_thresholds_follow_from_percent(documents):
+    assert neardup.thresholds(75) == (53, 339) and neardup.thresholds(100) == (96, 512)
+    with pytest.raises(ValueError):
+        neardup.thresholds(5)
+    # pairs that share 50 of 94 shingles, about 53 percent: all must be linked at 50 percent
+    rows = []
+    for k in range(60):
+        a = [f"w{k}x{j}" for j in range(100)]
+        rows += [(2 * k, " ".join(a[:76])), (2 * k + 1, " ".join(a[22:98]))]
+    shingles = [{tuple(t.split()[j:j + 5]) for j in range(72)} for _, t in rows]
+    want = {2 * k + 1 for k in range(60) if 100 * len(shingles[2 * k] & shingles[2 * k + 1]) >= 50 * len(shingles[2 * k] | shingles[2 * k + 1])}
+    got = {r.doc_id for r in neardup.near_duplicates(documents(rows), percent=50).collect() if not r.kept}
+    assert len(want) == 60 and got == want

@@ -42,9 +42,6 @@ PARTS = 4
 BUCKET_STRINGS = 4096
 CORE, SEPARATOR, END = 300, 1, 0  # symbols from CORE on are cores; bytes are 2..257
 
-# A run's shape is a long: the anchor's distance in the low bits, the number of further windows above.
-SHAPE_BITS = 32
-
 PART = "key long, low int, high int, core long, left binary, right binary, doc_id long, at long"
 
 
@@ -62,9 +59,16 @@ def anchor_keys(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("text").mapInPandas(scan, "key long")
 
 
+def shape_bits(window: int) -> int:
+    """The low bits of a run's shape, for the anchor's distance; above it is the number of further windows.
+    Both are at most window - GRAM, so a shape of 16 bits each is an int, else it is a long."""
+    return 16 if window - GRAM < 1 << 15 else 32
+
+
 def runs(docs: DataFrame, window: int) -> DataFrame:
     """key (anchor hash), doc_id, first (window) and shape (further windows, and the anchor's distance
     from the first), and the hash of the bytes covered."""
+    bits = shape_bits(window)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -74,12 +78,12 @@ def runs(docs: DataFrame, window: int) -> DataFrame:
                     keys, places, firsts, lasts = window_runs(text, window)
                     if len(keys):
                         out.append(pd.DataFrame({"key": keys, "doc_id": doc_id, "first": firsts,
-                                                 "shape": (lasts - firsts) << SHAPE_BITS | (places - firsts),
+                                                 "shape": ((lasts - firsts) << bits | (places - firsts)).astype("int32" if bits == 16 else "int64"),
                                                  "hash": stretch_hashes(text, firsts, lasts, window)}))
                 if out:
                     yield pd.concat(out, ignore_index=True)
 
-    return docs.mapInPandas(scan, "key long, doc_id long, first long, shape long, hash long")
+    return docs.mapInPandas(scan, f"key long, doc_id long, first long, shape {'int' if bits == 16 else 'long'}, hash long")
 
 
 def split_core(core: int, low: int, high: int, left: bytes, right: bytes, half_low: int, half_high: int) -> tuple[int, bytes, bytes] | None:
@@ -101,9 +105,10 @@ def split_core(core: int, low: int, high: int, left: bytes, right: bytes, half_l
 
 def parts_of(text: bytes, key: int, first: int, shape: int, window: int) -> Iterator[tuple]:
     """The parts of a run: (key, low, high, core, left, right, place of the anchor)."""
-    at = first + (shape & (1 << SHAPE_BITS) - 1)
+    bits = shape_bits(window)
+    at = first + (shape & (1 << bits) - 1)
     reach = window - GRAM
-    least, most = at - (first + (shape >> SHAPE_BITS)), at - first  # anchor distances of its windows
+    least, most = at - (first + (shape >> bits)), at - first  # anchor distances of its windows
     for k in range(PARTS):
         low, high = k * (reach + 1) // PARTS, (k + 1) * (reach + 1) // PARTS - 1
         a, b = max(low, least), min(high, most)
@@ -122,7 +127,7 @@ def part_strings(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             out = []
             for doc_id, text, key, first, shape in zip(rows.doc_id, rows.text, rows.key, rows["first"], rows["shape"]):
                 # of several texts under one id only those that reach so far can hold the run
-                if first + (shape >> SHAPE_BITS) + window <= len(text):
+                if first + (shape >> shape_bits(window)) + window <= len(text):
                     out += [(*p[:6], doc_id, p[6]) for p in parts_of(text, key, first, shape, window)]
             yield pd.DataFrame(out, columns=names)
 
@@ -211,7 +216,7 @@ def repeated_windows(docs: DataFrame, window: int, bucket_strings: int) -> DataF
     classes = keep(found.groupBy("key", "hash").agg(F.min(place).alias("head"), F.count("*").alias("copies")), "run-classes")
     again = found.join(classes.where("copies > 1"), ["key", "hash"]) \
         .where((F.col("doc_id") != F.col("head.doc_id")) | (F.col("first") != F.col("head.first"))) \
-        .select("doc_id", F.col("first").alias("start"), (F.col("first") + F.shiftright("shape", SHAPE_BITS)).alias("last"))
+        .select("doc_id", F.col("first").alias("start"), (F.col("first") + F.shiftright("shape", shape_bits(window))).alias("last"))
     several = classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     open_runs = classes.join(several, "key").select("key", "head.*")
     spans = keep(again, "repeats")

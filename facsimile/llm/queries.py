@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facsimile.llm import licenses, pii, secret_scan
+from facsimile.llm import exact, licenses, pii, secret_scan
 from facsimile.llm.mixing import mix
 from facsimile.llm.neardup import near_duplicates
 from facsimile.llm.packing import pack
@@ -104,3 +104,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_exact_dedup"] = exact.ORACLE

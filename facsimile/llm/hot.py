@@ -26,9 +26,11 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str =
     """``rows`` with the columns of ``table``, which is unique on ``key`` and says in ``weight`` how many
     rows bear it (or a bound).  The heaviest keys, ``at_most`` of them by count, are broadcast; the rest
     is a shuffle join in which no key is heavy.  ``how`` is "left" or "inner"; a null key meets nothing
-    and its rows stay where they are.  Both tables are read twice: keep them first."""
+    and its rows stay where they are.  A row's weight is at least 1; others meet nothing.  Both tables are read twice: keep them first."""
     least = heavy_from(table, weight, at_most)
-    heavy, light = table.filter(F.col(weight) >= least), table.filter(F.col(weight) < least)
+    if least == 1:
+        return rows.join(F.broadcast(table.filter(F.col(weight) > 0)), key, how)
+    heavy, light = table.filter(F.col(weight) >= least), table.filter(F.col(weight).between(1, least - 1))
     found = rows.join(F.broadcast(heavy), key)
     others = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
     if how == "left":

@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from facsimile.llm import exact, licenses, pii, secret_scan
+from facsimile.llm.alignment import alignments
 from facsimile.llm.mixing import mix
 from facsimile.llm.neardup import near_duplicates
 from facsimile.llm.packing import pack
@@ -17,6 +18,8 @@ from facsimile.llm.store import read
 from facsimile.llm.suffix import remove_repeats
 from facsimile.llm.token_counts import token_counts
 from facsimile.llm.topk import top_k
+from facsimile.llm.trie import ORACLE as TRIE_ORACLE
+from facsimile.llm.trie import prefix_trie
 
 ROOT = str(Path(__file__).resolve().parents[2])
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,9 +109,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_prefix_trie"] = TRIE_ORACLE
+
+
 @query
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
 ORACLES["op12_exact_dedup"] = exact.ORACLE
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments(read(spark, sf_dir, "documents"))

@@ -1,7 +1,7 @@
 """Token counts by heap-and-linked-list byte-pair merging.
 
-A text is cut at the white-space marks, which no piece holds in its inside, so that every mark with
-the characters after it can be merged alone.  In such a segment the symbols form a linked list and a
+A text is cut at the white-space marks, which no piece holds in its inside, and between characters
+that stand side by side in no piece, so that every part can be merged alone.  In such a part the symbols form a linked list and a
 heap holds the adjacent pairs that are pieces; the best-ranked leftmost pair is merged until none is
 left.  The count is the number of initial symbols (a character outside the vocabulary stands for its
 UTF-8 bytes) minus the number of merges.  No identifiers are made.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from sys import getsizeof
 
 import pandas as pd
 import public_tokenizers
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from facsimile.llm.store import typed
 
 MARK = "▁"
-# Words remembered by a worker; the table is emptied when it is full, so memory is bounded.
-REMEMBERED = 1 << 20
+# Words of at most so many characters are remembered by a worker, in so many bytes; a full table is emptied.
+LONGEST = 40
+REMEMBERED_BYTES = 1 << 27
+ENTRY_BYTES = 110
 
 
 class MergeTable:
@@ -40,11 +43,14 @@ class MergeTable:
         # two characters that stand side by side in no piece can be parted without changing a count
         self.touching = {piece[i:i + 2] for piece in self.rank for i in range(len(piece) - 1)}
         self.words: dict[str, int] = {}
+        self.held = 0
 
     def merged(self, text: str) -> int:
         """Tokens of one segment: its symbols minus its merges."""
         rank, symbols = self.rank, list(text)
         n = len(symbols)
+        if n == 1:
+            return 1 if text in rank else len(text.encode("utf-8", "surrogatepass"))
         count = n
         for c in symbols:
             if c not in rank:
@@ -73,39 +79,49 @@ class MergeTable:
                     heappush(heap, (rank[grown], lead, grown))
         return count
 
+    def parts(self, text: str) -> list[str]:
+        """``text`` parted wherever two neighbours touch in no piece."""
+        cuts = [k for k, pair in enumerate(map(str.__add__, text, text[1:]), 1) if pair not in self.touching]
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+
+    def _parted(self, text: str) -> int:
+        return sum(map(self.merged, self.parts(text))) if text else 0
+
+    def _remember(self, word: str, tokens: int) -> None:
+        if len(word) <= LONGEST:
+            if self.held > REMEMBERED_BYTES:
+                self.words.clear()
+                self.held = 0
+            self.words[word] = tokens
+            self.held += getsizeof(word) + ENTRY_BYTES
+
     def _word(self, rest: str) -> int:
-        """Tokens of a mark followed by ``rest``, remembered.  Line breaks are no piece, and a last
-        character that touches its neighbour in no piece counts alone: both part the word further."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        first, *others = rest.split("\n")
+        """Tokens of a mark followed by ``rest``; short words are remembered, and so is what is left of
+        them without the parts that stand alone."""
+        first, *others = self.parts(MARK + rest)
+        got = self.words.get(first[1:])
+        if got is None:
+            got = self.merged(first)
+            self._remember(first[1:], got)
         if others:
-            got = (self._word(first) if first else self.merged(MARK)) + len(others) + sum(map(self.merged, others))
-        elif len(rest) > 2 and rest[-2:] not in self.touching and rest[-1] in self.rank:
-            got = self.words.get(rest[:-1]) or self._word(rest[:-1])
-            got += 1
-        else:
-            got = self.merged(MARK + rest)
-        self.words[rest] = got
+            got += sum(map(self.merged, others))
+            self._remember(rest, got)
         return got
 
-    def _bare(self, segment: str) -> int:
-        return sum(map(self.merged, parts)) + len(parts) - 1 if (parts := segment.split("\n")) != [""] else 0
-
     def count(self, text: str) -> int:
         if not text:
             return 0
         head, *pieces = self.model.normalize(text).split(MARK)
-        known, total, marks = self.words, self._bare(head), 0
+        known, total, marks = self.words, self._parted(head), 0
         for rest in pieces:
             if not rest:
                 marks += 1
             elif marks:
-                total += self._bare(MARK * (marks + 1) + rest)
+                total += self._parted(MARK * (marks + 1) + rest)
                 marks = 0
             else:
                 total += known.get(rest) or self._word(rest)
-        return total + self._bare(MARK * marks)
+        return total + self._parted(MARK * marks)
 
 
 _TABLES: dict[str, MergeTable] = {}

@@ -1,6 +1,7 @@
 """Token counts and packing against the libraries themselves."""
 
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ import public_tokenizers
 import sentencepiece
 import tokenizers
 
+import facsimile.llm.token_counts as token_counts_module
 from facsimile.llm.packing import WordIds, pack
 from facsimile.llm.token_counts import MergeTable, token_counts
 
@@ -24,6 +26,39 @@ def test_merging_counts_like_the_library():
         assert table.count(text) == len(library.encode(text)), text[:60]
 
 
+def test_long_runs_of_every_lone_character():
+    """Pieces of one character that don't touch themselves part a run at every place."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    table, library = MergeTable(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    lone = [c for c in table.rank if len(c) == 1 and c + c not in table.touching and table.model.normalize(c) == "▁" + c]
+    assert len(lone) > 3000
+    for c in lone:
+        assert table.count(c * 5000) == len(library.encode(c * 5000)), c
+    for text in ("0" * 1_000_000, "█" * 1_000_000, "1." * 300_000, "a@" * 200_000, "的一" * 200_000, " " * 300_000, "ab" * 300_000):
+        assert table.count(text) == len(library.encode(text)), text[:4]
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_counts_module, "REMEMBERED_BYTES", 2000)
+    table = MergeTable(public_tokenizers.path("piece_bpe_32k.model"))
+    library = table.model
+    for k in range(500):
+        text = f"word{k}, and {'long' * 30}{k}"
+        assert table.count(text) == len(library.encode(text))
+        assert len(table.words) <= 15 and table.held <= 2300
+
+
+def test_every_letter_before_a_stop_or_comma():
+    words = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    letters = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha()]
+    texts = ["\n".join(f"{c}{t} a{c}{t}" for c in letters[k:k + 400] for t in ("", ".", ",")) for k in range(0, len(letters), 400)]
+    for k in range(0, len(texts), 64):
+        some = texts[k:k + 64]
+        for text, ids, want in zip(some, words.ids(some), library.encode_batch_fast(some, add_special_tokens=False)):
+            assert np.frombuffer(ids, words.dtype).tolist() == want.ids, text[:9]
+
+
 def test_token_counts(spark, documents, small):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     rows = [(r.doc_id, r.text) for r in small.collect()] + [(900_000, None), (900_001, ""), (None, "a b"), (7, "a b"), (7, "a b")]

@@ -72,14 +72,15 @@ class WordIds:
         return [made[w] for w in words]
 
     def _learn(self, words: set[str]) -> None:
-        """Remember ``words``.  A full stop or comma after a letter is always a token run of its own,
-        and case is dropped, so most words reduce to a plainer one."""
+        """Remember ``words``.  A full stop or comma after an ASCII letter is always a token run of its
+        own (other letters may end in a mark, which joins it), and case is dropped, so most words reduce
+        to a plainer one."""
         known, old, plain = self.known, self.old, {}
         for word in words:
             if word in old:
                 known[word] = old[word]
                 continue
-            stem, tail = (word[:-1], word[-1]) if word[-1] in ".," and word[-2:-1].isalpha() else (word, "")
+            stem, tail = (word[:-1], word[-1]) if word[-1] in ".," and word[-2:-1].isascii() and word[-2:-1].isalpha() else (word, "")
             plain[word] = (stem if any(c in stem for c in AS_IS) else stem.lower(), tail)
         parts = {x for pair in plain.values() for x in pair if x and x not in known}
         known.update((x, old[x]) for x in parts if x in old)

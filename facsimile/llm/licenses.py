@@ -24,7 +24,7 @@ SENTENCE_END = r"[.;!?][ \t\r\n]+|\n[ \t\r]*\n"
 CLAUSE_END = r"[\r\n:]|[.;!?](?![A-Za-z0-9])"
 HARD, SOFT = "\x01", "\x02"  # stand for the two in a normalised text
 #: Comment marks at the start of a line that would else be sentence ends or words; and the two signs above.
-LINE_MARK = r"(?m)^[ \t]*+(?:[.;!?]+|(?i:dnl|@?rem)(?![A-Za-z0-9]))|[\x01\x02]"
+LINE_MARK = r"(?md)^[ \t]*+(?:[.;!?]+|(?i:dnl|@?rem)(?![A-Za-z0-9]))|[\x01\x02]"
 
 #: Known licence sentences (fixed values: words of public licences), by identifier.
 SENTENCES = {
@@ -138,24 +138,43 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same as DuckDB SQL over the view ``documents``."""
+    """The same as DuckDB SQL over the view ``documents``: a walk over words and the gaps between them."""
     quoted = lambda items: "[" + ", ".join("'" + i.replace("'", "''") + "'" for i in items) + "]"
-    longest = max(map(len, KNOWN.values()))
     rules = ", ".join(f"case when contains(',' || sentence_ids || ',', ',{','.join(ids)},') then '{licence}:{kind}' end"
                       for licence, kind, ids in RULES)
     return f"""
-with cut as (
-  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[.;!?][ \\t\\r\\n]+|\\n[ \\t\\r]*\\n'),
-                             lambda s: length(s) between 4 and {4 * longest}) as near
+with lines as (
+  select doc_id, row_number() over () as place, list_transform(string_split(translate(coalesce(text, ''), chr(1) || chr(2), '  '), chr(10)),
+    lambda l: regexp_replace(l, '^[ \t]*([.;!?]+|((?i)(dnl|@?rem)([^A-Za-z0-9]|$)))', ' \\4')) as lines
   from documents),
-placed as (
-  select doc_id, list_filter(list_transform(near, lambda s:
-    list_position({quoted(KNOWN.values())}, lower(trim(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g'))))), lambda p: p > 0) as places
+cut as (
+  select doc_id, place, list_transform(regexp_extract_all(whole, '[A-Za-z0-9]+'), lambda w: lower(w)) as words,
+         string_split_regex(whole, '[A-Za-z0-9]+') as gaps
+  from (select doc_id, place, array_to_string(lines, chr(10)) as whole from lines)),
+-- what a gap ends: 2 a sentence, 1 a line or clause, 0 nothing
+walk as (
+  select doc_id, place, words, list_transform(gaps, lambda g, k: case
+    when k = 1 or k = len(gaps) or regexp_matches(g, '[.;!?][ \t\r\n]') or regexp_matches(g, '\n[ \t\r]*\n') then 2
+    when regexp_matches(g, '[\r\n:]') or regexp_matches(left(g, greatest(length(g) - 1, 0)), '[.;!?]') then 1 else 0 end) as ends
   from cut),
+known as (
+  select unnest({quoted(KNOWN)}) as name, string_split(unnest({quoted(KNOWN.values())}), ' ') as said),
+starts as (
+  select place, words, ends, spot from (select place, words, ends, unnest(range(1, len(words) + 1)) as spot from walk)
+  where ends[spot] > 0 and list_contains((select list(distinct said[1]) from known), words[spot])),
+met as (
+  select place, spot, spot + len(said) - 1 as upto, name from starts join known on words[spot] = said[1]
+  where words[spot : spot + len(said) - 1] = said and ends[spot + len(said)] > 0
+    and (len(said) = 1 or list_max(ends[spot + 1 : spot + len(said) - 1]) < 2)),
+longest as (select place, spot, max(upto) as upto, arg_max(name, upto) as name from met group by place, spot),
+-- from left to right, none inside the one before
+chosen as (
+  select place, list_reduce(list({{'spot': spot, 'upto': upto, 'names': [name]}} order by spot), lambda x, y: case when y.spot > x.upto
+    then {{'spot': x.spot, 'upto': y.upto, 'names': list_concat(x.names, y.names)}} else x end).names as names
+  from longest group by place),
 named as (
-  select doc_id, len(places) as n_sentences,
-         coalesce(array_to_string(list_transform(places, lambda p: {quoted(KNOWN)}[p]), ','), '') as sentence_ids
-  from placed),
+  select doc_id, coalesce(len(names), 0) as n_sentences, coalesce(array_to_string(names, ','), '') as sentence_ids
+  from walk left join chosen using (place)),
 ruled as (select *, list_filter([{rules}], lambda r: r is not null) as rules from named),
 once as (select *, list_filter(rules, lambda r, i: list_position(rules, r) = i) as firsts from ruled)
 select doc_id, n_sentences, sentence_ids, coalesce(array_to_string(firsts, ','), '') as licences,

@@ -15,7 +15,7 @@ from facsimile.functions import keyed, money
 from facsimile.operators import scale, strategies
 from facsimile.plans import contract as ct
 from facsimile.plans import retail, run
-from facsimile.sources import readers, writers
+from facsimile.sources import json_arrays, readers, writers
 
 SEED = 42
 
@@ -60,6 +60,33 @@ def _(t):
     return t.spark.read.text(path).agg(F.count("*").alias("lines"), F.count_if(F.col("value").contains('"p":null')).alias("nulls"))
 
 
+def one_array(t, df, key: str) -> str:
+    """All rows of ``df`` as one array file: the row with the largest key closes it."""
+    path = scratch(t, "array")
+    last = df.agg(F.max(key)).first()[0]
+    text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    lines = df.select(F.concat(F.when(F.col(key) == last, text), F.lit("]")).alias("end"), F.concat(text, F.lit(",")).alias("inner"))
+    first = t.spark.createDataFrame([("[",)], "value string")
+    first.unionByName(lines.filter("end is null").select(F.col("inner").alias("value"))) \
+        .unionByName(lines.filter("end is not null").select(F.col("end").alias("value"))).coalesce(1).write.text(path)
+    return path
+
+
+# texts with every sign that a parser could stumble over
+TRICKY = ("case o_orderkey % 7 when 0 then concat('}{', o_orderstatus) when 1 then concat(chr(92), '\"},{\"x\":[') when 2 then '' "
+          "when 3 then concat('ends in ', chr(92)) when 4 then null when 5 then concat('line', chr(10), chr(9), ']') else o_orderpriority end")
+
+
+@query("json_array_by_ranges", f"""select o_orderkey, {TRICKY} as note, o_custkey as customer, o_orderkey % 7 as first_part, o_totalprice as price
+ from orders""")
+def _(t):
+    src = t.orders.selectExpr("o_orderkey", f"{TRICKY} as note", "named_struct('customer', o_custkey, 'parts', array(o_orderkey % 7, 2)) as who",
+                              "array(named_struct('price', o_totalprice)) as prices")
+    got = json_arrays.read_json_array(t.spark, one_array(t, src, "o_orderkey"), range_bytes=1 << 16)
+    return got.select("o_orderkey", "note", F.col("who.customer").alias("customer"), F.col("who.parts")[0].alias("first_part"),
+                      F.col("prices")[0]["price"].alias("price"))
+
+
 @query("json_flatten", """select event_id, event_type as "head.type", user_id as "head.who.user", json_extract(props, '$.k')::bigint as "props.k" from events""")
 def _(t):
     src = t.events.select("event_id", F.struct(F.col("event_type").alias("type"), F.struct(F.col("user_id").alias("user")).alias("who")).alias("head"),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facsimile.sources import json_arrays
+
 # Texts that mean "no value".
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
              "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -68,14 +70,14 @@ def flatten(df: DataFrame) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, flat: bool | None = None, lines: bool = False) -> DataFrame:
-    """An array of objects gives one row each; a single object gives one flattened row.
+    """An array of objects gives one row each, read by many tasks; a single object gives one flattened row.
 
     ``lines``: one object per line, of which a large file is read by many tasks."""
     if lines:
         df = spark.read.json(path)
         return flatten(df) if flat else df
-    df = spark.read.option("multiLine", True).json(path)
-    if flat is None:
-        head = spark.read.text(path).filter(F.trim("value") != "").select(F.left(F.ltrim("value"), F.lit(1)).alias("c")).first()
-        flat = head is not None and head["c"] == "{"
-    return flatten(df) if flat else df
+    text = F.ltrim(F.regexp_replace(F.col("value"), "^\ufeff", ""))
+    head = spark.read.text(path).select(F.left(F.regexp_replace(text, r"^\s+", ""), F.lit(1)).alias("c")).filter("c <> ''").first()
+    single = head is not None and head["c"] == "{"
+    df = spark.read.option("multiLine", True).json(path) if single else json_arrays.read_json_array(spark, path)
+    return flatten(df) if flat or (flat is None and single) else df

@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,6 +28,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import sentencepiece
+import tiktoken
 import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,9 @@ from facsimile.llm.hot import lookup
 from facsimile.llm.store import keep, typed
 
 MARK = "▁"
+#: White space in a row, from which on texts are left to the slower library.
+BLANKS = 10_000
+ENDLESS = re.compile(rf"\s{{{BLANKS}}}")
 #: Bytes of text merged together, and the bytes of a lane.
 BATCH_BYTES = 1 << 20
 LANE_BYTES = 1 << 10
@@ -87,12 +92,18 @@ class Tokenizers:
         letters = byte_letters()
         names = [self.first.id_to_token(i) or "" for i in range(self.first.get_vocab_size(with_added_tokens=True))]
         self.a = Pieces([bytes(letters[c] for c in n) if all(c in letters for c in n) else n.encode() for n in names])
+        special = self.first.get_added_tokens_decoder()
+        self.quick = tiktoken.Encoding("first", pat_str=public_tokenizers.PATTERN, special_tokens={}, mergeable_ranks={
+            bytes(letters[c] for c in n): i for i, n in enumerate(names) if i not in special})
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         self.b = Pieces([bytes([int(p[3:-1], 16)]) if self.second.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)])
 
     def both(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        coded = self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [c.ids for c in coded], self.second.encode(texts, num_threads=1)
+        """Identifiers of A and of B.  The byte-level vocabulary is in the order of its merges, so the
+        quicker library gives A's identifiers too; its pattern overflows on endless white space."""
+        coded = [self.first.encode(" " + t, add_special_tokens=False).ids if len(t) > BLANKS and ENDLESS.search(t)
+                 else self.quick.encode_ordinary(" " + t) for t in texts]
+        return coded, self.second.encode(texts, num_threads=1)
 
 
 def lockstep_cuts(end_a: np.ndarray, end_b: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

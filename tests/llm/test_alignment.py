@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 from collections import Counter
 
 import numpy as np
@@ -81,6 +82,16 @@ def test_long_text(documents, small):
     assert got == expected(rows)
 
 
+def test_quick_identifiers_are_the_vocabularys():
+    both = loaded(*NAMES)
+    chars = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f" {c} a{c}b {c}{c}1{c}'s{c}" for c in chars[k:k + 500]) for k in range(0, len(chars), 500)]
+    texts += [" " * 9_999, "\n" * 9_999, " " * 1_000_000, "\n" * 1_000_000 + "x", " \n" * 400_000, "x" * 500_000, "=" * 500_000, "的" * 300_000, *ODD]
+    for k in range(0, len(texts), 100):
+        want = both.first.encode_batch_fast([" " + t for t in texts[k:k + 100]], add_special_tokens=False)
+        assert both.both(texts[k:k + 100])[0] == [w.ids for w in want]
+
+
 def test_empty_table(documents):
     assert alignments(documents([])).columns == COLUMNS
     assert alignments(documents([])).count() == 0

@@ -15,7 +15,7 @@ from facsimile.functions import keyed, money
 from facsimile.operators import scale, strategies
 from facsimile.plans import contract as ct
 from facsimile.plans import retail, run
-from facsimile.sources import json_arrays, readers, writers
+from facsimile.sources import blocks, json_arrays, readers, writers
 
 SEED = 42
 
@@ -117,6 +117,25 @@ def _(t):
     return names.join(F.broadcast(counts), "name")  # one row per table
 
 
+# one file of known bytes, many small ranges and blocks: every block's hash, and the tree's root as block -1
+@query("file_block_hashes", """with recursive content as (
+  select string_agg(c_custkey || '|' || c_name || '|' || c_mktsegment || chr(10), '' order by c_custkey) as x from customer),
+ cut as (select x, unnest(range(0, greatest(1, (length(x) + 1499) // 1500))) as block from content),
+ leaves as (select block, length(substr(x, block * 1500 + 1, 1500)) as bytes, sha256(substr(x, block * 1500 + 1, 1500)) as sha256 from cut),
+ tree as (
+  select list(sha256 order by block) as level from leaves
+  union all select list_transform(range(0, (len(level) + 6) // 7), lambda k: sha256(array_to_string(level[k * 7 + 1 : k * 7 + 7], ''))) from tree where len(level) > 1)
+ select block, bytes, sha256 from leaves union all select -1, (select length(x) from content), level[1] from tree where len(level) = 1""")
+def _(t):
+    path = scratch(t, "lines")
+    t.customer.select("c_custkey", F.concat_ws("|", "c_custkey", "c_name", "c_mktsegment").alias("value")) \
+        .repartition(1).sortWithinPartitions("c_custkey").select("value").write.text(path)
+    digests = blocks.block_digests(t.spark, [path], 1500, "part-*", range_bytes=4000)
+    roots = blocks.merkle_roots(digests, 7)
+    return digests.select("block", "bytes", "sha256").unionByName(
+        roots.select(F.lit(-1).cast("long").alias("block"), F.col("size").alias("bytes"), F.col("root").alias("sha256")))
+
+
 @query("run_manifest", """select 'customers' as "table", (select count(*) from supplier) as rows, 6 as columns, true as proved union all select 'products', 60, 4, true""")
 def _(t):
     n = t.supplier.count()

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facsimile.sources import blocks
+
 # First characters that a spreadsheet takes for a formula.
 FORMULA_CHARS = ["=", "+", "-", "@", "\t", "\r"]
 FORMATS = ("csv", "json", "jsonl", "parquet", "sql")
@@ -80,14 +81,13 @@ def export_all(tables: Mapping[str, DataFrame], folder: str, formats: Sequence[s
     return rows
 
 
-def artifact_manifest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, name, format, size_bytes, sha256) of every written part file."""
-    files = [spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(p) for p in paths]
-    out = reduce(DataFrame.unionByName, files)
-    parent = F.element_at(F.split("path", "/"), -2)
-    return out.select("path", parent.alias("name"), F.element_at(F.split(parent, "\\."), -1).alias("format"),
-                      F.col("length").alias("size_bytes"),
-                      F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("sha256"))
+def artifact_manifest(spark: SparkSession, paths: Sequence[str], block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+    """(path, name, format, size_bytes, n_blocks, sha256) of every written part file.  The hash of a file
+    of several blocks is the root over its blocks' digests; no file is read by one task or held in a row."""
+    roots = blocks.merkle_roots(blocks.block_digests(spark, paths, block_bytes, "part-*"))
+    parent = F.element_at(F.split("file", "/"), -2)
+    return roots.select(F.col("file").alias("path"), parent.alias("name"), F.element_at(F.split(parent, "\\."), -1).alias("format"),
+                        F.col("size").alias("size_bytes"), "n_blocks", F.concat(F.lit("sha256:"), F.col("root")).alias("sha256"))
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

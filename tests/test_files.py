@@ -1,11 +1,12 @@
 """Large files by byte ranges: JSON arrays and hashes of blocks."""
 
+import hashlib
 import json
 import random
 
 import pytest
 
-from facsimile.sources import json_arrays, readers
+from facsimile.sources import blocks, json_arrays, readers, writers
 
 SIGNS = ['"', "\\", "{", "}", "[", "]", ",", ":", " ", "\n", "\r", "a", "é", "🙂", "\\\\", '\\"', "}{", " "]
 
@@ -51,3 +52,38 @@ def test_read_json_tells_arrays_and_objects_apart(spark, tmp_path):
     (tmp_path / "o.json").write_text(json.dumps({"a": 1, "b": {"c": "}"}}, indent=1))
     assert [tuple(r) for r in readers.read_json(spark, str(tmp_path / "a.json")).select("a", "b.c").collect()] == [(1, "}")]
     assert readers.read_json(spark, str(tmp_path / "o.json")).columns == ["a", "b.c"]
+
+
+def root_of(data, size, fan):
+    level = [hashlib.sha256(data[k:k + size]).hexdigest() for k in range(0, max(len(data), 1), size)]
+    n = len(level)
+    while len(level) > 1:
+        level = [hashlib.sha256("".join(level[k:k + fan]).encode()).hexdigest() for k in range(0, len(level), fan)]
+    return n, level[0]
+
+
+def test_roots_do_not_depend_on_the_ranges(spark, tmp_path):
+    rnd = random.Random(4)
+    files = {"none": b"", "one": b"x", "newline": b"\n", "newlines": b"\n" * 999, "mark": b"\xef\xbb\xbf" + b"ab\ncd" * 400, "marked": b"\xef\xbb\xbf\n",
+             "zeros": b"\0" * 5000, "binary": rnd.randbytes(20_000), "ends": rnd.randbytes(3000) + b"\n", "returns": b"a\r\nb\r" * 700,
+             "exact": rnd.randbytes(2048)}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    for split in (300, 1111, 1 << 20):
+        for size, fan in ((256, 3), (1024, 2), (1 << 20, 256)):
+            if split == 300 and size != 256:
+                continue
+            digests = blocks.block_digests(spark, [str(tmp_path)], size, range_bytes=split)
+            got = {r.file.rsplit("/", 1)[1]: (r.size, r.n_blocks, r.root) for r in blocks.merkle_roots(digests, fan).collect()}
+            assert got == {name: (len(data), *root_of(data, size, fan)) for name, data in files.items() if data}, (split, size)
+
+
+def test_manifest_names_the_plain_hash_of_small_files(spark, tmp_path):
+    writers.write_parquet(spark.range(5000).repartition(3), f"{tmp_path}/t.parquet")
+    got = {r.path.rsplit("/", 1)[1]: r for r in writers.artifact_manifest(spark, [f"{tmp_path}/t.parquet"]).collect()}
+    parts = list((tmp_path / "t.parquet").glob("part-*"))
+    assert len(got) == len(parts) == 3
+    for part in parts:
+        r = got[part.name]
+        assert (r.name, r.format, r.size_bytes, r.n_blocks) == ("t.parquet", "parquet", part.stat().st_size, 1)
+        assert r.sha256 == "sha256:" + hashlib.sha256(part.read_bytes()).hexdigest()

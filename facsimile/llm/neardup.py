@@ -8,15 +8,17 @@ least ``matches`` coordinates share one of their rarest (coordinates - matches +
 prefixes are joined and the common values are skipped.  Pairs that agree in enough coordinates are
 confirmed on their full sets.
 
-Classes that reach a posting get a second signature of 512 single-byte coordinates, whose agreement
-tells more sharply which pairs are worth comparing in full.
+Of the pairs that meet, the collisions over all coordinates are counted, and those with at least
+``matches`` are retained.  A second signature of 512 single-byte coordinates tells more sharply which
+of them are worth comparing in full.
 
 Pairs inside a connected group need no further look.  A posting is therefore first joined as a star
 (each member with one member of another component, the number of rows staying that of the posting);
-a document tries its best candidate, components are formed, and this is repeated.  What is left then,
-members of different components under one value, is compared by signatures once, large postings in
-blocks; of the agreeing pairs the documents try their best four, sixteen and so on, until no untried
-pair of different components is left.  So no link between components is lost.
+a document tries its best candidate, components are formed, and this is repeated.  Then the members of
+different components under one value are compared, large postings in blocks; every member gives its
+best four untried pairs, components are formed, and again with sixteen and so on, until no untried pair
+of different components is left.  So no link between components is lost, and rows grow with the
+members, not with their pairs.
 
 The two thresholds follow from ``percent``: the largest whose exact binomial tails stay within 8 and 3
 in a million.  At 75 percent these are 53 of 96 and 339 of 512 with tails of 7.6e-6 and 2.7e-6, so that
@@ -38,6 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facsimile.llm.graph import components
+from facsimile.llm.hot import lookup
 from facsimile.llm.store import checked, keep, typed
 
 COORDINATES, FINE_COORDINATES = 96, 512
@@ -45,6 +48,8 @@ COORDINATES, FINE_COORDINATES = 96, 512
 MISSED, FINE_MISSED = 8e-6, 3e-6
 # Turns in which documents try star partners, before all that is left is compared.
 STAR_TURNS = 2
+# Untried candidates that a document tries at first; four times as many in each turn after that.
+BEST = 4
 # A posting is compared in blocks of this many members; a task takes about so many rows of blocks.
 BLOCK_MEMBERS = 1024
 TASK_MEMBERS = 8192
@@ -148,18 +153,25 @@ def shared_postings(classes: DataFrame, matches: int) -> DataFrame:
         .where((F.col("s") >= matches) & (F.col("place") <= F.col("s") - matches + 1)).select("key", "node", "n")
 
 
-def agreeing(pairs: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
-    """``pairs(a, b)`` whose fine signatures agree in at least ``matches`` coordinates, with the number."""
+def collisions(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Equal coordinates of signatures, row by row."""
+    return (left == right).sum(axis=-1)
 
-    def agree(left: pd.Series, right: pd.Series) -> pd.Series:
+
+def agreeing(pairs: DataFrame, sets: DataFrame, matches: int, fine_matches: int) -> DataFrame:
+    """``pairs(a, b)`` with at least ``matches`` collisions, and enough equal coordinates of the fine
+    signatures, with their number."""
+
+    def agree(left: pd.Series, right: pd.Series, coarse_left: pd.Series, coarse_right: pd.Series) -> pd.Series:
         if not len(left):
             return pd.Series([], dtype="int32")
-        a, b = (np.frombuffer(b"".join(x), dtype=np.uint8).reshape(len(x), -1) for x in (left, right))
-        return pd.Series((a == b).sum(axis=1).astype("int32"))
+        a, b, c, d = (np.frombuffer(b"".join(x), dtype=t).reshape(len(x), -1) for x, t in (
+            (left, np.uint8), (right, np.uint8), (coarse_left, np.uint32), (coarse_right, np.uint32)))
+        return pd.Series(np.where(collisions(c, d) >= matches, collisions(a, b), 0).astype("int32"))
 
-    sides = [sets.select(F.col("node").alias(c), F.col("fine").alias(f"s{c}")) for c in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").withColumn("agree", F.pandas_udf(agree, "int")("sa", "sb")) \
-        .where(F.col("agree") >= matches).select("a", "b", "agree")
+    sides = [sets.select(F.col("node").alias(c), F.col("fine").alias(f"s{c}"), F.col("signature").alias(f"t{c}")) for c in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").withColumn("agree", F.pandas_udf(agree, "int")("sa", "sb", "ta", "tb")) \
+        .where(F.col("agree") >= fine_matches).select("a", "b", "agree")
 
 
 def star_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
@@ -172,9 +184,10 @@ def star_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return met.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct()
 
 
-def remaining_pairs(postings: DataFrame, labels: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
-    """All pairs of different components that share a posting and agree in ``matches`` coordinates of
-    their fine signatures."""
+def remaining_pairs(postings: DataFrame, labels: DataFrame, sets: DataFrame, matches: int, fine_matches: int, most: int) -> DataFrame:
+    """Pairs of different components that share a posting, collide in ``matches`` coordinates and agree
+    in ``fine_matches`` of the fine ones: of each member of a block its ``most`` best, and ``more`` if
+    it has others.  So a posting gives rows in proportion to its members."""
     at = postings.join(labels, "node")
     open_keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     at = keep(at.join(open_keys, "key"), "open-postings")
@@ -182,10 +195,11 @@ def remaining_pairs(postings: DataFrame, labels: DataFrame, sets: DataFrame, mat
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "i", "j"])
         values = np.frombuffer(b"".join(rows.fine), dtype=np.uint8).reshape(len(rows), -1)
+        coarse = np.frombuffer(b"".join(rows.signature), dtype=np.uint32).reshape(len(rows), -1)
         nodes, group, side = rows.node.to_numpy(), rows.component.to_numpy(), rows.own.to_numpy()
         cell = rows[["key", "i", "j"]].to_numpy()
         ends = [*(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
-        found: dict[tuple[int, int], int] = {}
+        found: dict[tuple[int, int], tuple[int, bool]] = {}
         start = 0
         for end in ends:
             i, j = cell[start, 1:]
@@ -193,13 +207,18 @@ def remaining_pairs(postings: DataFrame, labels: DataFrame, sets: DataFrame, mat
             second = np.flatnonzero(side[start:end] == j) + start
             for x in first:
                 others = second[(group[second] != group[x]) & ((i != j) | (nodes[second] > nodes[x]))]
-                if len(others):
-                    agree = (values[others] == values[x]).sum(axis=1)
-                    for y, n in zip(others[agree >= matches], agree[agree >= matches]):
-                        found[min(nodes[x], nodes[y]), max(nodes[x], nodes[y])] = int(n)
+                others = others[collisions(coarse[others], coarse[x]) >= matches]
+                agree = collisions(values[others], values[x])
+                good = np.flatnonzero(agree >= fine_matches)
+                more = len(good) > most
+                if more:
+                    good = good[np.lexsort((nodes[others[good]], -agree[good]))[:most]]
+                for y, n in zip(others[good], agree[good]):
+                    pair = min(nodes[x], nodes[y]), max(nodes[x], nodes[y])
+                    found[pair] = int(n), more or found.get(pair, (0, False))[1]
             start = end
-        return pd.DataFrame([(a, b, n) for (a, b), n in found.items()], columns=["a", "b", "agree"]) \
-            .astype({"a": "int64", "b": "int64", "agree": "int32"})
+        return pd.DataFrame([(a, b, n, more) for (a, b), (n, more) in found.items()], columns=["a", "b", "agree", "more"]) \
+            .astype({"a": "int64", "b": "int64", "agree": "int32", "more": "bool"})
 
     blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -207,15 +226,10 @@ def remaining_pairs(postings: DataFrame, labels: DataFrame, sets: DataFrame, mat
     dealt = at.withColumn("own", own).select("key", "node", "component", "own", F.explode(cells).alias("cell")) \
         .select("key", "node", "component", "own", "cell.*")
     tasks = max(64, -(-dealt.count() // TASK_MEMBERS))
-    return dealt.join(sets.select("node", "fine"), "node") \
+    return dealt.join(sets.select("node", "fine", "signature"), "node") \
         .withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)).cast("int")).repartition(tasks, "task") \
-        .groupBy("task").applyInPandas(compare, "a long, b long, agree int").distinct()
-
-
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components."""
-    ends = [labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
-    return pairs.join(ends[0], "a").join(ends[1], "b").where("ca <> cb").select("a", "b", "agree")
+        .groupBy("task").applyInPandas(compare, "a long, b long, agree int, more boolean") \
+        .groupBy("a", "b").agg(F.max("agree").alias("agree"), F.max("more").alias("more"))
 
 
 def best_each(pairs: DataFrame, most: int) -> DataFrame:
@@ -243,7 +257,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The shingle sets of the documents ``wanted(node, h1, h2)``, kept: node, size, set, fine (signature)."""
+    """The shingle sets of the documents ``wanted(node, h1, h2)``, kept, with both signatures: node, size, set, fine, signature."""
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -254,11 +268,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 mine = [(n >> 64) - (1 << 63) == h1 and (n & ((1 << 64) - 1)) - (1 << 63) == h2
                         for n, h1, h2 in zip(names, some.h1, some.h2)]
                 made = pd.DataFrame({"node": some.node, "size": [len(s) for s in sets], "set": [s.tobytes() for s in sets],
-                                     "fine": [fine_signature(s).tobytes() for s in sets]})
+                                     "fine": [fine_signature(s).tobytes() for s in sets], "signature": [signature(s).tobytes() for s in sets]})
                 yield made[mine]
 
     texts = typed(docs, doc_id="long", text="binary").toDF("node", "text").where("text is not null")
-    return keep(texts.join(checked(wanted), "node").mapInPandas(describe, "node long, size long, set binary, fine binary").dropDuplicates(["node"]), "full-sets")
+    return keep(texts.join(checked(wanted), "node").mapInPandas(describe, "node long, size long, set binary, fine binary, signature binary").dropDuplicates(["node"]), "full-sets")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, matches: int | None = None,
@@ -269,10 +283,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, matches:
     matches, fine_matches = derived[0] if matches is None else matches, derived[1] if fine_matches is None else fine_matches
     rows = described(docs, width)
     spark = rows.sparkSession
-    real = rows.where("n_shingles > 0 and doc_id is not null")
-    named = real.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-    members = keep(rows.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
-                   .withColumn("node", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node"))), "classes")
+    # rows without words or id have no name and meet nothing; texts with very many copies are looked up apart
+    known = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    rows = rows.withColumn("name", F.when(known, F.struct("h1", "h2")))
+    real = rows.where("name is not null")
+    named = keep(real.groupBy("name").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "names")
+    members = keep(lookup(rows.select("doc_id", "n_shingles", "h1", "h2", "name"), named, "name", "copies")
+                   .select("doc_id", "n_shingles", "h1", "h2", "node"), "classes")
     heads = members.where("doc_id = node").groupBy("node").agg(F.min(F.struct("h1", "h2")).alias("h")).select("node", "h.*")
     classes = keep(real.withColumnRenamed("doc_id", "node").join(heads, ["node", "h1", "h2"]).dropDuplicates(["node"])
                    .select("node", "h1", "h2", "signature"), "class-signatures")
@@ -298,10 +315,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, matches:
             return True
 
         for _ in range(STAR_TURNS):
-            if not connect(agreeing(star_pairs(postings, labels), sets, fine_matches), 1):
+            if not connect(agreeing(star_pairs(postings, labels), sets, matches, fine_matches), 1):
+                break
+        most = BEST
+        while True:
+            rest = keep(remaining_pairs(postings, labels, sets, matches, fine_matches, most), "remaining")
+            if not connect(rest, most) and rest.where("more").isEmpty():
                 break
-        rest, most = keep(remaining_pairs(postings, labels, sets, fine_matches), "remaining"), 4
-        while connect(apart(rest, labels), most):
             most *= 4
     found = labels.select("node", "component")
     return members.join(found, "node", "left").select(

@@ -29,11 +29,13 @@ from facsimile.llm.store import keep, typed
 # Words remembered by a worker, twice at most (about 200 bytes each): a full table becomes the old one,
 # from which words in use come back.
 REMEMBERED = 500_000
+# Longer words are not remembered.
+LONGEST = 40
 # Task totals summed up in one window; more tasks are summed in blocks of this many.
 BLOCK = 4096
-#: Words with these keep their case: capitals whose lower case depends on their neighbours or takes
-#: several characters, and the start of special tokens, which are found before case is dropped.
-AS_IS = ("Σ", "İ", "<|")
+#: Words with these, or with the start of a special token (found before case is dropped), keep their
+#: case: capitals whose lower case depends on their neighbours or takes several characters.
+AS_IS = ("Σ", "İ")
 #: Control characters at which ``str.split`` parts, but the tokenizer doesn't.
 CONTROLS = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile("[^ \t\n\r]+")
@@ -53,55 +55,64 @@ class WordIds:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
-    def _encode(self, words: list[str]) -> list[bytes]:
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
         """Words of letters alone are one run each, so they are encoded as one text and parted at the
         identifiers that end a word."""
-        plain = [w for w in words if w.isalpha()]
         made: dict[str, bytes] = {}
+        plain = [w for w in words if w.isalpha()]
         if plain:
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(plain):
-                raw, at = ids.tobytes(), 0
-                for word, end in zip(plain, ((last + 1) * ids.itemsize).tolist()):
-                    made[word] = raw[at:end]
-                    at = end
-        rest = [w for w in words if w not in made]
+                raw, ends = ids.tobytes(), ((last + 1) * ids.itemsize).tolist()
+                made = {word: raw[begin:end] for word, begin, end in zip(plain, [0, *ends], ends)}
+        rest = [w for w in words if not w.isalpha()] if made else words
         for word, coded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             made[word] = np.array(coded.ids, dtype=self.dtype).tobytes()
-        return [made[w] for w in words]
+        return made
 
     def _learn(self, words: set[str]) -> None:
         """Remember ``words``.  A full stop or comma after an ASCII letter is always a token run of its
         own (other letters may end in a mark, which joins it), and case is dropped, so most words reduce
         to a plainer one."""
-        known, old, plain = self.known, self.old, {}
-        for word in words:
-            if word in old:
-                known[word] = old[word]
-                continue
-            stem, tail = (word[:-1], word[-1]) if word[-1] in ".," and word[-2:-1].isascii() and word[-2:-1].isalpha() else (word, "")
-            plain[word] = (stem if any(c in stem for c in AS_IS) else stem.lower(), tail)
-        parts = {x for pair in plain.values() for x in pair if x and x not in known}
-        known.update((x, old[x]) for x in parts if x in old)
-        missing = [x for x in parts if x not in known]
-        known.update(zip(missing, self._encode(missing)))
-        for word, (stem, tail) in plain.items():
-            if word not in known:
-                known[word] = known[stem] + known[tail] if tail else known[stem]
+        known, old = self.known, self.old
+        back = words & old.keys()
+        known.update(zip(back, map(old.__getitem__, back)))
+        stems: list[tuple[str, str, str]] = []
+        for word in words - back if back else words:
+            tail = word[-1]
+            if tail in ".," and word[-2:-1].isascii() and word[-2:-1].isalpha():
+                stem = word[:-1]
+            else:
+                stem, tail = word, ""
+            if "<|" not in stem and (stem.isascii() or not any(c in stem for c in AS_IS)):
+                stem = stem.lower()
+            stems.append((word, stem, tail))
+        parts = {stem for _, stem, _ in stems}.union(tail for _, _, tail in stems if tail).difference(known)
+        back = parts & old.keys()
+        known.update(zip(back, map(old.__getitem__, back)))
+        known.update(self._encode(list(parts - back if back else parts)))
+        for word, stem, tail in stems:
+            known[word] = known[stem] + known[tail] if tail else known[stem]
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        """The identifiers of each text.  Long words are forgotten again, so that the bytes of the two
+        tables follow from the number of words."""
         if len(self.known) > self.remembered:
             self.old, self.known = self.known, {}
         known = self.known
         words = [BLANKS.findall(text) if CONTROLS.search(text) else text.split() for text in texts]
-        found = [list(map(known.get, text)) for text in words]
-        missing = {w for text, got in zip(words, found) if None in got for w, ids in zip(text, got) if ids is None}
+        missing = set().union(*words).difference(known)
         if missing:
             self._learn(missing)
-            find = known.__getitem__
-            found = [map(find, text) if None in got else got for text, got in zip(words, found)]
-        return list(map(b"".join, found))
+        find = known.__getitem__
+        out = [b"".join(map(find, text)) for text in words]
+        for word in missing:
+            if len(word) > LONGEST:
+                known.pop(word)
+                known.pop(word.lower(), None)
+                known.pop(word[:-1].lower(), None)
+        return out
 
 
 _CODERS: dict[tuple[str, int], WordIds] = {}

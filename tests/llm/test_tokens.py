@@ -75,6 +75,15 @@ def test_words_encode_like_the_library():
         assert np.frombuffer(ids, words.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text[:60]
 
 
+def test_long_words_are_forgotten():
+    words = WordIds(public_tokenizers.path("word_bpe_49k.json"), remembered=50)
+    library = words.tokenizer
+    for k in range(40):
+        text = f"A{'b' * 50}{k}. {'Long' * 30}, a{k}. B{k} {'x' * 60}. Word, {'Ü' * 50}."
+        assert np.frombuffer(words.ids([text])[0], words.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert max(map(len, words.known)) <= 41 and len(words.known) < 80
+
+
 def test_pack_round_trip(spark, documents, small):
     library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = [(r.doc_id, r.text) for r in small.collect()] + [(900_000, None), (900_001, ""), (900_002, "a b " * 9000), (900_003, "x"), (900_003, "x")]

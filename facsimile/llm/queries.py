@@ -26,10 +26,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Bytes of texts that a Python worker gets at once.
+BATCH_BYTES = "8m"
+
+
 def ready(spark: SparkSession) -> None:
     """Python workers on this machine find the package wherever the driver was started; on a cluster
-    it is installed or sent with --py-files."""
+    it is installed or sent with --py-files.  Batches of texts are bounded in bytes, not only in rows."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

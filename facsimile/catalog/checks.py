@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from facsimile.catalog.registry import Tables, query
 from facsimile.operators import checks as ck
+from facsimile.plans import contract as ct
 
 
 def _line_total():
@@ -249,3 +250,27 @@ def _(t):
              ck.ref_rule("customer_known", "orders", "o_custkey", "customer", "c_custkey"),
              ck.rollup_rule("items_roll_up", "orders", "o_orderkey", "total", "lineitem", "l_orderkey", "line_total")]
     return ck.run_rules(ds, rules).drop("error")
+
+
+# a contract's own rules over given rows in which violations are planted: a row condition, a condition
+# that comes out null, a stored roll-up and a reference
+@query("declared_rules", f"""with line as (select *, case when l_orderkey % 97 = 0 then null else l_tax end as tax, l_suppkey + case when l_orderkey % 89 = 0 then 1000000 else 0 end as supp from lineitem),
+ o as (select o_orderkey, coalesce(n, 0) + case when o_orderkey % 101 = 0 then 1 else 0 end as stored, coalesce(n, 0) as n
+   from orders left join (select l_orderkey, count(l_quantity) as n from lineitem group by 1) on o_orderkey = l_orderkey),
+ r as (select 'cheap' as "check", count(*) as v, 'warn' as severity from line where not coalesce(l_extendedprice < 50000 or l_quantity > 40, false)
+  union all select 'taxed', count(*), 'error' from line where not coalesce(tax <= 0.08, false)
+  union all select 'lines counted', count(*), 'error' from o where n > 0 and stored <> n
+  union all select 'supplier known', count(*), 'info' from line left join supplier on supp = s_suppkey where s_suppkey is null)
+ select "check", v as violations, v = 0 as passed, severity from r""")
+def _(t):
+    rules = [ct.Rule("cheap", "line.l_extendedprice < 50000 or line.l_quantity > 40", "warn"), ct.Rule("taxed", "line.tax <= 0.08"),
+             ct.Rule("lines counted", "orders.stored == count(line.l_quantity by l_orderkey)"),
+             ct.Rule("supplier known", "line.supp in supplier.s_suppkey", "info")]
+    line = t.lineitem.withColumns({"tax": F.expr("case when l_orderkey % 97 <> 0 then l_tax end"),
+                                   "supp": F.expr("l_suppkey + case when l_orderkey % 89 = 0 then 1000000 else 0 end")})
+    counts = t.lineitem.groupBy("l_orderkey").agg(F.count("l_quantity").alias("n"))
+    orders = t.orders.join(counts, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        "o_orderkey", F.expr("coalesce(n, 0) + case when o_orderkey % 101 = 0 then 1 else 0 end").alias("stored"))
+    keys = {"orders": "o_orderkey", "line": "l_orderkey", "supplier": "s_suppkey"}
+    found = ck.run_rules({"line": line, "orders": orders, "supplier": t.supplier}, ck.declared_rules(rules, keys))
+    return found.select("check", "violations", "passed", "severity")

@@ -140,15 +140,17 @@ def _(t):
     return train.withColumn("part", F.lit("train")).unionByName(hold.withColumn("part", F.lit("holdout")))
 
 
-def day_weight_sql(day: str) -> str:
-    w = q.array([round(x * domains.WEIGHT_UNIT) for x in domains.WEEKDAY_WEIGHTS])
-    return (f"round_even(({w})[isodow({day})]::double * (case when day({day}) >= 25 then 1.3::double else 1.0 end)"
-            f" * (case when month({day}) >= 10 then 1.15::double else 1.0 end),0)::bigint")
+def day_weight_sql(day: str, weekday=domains.WEEKDAY_WEIGHTS, seasonality: str | None = "retail") -> str:
+    w = q.array([round(x * domains.WEIGHT_UNIT) for x in weekday])
+    late = 1.3 if seasonality in ("retail", "financial") else 1.0
+    last = 1.15 if seasonality == "retail" else 1.0
+    return (f"round_even(({w})[isodow({day})]::double * (case when day({day}) >= 25 then {late}::double else 1.0 end)"
+            f" * (case when month({day}) >= 10 then {last}::double else 1.0 end),0)::bigint")
 
 
-def dates_sql(src: str, key: str, path: str, start: str, end: str, out: str) -> str:
+def dates_sql(src: str, key: str, path: str, start: str, end: str, out: str, *weights) -> str:
     return f"""(with cal as (select unnest(generate_series(date '{start}', date '{end}', interval 1 day))::date as d),
- w as (select d, {day_weight_sql('d')} as weight from cal),
+ w as (select d, {day_weight_sql('d', *weights)} as weight from cal),
  s as (select d, weight, sum(weight) over (order by d)::bigint as hi from w)
  select o.{key}, x.d as {out} from (select {key}, floor({us(path, key=key)}*(select max(hi) from s)::double)::bigint as spot from {src}) o
  asof join (select hi-weight as lo, d from s) x on o.spot >= x.lo)"""
@@ -161,6 +163,20 @@ def _(t):
     return out.withColumn("d", F.col("d").cast("string"))
 
 
+# weekday weights of the user's own, days that never come included, with the month-end season and with none
+OWN_WEEK = (0.0, 2.0, 1.0, 0.25, 3.0, 0.0, 0.5)
+OWN_DATES = ("orders", "o_orderkey", "od", "2023-02-10", "2024-03-05", "d", OWN_WEEK)
+
+
+@query("temporal_strategy", f"""select o_orderkey, a.d as financial, b.d as plain from {dates_sql(*OWN_DATES, 'financial')} a
+ join {dates_sql(*OWN_DATES, None)} b using (o_orderkey)""")
+def _(t):
+    rows = t.orders.select("o_orderkey")
+    for season, name in (("financial", "financial"), (None, "plain")):
+        rows = domains.weighted_dates(rows, U("od", key="o_orderkey"), "2023-02-10", "2024-03-05", name, OWN_WEEK, season).drop("weight")
+    return rows
+
+
 @query("fk_sample", f"""with p as (select c_custkey, row_number() over (order by c_custkey) as pid from customer)
  select o_orderkey, c_custkey from (select o_orderkey, 1 + floor({us('fk', 'orders', key='o_orderkey')}
    *(select count(*) from customer)::double)::bigint as pid from orders) join p using (pid)""")

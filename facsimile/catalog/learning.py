@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from facsimile.catalog import sqltext as q
@@ -25,6 +26,29 @@ def _(t):
     return num.join(t.customer.select("c_custkey", F.col("c_acctbal").alias("balance")), "c_custkey")
 
 
+# pairwise correlations where each pair has rows of its own need not fit together: a matrix that does is left
+# as it is (to the sixth place), one that does not is repaired
+LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("usable_correlations", " union all ".join(
+    f"""select '{a}' as a, '{b}' as b, {'max(1.0::double)' if a == b else f"round(corr({a}, {b}), 6)"} as corr, true as repaired_fits from lineitem"""
+    for a in LINE_NUMBERS for b in LINE_NUMBERS))
+def _(t):
+    k = len(LINE_NUMBERS)
+    pairs = [(i, j) for i in range(k) for j in range(i)]
+    row = t.lineitem.agg(*[F.corr(LINE_NUMBERS[i], LINE_NUMBERS[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    m = np.eye(k)
+    for i, j in pairs:
+        m[i, j] = m[j, i] = row[f"c{i}_{j}"]
+    usable = copula.make_psd(m)
+    broken = np.where(np.eye(k) > 0, 1.0, np.where(m > 0, 0.95, -0.95))  # the same signs, too strong to fit together
+    fixed = copula.make_psd(broken)
+    fits = bool(np.linalg.eigvalsh(fixed).min() > 0 and np.allclose(np.diag(fixed), 1) and np.allclose(fixed, fixed.T))
+    rows = [(a, b, round(float(usable[i, j]), 6), fits) for i, a in enumerate(LINE_NUMBERS) for j, b in enumerate(LINE_NUMBERS)]
+    return t.spark.createDataFrame(rows, "a string, b string, corr double, repaired_fits boolean")
+
+
 @query("to_numeric_timestamps", "select event_id, round(epoch(ts),6) as seconds from events")
 def _(t):
     return t.events.select("event_id", F.round(copula.to_numeric(F.col("ts"), "datetime", t.events.schema["ts"].dataType), 6).alias("seconds"))

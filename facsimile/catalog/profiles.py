@@ -12,6 +12,7 @@ from facsimile.catalog.people import CONTACTS, CONTACTS_SQL, contacts
 from facsimile.catalog.registry import query
 from facsimile.operators import keys
 from facsimile.operators import profile as pf
+from facsimile.operators.quantiles import exact_quantiles_of
 
 NUM, TXT, TS = "numeric", "string", "timestamp"
 COLUMNS = {
@@ -283,3 +284,16 @@ def _(t):
     shared = t.conversations.select("conv_id", F.col("role").alias("column"), (F.col("role") == "user").alias("is_pii"),
                                     F.concat(F.lit("conv "), F.col("conv_id").cast("string")).alias("prompt")).distinct()
     return pf.payload_audit(shared, "conv_id", "prompt")
+
+
+NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey"]
+
+
+# all columns share the sketches' pass and the counting passes, whatever the size
+@query("all_column_quantiles", " union all ".join(
+    f"""select '{c}' as "column", unnest([{','.join(map(str, pf.QUANTILES))}]) as q, unnest(list_transform(quantile_cont({c}::double, [{','.join(map(str, pf.QUANTILES))}]),
+ lambda v: round(v, 6))) as value from lineitem""" for c in NUMBERS))
+def _(t):
+    found = exact_quantiles_of(t.lineitem, {c: F.col(c) for c in NUMBERS}, pf.QUANTILES)
+    rows = [(c, float(q), round(v, 6)) for c, values in found.items() for q, v in zip(pf.QUANTILES, values)]
+    return t.spark.createDataFrame(rows, "`column` string, q double, value double")

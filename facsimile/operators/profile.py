@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facsimile.operators import scale
+from facsimile.operators.quantiles import exact_quantiles_of
 
 # Value patterns, name hints, boolean spellings, date formats, quantile points.
 EMAIL = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"
@@ -172,15 +173,9 @@ def _quantiles_sql(name: str, fam: str, exact: bool) -> str:
 
 
 def _ranked_quantiles(df: DataFrame, cols: Sequence[str], fams: Mapping[str, str]) -> DataFrame:
-    from facsimile.operators import ordered
-
-    rows = []
-    for i, c in enumerate(cols):
-        found = None
-        if fams[c] in ("numeric", "string"):
-            numbers = df.selectExpr(f"cast({_number_sql(_tick(c), fams[c])} as double) as v")
-            found = ordered.exact_quantiles(numbers, "v", QUANTILES)
-        rows.append((c, i, None if found is None or found[0] is None else found))
+    numbers = {str(i): F.expr(_number_sql(_tick(c), fams[c])) for i, c in enumerate(cols) if fams[c] in ("numeric", "string")}
+    found = exact_quantiles_of(df, numbers, QUANTILES) if numbers else {}
+    rows = [(c, i, found.get(str(i))) for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(rows, "column string, position int, quantiles array<double>")
 
 

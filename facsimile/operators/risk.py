@@ -123,10 +123,12 @@ def nearest_distance(probes: DataFrame, train: DataFrame, dims: Sequence[str],
     """Exact Euclidean distance of every distinct probe point to its closest training point.
 
     Copies cannot change a minimum, so both sides are made distinct; a point that a third of the
-    rows share is searched once.  Training points are spread over the cells of a k-d split.  A probe
-    first searches its nearest cell, which bounds its distance; afterwards only cells whose box is
-    closer than that bound are searched.  Crowded cells are cut on both sides, so one task holds a
-    slice of points and a slice of probes.
+    rows share is searched once.  Training points are spread over the cells of a k-d split.  The search
+    goes best cell first, in rounds: a probe visits its closest cell, then its next one, the next two,
+    four and so on, and stops as soon as the next cell's box is not closer than the best point so far.
+    A round therefore sends a probe to at most ``fan_out(round)`` cells, whatever the number of columns,
+    and to no more than it has visited before.  Crowded cells are cut on both sides, so one task holds
+    a slice of points and a slice of probes.
     """
     spark = train.sparkSession
     cell_rows = cell_rows or scale.setting(spark, "nearestCellRows", 4096)
@@ -159,21 +161,23 @@ def nearest_distance(probes: DataFrame, train: DataFrame, dims: Sequence[str],
         gap = np.maximum(np.maximum(lo[None] - x[:, None, :], x[:, None, :] - hi[None]), 0.0)
         return np.sqrt((gap * gap).sum(axis=2))
 
-    def targets(second: bool):
+    def targets(seen: int, fan: int):
+        """The cells at places ``seen`` to ``seen + fan`` of each probe, by distance, that are closer than its best."""
         def run(batches):
             for b in batches:
                 for i in range(0, len(b), block):
                     c = b.iloc[i:i + block].reset_index(drop=True)
                     d = gaps(c[dims].to_numpy(dtype=float))
-                    home = d.argmin(axis=1)
-                    if second:
-                        near = d < c["best"].to_numpy()[:, None]
-                        near[np.arange(len(c)), home] = False  # searched already
-                        row, cell = np.nonzero(near)
-                    else:
-                        row, cell = np.arange(len(c)), home
-                    out = c.loc[row, dims].reset_index(drop=True)
-                    out["cell"] = ids[cell]
+                    visits = []
+                    for gap, best in zip(d, c["best"].to_numpy()):
+                        # all closer cells, in order: the order's first ones, so places stay the same when the bound shrinks
+                        near = np.flatnonzero(gap < best)
+                        if len(near) > seen + fan:
+                            near = near[gap[near] <= np.partition(gap[near], seen + fan)[seen + fan]]
+                        visits.append(near[np.argsort(gap[near], kind="stable")][seen:seen + fan])
+                    row = np.repeat(np.arange(len(c)), [len(v) for v in visits])
+                    out = c.loc[row, [*dims, "best"]].reset_index(drop=True)
+                    out["cell"] = ids[np.concatenate(visits)] if len(row) else np.zeros(0, dtype=np.int64)
                     yield out
         return run
 
@@ -184,13 +188,12 @@ def nearest_distance(probes: DataFrame, train: DataFrame, dims: Sequence[str],
     spec = ", ".join(f"{d} double" for d in dims)
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = left[dims].copy()
-        out["best"] = _nearest(left[dims].to_numpy(dtype=float), right[dims].to_numpy(dtype=float)) \
-            if len(left) and len(right) else np.inf
+        out = left[[*dims, "best"]].copy()
+        if len(left) and len(right):
+            out["best"] = np.minimum(out["best"].to_numpy(), _nearest(left[dims].to_numpy(dtype=float), right[dims].to_numpy(dtype=float)))
         return out
 
-    def look(src: DataFrame, second: bool) -> DataFrame:
-        sent = scale.cut(src.mapInPandas(targets(second), spec + ", cell bigint"))
+    def look(sent: DataFrame) -> DataFrame:
         load = sent.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(4 * cell_rows)).cast("int").alias("lanes"))
         plan = layout.join(F.broadcast(load), "cell")  # both <= MAX_CELLS rows
         left = sent.join(F.broadcast(plan), "cell").withColumn(
@@ -202,9 +205,24 @@ def nearest_distance(probes: DataFrame, train: DataFrame, dims: Sequence[str],
         found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, spec + ", best double")
         return found.groupBy(*dims).agg(F.min("best").alias("best"))
 
-    first = scale.cut(look(probes.select(*dims).distinct(), False))
-    rest = look(first, True)
-    return first.unionByName(rest).groupBy(*dims).agg(F.min("best").alias("distance"))
+    state = probes.select(*dims).distinct().withColumn("best", F.lit(float("inf")))
+    rounds: list[DataFrame] = []
+    seen = 0
+    while True:
+        fan = fan_out(len(rounds))
+        sent = scale.cut(state.mapInPandas(targets(seen, fan), spec + ", best double, cell bigint"))
+        if sent.isEmpty():
+            break
+        state = scale.cut(look(sent))  # only the probes that were sent on
+        rounds.append(state)
+        seen += fan
+    every = reduce(DataFrame.unionByName, rounds) if rounds else state
+    return every.groupBy(*dims).agg(F.min("best").alias("distance"))
+
+
+def fan_out(turn: int) -> int:
+    """Cells that a probe visits at most in a round of the search: 1, 1, 2, 4, ..."""
+    return 1 << max(0, turn - 1)
 
 
 def _standardised(df: DataFrame, nums: Sequence[str], stats: dict) -> list[Column]:

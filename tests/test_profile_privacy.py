@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facsimile.functions import keyed
-from facsimile.operators import domains, keys, privacy, risk
+from facsimile.operators import domains, keys, privacy, quantiles, risk, scale
 from facsimile.operators import profile as pf
 from facsimile.operators import scan as sc
 from facsimile.streaming.protect import protect_stream, write_protected
@@ -174,3 +174,65 @@ def test_small_tables_have_no_holdout(spark):
     assert hold is None and df.count() == 19
     train, hold = domains.split_holdout(spark.range(21), keyed.uniform(1, "h", key="id"), "id")
     assert (train.count(), hold.count()) == (17, 4)
+
+
+@pytest.mark.parametrize("dims", [2, 6, 12])
+def test_nearest_search_visits_few_cells_a_round(spark, dims, monkeypatch):
+    rnd = np.random.default_rng(9)
+    pts, probe = np.round(rnd.normal(size=(900, dims)), 3), np.round(rnd.normal(size=(70, dims)) * 2, 3)
+    names = [f"d{i}" for i in range(dims)]
+    spec = ", ".join(f"{n} double" for n in names)
+    visits = []
+
+    def watched(df, cut=scale.cut):
+        out = cut(df)
+        if out.columns == [*names, "best", "cell"]:
+            visits.append(out.groupBy(*names).count().agg(F.count("*"), F.max("count"), F.sum("count")).first())
+        return out
+
+    monkeypatch.setattr(scale, "cut", watched)
+    got = risk.nearest_distance(spark.createDataFrame(probe.tolist(), spec), spark.createDataFrame(pts.tolist(), spec), names, cell_rows=15)
+    for r in got.collect():
+        p = np.array([r[n] for n in names])
+        assert abs(r["distance"] - np.sqrt(((pts - p) ** 2).sum(axis=1)).min()) < 1e-9
+    assert visits[-1][0] == 0 and visits[0][0] == 70
+    for turn, (open_probes, most, _) in enumerate(visits[:-1]):
+        assert most <= risk.fan_out(turn)
+        assert turn == 0 or open_probes <= visits[turn - 1][0]
+    if dims == 2:  # in few columns the bound shuts nearly all cells out
+        assert sum(v[2] or 0 for v in visits) <= 8 * 70
+
+
+def test_quantiles_of_all_columns_at_once(spark, small_buckets):
+    rnd = np.random.default_rng(2)
+    n = 5000
+    columns = {"flat": rnd.normal(size=n), "ties": rnd.integers(0, 3, n).astype(float), "one": np.full(n, 7.0),
+               "wide": rnd.lognormal(3, 4, n), "sorted": np.arange(n, dtype=float), "few": np.where(np.arange(n) < 4, np.arange(n) * 1.5, np.nan)}
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in zip(*columns.values())]
+    df = spark.createDataFrame([(*r, None) for r in rows], ", ".join(f"`{c}` double" for c in columns) + ", none double").repartition(5)
+    qs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = quantiles.exact_quantiles_of(df, {c: F.col(c) for c in df.columns}, qs)
+    for c, values in columns.items():
+        assert np.allclose(got[c], np.quantile(values[~np.isnan(values)], qs), rtol=1e-12, atol=0), c
+    assert got["none"] is None
+
+
+def test_quantiles_hold_when_a_sketch_misses(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SKETCH", 8)
+    monkeypatch.setattr(quantiles, "ERROR", 1e-5)  # a claim that so small a sketch can't keep
+    df = spark.range(3000).select((F.col("id") * 7919 % 3001).cast("double").alias("v"))
+    values = np.array([r.v for r in df.collect()])
+    qs = [0.1, 0.37, 0.5, 0.9]
+    assert quantiles.exact_quantiles_of(df, {"v": F.col("v")}, qs)["v"] == pytest.approx(np.quantile(values, qs).tolist(), rel=1e-12)
+
+
+def test_jobs_of_quantiles_do_not_grow_with_columns(spark):
+    def jobs(k):
+        group = f"quantile-jobs-{k}"
+        spark.sparkContext.setJobGroup(group, group)
+        df = spark.range(2000).select(*[(F.col("id") * (7919 + i) % 2003).cast("double").alias(f"c{i}") for i in range(k)])
+        quantiles.exact_quantiles_of(df, {c: F.col(c) for c in df.columns}, [0.25, 0.5])
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(20) <= jobs(4) + 2

@@ -300,10 +300,10 @@ def sample_exact(df: DataFrame, n: int, u: Column, key: str) -> DataFrame:
 # --- value-level ranks --------------------------------------------------------------------
 
 
-def hot_values(counts: DataFrame, col: str, n_col: str, rows: int) -> list:
-    """Values that hold at least a thousandth of all rows (so at most a thousand values)."""
+def hot_values(counts: DataFrame, col: str, n_col: str, rows: int) -> list[tuple]:
+    """Values that hold at least a thousandth of all rows (so at most a thousand values), and their shares."""
     floor = max(rows / 1000.0, 1.0)
-    return [r[0] for r in counts.filter(F.col(n_col) >= F.lit(floor)).select(col).limit(1000).collect()]
+    return [(r[0], r[1] / rows) for r in counts.filter(F.col(n_col) >= F.lit(floor)).select(col, n_col).limit(1000).collect()]
 
 
 def with_ranks(df: DataFrame, col: str, out: str, base: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Callable
 
@@ -38,25 +39,35 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: str, how: str = "left",
-           hot: Callable[[], list] | None = None, size: int | None = None, salts: int = 16) -> DataFrame:
+           hot: Callable[[], list[tuple]] | None = None, size: int | None = None) -> DataFrame:
     """Join rows to a table that is unique on ``on``.
 
     A table known (``size``) or proven to hold at most ``BOUNDED_ROWS`` rows is broadcast.  Beyond
-    that it is a shuffle join in which the ``hot`` keys (a function giving a bounded list) are spread
-    over ``salts`` tasks by replicating only those few rows of ``dim``; AQE handles what is left.
+    that it is a shuffle join in which the ``hot`` keys (a function giving a bounded list of values and
+    their share of the rows) are salted by their counts: a key is spread over as many tasks as its rows
+    would fill, by replicating only those few rows of ``dim``.  Rows without a key meet nothing and are
+    spread over all tasks.
     """
     limit = setting(df.sparkSession, "boundedRows", BOUNDED_ROWS)
     if size is None:
         size = dim.limit(limit + 1).count()
     if size <= limit:
         return df.join(F.broadcast(dim), on, how)
-    hot_keys = hot() if hot else []
-    if not hot_keys:
-        return df.join(dim, on, how)
-    others = [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
-    left_salt = F.when(F.col(on).isin(hot_keys), F.pmod(others[0], F.lit(salts))).otherwise(F.lit(0))
-    right_salts = F.when(F.col(on).isin(hot_keys), F.sequence(F.lit(0), F.lit(salts - 1))) \
-        .otherwise(F.array(F.lit(0)))
-    left = df.withColumn("__salt", left_salt.cast("int"))
-    right = dim.withColumn("__salt", F.explode(right_salts))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = [(value, salts) for value, share in (hot() if hot else []) if value is not None and (salts := salts_of(share, tasks)) > 1]
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    if not salted:
+        left = df.withColumn("__salt", F.when(F.col(on).isNull(), F.pmod(row_hash, F.lit(tasks))).otherwise(F.lit(0)))
+        return left.join(dim.withColumn("__salt", F.lit(0).cast("long")), [on, "__salt"], how).drop("__salt")
+    # at most a row per thousandth of all rows
+    known = F.broadcast(df.sparkSession.createDataFrame(salted, f"`{on}` {dict(dim.dtypes)[on]}, __salts long"))
+    own = F.when(F.col(on).isNull(), F.lit(tasks)).otherwise(F.coalesce("__salts", F.lit(1)))
+    left = df.join(known, on, "left").withColumn("__salt", F.pmod(row_hash, own)).drop("__salts")
+    right = dim.join(known, on, "left").withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
     return left.join(right, [on, "__salt"], how).drop("__salt")
+
+
+def salts_of(share: float, tasks: int) -> int:
+    """Salts that cut a key with this share of all rows into pieces of half a task's rows."""
+    return max(1, math.ceil(2 * share * tasks))

@@ -414,3 +414,17 @@ def test_key_scores_take_neighbours_in_order(spark):
     df = spark.createDataFrame([(0, 0.5), (1, 1.5), (2, 1.7), (4, 2.5), (5, 3.5)], "a long, b double")
     got = {r["column"]: round(r["sequential_rate"], 6) for r in keys.key_scores(df).collect()}
     assert got == {"a": 0.75, "b": 0.5}
+
+
+def test_cards_are_the_same_by_broadcast_and_by_salted_join(spark):
+    def made():
+        found = fintech.generate_fintech(spark, 7, 12, 9)["transactions"]
+        return sorted(map(tuple, found.select("tx_id", "account_id", "card_id", "balance_after").collect()))
+
+    plain = made()
+    keep = spark.conf.get("facsimile.boundedRows", "20000")
+    spark.conf.set("facsimile.boundedRows", "3")
+    try:
+        assert made() == plain and any(r[2] for r in plain) and not all(r[2] for r in plain)
+    finally:
+        spark.conf.set("facsimile.boundedRows", keep)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from facsimile.functions import keyed
-from facsimile.operators import ordered
+from facsimile.operators import ordered, scale
 
 
 def skewed(spark, n=600):
@@ -109,3 +109,24 @@ def test_running_property(small_buckets, pairs):
     for i, (g, x) in enumerate(pairs):
         run[g] = run.get(g, 0) + x
         assert got[i] == run[g]
+
+
+def test_salts_follow_a_keys_share(spark, small_buckets):
+    rows = spark.range(4000).select(F.when(F.col("id") < 2000, "big").when(F.col("id") < 2400, "some").when(F.col("id") < 3000, None)
+                                    .otherwise(F.col("id").cast("string")).alias("k"), "id")
+    dim = spark.createDataFrame([("big", 1), ("some", 2), ("absent", 3)] + [(str(i), i) for i in range(3000, 3900)], "k string, v int")
+    counts = rows.groupBy("k").count()
+    hot = ordered.hot_values(counts.filter("k is not null"), "k", "count", 4000)
+    assert ("big", 0.5) in hot and ("some", 0.1) in hot
+    assert [scale.salts_of(s, 200) for s in (0.5, 0.1, 0.001, 0.0)] == [200, 40, 1, 1]
+    for how in ("left", "inner"):
+        got = scale.lookup(rows, dim, "k", how, lambda: hot)
+        want = rows.join(dim, "k", how)
+        assert got.columns == ["k", "id", "v"] and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = scale.lookup(rows, dim, "k", "left", lambda: hot).withColumn("p", F.spark_partition_id())
+        spread = {r["k"]: r["n"] for r in joined.groupBy("k").agg(F.count_distinct("p").alias("n")).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert spread["big"] >= 4 and spread[None] >= 4  # of eight tasks

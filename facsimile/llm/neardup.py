@@ -15,10 +15,11 @@ of them are worth comparing in full.
 Pairs inside a connected group need no further look.  A posting is therefore first joined as a star
 (each member with one member of another component, the number of rows staying that of the posting);
 a document tries its best candidate, components are formed, and this is repeated.  Then the members of
-different components under one value are compared, large postings in blocks; every member gives its
-best four untried pairs, components are formed, and again with sixteen and so on, until no untried pair
-of different components is left.  So no link between components is lost, and rows grow with the
-members, not with their pairs.
+different components under one value are compared, large postings in blocks; of the pairs that agree a
+block gives those that make up a spanning forest of its components, the best first.  They are tried,
+components are formed, and postings that have other pairs give four forests, then sixteen and so on,
+until no pair of different components is left untried.  So no link between components is lost, and rows
+grow with the members, not with their pairs.
 
 The two thresholds follow from ``percent``: the largest whose exact binomial tails stay within 8 and 3
 in a million.  At 75 percent these are 53 of 96 and 339 of 512 with tails of 7.6e-6 and 2.7e-6, so that
@@ -48,8 +49,6 @@ COORDINATES, FINE_COORDINATES = 96, 512
 MISSED, FINE_MISSED = 8e-6, 3e-6
 # Turns in which documents try star partners, before all that is left is compared.
 STAR_TURNS = 2
-# Untried candidates that a document tries at first; four times as many in each turn after that.
-BEST = 4
 # A posting is compared in blocks of this many members; a task takes about so many rows of blocks.
 BLOCK_MEMBERS = 1024
 TASK_MEMBERS = 8192
@@ -184,10 +183,36 @@ def star_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return met.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct()
 
 
+def forests(a: np.ndarray, b: np.ndarray, agree: np.ndarray, group: dict[int, int], most: int) -> tuple[list[int], bool]:
+    """Which of the pairs, from the best on, join two trees of components in one of ``most`` forests, each
+    pair being put into the first that it fits; and whether pairs are left that fit in none."""
+    roots: list[dict[int, int]] = [{} for _ in range(most)]
+
+    def root(own: dict[int, int], c: int) -> int:
+        while (up := own.get(c, c)) != c:
+            own[c] = own.get(up, up)
+            c = up
+        return c
+
+    chosen, left = [], False
+    for k in np.lexsort((b, a, -agree)).tolist():
+        x, y = group[a[k]], group[b[k]]
+        for own in roots:
+            p, q = root(own, x), root(own, y)
+            if p != q:
+                own[max(p, q)] = min(p, q)
+                chosen.append(k)
+                break
+        else:
+            left = True
+    return chosen, left
+
+
 def remaining_pairs(postings: DataFrame, labels: DataFrame, sets: DataFrame, matches: int, fine_matches: int, most: int) -> DataFrame:
-    """Pairs of different components that share a posting, collide in ``matches`` coordinates and agree
-    in ``fine_matches`` of the fine ones: of each member of a block its ``most`` best, and ``more`` if
-    it has others.  So a posting gives rows in proportion to its members."""
+    """Pairs ``a, b`` of different components that share a posting, collide in ``matches`` coordinates and
+    agree in ``fine_matches`` of the fine ones: of a block as many as make up ``most`` spanning forests
+    of its components, so that rows stay in proportion to members.  A ``key`` without a pair names a
+    posting that has others."""
     at = postings.join(labels, "node")
     open_keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     at = keep(at.join(open_keys, "key"), "open-postings")
@@ -199,26 +224,30 @@ def remaining_pairs(postings: DataFrame, labels: DataFrame, sets: DataFrame, mat
         nodes, group, side = rows.node.to_numpy(), rows.component.to_numpy(), rows.own.to_numpy()
         cell = rows[["key", "i", "j"]].to_numpy()
         ends = [*(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
-        found: dict[tuple[int, int], tuple[int, bool]] = {}
+        found: set[tuple[int, int]] = set()
+        unfinished: set[int] = set()
         start = 0
         for end in ends:
-            i, j = cell[start, 1:]
+            key, i, j = cell[start]
             first = np.flatnonzero(side[start:end] == i) + start
             second = np.flatnonzero(side[start:end] == j) + start
+            met: list[tuple[np.ndarray, ...]] = []
             for x in first:
                 others = second[(group[second] != group[x]) & ((i != j) | (nodes[second] > nodes[x]))]
                 others = others[collisions(coarse[others], coarse[x]) >= matches]
                 agree = collisions(values[others], values[x])
-                good = np.flatnonzero(agree >= fine_matches)
-                more = len(good) > most
-                if more:
-                    good = good[np.lexsort((nodes[others[good]], -agree[good]))[:most]]
-                for y, n in zip(others[good], agree[good]):
-                    pair = min(nodes[x], nodes[y]), max(nodes[x], nodes[y])
-                    found[pair] = int(n), more or found.get(pair, (0, False))[1]
+                others, agree = others[agree >= fine_matches], agree[agree >= fine_matches]
+                if len(others):
+                    met.append((np.minimum(nodes[others], nodes[x]), np.maximum(nodes[others], nodes[x]), agree))
+            if met:
+                a, b, agree = map(np.concatenate, zip(*met))
+                chosen, left = forests(a, b, agree, dict(zip(nodes[start:end].tolist(), group[start:end].tolist())), most)
+                found.update(zip(a[chosen].tolist(), b[chosen].tolist()))
+                if left:
+                    unfinished.add(int(key))
             start = end
-        return pd.DataFrame([(a, b, n, more) for (a, b), (n, more) in found.items()], columns=["a", "b", "agree", "more"]) \
-            .astype({"a": "int64", "b": "int64", "agree": "int32", "more": "bool"})
+        out = [(a, b, None) for a, b in found] + [(None, None, key) for key in unfinished]
+        return pd.DataFrame(out, columns=["a", "b", "key"]).astype("Int64")
 
     blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -228,8 +257,7 @@ def remaining_pairs(postings: DataFrame, labels: DataFrame, sets: DataFrame, mat
     tasks = max(64, -(-dealt.count() // TASK_MEMBERS))
     return dealt.join(sets.select("node", "fine", "signature"), "node") \
         .withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)).cast("int")).repartition(tasks, "task") \
-        .groupBy("task").applyInPandas(compare, "a long, b long, agree int, more boolean") \
-        .groupBy("a", "b").agg(F.max("agree").alias("agree"), F.max("more").alias("more"))
+        .groupBy("task").applyInPandas(compare, "a long, b long, key long").distinct()
 
 
 def best_each(pairs: DataFrame, most: int) -> DataFrame:
@@ -300,10 +328,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, matches:
         sets = full_sets(docs, classes.join(nodes, "node").select("node", "h1", "h2"), width)
         tried = links = spark.createDataFrame([], "a long, b long")
 
-        def connect(open_pairs: DataFrame, most: int) -> bool:
-            """Confirms the best untried pairs and forms components anew; False if there are none."""
+        def connect(pairs: DataFrame) -> bool:
+            """Confirms the untried ones of the pairs and forms components anew; False if there are none."""
             nonlocal tried, links, labels
-            chosen = keep(best_each(open_pairs.join(tried, ["a", "b"], "left_anti"), most), "chosen")
+            chosen = keep(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "chosen")
             if chosen.isEmpty():
                 return False
             tried = tried.unionByName(chosen)
@@ -315,13 +343,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, matches:
             return True
 
         for _ in range(STAR_TURNS):
-            if not connect(agreeing(star_pairs(postings, labels), sets, matches, fine_matches), 1):
+            if not connect(best_each(agreeing(star_pairs(postings, labels), sets, matches, fine_matches), 1)):
                 break
-        most = BEST
+        most = 1
         while True:
             rest = keep(remaining_pairs(postings, labels, sets, matches, fine_matches, most), "remaining")
-            if not connect(rest, most) and rest.where("more").isEmpty():
+            unfinished = rest.where("key is not null").select("key").distinct()
+            connect(rest.where("key is null"))
+            if unfinished.isEmpty():
                 break
+            # only postings that have further pairs are looked at again
+            postings = keep(postings.join(unfinished, "key"), "unfinished-postings")
             most *= 4
     found = labels.select("node", "component")
     return members.join(found, "node", "left").select(

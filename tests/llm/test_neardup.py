@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from facsimile.llm import neardup
@@ -108,3 +109,12 @@ def test_thresholds_follow_from_percent(documents):
     want = {2 * k + 1 for k in range(60) if 100 * len(shingles[2 * k] & shingles[2 * k + 1]) >= 50 * len(shingles[2 * k] | shingles[2 * k + 1])}
     got = {r.doc_id for r in neardup.near_duplicates(documents(rows), percent=50).collect() if not r.kept}
     assert len(want) == 60 and got == want
+
+
+def test_forests_take_every_pair_in_the_end():
+    a, b = np.array([1, 1, 1, 2, 2, 3]), np.array([2, 3, 4, 3, 4, 4])
+    agree = np.array([5, 4, 9, 3, 2, 1])
+    group = {k: k for k in range(1, 5)}
+    chosen, left = neardup.forests(a, b, agree, group, 1)
+    assert sorted(chosen) == [0, 1, 2] and left
+    assert sorted(neardup.forests(a, b, agree, group, 3)[0]) == list(range(6)) and not neardup.forests(a, b, agree, group, 3)[1]

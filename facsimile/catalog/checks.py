@@ -28,33 +28,33 @@ def check_sql(parts: list[tuple[str, str]]) -> str:
 
 
 ORPHAN_PARTS = [
-    ("orders without customer",
+    ("orders: customer unknown",
      "select count(*) from orders left join customer on o_custkey=c_custkey where c_custkey is null"),
-    ("items without order",
+    ("lines: order unknown",
      "select count(*) from lineitem left join orders on l_orderkey=o_orderkey where o_orderkey is null"),
-    ("items without part",
+    ("lines: part unknown",
      "select count(*) from lineitem left join part on l_partkey=p_partkey where p_partkey is null"),
-    ("items without supplier",
+    ("lines: supplier unknown",
      "select count(*) from lineitem left join supplier on l_suppkey=s_suppkey where s_suppkey is null"),
 ]
-ROLLUP_PART = ("total differs from line roll-up",
+ROLLUP_PART = ("orders: total is not what the lines add up to",
                f"select count(*) from orders join (select l_orderkey, sum({LINE_SQL}) s from lineitem "
                "group by l_orderkey) x on o_orderkey=l_orderkey where cast(o_totalprice as decimal(18,2)) <> s")
-CHILDLESS_PART = ("orders without items",
+CHILDLESS_PART = ("orders: no lines",
                   "select count(*) from orders where not exists (select 1 from lineitem where l_orderkey=o_orderkey)")
 
 
 def order_checks() -> list[ck.Check]:
     return [
-        ck.fk_check("orders", "o_custkey", "customer", "c_custkey", True, "orders without customer"),
-        ck.fk_check("lineitem", "l_orderkey", "orders", "o_orderkey", True, "items without order"),
-        ck.fk_check("lineitem", "l_partkey", "part", "p_partkey", True, "items without part"),
-        ck.fk_check("lineitem", "l_suppkey", "supplier", "s_suppkey", True, "items without supplier"),
-        ck.Check("total differs from line roll-up", ("orders", "lineitem"),
+        ck.fk_check("orders", "o_custkey", "customer", "c_custkey", True, "orders: customer unknown"),
+        ck.fk_check("lineitem", "l_orderkey", "orders", "o_orderkey", True, "lines: order unknown"),
+        ck.fk_check("lineitem", "l_partkey", "part", "p_partkey", True, "lines: part unknown"),
+        ck.fk_check("lineitem", "l_suppkey", "supplier", "s_suppkey", True, "lines: supplier unknown"),
+        ck.Check("orders: total is not what the lines add up to", ("orders", "lineitem"),
                  lambda t: ck.rollup_mismatch(t["orders"], "o_orderkey",
                                               F.col("o_totalprice").cast("decimal(18,2)"),
                                               t["lineitem"], "l_orderkey", _line_total())),
-        ck.Check("orders without items", ("orders", "lineitem"),
+        ck.Check("orders: no lines", ("orders", "lineitem"),
                  lambda t: ck.childless(t["orders"], "o_orderkey", t["lineitem"], "l_orderkey")),
     ]
 
@@ -136,10 +136,10 @@ def _(t):
     return ck.prove(dataset(t, "lineitem", "orders"), [chk]).drop("error")
 
 
-DUP_PARTS = [("duplicate customer ids", "select count(*)-count(distinct c_custkey) from customer"),
-             ("duplicate order ids", "select count(*)-count(distinct o_orderkey) from orders"),
-             ("duplicate line numbers", "select count(*)-count(distinct l_linenumber) from lineitem"),
-             ("duplicate null-able keys",
+DUP_PARTS = [("customers: key occurs again", "select count(*)-count(distinct c_custkey) from customer"),
+             ("orders: key occurs again", "select count(*)-count(distinct o_orderkey) from orders"),
+             ("lines: number occurs again", "select count(*)-count(distinct l_linenumber) from lineitem"),
+             ("orders: key occurs again, nulls too",
               "select count(*)-count(distinct nullif(o_custkey,0)) from orders")]
 
 
@@ -153,12 +153,12 @@ def _(t):
 
 
 @query("check_negative", check_sql([
-    ("negative order totals", "select count(*) from orders where o_totalprice < 0"),
-    ("negative customer balances", "select count(*) from customer where c_acctbal < 0")]))
+    ("orders: total below zero", "select count(*) from orders where o_totalprice < 0"),
+    ("customers: balance below zero", "select count(*) from customer where c_acctbal < 0")]))
 def _(t):
-    checks = [ck.Check("negative order totals", ("orders",),
+    checks = [ck.Check("orders: total below zero", ("orders",),
                        lambda d: ck.count_where(d["orders"], F.col("o_totalprice") < 0)),
-              ck.Check("negative customer balances", ("customer",),
+              ck.Check("customers: balance below zero", ("customer",),
                        lambda d: ck.count_where(d["customer"], F.col("c_acctbal") < 0))]
     return ck.prove(dataset(t, "orders", "customer"), checks).drop("error")
 

@@ -168,7 +168,7 @@ def tstr(train: DataFrame, synth: DataFrame, holdout: DataFrame | None, target:
     if holdout is None or len(holdout.limit(MIN_HOLDOUT).collect()) < MIN_HOLDOUT:
         return {"skipped": True, "reason": "holdout missing or below four rows"}
     if kinds.get(target) not in ("cat", "int", "num", "money"):
-        return {"skipped": True, "reason": f"target {target!r} must be numeric or categorical"}
+        return {"skipped": True, "reason": f"no score for target {target!r}: neither numbers nor classes"}
     feats = [c for c in train.columns if c != target and kinds.get(c) in ("int", "num", "cat", "money")
              and c in synth.columns and c in holdout.columns]
     if not feats:

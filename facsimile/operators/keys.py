@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,27 +72,73 @@ def name_similar(column: str, table: str) -> bool:
     return c.replace("_id", "") in t or t.replace("s", "") in c
 
 
-def detect_foreign_keys(tables: Mapping[str, DataFrame], keys: Mapping[str, str | None] | None = None) -> DataFrame:
+#: Values of the longest table that the shared sample holds, about.
+SAMPLED = 65_536
+#: Containment that is reported at all, and how sure a discard must be (one pair in so many is wrong).
+LEAST_CONTAINMENT, SURE = 0.8, 1e9
+
+
+def texts_of(df: DataFrame, column: str) -> Column:
+    return pf.brief(F.col(f"`{column}`").cast("string"))
+
+
+def possible_pairs(children: Sequence[tuple[str, str]], parents: Mapping[str, str], tables: Mapping[str, DataFrame],
+                   sampled: int = SAMPLED) -> list[tuple[str, str, str]]:
+    """The (table, column, parent) that may reach the least containment.
+
+    All columns share one threshold on the hash of a value, so that a value is in the sample of every
+    column that has it, as in theta sketches of one theta.  What share of a column's sample a key holds
+    estimates the containment, and Hoeffding's bound says how far it can be off.  Only the sample is
+    shuffled; a column with few sampled values is never discarded, and costs as little afterwards.
+    """
+    rows = max((df.count() for df in tables.values()), default=0)
+    share = min(1.0, sampled / max(rows, 1))
+    bound = F.lit(int(share * (1 << 40)))
+
+    def sample(df: DataFrame, column: str, *names: Column) -> DataFrame:
+        v = texts_of(df, column)
+        return df.select(*names, v.alias("v")).filter(F.col("v").isNotNull() & (F.pmod(F.xxhash64("v"), F.lit(1 << 40)) < bound))
+
+    kid = reduce(DataFrame.unionAll, [sample(tables[t], c, F.lit(i).alias("k")) for i, (t, c) in enumerate(children)]).distinct()
+    names = list(parents)
+    par = reduce(DataFrame.unionAll, [sample(tables[p], parents[p], F.lit(j).alias("p")) for j, p in enumerate(names)]).distinct()
+    owners = par.groupBy("v").agg(F.collect_set("p").alias("ps"))  # at most one entry per table
+    met = kid.join(owners, "v", "left").groupBy("k").agg(
+        F.count("*").alias("n"), *[F.count_if(F.array_contains("ps", j)).alias(f"h{j}") for j in range(len(names))])
+    found = {r["k"]: r for r in met.collect()}  # one row per column
+    out = []
+    for i, (t, c) in enumerate(children):
+        for j, p in enumerate(names):
+            r = found.get(i)
+            off = math.sqrt(math.log(SURE) / (2 * r["n"])) if r else 1.0
+            if t != p and (r is None or share == 1.0 and r[f"h{j}"] >= LEAST_CONTAINMENT * r["n"]
+                           or share < 1.0 and r[f"h{j}"] / r["n"] + off >= LEAST_CONTAINMENT):
+                out.append((t, c, p))
+    return out
+
+
+def detect_foreign_keys(tables: Mapping[str, DataFrame], keys: Mapping[str, str | None] | None = None,
+                        sampled: int = SAMPLED) -> DataFrame:
     """Containment of every column's distinct values in every other table's primary key.
 
-    All columns are compared in one shuffle on the value, where a value meets at most one row per
+    Pairs that a shared sample rules out are discarded first (``possible_pairs``).  The columns that
+    are left are compared in one shuffle on the value, where a value meets at most one row per
     column; no table-by-table joins.
     """
     keys = dict(keys) if keys is not None else {n: detect_primary_key(d) for n, d in tables.items()}
     spark = next(iter(tables.values())).sparkSession
-    children, parents = [], []
-    for name, df in tables.items():
-        for c in pf.scalar_columns(df):
-            children.append(df.select(F.lit(name).alias("t"), F.lit(c).alias("c"),
-                                      pf.brief(F.col(f"`{c}`").cast("string")).alias("v")))
-        if keys.get(name):
-            parents.append(df.select(F.lit(name).alias("p"), pf.brief(F.col(f"`{keys[name]}`").cast("string")).alias("v")))
     schema = ("child_table string, child_column string, parent_table string, parent_column string, "
               "containment double, name_similarity boolean, confidence string")
-    if not parents:
+    children = [(name, c) for name, df in tables.items() for c in pf.scalar_columns(df)]
+    parents = {name: keys[name] for name in tables if keys.get(name)}
+    possible = possible_pairs(children, parents, tables, sampled) if parents and children else []
+    if not possible:
         return spark.createDataFrame([], schema)
-    kid = reduce(DataFrame.unionAll, children).filter("v is not null").distinct()
-    par = reduce(DataFrame.unionAll, parents).filter("v is not null").distinct()
+    columns = sorted({(t, c) for t, c, _ in possible})
+    kid = reduce(DataFrame.unionAll, [tables[t].select(F.lit(t).alias("t"), F.lit(c).alias("c"), texts_of(tables[t], c).alias("v"))
+                                      for t, c in columns]).filter("v is not null").distinct()
+    par = reduce(DataFrame.unionAll, [tables[p].select(F.lit(p).alias("p"), texts_of(tables[p], parents[p]).alias("v"))
+                                      for p in sorted({p for _, _, p in possible})]).filter("v is not null").distinct()
     sizes = kid.groupBy("t", "c").agg(F.count("*").alias("n"))
     owners = par.groupBy("v").agg(F.collect_set("p").alias("ps"))  # at most one entry per table
     met = kid.join(owners, "v").select("t", "c", F.explode("ps").alias("p")).filter("t <> p")
@@ -100,7 +147,7 @@ def detect_foreign_keys(tables: Mapping[str, DataFrame], keys: Mapping[str, str
     out = []
     for r in pairs.collect():  # columns x tables
         share, near = r["hits"] / r["n"], name_similar(r["c"], r["p"])
-        if share >= 0.95 or (share >= 0.8 and near):
+        if share >= 0.95 or (share >= LEAST_CONTAINMENT and near):
             out.append((r["t"], r["c"], r["p"], keys[r["p"]], round(share, 3), near,
                         "high" if share >= 0.95 and near else "review"))
     return spark.createDataFrame(out, schema)

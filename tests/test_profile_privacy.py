@@ -236,3 +236,18 @@ def test_jobs_of_quantiles_do_not_grow_with_columns(spark):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
 
     assert jobs(20) <= jobs(4) + 2
+
+
+@pytest.mark.parametrize("sampled", [200, 65_536])
+def test_sampled_pairs_keep_every_foreign_key(spark, sampled):
+    tables = {"member": spark.range(3000).selectExpr("id as member_id", "concat('m', id) as label"),
+              "visit": spark.range(9000).selectExpr("id + 1000000 as visit_id", "id % 3000 as member_id", "id % 3750 as mostly_member_id",
+                                                    "id * 7 as far", "cast(null as bigint) as nothing", "id % 2 as flag")}
+    pairs = keys.possible_pairs([(t, c) for t, df in tables.items() for c in pf.scalar_columns(df)],
+                                {"member": "member_id", "visit": "visit_id"}, tables, sampled)
+    # what has many values of its own is ruled out by the sample; few values are left to the exact count
+    assert ("visit", "far", "member") not in pairs and ("member", "label", "visit") not in pairs
+    assert ("visit", "member_id", "member") in pairs and ("visit", "flag", "member") in pairs
+    got = {(r["child_column"], r["parent_table"]): (r["containment"], r["confidence"]) for r in
+           keys.detect_foreign_keys(tables, {"member": "member_id", "visit": "visit_id"}, sampled).collect()}
+    assert got == {("member_id", "member"): (1.0, "high"), ("mostly_member_id", "member"): (0.8, "review"), ("flag", "member"): (1.0, "review")}

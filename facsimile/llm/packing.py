@@ -59,7 +59,7 @@ class WordIds:
         """Words of letters alone are one run each, so they are encoded as one text and parted at the
         identifiers that end a word."""
         made: dict[str, bytes] = {}
-        plain = [w for w in words if w.isalpha()]
+        plain = list(filter(str.isalpha, words))
         if plain:
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             last = np.flatnonzero(self.ends[ids])
@@ -78,8 +78,10 @@ class WordIds:
         known, old = self.known, self.old
         back = words & old.keys()
         known.update(zip(back, map(old.__getitem__, back)))
+        new = words - back if back else words
+        plain = {word for word in new if word.isalpha() and word.isascii() and word.islower()}
         stems: list[tuple[str, str, str]] = []
-        for word in words - back if back else words:
+        for word in new - plain:
             tail = word[-1]
             if tail in ".," and word[-2:-1].isascii() and word[-2:-1].isalpha():
                 stem = word[:-1]
@@ -88,7 +90,7 @@ class WordIds:
             if "<|" not in stem and (stem.isascii() or not any(c in stem for c in AS_IS)):
                 stem = stem.lower()
             stems.append((word, stem, tail))
-        parts = {stem for _, stem, _ in stems}.union(tail for _, _, tail in stems if tail).difference(known)
+        parts = {stem for _, stem, _ in stems}.union(tail for _, _, tail in stems if tail).difference(known) | plain
         back = parts & old.keys()
         known.update(zip(back, map(old.__getitem__, back)))
         known.update(self._encode(list(parts - back if back else parts)))

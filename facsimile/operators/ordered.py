@@ -325,6 +325,30 @@ def rank_table(df: DataFrame, col: str, out: str) -> tuple[DataFrame, int, int,
     return dim, distinct, rows, lambda: hot_values(counts, col, "cnt", rows)
 
 
+def ranks_of_all(df: DataFrame, domains: Mapping[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """Average ranks of many expressions at once: one row per row of ``df`` that has any value, with a
+    column per name (null where the expression is), and how many values each one has.
+
+    All values stand in one tall table, are counted and ranked by one grouped running sum, meet their
+    rows in one join and come back by one regrouping on the row's place: no job or join per expression."""
+    names = list(domains)
+    rows = scale.cut(df.select(*[c.cast("double").alias(f"v{i}") for i, c in enumerate(domains.values())])
+                     .withColumn("place", F.monotonically_increasing_id()))
+    entries = F.array_compact(F.array(*[F.when(F.col(f"v{i}").isNotNull(), F.struct(F.lit(i).alias("d"), (F.col(f"v{i}") + 0.0).alias("v")))
+                                        for i, _ in enumerate(names)]))
+    tall = rows.select("place", F.explode(entries).alias("e")).select("place", "e.*")
+    key = F.concat_ws(":", "d", "v")
+    counts = scale.cut(tall.groupBy("d", "v").agg(F.count("*").alias("n")))
+    totals = {names[r["d"]]: r["t"] for r in counts.groupBy("d").agg(F.sum("n").alias("t")).collect()}
+    every = max(sum(totals.values()), 1)
+    run = running(counts, ["v"], sums={"upto": "n"}, by=["d"])
+    table = run.select(key.alias("k"), (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
+    met = scale.lookup(tall.withColumn("k", key), table, "k", "left",
+                       lambda: hot_values(counts.select(key.alias("k"), "n"), "k", "n", every))
+    back = met.groupBy("place").agg(*[F.max(F.when(F.col("d") == i, F.col("rank"))).alias(name) for i, name in enumerate(names)])
+    return back.drop("place"), {name: totals.get(name, 0) for name in names}
+
+
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], exact_rows: int = 5_000_000,
                     weight: str | None = None) -> list[float | None]:
     """Linear-interpolated quantiles; ``weight`` counts a row that many times.

@@ -76,34 +76,32 @@ def ks_scores(real: DataFrame, synth: DataFrame, kinds: Mapping[str, str], cols:
 def spearman_matrix(df: DataFrame, cols: Sequence[str], kinds: Mapping[str, str]) -> np.ndarray:
     """Average-rank correlation of every pair on the rows where both are present; undefined is 0.
 
-    Columns without nulls are ranked once for all pairs; a pair with nulls is ranked on its own
-    complete rows.
+    Columns without nulls are ranked once for all pairs, a pair with nulls on its own complete rows;
+    all of them in one ordered scan, whatever the number of columns and pairs.
     """
     k = len(cols)
     base = df.select(*[_num(df, c, kinds[c]).alias(f"x{i}") for i, c in enumerate(cols)])
-    base = base.select(*[F.when(~F.isnan(f"x{i}"), F.col(f"x{i}") + 0.0).alias(f"x{i}") for i in range(k)])
-    nulls = base.agg(*[F.count_if(F.col(f"x{i}").isNull()).alias(f"n{i}") for i in range(k)]).first()
-    full = [i for i in range(k) if not nulls[f"n{i}"]]
+    base = base.select(*[F.when(~F.isnan(f"x{i}"), F.col(f"x{i}")).alias(f"x{i}") for i in range(k)])
     m = np.eye(k)
-
-    def put(i: int, j: int, v: float | None) -> None:
+    pairs = [(i, j) for i in range(k) for j in range(i)]
+    if not pairs:
+        return m
+    nulls = base.agg(*[F.count_if(F.col(f"x{i}").isNull()).alias(f"n{i}") for i in range(k)]).first()
+    ranked: dict[str, Column] = {}
+    sides: dict[tuple[int, int], tuple[str, str]] = {}
+    for i, j in pairs:
+        if nulls[f"n{i}"] or nulls[f"n{j}"]:
+            both = F.col(f"x{i}").isNotNull() & F.col(f"x{j}").isNotNull()
+            sides[i, j] = f"r{i}_{j}", f"r{j}_{i}"
+            ranked |= {f"r{i}_{j}": F.when(both, F.col(f"x{i}")), f"r{j}_{i}": F.when(both, F.col(f"x{j}"))}
+        else:
+            sides[i, j] = f"r{i}", f"r{j}"
+            ranked |= {f"r{i}": F.col(f"x{i}"), f"r{j}": F.col(f"x{j}")}
+    found, _ = ordered.ranks_of_all(base, ranked)
+    row = found.agg(*[mathx.correlation(a, b).alias(f"c{i}_{j}") for (i, j), (a, b) in sides.items()]).first()
+    for i, j in pairs:
+        v = row[f"c{i}_{j}"]
         m[i, j] = m[j, i] = 0.0 if v is None or math.isnan(v) else v
-
-    pairs = [(i, j) for i in full for j in full if j < i]
-    if pairs:
-        ranked = base
-        for i in full:
-            ranked = ordered.with_ranks(ranked, f"x{i}", f"r{i}", base)
-        row = ranked.agg(*[mathx.correlation(f"r{i}", f"r{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
-        for i, j in pairs:
-            put(i, j, row[f"c{i}_{j}"])
-    for i in range(k):
-        for j in range(i):
-            if i in full and j in full:
-                continue
-            both = base.select(f"x{i}", f"x{j}").filter(f"x{i} is not null and x{j} is not null")
-            ranked = ordered.with_ranks(ordered.with_ranks(both, f"x{i}", "ri"), f"x{j}", "rj", both)
-            put(i, j, ranked.agg(mathx.correlation("ri", "rj")).first()[0])
     return m
 
 

@@ -130,3 +130,21 @@ def test_salts_follow_a_keys_share(spark, small_buckets):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert spread["big"] >= 4 and spread[None] >= 4  # of eight tasks
+
+
+def test_ranks_of_many_columns_at_once(small_buckets):
+    spark = small_buckets
+    rnd = random.Random(8)
+    rows = [(k, rnd.choice([None, 1.0, 1.0, 2.0, rnd.random()]), float(rnd.randrange(5)), None, -0.0 if k % 2 else 0.0) for k in range(700)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, none double, zero double").repartition(5)
+    got, sizes = ordered.ranks_of_all(df, {"id": F.col("id"), "a": F.col("a"), "b": F.col("b"), "none": F.col("none"), "zero": F.col("zero")})
+    assert sizes == {"id": 700, "a": sum(r[1] is not None for r in rows), "b": 700, "none": 0, "zero": 700}
+
+    def average(values):
+        return {v: (sum(x < v for x in values) + 1 + sum(x <= v for x in values)) / 2 for v in set(values)}
+
+    ranks = {name: average([r[i] for r in rows if r[i] is not None]) for name, i in (("a", 1), ("b", 2))}
+    for r in got.collect():
+        own = rows[int(r["id"]) - 1]
+        assert r["a"] == (None if own[1] is None else ranks["a"][own[1]]) and r["b"] == ranks["b"][own[2]]
+        assert r["none"] is None and r["zero"] == 350.5

@@ -267,6 +267,16 @@ def best_each(pairs: DataFrame, most: int) -> DataFrame:
     return ends[0].unionByName(ends[1]).withColumn("place", place).where(F.col("place") <= most).select("a", "b").distinct()
 
 
+def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels(node, component)`` after the components that ``links(a, b)`` tie together are one.  Only
+    the components' own graph is searched, and a component of very many nodes is looked up apart."""
+    ends = [labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
+    between = links.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
+    sizes = labels.groupBy("component").agg(F.count("*").alias("members"))
+    merged = keep(components(keep(between, "component-links")).toDF("component", "first").join(sizes, "component"), "merged")
+    return lookup(labels, merged, "component", "members").select("node", F.coalesce("first", "component").alias("component"))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs(a, b)`` whose full sets reach the similarity."""
 
@@ -326,20 +336,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, matches:
     labels = nodes.select("node", F.col("node").alias("component"))
     if not nodes.isEmpty():
         sets = full_sets(docs, classes.join(nodes, "node").select("node", "h1", "h2"), width)
-        tried = links = spark.createDataFrame([], "a long, b long")
+        tried = spark.createDataFrame([], "a long, b long")
 
         def connect(pairs: DataFrame) -> bool:
             """Confirms the untried ones of the pairs and forms components anew; False if there are none."""
-            nonlocal tried, links, labels
+            nonlocal tried, labels
             chosen = keep(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "chosen")
             if chosen.isEmpty():
                 return False
             tried = tried.unionByName(chosen)
             new = keep(confirmed(chosen, sets, percent), "confirmed")
             if not new.isEmpty():
-                links = links.unionByName(new)
-                labels = keep(nodes.join(components(links), "node", "left")
-                              .select("node", F.coalesce("component", "node").alias("component")), "labels")
+                labels = keep(joined_components(labels, new), "labels")
             return True
 
         for _ in range(STAR_TURNS):

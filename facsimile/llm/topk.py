@@ -25,7 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from facsimile.llm.store import keep, typed
+from facsimile.llm.store import checked, keep, typed
+from facsimile.operators.ordered import running
 
 # Vectors in a block, vectors in a cell, and queries in a cell, at most (about).
 BLOCK_ROWS = 1024
@@ -175,9 +176,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     blocks = keep(packed(rows, -(-size["n"] // BLOCK_ROWS), dims, scale, by_length=True), "vector-blocks")
     queries = keep(packed(asked, query_groups, dims, scale, by_length=False), "query-blocks")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    turns = F.row_number().over(Window.orderBy(F.desc("longest"), "block"))
-    dealt = blocks.select("block", "longest").withColumn("bg", F.pmod(turns, F.lit(block_groups)).cast("int")).select("block", "bg")
-    left = blocks.join(F.broadcast(dealt), "block").withColumn("qg", spread(query_groups))
+    numbered = running(blocks.select("block", (-F.col("longest")).alias("shortness")), ["shortness", "block"], row_number="turn")
+    dealt = numbered.select("block", F.pmod("turn", F.lit(block_groups)).cast("int").alias("bg"))
+    left = blocks.join(checked(dealt), "block").withColumn("qg", spread(query_groups))
     right = queries.withColumn("qg", F.pmod(F.xxhash64("block"), F.lit(query_groups)).cast("int")).withColumn("bg", spread(block_groups))
 
     def cell(some: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:

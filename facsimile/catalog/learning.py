@@ -339,8 +339,7 @@ def _(t):
 @query("scorecard")
 def _(t):
     train, hold, synth = tstr_frames(t)
-    card = score.scorecard(t.part, synth, TK, "sample_conditioned", train, hold, None, "row_no",
-                           keyed.uniform(SEED, "probe", key="row_no"), list(TK))
+    card = score.scorecard(t.part, synth, TK, "sample_conditioned", train, hold, None, list(TK))
     rows = [("fidelity", str(card["fidelity"]["score"])), ("exact_match_rate", str(card["privacy"]["exact_match_rate"])),
             ("dcr_ratio", str(card["privacy"]["dcr_ratio"])), ("level", card["privacy"]["level"])]
     return t.spark.createDataFrame(rows, "metric string, value string")

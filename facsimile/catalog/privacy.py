@@ -213,8 +213,7 @@ def dcr_sides(t):
 @query("dcr_ratio", f"with {DCR} select round(ratio, 6) as dcr_ratio from ra")
 def _(t):
     train, hold, synth = dcr_sides(t)
-    ratio = risk.dcr_ratio(train, hold, synth, ["p_size", "p_retailprice"], "p_partkey",
-                           keyed.uniform(SEED, "probe", key="p_partkey"))
+    ratio = risk.dcr_ratio(train, hold, synth, ["p_size", "p_retailprice"])
     return t.spark.createDataFrame([(round(ratio, 6),)], "dcr_ratio double")
 
 
@@ -238,7 +237,7 @@ def _(t):
     train, hold, synth = dcr_sides(t)
     nums = ["p_size", "p_retailprice"]
     exact = risk.exact_match_rate(train.select(*nums), synth.select(*nums)).first()[0]
-    ratio = risk.dcr_ratio(train, hold, synth, nums, "p_partkey", keyed.uniform(SEED, "probe", key="p_partkey"))
+    ratio = risk.dcr_ratio(train, hold, synth, nums)
     ind = risk.privacy_indicators(exact, ratio)
     return t.spark.createDataFrame([tuple(ind.values())], "exact_match_rate double, dcr_ratio double, level string")
 
@@ -251,5 +250,4 @@ def _(t):
 def _(t):
     train, hold, synth = dcr_sides(t)
     nums = ["p_size", "p_retailprice"]
-    return risk.privacy_report(train, synth, hold, nums, "p_partkey",
-                               keyed.uniform(SEED, "probe", key="p_partkey"), ["p_size"], ["p_retailprice"], nums)
+    return risk.privacy_report(train, synth, hold, nums, ["p_size"], ["p_retailprice"], nums)

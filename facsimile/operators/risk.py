@@ -234,8 +234,7 @@ def _standardised(df: DataFrame, nums: Sequence[str], stats: dict) -> list[Colum
     return out
 
 
-def dcr_ratio(train: DataFrame, holdout: DataFrame | None, synth: DataFrame, nums: Sequence[str],
-              synth_key: str, synth_u: Column) -> float | None:
+def dcr_ratio(train: DataFrame, holdout: DataFrame | None, synth: DataFrame, nums: Sequence[str]) -> float | None:
     """median(distance synth -> train) / median(distance holdout -> train).
 
     Both sides probe all of their rows.
@@ -267,13 +266,12 @@ def privacy_indicators(exact: float, ratio: float | None) -> dict:
 
 
 def privacy_report(train: DataFrame, synth: DataFrame, holdout: DataFrame | None, nums: Sequence[str],
-                   synth_key: str, synth_u: Column, quasi: Sequence[str] = (),
-                   sensitive: Sequence[str] = (), compare: Sequence[str] | None = None) -> DataFrame:
+                   quasi: Sequence[str] = (), sensitive: Sequence[str] = (), compare: Sequence[str] | None = None) -> DataFrame:
     """Long table (metric, value, risk) of every privacy measure."""
     spark = synth.sparkSession
     pick = lambda d: d.select(*compare) if compare else d
     exact = exact_match_rate(pick(train), pick(synth)).first()[0] or 0.0
-    ind = privacy_indicators(exact, dcr_ratio(train, holdout, synth, nums, synth_key, synth_u))
+    ind = privacy_indicators(exact, dcr_ratio(train, holdout, synth, nums))
     rows = [("exact_match_rate", float(ind["exact_match_rate"]), ind["level"]),
             ("dcr_ratio", ind["dcr_ratio"], ind["level"])]
     out = spark.createDataFrame(rows, "metric string, value double, risk string")

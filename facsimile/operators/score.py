@@ -225,7 +225,6 @@ def pick_target(prof: DataFrame) -> DataFrame:
 
 def scorecard(real: DataFrame | None, synth: DataFrame, kinds: Mapping[str, str], mode: str,
               train: DataFrame | None = None, holdout: DataFrame | None = None, target: str | None = None,
-              synth_key: str | None = None, synth_u: Column | None = None,
               compare: Sequence[str] | None = None) -> dict:
     """Fidelity, usefulness and privacy for sample-conditioned runs; nothing to compare otherwise."""
     out: dict = {"generation_mode": mode}
@@ -240,6 +239,6 @@ def scorecard(real: DataFrame | None, synth: DataFrame, kinds: Mapping[str, str]
         nums = [c for c in train.columns if kinds.get(c) in ("int", "num", "money")]
         pick = lambda d: d.select(*compare) if compare else d
         exact = risk.exact_match_rate(pick(train), pick(synth)).first()[0] or 0.0
-        ratio = risk.dcr_ratio(train, holdout, synth, nums, synth_key, synth_u) if synth_key else None
+        ratio = risk.dcr_ratio(train, holdout, synth, nums)
         out["privacy"] = risk.privacy_indicators(exact, ratio)
     return out

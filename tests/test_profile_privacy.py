@@ -161,12 +161,11 @@ def test_nearest_distance_is_exact(spark, dims, rows):
 def test_distance_ratio_flags_copies(spark):
     base = spark.range(400).selectExpr("id", "cast((id * 7919) % 1000 as double) as a", "cast((id * 104729) % 997 as double) as b")
     train, hold = domains.split_holdout(base, keyed.uniform(1, "h", key="id"), "id")
-    u = keyed.uniform(1, "p", key="id")
-    copied = risk.dcr_ratio(train, hold, train, ["a", "b"], "id", u)
+    copied = risk.dcr_ratio(train, hold, train, ["a", "b"])
     assert copied == 0.0
     assert risk.privacy_indicators(0.0, copied)["level"] == "Elevated"
     assert risk.privacy_indicators(0.001, 0.9)["level"] == "Moderate" and risk.privacy_indicators(0.0, None)["level"] == "Low"
-    assert risk.dcr_ratio(train, None, train, ["a"], "id", u) is None
+    assert risk.dcr_ratio(train, None, train, ["a"]) is None
 
 
 def test_small_tables_have_no_holdout(spark):

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from facsimile.catalog import sqltext as q
@@ -60,15 +61,25 @@ def _(t):
     return t.spark.read.text(path).agg(F.count("*").alias("lines"), F.count_if(F.col("value").contains('"p":null')).alias("nulls"))
 
 
-def one_array(t, df, key: str) -> str:
-    """All rows of ``df`` as one array file: the row with the largest key closes it."""
+#: Rows of an array file.
+ARRAY_ROWS = 1_000_000
+
+
+def as_array(batches):
+    """The texts of a task as the lines of one JSON array."""
+    mark = "["
+    for batch in batches:
+        if texts := batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_pydict({"value": [mark + texts[0], *("," + text for text in texts[1:])]})
+            mark = ","
+    yield pa.RecordBatch.from_pydict({"value": ["]" if mark == "," else "[]"]})
+
+
+def array_files(t, df) -> str:
+    """All rows of ``df`` as array files of about ``ARRAY_ROWS`` rows, one if there are no more: each is written by a task."""
     path = scratch(t, "array")
-    last = df.agg(F.max(key)).first()[0]
-    text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    lines = df.select(F.concat(F.when(F.col(key) == last, text), F.lit("]")).alias("end"), F.concat(text, F.lit(",")).alias("inner"))
-    first = t.spark.createDataFrame([("[",)], "value string")
-    first.unionByName(lines.filter("end is null").select(F.col("inner").alias("value"))) \
-        .unionByName(lines.filter("end is not null").select(F.col("end").alias("value"))).coalesce(1).write.text(path)
+    text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")
+    df.select(text).repartition(max(1, -(-df.count() // ARRAY_ROWS))).mapInArrow(as_array, "value string").write.text(path)
     return path
 
 
@@ -82,7 +93,7 @@ TRICKY = ("case o_orderkey % 7 when 0 then concat('}{', o_orderstatus) when 1 th
 def _(t):
     src = t.orders.selectExpr("o_orderkey", f"{TRICKY} as note", "named_struct('customer', o_custkey, 'parts', array(o_orderkey % 7, 2)) as who",
                               "array(named_struct('price', o_totalprice)) as prices")
-    got = json_arrays.read_json_array(t.spark, one_array(t, src, "o_orderkey"), range_bytes=1 << 16)
+    got = json_arrays.read_json_array(t.spark, array_files(t, src), range_bytes=1 << 16)
     return got.select("o_orderkey", "note", F.col("who.customer").alias("customer"), F.col("who.parts")[0].alias("first_part"),
                       F.col("prices")[0]["price"].alias("price"))
 

@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facsimile.operators.ordered import running
-from facsimile.operators.scale import shared_folder
-from facsimile.sources.json_arrays import by_range
+from facsimile.operators.scale import cut, shared_folder
+from facsimile.sources.json_arrays import by_range, cut_into, dealt
 
 BLOCK_BYTES = 1 << 20
 FAN_OUT = 256
@@ -91,26 +91,21 @@ def laid(block_bytes: int):
 def block_digests(spark: SparkSession, paths: Sequence[str], block_bytes: int = BLOCK_BYTES, glob: str = "*",
                   range_bytes: int | None = None) -> DataFrame:
     """(file, size, block, bytes, sha256) of every block of the files, kept; Spark's sources don't list
-    files without a byte.  ``range_bytes`` sets the bytes that a task reads for this call."""
+    files without a byte.  ``range_bytes`` sets the bytes of a range for this call."""
     folder = f"{shared_folder(spark).rstrip('/')}/blocks-{uuid.uuid4().hex}"
-    name = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(name)
-    if range_bytes:
-        spark.conf.set(name, str(range_bytes))
-    try:
-        rows = lines(spark, paths, glob)
-        rows.groupBy("file", "size", "range").agg(F.sum(F.octet_length("line") + 1).alias("bytes")).write.parquet(f"{folder}/ranges")
-        # one narrow row per byte range, of spark.sql.files.maxPartitionBytes: under a million for 100 TB
-        begins = F.broadcast(offsets(spark.read.parquet(f"{folder}/ranges")))
-        rows.join(begins, ["file", "range"]).select("file", "size", "range", "begin", "marked", "line") \
+    with cut_into(spark, range_bytes):
+        dealt(lines(spark, paths, glob)).groupBy("file", "size", "range").agg(F.sum(F.octet_length("line") + 1).alias("bytes")) \
+            .write.parquet(f"{folder}/ranges")
+    # one narrow row per byte range, of spark.sql.files.maxPartitionBytes: under a million for 100 TB
+    begins = F.broadcast(cut(offsets(spark.read.parquet(f"{folder}/ranges"))))
+    with cut_into(spark, range_bytes):
+        dealt(lines(spark, paths, glob)).join(begins, ["file", "range"]).select("file", "size", "range", "begin", "marked", "line") \
             .mapInArrow(laid(block_bytes), DEALT).write.parquet(f"{folder}/dealt")
-    finally:
-        spark.conf.set(name, before)
-    dealt = spark.read.parquet(f"{folder}/dealt")
+    found = spark.read.parquet(f"{folder}/dealt")
     pieces = F.array_sort(F.collect_list(F.struct("at", "piece")))
     joined: Column = F.aggregate(pieces, F.lit("").cast("binary"), lambda all_, p: F.concat(all_, p["piece"]))
-    across = dealt.filter("digest is null").groupBy("file", "block").agg(F.sum("bytes").alias("bytes"), F.sha2(joined, 256).alias("sha256"))
-    digests = dealt.filter("digest is not null").select("file", "block", "bytes", F.col("digest").alias("sha256")).unionByName(across)
+    across = found.filter("digest is null").groupBy("file", "block").agg(F.sum("bytes").alias("bytes"), F.sha2(joined, 256).alias("sha256"))
+    digests = found.filter("digest is not null").select("file", "block", "bytes", F.col("digest").alias("sha256")).unionByName(across)
     sizes = spark.read.parquet(f"{folder}/ranges").select("file", "size").distinct()
     digests.join(sizes, "file").select("file", "size", "block", "bytes", "sha256").write.parquet(f"{folder}/digests")
     return spark.read.parquet(f"{folder}/digests")

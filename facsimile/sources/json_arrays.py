@@ -16,18 +16,26 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facsimile.operators.ordered import running
-from facsimile.operators.scale import shared_folder
+from facsimile.operators.scale import cut, shared_folder
 
 ESCAPED = re.compile(r"\\.", re.DOTALL)
 BETWEEN = re.compile(r"[\s,\[\]﻿]*")
-#: Records of one Arrow batch that a range gives out.
+#: Records of one Arrow batch that a range gives out, and fragments summed up at once.
 ROWS = 2_000
+#: Bytes of ranges, where those are small, that one task reads one after the other.
+TASK_BYTES = 32 << 20
+RANGE_BYTES = "spark.sql.files.maxPartitionBytes"
+UNITS = {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}
 
 
 def outside(fragment: str, inside: int) -> tuple[str, int]:
@@ -46,18 +54,52 @@ def fragments(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), "value")
 
 
+@contextmanager
+def cut_into(spark: SparkSession, range_bytes: int | None) -> Iterator[None]:
+    """Files that jobs inside read are cut into ranges of so many bytes."""
+    before = spark.conf.get(RANGE_BYTES)
+    if range_bytes:
+        spark.conf.set(RANGE_BYTES, str(range_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(RANGE_BYTES, before)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows read from files, with many small ranges to a task, each of them whole: tasks, and the part
+    files that they write, grow with the bytes and not with the number of ranges."""
+    spark = rows.sparkSession
+    size, unit = re.fullmatch(r"(\d+)([kmgt]?)i?b?", spark.conf.get(RANGE_BYTES).lower()).groups()
+    ranges = rows.rdd.getNumPartitions()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-ranges * (int(size) << UNITS[unit]) // TASK_BYTES))
+    return rows.coalesce(tasks) if tasks < ranges else rows
+
+
 def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[str]]]:
     """Each byte range of a task with its fragments; the columns before the last name the range."""
-    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
-    row = next(rows, None)
-    while row is not None:
-        own = row[:-1]
+
+    def runs() -> Iterator[tuple[tuple, list]]:
+        for batch in batches:
+            *names, values = batch.columns
+            new = np.zeros(max(batch.num_rows - 1, 0), dtype=bool)
+            for c in names if len(new) else []:
+                new |= pc.not_equal(c.slice(1), c.slice(0, len(new))).to_numpy(zero_copy_only=False)
+            at = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            for a, b in zip(at, at[1:]):
+                if a < b:
+                    yield tuple(c[a].as_py() for c in names), values.slice(a, b - a).to_pylist()
+
+    rest = runs()
+    run = next(rest, None)
+    while run is not None:
+        own = run[0]
 
         def values() -> Iterator[str]:
-            nonlocal row
-            while row is not None and row[:-1] == own:
-                yield row[-1]
-                row = next(rows, None)
+            nonlocal run
+            while run is not None and run[0] == own:
+                yield from run[1]
+                run = next(rest, None)
 
         yield own, values()
 
@@ -66,10 +108,11 @@ def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per range: its quotes' parity, and the change of depth for a begin outside and inside a string."""
     for (file, start), values in by_range(batches):
         states, depths = [0, 1], [0, 0]
-        for value in values:
+        while some := list(islice(values, ROWS)):
+            text = "}".join(some) + "}"
             for k in (0, 1):
-                bare, states[k] = outside(value, states[k])
-                depths[k] += deeper(bare, states[k])
+                bare, states[k] = outside(text, states[k])
+                depths[k] += bare.count("{") + bare.count("[") - bare.count("]") - bare.count("}")
         yield pa.RecordBatch.from_pylist([{"file": file, "range": start, "odd": states[0], "plain": depths[0], "quoted": depths[1]}])
 
 
@@ -128,29 +171,25 @@ def stitched(pieces: DataFrame) -> DataFrame:
         .agg(F.array_join(F.transform(together, lambda p: p["object"]), "").alias("object")).select("object")
 
 
-def array_objects(spark: SparkSession, path: str) -> DataFrame:
-    """One row per object of the array files at ``path``: its JSON text."""
+def array_objects(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """One row per object of the array files at ``path``: its JSON text.  ``range_bytes`` sets the bytes
+    of a range for this call."""
     folder = f"{shared_folder(spark).rstrip('/')}/json-array-{uuid.uuid4().hex}"
-    fragments(spark, path).mapInArrow(summaries, "file string, range long, odd long, plain long, quoted long") \
-        .write.parquet(f"{folder}/ranges")
+    with cut_into(spark, range_bytes):
+        dealt(fragments(spark, path)).mapInArrow(summaries, "file string, range long, odd long, plain long, quoted long") \
+            .write.parquet(f"{folder}/ranges")
     # one narrow row per byte range, of spark.sql.files.maxPartitionBytes: under a million for 100 TB
-    states = F.broadcast(begins(spark.read.parquet(f"{folder}/ranges")))
-    fragments(spark, path).join(states, ["file", "range"]).select("file", "range", "inside", "depth", "value") \
-        .mapInArrow(objects, OBJECTS).write.parquet(f"{folder}/objects")
+    states = F.broadcast(cut(begins(spark.read.parquet(f"{folder}/ranges"))))
+    with cut_into(spark, range_bytes):
+        dealt(fragments(spark, path)).join(states, ["file", "range"]).select("file", "range", "inside", "depth", "value") \
+            .mapInArrow(objects, OBJECTS).write.parquet(f"{folder}/objects")
     found = spark.read.parquet(f"{folder}/objects")
     return found.filter("whole").select("object").unionByName(stitched(found.filter("not whole")))
 
 
 def read_json_array(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
     """One row per object of the array files at ``path``, with inferred types.  ``range_bytes`` sets the
-    bytes that a task reads for this call."""
-    name = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(name)
-    if range_bytes:
-        spark.conf.set(name, str(range_bytes))
-    try:
-        lines = f"{shared_folder(spark).rstrip('/')}/json-lines-{uuid.uuid4().hex}"
-        array_objects(spark, path).select(F.regexp_replace("object", "[\r\n]", " ").alias("value")).write.text(lines)
-    finally:
-        spark.conf.set(name, before)
+    bytes of the ranges that the files are cut into for this call."""
+    lines = f"{shared_folder(spark).rstrip('/')}/json-lines-{uuid.uuid4().hex}"
+    array_objects(spark, path, range_bytes).select(F.regexp_replace("object", "[\r\n]", " ").alias("value")).write.text(lines)
     return spark.read.json(lines)

@@ -3,9 +3,12 @@
 import hashlib
 import json
 import random
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 
+from facsimile.operators import scale
 from facsimile.sources import blocks, json_arrays, readers, writers
 
 SIGNS = ['"', "\\", "{", "}", "[", "]", ",", ":", " ", "\n", "\r", "a", "é", "🙂", "\\\\", '\\"', "}{", " "]
@@ -40,6 +43,17 @@ def test_objects_of_an_array(spark, tmp_path, style, size):
     assert ranges > 5 if size < 10_000 else ranges == 1
 
 
+def test_small_ranges_share_tasks(spark, tmp_path):
+    rows = [{"id": k, "x": "}{" * (k % 5)} for k in range(3000)]
+    (tmp_path / "a.json").write_text(json.dumps(rows))
+    before = set(Path(urlparse(scale.shared_folder(spark)).path).glob("json-array-*"))
+    got = json_arrays.read_json_array(spark, str(tmp_path), range_bytes=500)
+    assert sorted((r.id, r.x) for r in got.collect()) == [(r["id"], r["x"]) for r in rows]
+    (folder,) = set(Path(urlparse(scale.shared_folder(spark)).path).glob("json-array-*")) - before
+    for part in ("ranges", "objects"):  # about 180 ranges, read by no more tasks than there are cores
+        assert len(list((folder / part).glob("part-*"))) <= spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("text", ['[1, {"a": 1}]', '[{"a": 1}, null]', '[[{"a": 1}]]', '[{"a": 1}, "}"]'])
 def test_arrays_of_anything_else_are_errors(spark, tmp_path, text):
     (tmp_path / "x.json").write_text(text)

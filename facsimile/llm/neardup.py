@@ -15,11 +15,10 @@ of them are worth comparing in full.
 Pairs inside a connected group need no further look.  A posting is therefore first joined as a star
 (each member with one member of another component, the number of rows staying that of the posting);
 a document tries its best candidate, components are formed, and this is repeated.  Then the members of
-different components under one value are compared, large postings in blocks; of the pairs that agree a
-block gives those that make up a spanning forest of its components, the best first.  They are tried,
-components are formed, and postings that have other pairs give four forests, then sixteen and so on,
-until no pair of different components is left untried.  So no link between components is lost, and rows
-grow with the members, not with their pairs.
+different components under one value are compared, large postings in blocks.  The full sets come along,
+so that a pair that agrees is confirmed where it meets, and a block gives only links that tie two of its
+components together, a spanning forest at most.  So no link between components is lost, one pass is
+enough, and rows grow with the members, not with their pairs, whether these are links or near misses.
 
 The two thresholds follow from ``percent``: the largest whose exact binomial tails stay within 8 and 3
 in a million.  At 75 percent these are 53 of 96 and 339 of 512 with tails of 7.6e-6 and 2.7e-6, so that
@@ -49,9 +48,11 @@ COORDINATES, FINE_COORDINATES = 96, 512
 MISSED, FINE_MISSED = 8e-6, 3e-6
 # Turns in which documents try star partners, before all that is left is compared.
 STAR_TURNS = 2
-# A posting is compared in blocks of this many members; a task takes about so many rows of blocks.
+# A posting is compared in blocks of this many members, or bytes of their sets; a task takes about so many rows or bytes of blocks.
 BLOCK_MEMBERS = 1024
+BLOCK_BYTES = 8 << 20
 TASK_MEMBERS = 8192
+TASK_BYTES = 32 << 20
 
 _draw = np.random.default_rng(20240611)
 _MULTIPLY = _draw.integers(1, 1 << 63, COORDINATES + FINE_COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -208,56 +209,66 @@ def forests(a: np.ndarray, b: np.ndarray, agree: np.ndarray, group: dict[int, in
     return chosen, left
 
 
-def remaining_pairs(postings: DataFrame, labels: DataFrame, sets: DataFrame, matches: int, fine_matches: int, most: int) -> DataFrame:
-    """Pairs ``a, b`` of different components that share a posting, collide in ``matches`` coordinates and
-    agree in ``fine_matches`` of the fine ones: of a block as many as make up ``most`` spanning forests
-    of its components, so that rows stay in proportion to members.  A ``key`` without a pair names a
-    posting that has others."""
-    at = postings.join(labels, "node")
-    open_keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+def remaining_links(postings: DataFrame, labels: DataFrame, sets: DataFrame, matches: int, fine_matches: int, percent: int) -> DataFrame:
+    """Links ``a, b`` of different components that share a posting, collide in ``matches`` coordinates,
+    agree in ``fine_matches`` of the fine ones and reach the similarity on their full sets: of a block
+    those that make up a spanning forest of its components."""
+    at = postings.join(labels, "node").join(sets.select("node", "size"), "node")
+    open_keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(8 * F.col("size")).alias("bytes")) \
+        .where("lo <> hi").select("key", "bytes")
     at = keep(at.join(open_keys, "key"), "open-postings")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "i", "j"])
         values = np.frombuffer(b"".join(rows.fine), dtype=np.uint8).reshape(len(rows), -1)
         coarse = np.frombuffer(b"".join(rows.signature), dtype=np.uint32).reshape(len(rows), -1)
-        nodes, group, side = rows.node.to_numpy(), rows.component.to_numpy(), rows.own.to_numpy()
-        cell = rows[["key", "i", "j"]].to_numpy()
+        nodes, labelled, side, size = rows.node.to_numpy(), rows.component.to_numpy(), rows.own.to_numpy(), rows["size"].to_numpy()
+        cell, full = rows[["key", "i", "j"]].to_numpy(), rows["set"].to_numpy()
         ends = [*(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
         found: set[tuple[int, int]] = set()
-        unfinished: set[int] = set()
         start = 0
         for end in ends:
-            key, i, j = cell[start]
+            _, i, j = cell[start]
             first = np.flatnonzero(side[start:end] == i) + start
             second = np.flatnonzero(side[start:end] == j) + start
-            met: list[tuple[np.ndarray, ...]] = []
+            group = labelled[start:end].copy()  # grows together as links are found
+            numbers: list[np.ndarray] | None = None
             for x in first:
-                others = second[(group[second] != group[x]) & ((i != j) | (nodes[second] > nodes[x]))]
+                others = second[(group[second - start] != group[x - start]) & ((i != j) | (nodes[second] > nodes[x]))]
+                others = others[100 * np.minimum(size[others], size[x]) >= percent * np.maximum(size[others], size[x])]
                 others = others[collisions(coarse[others], coarse[x]) >= matches]
                 agree = collisions(values[others], values[x])
                 others, agree = others[agree >= fine_matches], agree[agree >= fine_matches]
+                if not len(others):
+                    continue
+                if numbers is None:  # the block's shingles by number
+                    shingles, number = np.unique(np.frombuffer(b"".join(full[start:end]), dtype=np.uint64), return_inverse=True)
+                    numbers = np.split(number, np.cumsum(size[start:end])[:-1])
+                    mine = np.zeros(len(shingles), dtype=bool)
+                mine[numbers[x - start]] = True
+                same = np.array([np.count_nonzero(mine[numbers[y - start]]) for y in others])
+                mine[numbers[x - start]] = False
+                linked = 100 * same >= percent * (size[others] + size[x] - same)
+                others, agree = others[linked], agree[linked]
                 if len(others):
-                    met.append((np.minimum(nodes[others], nodes[x]), np.maximum(nodes[others], nodes[x]), agree))
-            if met:
-                a, b, agree = map(np.concatenate, zip(*met))
-                chosen, left = forests(a, b, agree, dict(zip(nodes[start:end].tolist(), group[start:end].tolist())), most)
-                found.update(zip(a[chosen].tolist(), b[chosen].tolist()))
-                if left:
-                    unfinished.add(int(key))
+                    a, b = np.minimum(nodes[others], nodes[x]), np.maximum(nodes[others], nodes[x])
+                    near = np.append(others, x) - start
+                    chosen, _ = forests(a, b, agree, dict(zip(nodes[start:end][near].tolist(), group[near].tolist())), 1)
+                    found.update(zip(a[chosen].tolist(), b[chosen].tolist()))
+                    group[np.isin(group, group[near])] = group[x - start]
             start = end
-        out = [(a, b, None) for a, b in found] + [(None, None, key) for key in unfinished]
-        return pd.DataFrame(out, columns=["a", "b", "key"]).astype("Int64")
+        return pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
 
-    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_MEMBERS, F.col("bytes") / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j")))
-    dealt = at.withColumn("own", own).select("key", "node", "component", "own", F.explode(cells).alias("cell")) \
-        .select("key", "node", "component", "own", "cell.*")
-    tasks = max(64, -(-dealt.count() // TASK_MEMBERS))
-    return dealt.join(sets.select("node", "fine", "signature"), "node") \
+    dealt = at.withColumn("own", own).select("key", "node", "component", "own", "size", F.explode(cells).alias("cell")) \
+        .select("key", "node", "component", "own", "size", "cell.*")
+    members, total = dealt.agg(F.count("*"), F.coalesce(F.sum(8 * F.col("size")), F.lit(0))).first()
+    tasks = max(64, -(-members // TASK_MEMBERS), -(-total // TASK_BYTES))
+    return dealt.join(sets.select("node", "set", "fine", "signature"), "node") \
         .withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)).cast("int")).repartition(tasks, "task") \
-        .groupBy("task").applyInPandas(compare, "a long, b long, key long").distinct()
+        .groupBy("task").applyInPandas(compare, "a long, b long").distinct()
 
 
 def best_each(pairs: DataFrame, most: int) -> DataFrame:
@@ -338,31 +349,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, matches:
         sets = full_sets(docs, classes.join(nodes, "node").select("node", "h1", "h2"), width)
         tried = spark.createDataFrame([], "a long, b long")
 
-        def connect(pairs: DataFrame) -> bool:
-            """Confirms the untried ones of the pairs and forms components anew; False if there are none."""
-            nonlocal tried, labels
-            chosen = keep(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "chosen")
-            if chosen.isEmpty():
-                return False
-            tried = tried.unionByName(chosen)
-            new = keep(confirmed(chosen, sets, percent), "confirmed")
+        def connect(links: DataFrame) -> None:
+            """Forms components anew with the links."""
+            nonlocal labels
+            new = keep(links, "confirmed")
             if not new.isEmpty():
                 labels = keep(joined_components(labels, new), "labels")
-            return True
 
         for _ in range(STAR_TURNS):
-            if not connect(best_each(agreeing(star_pairs(postings, labels), sets, matches, fine_matches), 1)):
-                break
-        most = 1
-        while True:
-            rest = keep(remaining_pairs(postings, labels, sets, matches, fine_matches, most), "remaining")
-            unfinished = rest.where("key is not null").select("key").distinct()
-            connect(rest.where("key is null"))
-            if unfinished.isEmpty():
+            pairs = best_each(agreeing(star_pairs(postings, labels), sets, matches, fine_matches), 1)
+            chosen = keep(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "chosen")
+            if chosen.isEmpty():
                 break
-            # only postings that have further pairs are looked at again
-            postings = keep(postings.join(unfinished, "key"), "unfinished-postings")
-            most *= 4
+            tried = tried.unionByName(chosen)
+            connect(confirmed(chosen, sets, percent))
+        connect(remaining_links(postings, labels, sets, matches, fine_matches, percent))
     found = labels.select("node", "component")
     return members.join(found, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id")) \

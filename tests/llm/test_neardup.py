@@ -118,3 +118,20 @@ def test_forests_take_every_pair_in_the_end():
     chosen, left = neardup.forests(a, b, agree, group, 1)
     assert sorted(chosen) == [0, 1, 2] and left
     assert sorted(neardup.forests(a, b, agree, group, 3)[0]) == list(range(6)) and not neardup.forests(a, b, agree, group, 3)[1]
+
+
+def test_near_misses_are_not_handed_on_as_pairs(documents, monkeypatch):
+    """All pairs of a group are just below the limit: what is kept between passes grows with the members."""
+    passage = rnd.choices(WORDS, k=200)
+    rows = [(k, " ".join(passage + rnd.choices(WORDS, k=40))) for k in range(80)]  # 196 of 276 shingles are shared
+    kept = []
+
+    def counting(df, name, keep=neardup.keep):
+        out = keep(df, name)
+        if name in ("chosen", "remaining", "confirmed"):
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "keep", counting)
+    assert all(r.component_id == r.doc_id for r in neardup.near_duplicates(documents(rows)).collect())
+    assert sum(kept) <= 5 * len(rows)

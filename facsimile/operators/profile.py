@@ -38,6 +38,8 @@ DATE_SHAPES = (
     (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", ("MMM d, yyyy",)),
 )
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+# what every match of a pattern holds: looked for first, at a fraction of a pattern's cost
+HOLDS = {"email": "@", "url": "://", "iso_date": "-"}
 PATTERNS = {"email": EMAIL, "phone": PHONE, "url": URL, "money": MONEY, "iso_date": ISO_DATE}
 
 EXACT_ROWS = 2_000_000  # above this many rows exact quantiles are found by ranking, not in one buffer
@@ -83,11 +85,12 @@ def parse_time(c: Column, fam: str) -> Column:
     if fam != "string":
         return F.lit(None).cast("timestamp_ntz")
     s = text_of(c)
-    out = F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), s.try_cast("timestamp_ntz"))
+    shaped = None
     for shape, formats in DATE_SHAPES:
-        parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
-        out = out.when(s.rlike(shape), parsed.cast("timestamp_ntz"))
-    return out
+        parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+        shaped = F.when(s.rlike(shape), parsed) if shaped is None else shaped.when(s.rlike(shape), parsed)
+    return (F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), s.try_cast("timestamp_ntz"))
+            .when(s.rlike("|".join(shape for shape, _ in DATE_SHAPES)), shaped))
 
 
 def match_rate(c: Column, pattern: str) -> Column:
@@ -138,6 +141,10 @@ def _facts_sql(i: int, fam: str) -> str:
     def only(flag: bool, sql: str, dtype: str, empty: str = "null") -> str:
         return sql if flag else f"max(cast({empty} as {dtype}))"
 
+    def matches(kind: str) -> str:
+        held = f"contains(s{i}, '{HOLDS[kind]}') and " if kind in HOLDS else ""
+        return f"{held}rlike(s{i}, r'{PATTERNS[kind]}')"
+
     n = f"cast(count(x{i}) as double)"
     skew = f"case when {n} > 2 then skewness(x{i}) * sqrt({n} * ({n} - 1)) / ({n} - 2) else 0.0D end"
     kurt = (f"case when {n} > 3 then ({n} - 1) / (({n} - 2) * ({n} - 3)) * (({n} + 1) * kurtosis(x{i}) + 6) "
@@ -149,7 +156,7 @@ def _facts_sql(i: int, fam: str) -> str:
         "true_hits": f"count_if(w{i} in ({true_codes}))",
         "num_hits": only(is_num, f"count(x{i})", "bigint", "0"),
         "whole_hits": only(is_num, f"count_if(x{i} % 1 = 0)", "bigint", "0"),
-        **{f"{k}_hits": only(is_text, f"count_if(rlike(s{i}, r'{p}'))", "bigint", "0") for k, p in PATTERNS.items()},
+        **{f"{k}_hits": only(is_text, f"count_if({matches(k)})", "bigint", "0") for k in PATTERNS},
         "time_hits": only(is_time, f"count(t{i})", "bigint", "0"),
         "midnight_hits": only(is_time, f"count_if(t{i} = cast(date_trunc('day', t{i}) as timestamp_ntz))", "bigint", "0"),
         "min": only(is_num, f"min(x{i})", "double"), "max": only(is_num, f"max(x{i})", "double"),
@@ -210,6 +217,7 @@ def column_facts(df: DataFrame, cols: Sequence[str] | None = None, exact: bool |
     """One row of counts and moments per column.  ``unique`` may carry ready distinct counts."""
     cols = list(cols or scalar_columns(df))
     fams = {f.name: family(f.dataType) for f in df.schema.fields}
+    df = scale.spread(df)  # much work per value
     facts = one_row_per_column(_parsed(df, cols, fams), {c: _facts_sql(i, fams[c]) for i, c in enumerate(cols)})
     named = df.sparkSession.createDataFrame(
         [(c, fams[c], bool(MONEY_NAME.search(c)), bool(ID_NAME.search(c)), pii_class_by_name(c)) for c in cols],

@@ -38,6 +38,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, keep: bool = False) -> DataFrame:
+    """``df`` dealt over all tasks where a few hold most of its rows: a small or tightly packed file is read
+    by a task or two, however long each row takes.  ``keep`` cuts what was dealt, for many passes."""
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = df.select(F.spark_partition_id().alias("task")).groupBy("task").agg(F.count("*").alias("n"))  # a row per task
+    rows, most = held.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if rows <= setting(spark, "boundedRows", BOUNDED_ROWS) or most * min(tasks, spark.sparkContext.defaultParallelism) <= 2 * rows:
+        return df
+    dealt = df.repartition(tasks)
+    return cut(dealt) if keep else dealt
+
+
 def lookup(df: DataFrame, dim: DataFrame, on: str, how: str = "left",
            hot: Callable[[], list[tuple]] | None = None, size: int | None = None) -> DataFrame:
     """Join rows to a table that is unique on ``on``.

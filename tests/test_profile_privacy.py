@@ -250,3 +250,15 @@ def test_sampled_pairs_keep_every_foreign_key(spark, sampled):
     got = {(r["child_column"], r["parent_table"]): (r["containment"], r["confidence"]) for r in
            keys.detect_foreign_keys(tables, {"member": "member_id", "visit": "visit_id"}, sampled).collect()}
     assert got == {("member_id", "member"): (1.0, "high"), ("mostly_member_id", "member"): (0.8, "review"), ("flag", "member"): (1.0, "review")}
+
+
+def test_facts_of_a_table_read_by_one_task_are_found_by_many(spark, small_buckets):
+    df = spark.range(0, 400, 1, 1).selectExpr(
+        "id", "concat('u', id, if(id % 5 = 0, '', '@x.org')) as mail", "concat(if(id % 4 = 0, 'HTTPS', 'http'), '://x.org/', id) as site",
+        "case id % 6 when 0 then '1/2/2024' when 1 then '3-4-2024' when 2 then '2024/5/6' when 3 then '7 Feb 2024' when 4 then 'Mar 8, 2024' "
+        "else '2024-01-09' end as day")
+    facts = pf.column_facts(df)
+    assert "RoundRobinPartitioning" in facts._jdf.queryExecution().toString()
+    got = {r["column"]: r for r in facts.collect()}
+    assert (got["mail"]["email_hits"], got["site"]["url_hits"], got["day"]["time_hits"], got["day"]["iso_date_hits"]) == (320, 400, 400, 66)
+    assert scale.spread(df).count() == 400 and scale.spread(df.repartition(8)).rdd.getNumPartitions() == 8

@@ -74,15 +74,22 @@ def _bucket(df: DataFrame, cols: list[str], bounds: list[tuple]) -> Column:
     return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * F.lit(step) + below(fine))
 
 
+def sizes(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
+    """(rows, rows of the largest group)."""
+    groups = df.groupBy(*by).agg(F.count("*").alias("n"))
+    return tuple(groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first())
+
+
 def running(df: DataFrame, order: Sequence[str], sums: dict[str, str] | None = None,
             maxes: dict[str, str] | None = None, by: Sequence[str] = (),
             row_number: str | None = None, rows: int | None = None,
-            prior_maxes: dict[str, str] | None = None) -> DataFrame:
+            prior_maxes: dict[str, str] | None = None, largest: int | None = None) -> DataFrame:
     """Add running sums, running maxima and/or a row number over ``order`` within ``by``.
 
     ``(by, order)`` must identify a row and its columns must not be null.  ``sums`` and
     ``maxes`` map a new column to the source column; ``prior_maxes`` leave out the row itself
-    (null on the first row of a group).
+    (null on the first row of a group).  Groups that each fit into a bucket (``largest`` rows at most,
+    counted if not known) are scanned whole: rows move once and are read once.
     """
     by, order = list(by), list(order)
     sums, maxes, prior = dict(sums or {}), dict(maxes or {}), dict(prior_maxes or {})
@@ -90,15 +97,18 @@ def running(df: DataFrame, order: Sequence[str], sums: dict[str, str] | None = N
         df = df.withColumn("__one", F.lit(1).cast("bigint"))
         sums[row_number] = "__one"
     per_bucket = scale.setting(df.sparkSession, "rowsPerBucket", scale.ROWS_PER_BUCKET)
+    if by and (rows is None or largest is None and rows > per_bucket):
+        rows, largest = sizes(df, by)
     n = df.count() if rows is None else rows
     buckets = min(max(1, math.ceil(n / per_bucket)), MAX_BUCKETS)
-    bounds = _bounds(df, by + order, n, buckets) if buckets > 1 else []
+    whole = by and (buckets == 1 or largest <= per_bucket)
+    bounds = _bounds(df, by + order, n, buckets) if buckets > 1 and not whole else []
 
     def window(parts: list, last: int = Window.currentRow) -> Window:
         return Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
 
     if not bounds:
-        # at most one bucket's worth of rows
+        # at most one bucket's worth of rows, in all or in each group
         w = window(by if by else [F.lit(0)])
         out = df
         for name, src in sums.items():

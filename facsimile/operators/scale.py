@@ -69,6 +69,8 @@ def lookup(df: DataFrame, dim: DataFrame, on: str, how: str = "left",
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = [(value, salts) for value, share in (hot() if hot else []) if value is not None and (salts := salts_of(share, tasks)) > 1]
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    if not salted and how == "inner":  # rows without a key go, and rows that lie by key need not move
+        return df.join(dim, on, how)
     if not salted:
         left = df.withColumn("__salt", F.when(F.col(on).isNull(), F.pmod(row_hash, F.lit(tasks))).otherwise(F.lit(0)))
         return left.join(dim.withColumn("__salt", F.lit(0).cast("long")), [on, "__salt"], how).drop("__salt")

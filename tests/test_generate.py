@@ -428,3 +428,15 @@ def test_cards_are_the_same_by_broadcast_and_by_salted_join(spark):
         assert made() == plain and any(r[2] for r in plain) and not all(r[2] for r in plain)
     finally:
         spark.conf.set("facsimile.boundedRows", keep)
+
+
+def test_small_accounts_move_once_to_their_balances(small_buckets):
+    spark = small_buckets
+    entries = spark.range(900).selectExpr(
+        "id % 60 as account_id", "date_add(date'2025-01-01', cast(id % 20 as int)) as date", "id as seq", "1 as step",
+        "'' as description", "'' as category", "'' as merchant", "id % 90 as debit", "id % 70 as credit", "id % 5 = 0 as is_recurring")
+    fleet = statements.fleet(spark.range(60), "id", "2025-01-31", 30, 100, 50)
+    bal = statements.enforce_min_balance(entries, fleet)
+    plan = bal._jdf.queryExecution().optimizedPlan().toString()
+    assert "__bucket" not in plan and plan.count("Window [") == 2
+    assert {r["failed"] for r in statements.reconcile_statements(bal, fleet, statements.statement_totals(bal, fleet)).collect()} == {0}

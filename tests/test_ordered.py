@@ -148,3 +148,15 @@ def test_ranks_of_many_columns_at_once(small_buckets):
         own = rows[int(r["id"]) - 1]
         assert r["a"] == (None if own[1] is None else ranks["a"][own[1]]) and r["b"] == ranks["b"][own[2]]
         assert r["none"] is None and r["zero"] == 350.5
+
+
+def test_groups_that_fit_a_bucket_are_scanned_whole(small_buckets):
+    df = small_buckets.range(600).selectExpr("id", "id % 30 as g", "id % 11 - 4 as x")
+    out = ordered.running(df, ["id"], {"s": "x"}, by=["g"], row_number="n")
+    assert "__bucket" not in out._jdf.queryExecution().analyzed().toString()
+    assert ordered.sizes(df, ["g"]) == (600, 20) and ordered.sizes(df.limit(0), ["g"]) == (0, 0)
+    sums, want = {}, {}
+    for i in range(600):
+        s, n = sums.get(i % 30, (0, 0))
+        want[i] = sums[i % 30] = (s + i % 11 - 4, n + 1)
+    assert {r["id"]: (r["s"], r["n"]) for r in out.collect()} == want

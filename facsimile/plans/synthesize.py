@@ -42,6 +42,7 @@ def synthesize(df: DataFrame, n: int, key: str, seed: int = 42, actions: Mapping
     ``key`` identifies the source rows.  Directly identifying columns never reach the model.
     """
     spark = df.sparkSession
+    df = scale.spread(df, keep=True)  # many passes follow
     prof = pf.profile(df).orderBy("position").collect()  # one row per column
     found = {r["column"]: r["kind"] for r in prof}
     found.update(kinds or {})

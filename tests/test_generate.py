@@ -455,3 +455,9 @@ def test_entries_of_a_fleet_read_by_one_task_are_made_by_many(small_buckets):
     small_buckets.conf.set("facsimile.boundedRows", "20000")  # too few to be dealt
     again = {n: f(fleet) for n, f in (("r", statements.recurring_entries), ("d", statements.discretionary_entries))}
     assert all(places(df) == 1 for df in again.values()) and prints(again) == shown
+
+
+def test_synthesize_deals_a_table_read_by_one_task(small_buckets):
+    df = small_buckets.range(0, 300, 1, 1).selectExpr("id + 1 as customer_id", "id % 50 as visits", "'t' || (id % 3) as tier")
+    s = synthesize(df, 50, "customer_id")
+    assert places(s.train) > 4 and s.train.count() + s.holdout.count() == 300 and s.rows.count() == 50

@@ -115,7 +115,7 @@ def split_holdout(df: DataFrame, u: Column, key: str | None = None, frac: float
         return df, None
     tagged = df.withColumn("__u", u)
     if exact:
-        (c,) = ordered.rank_cutoffs(tagged, "__u", key, [int(n * frac)])
+        (c,) = ordered.rank_cutoffs(tagged, "__u", key, [int(n * frac)], n)
         held = ordered.within("__u", key, c, default=False)
     else:
         held = F.col("__u") < frac

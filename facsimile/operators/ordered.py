@@ -201,14 +201,72 @@ def format_id(idx: Column | str, prefix: str, width: int) -> Column:
 # --- exact-size draws ------------------------------------------------------------------
 
 
-def rank_cutoffs(df: DataFrame, u: str, key: str, ranks: Sequence[int]) -> list[tuple | None]:
+#: How many standard deviations an even draw's rank may be off before its cutoff is looked for in histograms,
+#: and the rows of all such ranges that the driver takes (they grow with the root of the table).
+DEVIATIONS, IN_RANGES = 4, 100_000
+
+
+def rank_cutoffs(df: DataFrame, u: str, key: str, ranks: Sequence[int], rows: int | None = None) -> list[tuple | None]:
     """For each rank r, the (u, key) of the r-th smallest row (None when r = 0 or r > rows)."""
-    found = rank_cutoffs_of(df, {u: ranks}, key)[u]
+    found = rank_cutoffs_of(df, {u: ranks}, key, rows)[u]
     return [found.get(r) if r > 0 else None for r in ranks]
 
 
-def rank_cutoffs_of(df: DataFrame, ranks: Mapping[str, Sequence[int]], key: str) -> dict[str, dict[int, tuple | None]]:
-    """``rank_cutoffs`` for several columns of draws at once.
+def merged(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Brackets that touch, as one."""
+    out: list[tuple[float, float]] = []
+    for lo, hi in sorted(brackets):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _cutoffs_of_even_draws(df: DataFrame, ranks: Mapping[str, Sequence[int]], key: str, rows: int) -> dict[str, dict[int, tuple]]:
+    """Cutoffs found in one pass, as ``rows`` even draws in [0, 1) have them: the r-th one lies about r / rows.
+
+    Rows in such ranges are listed, all others counted between them, so ranks are exact; a rank that does
+    not lie in its range, as when draws are not even, is left out.
+    """
+    ranges = {}
+    for u, rs in ranks.items():
+        off = {r: DEVIATIONS * math.sqrt(r + 1) + 1 for r in rs if 0 < r <= rows}
+        ranges[u] = merged([((r - d) / rows, (r + d) / rows) for r, d in off.items()])
+    if sum((hi - lo) * rows for rs in ranges.values() for lo, hi in rs) > IN_RANGES:
+        return {u: {} for u in ranks}
+    cells = []
+    for i, (u, found) in enumerate(ranges.items()):
+        c, place, inside = F.col(u), None, F.lit(False)
+        for j, (lo, hi) in enumerate(found):  # places 0, 2, 4 lie between the ranges 1, 3, 5
+            for b, edge in ((2 * j, lo), (2 * j + 1, hi)):
+                place = F.when(c < edge, F.lit(b)) if place is None else place.when(c < edge, F.lit(b))
+            inside = inside | (c >= lo) & (c < hi)
+        if place is not None:
+            cells.append(F.when((c >= 0) & (c < 1), F.struct(
+                F.lit(i).alias("i"), place.otherwise(F.lit(2 * len(found))).alias("b"),
+                F.when(inside, c).alias("u"), F.when(inside, F.col(key)).alias("k"))))
+    if not cells:
+        return {u: {} for u in ranks}
+    met = df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy("c.i", "c.b", "c.u", "c.k").agg(F.count("*").alias("n"))
+    listed = met.limit(2 * IN_RANGES + 1).collect()
+    if len(listed) > 2 * IN_RANGES:
+        return {u: {} for u in ranks}
+    out: dict[str, dict[int, tuple]] = {}
+    for i, u in enumerate(ranges):
+        wanted, run = sorted({r for r in ranks[u] if r > 0}), 0
+        out[u] = {}
+        for r in sorted((r for r in listed if r["i"] == i), key=lambda r: (r["b"], r["u"] or 0.0, r["k"] is not None, r["k"])):
+            if r["b"] % 2:
+                out[u].update({w: (r["u"], r["k"]) for w in wanted if run < w <= run + r["n"]})
+            run += r["n"]
+    return out
+
+
+def rank_cutoffs_of(df: DataFrame, ranks: Mapping[str, Sequence[int]], key: str,
+                    rows: int | None = None) -> dict[str, dict[int, tuple | None]]:
+    """``rank_cutoffs`` for several columns of draws at once.  If ``df`` is known to have so many ``rows``,
+    cutoffs are first looked for where even draws have them.
 
     Works on histograms of the columns in [0, 1) that are refined around each rank until the interval
     is small enough to sort on the driver: no table-wide sort, no wide rows moved.  A level of refining
@@ -217,7 +275,11 @@ def rank_cutoffs_of(df: DataFrame, ranks: Mapping[str, Sequence[int]], key: str)
     """
     bins, small = 2048, 4096
     found: dict[str, dict[int, tuple | None]] = {u: {} for u in ranks}
-    active = [(u, 0.0, 1.0, 0, sorted({r for r in rs if r > 0})) for u, rs in ranks.items()]
+    if rows:
+        found = dict(_cutoffs_of_even_draws(df, ranks, key, rows))
+    active = [(u, 0.0, 1.0, 0, sorted({r for r in rs if r > 0 and r not in found[u]})) for u, rs in ranks.items()]
+    if rows:  # beyond the last row there is nothing to look for
+        active = [(u, lo, hi, base, [r for r in rs if r <= rows]) for u, lo, hi, base, rs in active]
     active = [a for a in active if a[4]]
     near: list[tuple] = []
 
@@ -272,22 +334,22 @@ def within(u: Column | str, key: Column | str, cutoff: tuple | None, default: bo
     return (u < F.lit(cu)) | ((u == F.lit(cu)) & (key <= F.lit(ck)))
 
 
-def rank_band(df: DataFrame, u: Column, key: str, edges: Sequence[int]) -> Column:
+def rank_band(df: DataFrame, u: Column, key: str, edges: Sequence[int], rows: int | None = None) -> Column:
     """Index (1-based) of the rank band a row of ``df`` falls in, 0 beyond the last edge.
 
     ``edges`` are cumulative sizes: [3, 5] puts ranks 1-3 in band 1 and 4-5 in band 2.  Ranks follow
     (u, key); the result is an expression, so nothing is joined or sorted.
     """
-    return rank_bands(df, {"u": (u, edges)}, key)["u"]
+    return rank_bands(df, {"u": (u, edges)}, key, rows)["u"]
 
 
-def rank_bands(df: DataFrame, draws: Mapping[str, tuple[Column, Sequence[int]]], key: str) -> dict[str, Column]:
-    """``rank_band`` for several draws, looked for in the same passes over ``df``."""
+def rank_bands(df: DataFrame, draws: Mapping[str, tuple[Column, Sequence[int]]], key: str, rows: int | None = None) -> dict[str, Column]:
+    """``rank_band`` for several draws, looked for in the same passes over ``df`` (of so many ``rows``, if known)."""
     if not draws:
         return {}
     names = {n: f"__u{i}" for i, n in enumerate(draws)}
     looked = df.select(*[draws[n][0].alias(c) for n, c in names.items()], F.col(key).alias("__k"))
-    found = rank_cutoffs_of(looked, {names[n]: edges for n, (_, edges) in draws.items()}, "__k")
+    found = rank_cutoffs_of(looked, {names[n]: edges for n, (_, edges) in draws.items()}, "__k", rows)
     out = {}
     for n, (u, edges) in draws.items():
         band = None

@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.operators.ordered import running
+from facsimile.operators.ordered import merged, running
 
 #: Size of a sketch (about 100 kB), and its rank error at 99 percent.
 SKETCH = 4000
@@ -27,17 +27,6 @@ def wanted_ranks(n: int, qs: Sequence[float]) -> list[int]:
     return sorted({r for q in qs for r in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))})
 
 
-def merged(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Brackets that touch, as one."""
-    out: list[tuple[float, float]] = []
-    for lo, hi in sorted(brackets):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
-        else:
-            out.append((lo, hi))
-    return out
-
-
 def bracketed(sketches: DataFrame, names: Sequence[str], ranks: Mapping[str, Sequence[int]], sizes: Mapping[str, int], slack: float) -> dict[str, list]:
     """For each column the disjoint ranges of values that hold its wanted ranks."""
     asked: list[Column] = []

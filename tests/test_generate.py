@@ -461,3 +461,12 @@ def test_synthesize_deals_a_table_read_by_one_task(small_buckets):
     df = small_buckets.range(0, 300, 1, 1).selectExpr("id + 1 as customer_id", "id % 50 as visits", "'t' || (id % 3) as tier")
     s = synthesize(df, 50, "customer_id")
     assert places(s.train) > 4 and s.train.count() + s.holdout.count() == 300 and s.rows.count() == 50
+
+
+def test_anomalies_are_drawn_for_picked_rows(spark):
+    df = spark.range(0, 30_000, 1, 4).selectExpr("id", "cast(id % 90 as double) as x", "date_add(date'2024-01-01', cast(id % 9 as int)) as d")
+    out, log = edge.label_anomalies(df, {"id": "id", "x": "num", "d": "date"}, "id", 0.01)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("edge/anomaly/pick") <= 3 and log[0]["count"] == 300
+    rows = out.collect()
+    assert sum(r["is_anomaly"] for r in rows) == 300 and all((r["anomaly_type"] is None) != r["is_anomaly"] for r in rows)

@@ -160,3 +160,28 @@ def test_groups_that_fit_a_bucket_are_scanned_whole(small_buckets):
         s, n = sums.get(i % 30, (0, 0))
         want[i] = sums[i % 30] = (s + i % 11 - 4, n + 1)
     assert {r["id"]: (r["s"], r["n"]) for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("even", [True, False])
+def test_cutoffs_of_a_known_number_of_rows(spark, even):
+    u = keyed.uniform(1, "t", key="id")
+    df = scale.cut(spark.range(20_000).select("id", (u if even else u * u * 0.5).alias("u"), (u * 0 + 0.25).alias("same")))
+    rows = sorted((r["u"], r["id"]) for r in df.collect())
+    ranks = [1, 40, 400, 20_000, 20_001, 0]
+    want = [rows[0], rows[39], rows[399], rows[-1], None, None]
+    assert ordered.rank_cutoffs(df, "u", "id", ranks, 20_000) == want
+    assert ordered.rank_cutoffs_of(df, {"u": [40], "same": [7]}, "id", 20_000) == {"u": {40: rows[39]}, "same": {7: (0.25, 6)}}
+    assert ordered.rank_cutoffs(df.limit(0), "u", "id", [1], 0) == [None]
+
+
+def test_even_draws_need_one_pass(spark):
+    df = scale.cut(spark.range(20_000).withColumn("u", keyed.uniform(1, "t", key="id")))
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        reads.add(1)
+        return x
+
+    got = ordered.rank_cutoffs(df.withColumn("u", counted("u")), "u", "id", [40, 400], 20_000)
+    assert all(got) and reads.value <= 21_000

@@ -12,6 +12,7 @@ they occur; the order of documents is the order in which the kept table holds th
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import zlib
@@ -24,6 +25,7 @@ import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from facsimile.llm.merging import PairMerger
 from facsimile.llm.store import keep, typed
 
 # Words remembered by a worker, twice at most (about 200 bytes each): a full table becomes the old one,
@@ -33,69 +35,80 @@ REMEMBERED = 500_000
 LONGEST = 40
 # Task totals summed up in one window; more tasks are summed in blocks of this many.
 BLOCK = 4096
-#: Words with these, or with the start of a special token (found before case is dropped), keep their
+#: Texts with these, or with the start of a special token (found before case is dropped), keep their
 #: case: capitals whose lower case depends on their neighbours or takes several characters.
-AS_IS = ("Σ", "İ")
+AS_IS = ("<|", "Σ", "İ")
 #: Control characters at which ``str.split`` parts, but the tokenizer doesn't.
 CONTROLS = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile("[^ \t\n\r]+")
+#: Letters that the normalizer leaves alone once case is dropped (no marks, no compositions), and
+#: ASCII marks behind them: these are two runs of the pre-tokenizer.
+LETTERS = "a-zªµºß-öø-ɏ"
+PLAIN = re.compile(f"[{LETTERS}]+")
+MARKED = re.compile(f"([{LETTERS}]+)([!-/:-@[-`{{-~]+)")
+#: The vocabulary's character for each byte; a blank stays, to part words.
+SYMBOLS = "".join(chr(b) if b in (*range(32, 127), *range(161, 173), *range(174, 256)) else "\0" for b in range(256))
+for k, b in enumerate([b for b in range(256) if b == 32 or SYMBOLS[b] == "\0"]):
+    SYMBOLS = SYMBOLS if b == 32 else SYMBOLS[:b] + chr(256 + k) + SYMBOLS[b + 1:]
 
 
 class WordIds:
     """Identifiers of texts, word by word: the tokenizer drops white space and never joins across
-    it, so the identifiers of a text are those of its words, which a worker remembers."""
+    it, so the identifiers of a text are those of its words, which a worker remembers.  Lower-case
+    letters alone are one run that no normalizer changes: only merges are to be done (see ``merging``)."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.merger = PairMerger(self.tokenizer)
 
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
-        """Words of letters alone are one run each, so they are encoded as one text and parted at the
-        identifiers that end a word."""
+    def _encode(self, words: list[str], plain: bool) -> dict[str, bytes]:
+        """Plain words are one run each, so that only their merges are to be done; what the merger leaves
+        out, and words that are not plain, are left to the library."""
         made: dict[str, bytes] = {}
-        plain = list(filter(str.isalpha, words))
         if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            last = np.flatnonzero(self.ends[ids])
-            if len(last) == len(plain):
-                raw, ends = ids.tobytes(), ((last + 1) * ids.itemsize).tolist()
-                made = {word: raw[begin:end] for word, begin, end in zip(plain, [0, *ends], ends)}
-        rest = [w for w in words if not w.isalpha()] if made else words
-        for word, coded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            symbols = codecs.charmap_decode(" ".join(words).encode(), "strict", SYMBOLS)[0].split(" ")
+            made = {word: ids for word, ids in zip(words, self.merger.ids(symbols, self.dtype)) if ids is not None} if words else {}
+            words = [word for word in words if word not in made]
+        for word, coded in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
             made[word] = np.array(coded.ids, dtype=self.dtype).tobytes()
         return made
 
+    def _recall(self, words: set[str]) -> set[str]:
+        """Takes what the old table knows of ``words`` into the new one; returns the others."""
+        back = words & self.old.keys()
+        self.known.update(zip(back, map(self.old.__getitem__, back)))
+        return words - back if back else words
+
     def _learn(self, words: set[str]) -> None:
-        """Remember ``words``.  A full stop or comma after an ASCII letter is always a token run of its
-        own (other letters may end in a mark, which joins it), and case is dropped, so most words reduce
-        to a plainer one."""
-        known, old = self.known, self.old
-        back = words & old.keys()
-        known.update(zip(back, map(old.__getitem__, back)))
-        new = words - back if back else words
-        plain = {word for word in new if word.isalpha() and word.isascii() and word.islower()}
-        stems: list[tuple[str, str, str]] = []
+        """Remember ``words``; marks behind plain letters are a run of their own."""
+        known = self.known
+        new = self._recall(words)
+        plain = {word for word in new if word.islower() and word.isalpha() and (word.isascii() or PLAIN.fullmatch(word))}
+        marked: list[tuple[str, str, str]] = []
+        rest: set[str] = set()
+        stems: set[str] = set()
         for word in new - plain:
-            tail = word[-1]
-            if tail in ".," and word[-2:-1].isascii() and word[-2:-1].isalpha():
-                stem = word[:-1]
+            parted = MARKED.fullmatch(word)
+            if parted and (stem := parted[1]).islower():
+                marked.append((word, stem, parted[2]))
+                stems.add(stem)
+                rest.add(parted[2])
             else:
-                stem, tail = word, ""
-            if "<|" not in stem and (stem.isascii() or not any(c in stem for c in AS_IS)):
-                stem = stem.lower()
-            stems.append((word, stem, tail))
-        parts = {stem for _, stem, _ in stems}.union(tail for _, _, tail in stems if tail).difference(known) | plain
-        back = parts & old.keys()
-        known.update(zip(back, map(old.__getitem__, back)))
-        known.update(self._encode(list(parts - back if back else parts)))
-        for word, stem, tail in stems:
-            known[word] = known[stem] + known[tail] if tail else known[stem]
+                rest.add(word)
+        stems = self._recall(stems.difference(known, plain))
+        known.update(self._encode(list(plain | stems), True))
+        known.update(self._encode(list(self._recall(rest.difference(known))), False))
+        for word, stem, tail in marked:
+            known[word] = known[stem] + known[tail]
+        for word in stems.union(rest) - new:
+            if len(word) > LONGEST:
+                known.pop(word)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The identifiers of each text.  Long words are forgotten again, so that the bytes of the two
@@ -103,6 +116,7 @@ class WordIds:
         if len(self.known) > self.remembered:
             self.old, self.known = self.known, {}
         known = self.known
+        texts = [text if any(c in text for c in AS_IS) else text.lower() for text in texts]
         words = [BLANKS.findall(text) if CONTROLS.search(text) else text.split() for text in texts]
         missing = set().union(*words).difference(known)
         if missing:
@@ -112,8 +126,6 @@ class WordIds:
         for word in missing:
             if len(word) > LONGEST:
                 known.pop(word)
-                known.pop(word.lower(), None)
-                known.pop(word[:-1].lower(), None)
         return out
 
 

@@ -75,6 +75,25 @@ def test_words_encode_like_the_library():
         assert np.frombuffer(ids, words.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text[:60]
 
 
+def test_merging_side_by_side_encodes_like_the_library():
+    """Plain words, in any case and with marks behind them, never go through the library's whole chain."""
+    words = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    library, handed = words.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **how):
+            handed.extend(texts)
+            return library.encode_batch_fast(texts, **how)
+
+    words.tokenizer = Counting()
+    parts = ["th", "in", "er", "É", "ñ", "ß", "ø", "a", "x", "zz", "ing", "ſ", "ation"]
+    texts = [" ".join("".join(rnd.choices(parts, k=rnd.randrange(1, 16))).capitalize() + rnd.choice(["", ",", ".", "..", ",%%%", "-"])
+                      for _ in range(60)) for _ in range(60)]
+    for text, ids in zip(texts, words.ids(texts)):
+        assert np.frombuffer(ids, words.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text[:60]
+    assert not [w for w in handed if any(c.isalpha() for c in w) and len(w) < 20]
+
+
 def test_long_words_are_forgotten():
     words = WordIds(public_tokenizers.path("word_bpe_49k.json"), remembered=50)
     library = words.tokenizer

@@ -57,6 +57,7 @@ def window_runs(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.concatenate(keys), np.concatenate(places), np.concatenate(firsts), np.concatenate(lasts)
 
 
-def stretch_hashes(text: bytes, firsts: np.ndarray, lasts: np.ndarray, window: int) -> list[int]:
+def stretch_hashes(text: bytes, firsts: np.ndarray, lasts: np.ndarray, window: int) -> np.ndarray:
     """A hash of the bytes that each run of windows covers."""
-    return [xxhash.xxh3_64_intdigest(text[s:e]) - (1 << 63) for s, e in zip(firsts.tolist(), (lasts + window).tolist())]
+    hashes = [xxhash.xxh3_64_intdigest(text[s:e]) for s, e in zip(firsts.tolist(), (lasts + window).tolist())]
+    return np.array(hashes, dtype=np.uint64).view(np.int64) ^ np.int64(-1 << 63)

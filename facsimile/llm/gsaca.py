@@ -29,10 +29,26 @@ def lyndon_groups(text: list[int]) -> tuple[list[int], list[int]]:
     end = n
     while end > 0:
         low = start[order[end - 1]]
+        if end - low == 1:  # one member moves one suffix at most
+            end = low
+            s = order[low]
+            p = s - 1
+            while p >= 0 and start[p] >= low:
+                p = before[p]
+            before[s] = p
+            if p >= 0:
+                g = start[p]
+                size[g] -= 1
+                to = g + size[g]
+                at, other = place[p], order[to]
+                order[at], order[to] = other, p
+                place[other], place[p] = at, to
+                start[p] = to
+                size[to] += 1
+            continue
         group = order[low:end]
         end = low
-        if len(group) > 1:
-            group.sort()
+        group.sort()
         found = []
         for s in group:
             p = s - 1
@@ -43,7 +59,7 @@ def lyndon_groups(text: list[int]) -> tuple[list[int], list[int]]:
                 found.append(p)
         if not found:
             continue
-        if len(found) == 1:
+        if len(set(found)) == len(found):
             batches = [found]
         else:
             times = Counter(found)

@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 
 from facsimile.llm.anchors import GRAM, stretch_hashes, window_runs
 from facsimile.llm.gsaca import suffix_array
-from facsimile.llm.store import checked, keep, typed
+from facsimile.llm.store import BROADCAST_ROWS, checked, keep, typed
 
 PARTS = 4
 # Part strings in a bucket (about), and under one core at most, before the core is halved.
 BUCKET_STRINGS = 4096
-CORE, SEPARATOR, END = 300, 1, 0  # symbols from CORE on are cores; bytes are 2..257
+CORE, SEPARATOR, END = 300, 256, -1  # symbols from CORE on are cores; bytes stand for themselves
 
 PART = "key long, low int, high int, core long, left binary, right binary, doc_id long, at long"
 
@@ -73,15 +73,13 @@ def runs(docs: DataFrame, window: int) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for k in range(0, len(rows), 256):
-                out = []
-                for doc_id, text in zip(rows.doc_id.iloc[k:k + 256], rows.text.iloc[k:k + 256]):
-                    keys, places, firsts, lasts = window_runs(text, window)
-                    if len(keys):
-                        out.append(pd.DataFrame({"key": keys, "doc_id": doc_id, "first": firsts,
-                                                 "shape": ((lasts - firsts) << bits | (places - firsts)).astype("int32" if bits == 16 else "int64"),
-                                                 "hash": stretch_hashes(text, firsts, lasts, window)}))
-                if out:
-                    yield pd.concat(out, ignore_index=True)
+                some = rows.text.iloc[k:k + 256].tolist()
+                found = [window_runs(text, window) for text in some]
+                keys, places, firsts, lasts = map(np.concatenate, zip(*found))
+                hashes = [stretch_hashes(text, begin, end, window) for text, (_, _, begin, end) in zip(some, found)]
+                yield pd.DataFrame({"key": keys, "doc_id": np.repeat(rows.doc_id.iloc[k:k + 256].to_numpy(), [len(f[0]) for f in found]),
+                                    "first": firsts, "shape": ((lasts - firsts) << bits | (places - firsts)).astype("int32" if bits == 16 else "int64"),
+                                    "hash": np.concatenate(hashes)})
 
     return docs.mapInPandas(scan, f"key long, doc_id long, first long, shape {'int' if bits == 16 else 'long'}, hash long")
 
@@ -119,19 +117,26 @@ def parts_of(text: bytes, key: int, first: int, shape: int, window: int) -> Iter
 
 
 def part_strings(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The parts of the runs ``wanted(key, doc_id, first, shape)``."""
+    """The parts of the runs ``wanted(key, doc_id, first, shape)``.  A text meets all its runs at once."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in PART.split(", ")]
         for rows in batches:
-            out = []
-            for doc_id, text, key, first, shape in zip(rows.doc_id, rows.text, rows.key, rows["first"], rows["shape"]):
-                # of several texts under one id only those that reach so far can hold the run
-                if first + (shape >> shape_bits(window)) + window <= len(text):
-                    out += [(*p[:6], doc_id, p[6]) for p in parts_of(text, key, first, shape, window)]
-            yield pd.DataFrame(out, columns=names)
+            for k in range(0, len(rows), 256):
+                some = rows.iloc[k:k + 256]
+                out = []
+                for doc_id, text, keys, firsts, shapes in zip(some.doc_id.tolist(), some.text, some.key, some["first"], some["shape"]):
+                    for key, first, shape in zip(keys.tolist(), firsts.tolist(), shapes.tolist()):
+                        # of several texts under one id only those that reach so far can hold the run
+                        if first + (shape >> shape_bits(window)) + window <= len(text):
+                            out += [(*p[:6], doc_id, p[6]) for p in parts_of(text, key, first, shape, window)]
+                yield pd.DataFrame(out, columns=names)
 
-    return docs.join(checked(wanted), "doc_id").select("doc_id", "text", "key", "first", "shape").mapInPandas(cut, PART)
+    gathered = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "shape")).alias("runs")) \
+        .select("doc_id", F.col("runs.key").alias("key"), F.col("runs.first").alias("first"), F.col("runs.shape").alias("shape"))
+    if wanted.count() <= BROADCAST_ROWS:
+        gathered = F.broadcast(gathered)
+    return docs.join(gathered, "doc_id").select("doc_id", "text", "key", "first", "shape").mapInPandas(cut, PART)
 
 
 def halved(parts: DataFrame) -> DataFrame:
@@ -173,37 +178,42 @@ def sorted_repeats(strings: DataFrame, buckets: int) -> DataFrame:
 
     def sort(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([*CLASS, "doc_id", "at"])
-        cores: dict[tuple, int] = {}
+        fresh = rows[CLASS].ne(rows[CLASS].shift()).any(axis=1).cumsum()  # equal cores are neighbours
+        wide = (rows.high - rows.low + 1).tolist()
         symbols: list[int] = []
         owner: list[int] = []  # the row of each symbol that may start a window, else -1
-        wide = (rows.high - rows.low + 1).to_numpy()
-        begin = np.zeros(len(rows), dtype=np.int64)
-        for k, r in enumerate(rows.itertuples(index=False)):
-            core = cores.setdefault((r.key, r.low, r.high, r.core), CORE + len(cores))
-            begin[k] = len(symbols)
-            made = [c + 2 for c in r.left] + [core] + [c + 2 for c in r.right] + [SEPARATOR]
-            starts = min(len(r.left) + 1, len(made) - 1 - (r.high - r.low))
-            owner += [k] * starts + [-1] * (len(made) - starts)
-            symbols += made
+        begin: list[int] = []  # the window's place in its document, less its place among the symbols
+        for k, (left, right, core, width, doc_at, low) in enumerate(zip(rows.left, rows.right, fresh.tolist(), wide, rows["at"].tolist(), rows.low.tolist())):
+            begin.append(doc_at - low - len(left) - len(symbols))
+            starts = min(len(left) + 1, len(left) + len(right) + 2 - width)
+            owner += [k] * starts
+            owner += [-1] * (len(left) + len(right) + 2 - starts)
+            symbols += left
+            symbols.append(CORE + core)
+            symbols += right
+            symbols.append(SEPARATOR)
         order = suffix_array([*symbols, END])
-        docs, ats, lows, lefts = rows.doc_id.to_numpy(), rows["at"].to_numpy(), rows.low.to_numpy(), rows.left.map(len).to_numpy()
+        owner.append(-1)
+        docs, written = rows.doc_id.tolist(), "".join(map(chr, symbols))
         out: list[tuple[int, int]] = []
         group: list[tuple[int, int]] = []
-        last: list[int] | None = None
+        last = ""
         for s in order:
-            k = owner[s] if s < len(owner) else -1
+            k = owner[s]
             if k < 0:
                 continue
-            content = symbols[s:s + wide[k]]
+            content = written[s:s + wide[k]]
             if content != last:
-                out += sorted(group)[1:]
+                if len(group) > 1:
+                    out += sorted(group)[1:]
                 group, last = [], content
-            group.append((docs[k], ats[k] - lows[k] - lefts[k] + (s - begin[k])))
+            group.append((docs[k], begin[k] + s))
         out += sorted(group)[1:]
         return pd.DataFrame(out, columns=["doc_id", "start"], dtype="int64")
 
     dealt = strings.withColumn("bucket", F.pmod(F.xxhash64(*CLASS), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInPandas(sort, "doc_id long, start long") \
+    # buckets are small in bytes but take long: they must not be put together by size
+    return dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(sort, "doc_id long, start long") \
         .select("doc_id", "start", F.col("start").alias("last"))
 
 
@@ -220,7 +230,7 @@ def repeated_windows(docs: DataFrame, window: int, bucket_strings: int) -> DataF
     several = classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     open_runs = classes.join(several, "key").select("key", "head.*")
     spans = keep(again, "repeats")
-    parts = keep(part_strings(some, open_runs, window), "parts")
+    parts = keep(part_strings(some, keep(open_runs, "open-runs"), window), "parts")
     while True:
         later, strings = repeated_parts(parts)
         strings = keep(strings, "part-strings")

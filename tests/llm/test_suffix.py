@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from facsimile.llm import suffix
 from facsimile.llm.gsaca import suffix_array
 from facsimile.llm.suffix import remove_repeats
 
@@ -92,3 +93,21 @@ def test_windows_of_more_than_287_bytes(documents):
     rows = [(k, noise(rnd.randrange(300)) + passage[rnd.randrange(400):1200 - rnd.randrange(400)] + noise(rnd.randrange(300))) for k in range(30)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(documents(rows), window=300).collect()}
     assert got == plain(rows, 300)
+
+
+def test_a_text_meets_its_runs_once(documents, monkeypatch):
+    """A text of many repeated runs is not handed to the workers once for each run."""
+    seen = []
+
+    def counting(docs, wanted, window, plain=suffix.part_strings):
+        out = plain(docs, wanted, window)
+        seen.append((wanted.count(), wanted.select("doc_id").distinct().count(), out._jdf.queryExecution().optimizedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(suffix, "part_strings", counting)
+    passage = noise(3000)
+    rows = [(k, passage[:1000 + 300 * k] + noise(200) + passage[1000 + 300 * k:]) for k in range(5)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(documents(rows)).collect()}
+    assert got == plain(rows)
+    runs, texts, handed = seen[0]
+    assert runs > texts and "collect_list" in handed

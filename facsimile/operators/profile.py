@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +46,7 @@ QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 HOLDS = {"email": "@", "url": "://", "iso_date": "-"}
 PATTERNS = {"email": EMAIL, "phone": PHONE, "url": URL, "money": MONEY, "iso_date": ISO_DATE}
 
+COMPILED = 2  # columns of one aggregate of facts: with more than a hundred fields it would run uncompiled
 EXACT_ROWS = 2_000_000  # above this many rows exact quantiles are found by ranking, not in one buffer
 
 
@@ -116,24 +121,37 @@ def _number_sql(c: str, fam: str) -> str:
         else "cast(null as double)"
 
 
-def _parsed(df: DataFrame, cols: Sequence[str], fams: dict[str, str]) -> DataFrame:
+def _word_sql(c: str, dtype: T.DataType) -> str:
+    """The place among the boolean words of a value's text; only texts and decimals need be written out for it."""
+    if isinstance(dtype, T.IntegralType):
+        return f"case {c} when 1 then {BOOL_WORDS.index('1') + 1}L when 0 then {BOOL_WORDS.index('0') + 1}L end"
+    if isinstance(dtype, T.BooleanType):
+        return f"case when {c} then {BOOL_WORDS.index('true') + 1}L when not {c} then {BOOL_WORDS.index('false') + 1}L end"
+    if isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType) or family(dtype) in ("date", "timestamp"):
+        return "cast(null as bigint)"
+    words = "array(" + ", ".join(f"'{w}'" for w in BOOL_WORDS) + ")"
+    s = f"trim(both ' \\t\\r\\n' from cast({c} as string))"
+    return f"case when length({s}) <= 5 then array_position({words}, lower({s})) end"
+
+
+def _parsed(df: DataFrame, cols: Sequence[str], fams: Mapping[str, str], *keep: str) -> DataFrame:
     """Parse each value once: value, text, boolean-word code, number and time per column.
 
     Wide expressions are written as SQL text: one call per column instead of hundreds.
     """
-    words = "array(" + ", ".join(f"'{w}'" for w in BOOL_WORDS) + ")"
-    out = []
+    types = {f.name: f.dataType for f in df.schema.fields}
+    out = [F.col(k) for k in keep]
     for i, name in enumerate(cols):
         c, fam = _tick(name), fams[name]
-        s = f"trim(both ' \\t\\r\\n' from cast({c} as string))"
+        s = f"trim(both ' \\t\\r\\n' from cast({c} as string))" if fam == "string" else "cast(null as string)"
         when = parse_time(F.col(c), fam)
-        code = f"case when length({s}) <= 5 then array_position({words}, lower({s})) end"
-        out += [F.expr(f"{c} as v{i}"), F.expr(f"{s} as s{i}"), F.expr(f"{code} as w{i}"),
+        out += [F.expr(f"{c} as v{i}"), F.expr(f"{s} as s{i}"), F.expr(f"{_word_sql(c, types[name])} as w{i}"),
                 F.expr(f"{_number_sql(c, fam)} as x{i}"), when.alias(f"t{i}")]
     return df.select(*out)
 
 
-def _facts_sql(i: int, fam: str) -> str:
+def _facts_sql(i: int, fam: str, dtype: T.DataType, times: str | None = None) -> str:
+    """All facts of a column, of rows or of values that each stand for so many rows (``times``; no moments then)."""
     is_text, is_num = fam == "string", fam in ("numeric", "string")
     is_time = fam in ("date", "timestamp", "string")
     true_codes = ", ".join(str(BOOL_WORDS.index(t) + 1) for t in TRUE_WORDS)
@@ -145,32 +163,111 @@ def _facts_sql(i: int, fam: str) -> str:
         held = f"contains(s{i}, '{HOLDS[kind]}') and " if kind in HOLDS else ""
         return f"{held}rlike(s{i}, r'{PATTERNS[kind]}')"
 
+    def number_of(cond: str) -> str:
+        return f"coalesce(sum(case when {cond} then {times} end), 0)" if times else f"count_if({cond})"
+
+    def number_with(c: str) -> str:
+        return number_of(f"{c} is not null") if times else f"count({c})"
+
     n = f"cast(count(x{i}) as double)"
     skew = f"case when {n} > 2 then skewness(x{i}) * sqrt({n} * ({n} - 1)) / ({n} - 2) else 0.0D end"
     kurt = (f"case when {n} > 3 then ({n} - 1) / (({n} - 2) * ({n} - 3)) * (({n} + 1) * kurtosis(x{i}) + 6) "
             "else 0.0D end")
     size = f"length(cast(v{i} as string))"
+    moments = is_num and not times
+    mean_size = f"sum({size} * {times}) / sum(case when v{i} is not null then {times} end)" if times else f"avg({size})"
+    whole = number_with(f"x{i}") if isinstance(dtype, T.IntegralType) else number_of(f"x{i} - rint(x{i}) = 0")
     parts = {
-        "n_total": "count(*)", "n": f"count(v{i})", "bool_hits": f"count_if(w{i} > 0)",
+        "n_total": number_of("true") if times else "count(*)", "n": number_with(f"v{i}"), "bool_hits": number_of(f"w{i} > 0"),
         "bool_words": f"bit_count(coalesce(bit_or(case when w{i} > 0 then shiftleft(1, cast(w{i} as int)) end), 0))",
-        "true_hits": f"count_if(w{i} in ({true_codes}))",
-        "num_hits": only(is_num, f"count(x{i})", "bigint", "0"),
-        "whole_hits": only(is_num, f"count_if(x{i} % 1 = 0)", "bigint", "0"),
-        **{f"{k}_hits": only(is_text, f"count_if({matches(k)})", "bigint", "0") for k in PATTERNS},
-        "time_hits": only(is_time, f"count(t{i})", "bigint", "0"),
-        "midnight_hits": only(is_time, f"count_if(t{i} = cast(date_trunc('day', t{i}) as timestamp_ntz))", "bigint", "0"),
+        "true_hits": number_of(f"w{i} in ({true_codes})"),
+        "num_hits": only(is_num, number_with(f"x{i}"), "bigint", "0"),
+        "whole_hits": only(is_num, whole, "bigint", "0"),
+        **{f"{k}_hits": only(is_text, number_of(matches(k)), "bigint", "0") for k in PATTERNS},
+        "time_hits": only(is_time, number_with(f"t{i}"), "bigint", "0"),
+        "midnight_hits": only(is_time, number_of(f"t{i} = cast(date_trunc('day', t{i}) as timestamp_ntz)"), "bigint", "0"),
         "min": only(is_num, f"min(x{i})", "double"), "max": only(is_num, f"max(x{i})", "double"),
-        "mean": only(is_num, f"avg(x{i})", "double"), "std": only(is_num, f"stddev_samp(x{i})", "double"),
-        "skewness": only(is_num, skew, "double"), "kurtosis": only(is_num, kurt, "double"),
+        "mean": only(moments, f"avg(x{i})", "double"), "std": only(moments, f"stddev_samp(x{i})", "double"),
+        "skewness": only(moments, skew, "double"), "kurtosis": only(moments, kurt, "double"),
         "first_time": only(is_time, f"min(t{i})", "timestamp_ntz"),
         "last_time": only(is_time, f"max(t{i})", "timestamp_ntz"),
-        "avg_length": only(is_text, f"avg({size})", "double"),
+        "avg_length": only(is_text, mean_size, "double"),
         "max_length": only(is_text, f"cast(max({size}) as bigint)", "bigint"),
         "min_length": only(is_text, f"cast(min({size}) as bigint)", "bigint"),
     }
     return "struct(" + ", ".join(f"{sql} as {k}" for k, sql in parts.items()) + ")"
 
 
+def _facts_of_rows(df: DataFrame, cols: Sequence[str], fams: Mapping[str, str], names: Sequence[str]) -> DataFrame:
+    """Facts found on the rows, of ``COMPILED`` columns a pass, which reads these only.  ``names`` gives the positions."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    parts = []
+    for start in range(0, len(cols), COMPILED):
+        some = cols[start:start + COMPILED]
+        found = one_row_per_column(_parsed(df, some, fams), {c: _facts_sql(i, fams[c], types[c]) for i, c in enumerate(some)})
+        at = ", ".join(f"'{c}', {names.index(c)}" for c in some)
+        parts.append(found.withColumn("position", F.expr(f"map({at})[column]")))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def moments(values: Sequence[tuple[float, int]]) -> dict[str, float | None]:
+    """Mean, deviation and shape of distinct values, each with its number of rows."""
+    n = float(sum(k for _, k in values))
+    if not n:
+        return {"mean": None, "std": None, "skewness": 0.0, "kurtosis": 0.0}
+    mean = sum(x * k for x, k in values) / n if len(values) > 1 else values[0][0]
+    m2, m3, m4 = (sum(p) for p in zip(*(_powers(x - mean, k) for x, k in values), strict=True))
+    bent = peaked = None
+    if m2 / n:
+        std = math.sqrt(m2 / n)
+        bent, peaked = m3 / n / std / std / std, m4 * n / m2 / m2 - 3
+    return {"mean": mean, "std": math.sqrt(m2 / (n - 1)) if n > 1 else None,
+            "skewness": 0.0 if n <= 2 else None if bent is None else bent * math.sqrt(n * (n - 1)) / (n - 2),
+            "kurtosis": 0.0 if n <= 3 else None if peaked is None else (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * peaked + 6)}
+
+
+def _powers(d: float, k: int) -> tuple[float, float, float]:
+    return k * d * d, k * d * d * d, k * d * d * d * d
+
+
+def quantiles_of(values: Sequence[tuple[float, int]], qs: Sequence[float]) -> list[float] | None:
+    """Linear-interpolated quantiles of sorted distinct values, each with its number of rows."""
+    upto = list(accumulate(k for _, k in values))
+    out = []
+    for q in qs if values else ():
+        h = q * (upto[-1] - 1)
+        a, b = (values[bisect_right(upto, r)][0] for r in (math.floor(h), math.ceil(h)))
+        out.append((math.ceil(h) - h) * a + (h - math.floor(h)) * b if a != b else a)
+    return out or None
+
+
+def _facts_of_values(df: DataFrame, cols: Sequence[str], fams: Mapping[str, str], names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(facts, quantiles) of columns of few values.  Rows are only counted by value; parsing, patterns, moments
+    and ranks need each value once."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    parts = []
+    for c in cols:
+        values = _parsed(df.groupBy(F.col(_tick(c))).agg(F.count("*").alias("__n")), [c], fams, "__n")
+        found = values.selectExpr(f"{_facts_sql(0, fams[c], types[c], '__n')} as f",
+                                  "collect_list(case when x0 is not null then struct(x0, __n) end) as xs")  # few, as was counted
+        parts.append(found.selectExpr(f"'{c}' as column", f"{names.index(c)} as position", "f.*", "xs"))
+    both = reduce(DataFrame.unionAll, parts)
+    fields = [f for f in both.schema.fields if f.name != "xs"]
+    times = [f.name for f in fields if isinstance(f.dataType, T.TimestampNTZType)]  # as texts: Python's have no year 10000
+    facts, ranked = [], []
+    for r in both.withColumns({t: F.col(t).cast("string") for t in times}).collect():  # one row per column
+        rows: Counter[float] = Counter()  # texts may write one number in several ways
+        for x, k in r["xs"]:
+            rows[x] += k
+        xs = sorted(rows.items(), key=lambda e: (math.isnan(e[0]), e[0]))  # what is not a number is the largest
+        of_xs = moments(xs) if fams[r["column"]] in ("numeric", "string") else {}
+        facts.append(tuple(of_xs.get(f.name, r[f.name]) for f in fields))
+        ranked.append((r["column"], quantiles_of(xs, QUANTILES)))
+    plain = T.StructType([T.StructField(f.name, T.StringType() if f.name in times else f.dataType) for f in fields])
+    made = df.sparkSession.createDataFrame(facts, plain).withColumns({t: F.col(t).cast("timestamp_ntz") for t in times})
+    return made, df.sparkSession.createDataFrame(ranked, "column string, quantiles array<double>")
+
+
 def _quantiles_sql(name: str, fam: str, exact: bool) -> str:
     if fam not in ("numeric", "string"):
         return "struct(max(cast(null as array<double>)) as quantiles)"
@@ -200,38 +297,63 @@ def brief(text: Column) -> Column:
 
 def distinct_profile(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """(column, n_unique).  Exact counts group one pruned column at a time, so no row is expanded
-    k-fold; ``approx`` keeps one HyperLogLog sketch per column in a single pass."""
+    k-fold; ``approx`` keeps one HyperLogLog sketch per column in a single pass.  Whole numbers are told apart
+    by the bits of a word for each 64 neighbours, so that dense ones make few groups."""
     cols = list(cols or scalar_columns(df))
     if approx:
         return one_row_per_column(df, {c: f"struct(approx_count_distinct(`{c}`) as n_unique)" for c in cols}) \
             .drop("position")
-    texts = {f.name for f in df.schema.fields if family(f.dataType) == "string"}
-    parts = [df.select((brief(F.col(f"`{c}`")) if c in texts else F.col(f"`{c}`")).alias("v")).filter("v is not null").distinct()
-             .agg(F.count("*").alias("n_unique")).select(F.lit(c).alias("column"), "n_unique") for c in cols]
+    types, parts = {f.name: f.dataType for f in df.schema.fields}, []
+    for c in cols:
+        v = F.col(_tick(c))
+        if isinstance(types[c], T.IntegralType):
+            words = df.select(v.cast("bigint").alias("v")).filter("v is not null").groupBy(F.expr("shiftright(v, 6)").alias("w")) \
+                .agg(F.expr("bit_or(shiftleft(1L, cast(v & 63 as int)))").alias("bits"))
+            n = words.agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).cast("bigint").alias("n_unique"))
+        else:
+            v = brief(v) if family(types[c]) == "string" else v
+            n = df.select(v.alias("v")).filter("v is not null").distinct().agg(F.count("*").alias("n_unique"))
+        parts.append(n.select(F.lit(c).alias("column"), "n_unique"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def few_values(df: DataFrame, unique: Mapping[str, int]) -> list[str]:
+    """The columns whose values, each with its count, the driver may take; texts that are compared by other
+    rules than their bytes are not among them."""
+    limit = scale.setting(df.sparkSession, "boundedRows", scale.BOUNDED_ROWS)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return [c for c, n in unique.items() if n <= limit and (not isinstance(types[c], T.StringType) or types[c].collation == "UTF8_BINARY")]
+
+
 def column_facts(df: DataFrame, cols: Sequence[str] | None = None, exact: bool | None = None,
                  approx_distinct: bool = False, unique: DataFrame | None = None,
-                 quantiles: bool = False) -> DataFrame:
-    """One row of counts and moments per column.  ``unique`` may carry ready distinct counts."""
+                 quantiles: bool = False, few: Sequence[str] = ()) -> DataFrame:
+    """One row of counts and moments per column.  ``unique`` may carry ready distinct counts, ``few`` the
+    columns with at most ``facsimile.boundedRows`` values, of which each is looked at once."""
     cols = list(cols or scalar_columns(df))
     fams = {f.name: family(f.dataType) for f in df.schema.fields}
-    df = scale.spread(df)  # much work per value
-    facts = one_row_per_column(_parsed(df, cols, fams), {c: _facts_sql(i, fams[c]) for i, c in enumerate(cols)})
-    named = df.sparkSession.createDataFrame(
+    spark, exact = df.sparkSession, exact is not False
+    few = [c for c in cols if c in few]
+    many = [c for c in cols if c not in few]
+    facts, quant = _facts_of_values(df, few, fams, cols) if few else (None, None)
+    if many:
+        by_rank = quantiles and exact and df.count() > scale.setting(spark, "exactPercentileRows", EXACT_ROWS)
+        dealt = scale.spread(df)  # much work per value
+        found = _facts_of_rows(dealt, many, fams, cols)
+        facts = found if facts is None else facts.unionByName(found)
+        if quantiles:
+            ranks = _ranked_quantiles(dealt, many, fams) if by_rank else one_row_per_column(
+                dealt, {c: _quantiles_sql(c, fams[c], exact) for c in many})
+            ranks = ranks.drop("position")
+            quant = ranks if quant is None else quant.unionByName(ranks)
+    named = spark.createDataFrame(
         [(c, fams[c], bool(MONEY_NAME.search(c)), bool(ID_NAME.search(c)), pii_class_by_name(c)) for c in cols],
         "column string, family string, money_name boolean, id_name boolean, pii_name string")
     facts = facts.join(F.broadcast(named), "column")  # one row per column
     uniq = unique if unique is not None else distinct_profile(df, cols, approx_distinct)
     facts = facts.join(F.broadcast(uniq), "column")  # one row per column
     if quantiles:
-        exact = exact is not False
-        if exact and df.count() > scale.setting(df.sparkSession, "exactPercentileRows", EXACT_ROWS):
-            quant = _ranked_quantiles(df, cols, fams)
-        else:
-            quant = one_row_per_column(df, {c: _quantiles_sql(c, fams[c], exact) for c in cols})
-        facts = facts.join(F.broadcast(quant.drop("position")), "column")  # one row per column
+        facts = facts.join(F.broadcast(quant), "column")  # one row per column
         facts = facts.withColumn("method", F.lit("exact" if exact else "approx"))
     return facts
 
@@ -278,11 +400,12 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, primary_key: str |
     from facsimile.operators import keys
 
     cols = list(cols or scalar_columns(df))
-    unique = df.sparkSession.createDataFrame(distinct_profile(df, cols, approx_distinct).collect(),
-                                             "column string, n_unique bigint")
+    counted = distinct_profile(df, cols, approx_distinct).collect()
+    unique = df.sparkSession.createDataFrame(counted, "column string, n_unique bigint")
+    few = [] if exact is False else few_values(df, {r["column"]: r["n_unique"] for r in counted})
     if primary_key is True:
         primary_key = keys.detect_primary_key(df, cols, unique)
-    f = column_facts(df, cols, exact, unique=unique, quantiles=True).withColumn("kind", kind_of_facts())
+    f = column_facts(df, cols, exact, unique=unique, quantiles=True, few=few).withColumn("kind", kind_of_facts())
     pk = "column = '" + primary_key + "'" if primary_key else "false"
     num = "kind in ('int', 'num', 'money') and num_hits > 0"
     day = "kind in ('date', 'datetime') and time_hits > 0"

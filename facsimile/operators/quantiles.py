@@ -12,10 +12,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facsimile.operators import scale
 from facsimile.operators.ordered import merged, running
 
 #: Size of a sketch (about 100 kB), and its rank error at 99 percent.
@@ -57,13 +59,13 @@ def order_statistics(numbers: DataFrame, brackets: Mapping[str, list], ranks: Ma
     spark, names = numbers.sparkSession, list(brackets)
     below = numbers.agg(*[F.count_if(F.col(f"`{c}`") < F.lit(lo).cast("double")).alias(f"{i}_{j}")
                           for i, c in enumerate(names) for j, (lo, _) in enumerate(brackets[c])]).first()
-    entries = []
-    for i, c in enumerate(names):
+    parts = []
+    for i, c in enumerate(names):  # a pass over each column alone, compiled; few of its rows go on
         x = F.col(f"`{c}`")
         where = F.coalesce(*[F.when(between(x, b), F.lit(j)) for j, b in enumerate(brackets[c])])
-        entries.append(F.when(where.isNotNull(), F.struct(F.lit(i).alias("c"), where.alias("j"), x.alias("v"))))
-    tall = numbers.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
-    counts = tall.groupBy("c", "j", "v").agg(F.count("*").alias("n"))
+        parts.append(numbers.select(F.lit(i).alias("c"), where.alias("j"), x.alias("v")).filter("j is not null"))
+    # read by several passes
+    counts = scale.cut(reduce(DataFrame.unionAll, parts).groupBy("c", "j", "v").agg(F.count("*").alias("n")))
     ranked = running(counts, ["v"], sums={"upto": "n"}, by=["c", "j"])
     starts = [(i, j, r, r - below[f"{i}_{j}"]) for i, c in enumerate(names) for j in range(len(brackets[c])) for r in ranks[c]
               if r >= below[f"{i}_{j}"]]

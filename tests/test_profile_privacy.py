@@ -262,3 +262,72 @@ def test_facts_of_a_table_read_by_one_task_are_found_by_many(spark, small_bucket
     got = {r["column"]: r for r in facts.collect()}
     assert (got["mail"]["email_hits"], got["site"]["url_hits"], got["day"]["time_hits"], got["day"]["iso_date_hits"]) == (320, 400, 400, 66)
     assert scale.spread(df).count() == 400 and scale.spread(df.repartition(8)).rdd.getNumPartitions() == 8
+
+
+def odd_rows(spark):
+    """Few and many values, whole and broken numbers, texts of numbers, dates and words, nulls, no values at all."""
+    return spark.range(0, 3000, 1, 3).selectExpr(
+        "id * 7 - 9000 as order_key", "cast(id % 5 as int) as line", "cast(id % 2 as tinyint) as bit", "id % 2 = 0 as open", "id % 11 / 100.0D as tax",
+        "sqrt(id * 1.0D) as root", "if(id % 3 = 0, null, id % 50 - 20.5D) as price", "if(id % 4 = 0, 'A', if(id % 4 = 1, 'N', null)) as flag",
+        "concat(id % 9, if(id % 2 = 0, '.0', '')) as text_number", "concat('word ', id) as words", "concat('0', id % 9 + 1, '/02/2024') as day_text",
+        "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 30 as int)) as shipped",
+        "timestamp_ntz'2024-01-01 00:00:01' + make_interval(0, 0, 0, 0, 0, cast(id as int)) as stamped", "cast(id % 7 as decimal(9,2)) as dec", "cast(id % 2 as decimal(9,0)) as code",
+        "7.1D as same", "cast(null as double) as nothing", "cast(null as string) as no_text", "if(id % 1000 = 3, double('NaN'), id % 4 * 1.0D) as holes",
+        "date_add(date'9999-12-30', cast(id % 3 as int)) as far")
+
+
+def test_facts_of_few_values_are_the_facts_of_all_rows(spark):
+    df = odd_rows(spark).drop("far")
+
+    def found(bounded):
+        spark.conf.set("facsimile.boundedRows", bounded)
+        try:
+            return {r["column"]: r.asDict() for r in pf.profile(df).collect()}
+        finally:
+            spark.conf.set("facsimile.boundedRows", "20000")
+
+    rows, values = found("0"), found("20000")
+    assert [*sorted(rows)] == [*sorted(values)] and {r["position"] for r in rows.values()} == {*range(len(df.columns))}
+    for c, was in rows.items():
+        for fact, v in was.items():
+            assert str(values[c][fact]) == str(v) or values[c][fact] == pytest.approx(v, abs=1.1e-4), (c, fact)
+    assert (values["bit"]["kind"], values["open"]["kind"], values["code"]["kind"], values["tax"]["kind"]) == ("bool", "bool", "bool", "money")
+    assert values["same"]["std"] == 0.0 and values["same"]["skewness"] is None and values["words"]["n_unique"] == 3000
+    far = {r["column"]: r for r in pf.profile(odd_rows(spark).select("far")).selectExpr("column", "cast(max_date as string) as last").collect()}
+    assert far["far"]["last"] == "+10000-01-01"
+
+
+def test_whole_numbers_are_counted_by_words_of_neighbours(spark):
+    df = spark.createDataFrame([(v, v % 100 if v is not None else None) for v in (*range(-200, 200), 63, 64, -1, -64, -65, 2 ** 63 - 1, -2 ** 63, None, None)],
+                               "big long, small int")
+    got = {r["column"]: r["n_unique"] for r in pf.distinct_profile(df.union(df)).collect()}
+    assert got == {"big": 402, "small": 100}
+    assert [r["n_unique"] for r in pf.distinct_profile(df.limit(0)).collect()] == [0, 0]
+    # a group for 64 neighbours, not one for each number
+    plan = pf.distinct_profile(spark.range(64_000).repartition(3))
+    assert "shiftright" in plan._jdf.queryExecution().toString() and plan.first()["n_unique"] == 64_000
+
+
+def test_facts_are_compiled(spark):
+    # with more fields than this an aggregate runs uncompiled
+    most, widths = int(spark.conf.get("spark.sql.codegen.maxFields")), []
+    todo = [pf.column_facts(odd_rows(spark))._jdf.queryExecution().sparkPlan()]
+    while todo:
+        node = todo.pop()
+        if "HashAggregate" in node.nodeName():
+            widths.append(node.output().size())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert widths and max(widths) <= most
+
+
+def test_few_values_are_parsed_once(spark, monkeypatch):
+    seen, parse = spark.sparkContext.accumulator(0), pf.parse_time
+
+    @F.udf("string")
+    def told(v):
+        seen.add(1)
+        return v
+
+    monkeypatch.setattr(pf, "parse_time", lambda c, fam: parse(told(c) if fam == "string" else c, fam))
+    r = pf.profile(odd_rows(spark).select("flag")).first()
+    assert (r["kind"], r["n_unique"], r["null_count"]) == ("cat", 2, 1500) and seen.value <= 30

@@ -1,4 +1,4 @@
-"""Column profiling: one wide aggregate for every column's facts, one row per column out."""
+"""Column profiling: aggregates of a few columns' facts each, or of their counted values; one row per column out."""
 
 from __future__ import annotations
 
